@@ -84,3 +84,33 @@ def small_slices(batches: Iterable[pa.RecordBatch], name: str = "text", most: in
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def broadcast_if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A broadcast hint for a saved table of at most `most` narrow rows, counted here; else Spark joins by shuffling."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def trimmed_words(text: Column) -> Column:
+    """Words by the rule `[^\\x20\\x09-\\x0D]+`, all letters lower-cased; no text or no word: an empty array."""
+    bare = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+"))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once; inside lambdas a plain expression would be worked out at each step."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def word_shingles(words: Column, k: int, joined: bool = False) -> Column:
+    """Of each k words in a row a 64-bit hash, or the words themselves where `joined`; fewer words make one shingle."""
+    return bound(words, lambda w: _shingles(w, k, joined))
+
+
+def _shingles(words: Column, k: int, joined: bool) -> Column:
+    whole = F.array_join(words, " ")
+    at = lambda i: [F.get(words, i + j) for j in range(k)]
+    each = (lambda i: F.concat_ws(" ", *at(i))) if joined else (lambda i: F.xxhash64(*at(i)))
+    short = F.array(whole if joined else F.xxhash64(whole))
+    none = F.array().cast("array<string>" if joined else "array<bigint>")
+    return F.when(F.size(words) == 0, none).when(F.size(words) < k, short).otherwise(F.transform(F.sequence(F.lit(0), F.size(words) - k), each))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import hmm, langid, packing, quality, sharding, toxicity
+from . import decontaminate, hmm, langid, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_hmm": hmm.op2_hmm,
     "op3_sharding": sharding.op3_sharding,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_langid": langid.op5_langid,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
+    "op8_secrets": secrets.op8_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontaminate.SQL,
+    "op8_secrets": secrets.SQL,
+}
