@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hmm, langid, packing, quality, secrets, sharding, toxicity
+from . import decontaminate, hmm, jaccard, langid, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,9 +13,11 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_secrets": secrets.op8_secrets,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
     "op8_secrets": secrets.SQL,
+    "op10_jaccard": jaccard.SQL,
 }
