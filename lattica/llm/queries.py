@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hmm, jaccard, langid, packing, quality, secrets, sharding, toxicity
+from . import decontaminate, hmm, html, jaccard, langid, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_secrets": secrets.op8_secrets,
+    "op9_html": html.op9_html,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 
