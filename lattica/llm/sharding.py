@@ -79,7 +79,7 @@ def splitters(rows: DataFrame, total: int, ranges: int, rounds: int = 3) -> tupl
     return cuts, found
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 40, whole: float = 0.05) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 40, whole: float = 0.01) -> DataFrame:
     """Places every row of docs(doc_id, text) in shards 0 to shards - 1 of near equal bytes, with a gapless slot."""
     scratch = Scratch(docs.sparkSession, "shards")
     rows = scratch.save(records(docs), "records")

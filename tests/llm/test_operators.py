@@ -1,0 +1,266 @@
+"""Operators against brute force, and their edge cases."""
+
+import itertools
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from lattica.llm import decontaminate, hmm, html, jaccard, langid, packing, quality, secrets, sharding, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SIX = list("abcdefghij")
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty and long texts, repeated rows, null columns, an extra column."""
+    long_ = " ".join(f"w{k % 977}" for k in range(30_000))
+    rows = [(1, None, "en", "a"), (2, "", None, "a"), (None, "x y z q w e", "en", None), (3, "x y z q w e", "fr", "b"), (3, "x y z q w e", "fr", "b"), (4, long_, "en", "a"), (5, "token = abcdefgh1 über", None, None), (6, " \t\n", "en", "b")]
+    return spark.createDataFrame([(i, t, g, s, None) for i, t, g, s in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_quality_base_and_model(spark, real):
+    got = {r.doc_id: r for r in quality.quality(real).collect()}
+    assert len(got) == real.count()
+    grams = Counter()
+    rows = real.where("lang = 'fr'").collect()
+    for r in rows:
+        s, _ = quality.symbols([r.text])
+        grams.update(tuple(s[k - 3 : k + 1]) for k in range(3, len(s)))
+    orders = {4: grams}
+    for k in (3, 2, 1):
+        level = Counter()
+        for g, n in orders[k + 1].items():
+            level[g[1:]] += n if k > 1 and g[1] == 0 else 1
+        orders[k] = level
+
+    def cut(k, n):
+        t = Counter(orders[k].values())
+        if all(t[i] for i in (1, 2, 3)):
+            y, i = t[1] / (t[1] + 2 * t[2]), min(n, 3)
+            return max(0.0, min(float(i), i - (i + 1) * y * t[i + 1] / t[i]))
+        return 0.5 * min(n, 3)
+
+    def p(g):
+        if not g:
+            return 1 / (quality.A - 1)
+        same = {h: n for h, n in orders[len(g)].items() if h[:-1] == g[:-1]}
+        if not same:
+            return p(g[1:])
+        total, n = sum(same.values()), same.get(g, 0)
+        return max(n - (cut(len(g), n) if n else 0), 0) / total + sum(cut(len(g), m) for m in same.values()) / total * p(g[1:])
+
+    r = min(rows, key=lambda r: len(r.text))
+    s, _ = quality.symbols([r.text])
+    want = -sum(np.log10(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))) / len(r.text)
+    assert abs(want - got[r.doc_id].log_perplexity) < 1e-4
+    for r in real.collect():
+        w = r.text.encode().split()
+        g = list(zip(w, w[1:], w[2:]))
+        n = Counter(g)
+        hit = {k + j for k, x in enumerate(g) if n[x] > 1 for j in range(3)}
+        x = got[r.doc_id]
+        assert (x.n_words, x.n_repeat_words, x.n_symbols) == (len(w), len(hit), sum(c in "#*$%&|<>" for c in r.text))
+        assert x.word_chars == sum(len(v.decode()) for v in w)
+
+
+def test_hmm_is_exact_and_helps(spark, real):
+    rng = np.random.default_rng(0)
+    m = hmm.Model.from_counts(rng.random(2 * 3 + 9 + 3 * 5), 3, 5)
+    seq = rng.integers(0, 5, 6)
+    total = 0.0
+    for path in itertools.product(range(3), repeat=6):
+        x = m.first[path[0]] * m.emit[path[0], seq[0]]
+        for a, b, o in zip(path, path[1:], seq[1:]):
+            x *= m.move[a, b] * m.emit[b, o]
+        total += x
+    assert abs(hmm.log_likelihoods([seq], m)[0] - np.log10(total)) < 1e-9
+    docs = real.select("doc_id", "text", (real.doc_id % 5 == 1).alias("held_out"))
+    got = hmm.hmm_scores(docs, 8, 256, 64, 2, 60, 10).collect()
+    out = [r for r in got if r.held_out]
+    assert len(got) == docs.count() and sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_sharding_is_even_and_gapless(spark, real):
+    rows = sharding.shard_by_bytes(real, 8).collect()
+    size, most = Counter(), max(r["size"] for r in rows)
+    for r in rows:
+        size[r.shard] += r["size"]
+    assert max(size.values()) - min(size.values()) <= 2 * most and len(rows) == real.count()
+    for s in size:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    text = {r.doc_id: zlib.crc32(r.text.encode()) for r in real.collect()}
+    assert all(text[r.doc_id] == r.text_crc32 for r in rows)
+
+
+def test_sharding_cuts_a_hot_text(spark):
+    docs = spark.createDataFrame([(k, "same words") if k % 2 else (k, f"text {k}") for k in range(4000)], "doc_id long, text string")
+    size = Counter()
+    for r in sharding.shard_by_bytes(docs, 10).collect():
+        size[r.shard] += r["size"]
+    # an end of a shard is off by half a record or half a group of 1 % of a shard at most
+    assert max(size.values()) - min(size.values()) <= 2 * max(0.01 * sum(size.values()) / 10, 30)
+
+
+def test_decontamination_matches_brute_force(spark, real):
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    sets = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))} if t.split() else set()
+    own = {r.item_id: sets(r.text) for r in items.collect()}
+    want = {(r.doc_id, i) for r in real.collect() for s in [sets(r.text)] for i, x in own.items() if 10 * len(s & x) >= 8 * len(x)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(real, items).collect()} == want and want
+    assert {r.doc_id for r in decontaminate.without_contaminated(real, items).collect()} == {r.doc_id for r in real.collect()} - {d for d, _ in want}
+
+
+def test_language_forward_sums_all_segmentations():
+    pieces = langid.Pieces(["a", "b", "ab", langid.MARK, langid.MARK + "a"])
+    prob = np.array([[0.2], [0.1], [0.3], [0.15], [0.25], [0.01]])
+    m, unknown = {"a": 0.2, "b": 0.1, "ab": 0.3, langid.MARK: 0.15, langid.MARK + "a": 0.25}, 0.01 * langid.UNKNOWN_LETTER
+
+    def total(s):
+        return 1.0 if not s else sum(m.get(s[:k], unknown if k == 1 and s[:1] not in m else 0.0) * total(s[k:]) for k in range(1, len(s) + 1))
+
+    words = ["ab", "aab", "b", "acb"]
+    assert np.allclose(10 ** langid.word_log10(words, pieces, prob)[:, 0], [total(langid.MARK + w) for w in words])
+
+
+def test_language_held_out(spark, real):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    langs, prob = langid.train(real.where("doc_id % 3 <> 1"), path, 2, 500)
+    got = langid.identify(real.selectExpr("doc_id", "text", "doc_id % 3 = 1 AS held_out"), langs, prob, path).collect()
+    lang = {r.doc_id: r.lang for r in real.collect()}
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_toxicity_learns():
+    rng = np.random.default_rng(1)
+    bad = [np.unique(np.append(rng.integers(10, 60, 20), rng.integers(0, 5, 2))).astype(np.int32) for _ in range(200)]
+    rest = [np.unique(rng.integers(10, 60, 20)).astype(np.int32) for _ in range(900)] + bad[:100]
+    w, b = toxicity.nnpu(bad, rest, 0.1, 8, 200, 3e-4, 3)
+    assert np.mean([b + w[x].sum() > 0 for x in bad]) > 0.9 and np.mean([b + w[x].sum() > 0 for x in rest[:900]]) < 0.05
+
+
+def test_packing_round_trip(spark, real):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    strange = spark.createDataFrame([(900, "Ünï İX ΑΣ ΑΣ's don't  12ab_c  日本語　x <|endoftext|>!!"), (901, None), (902, "é ﬁ")], "doc_id long, text string")
+    docs = real.select("doc_id", "text").unionByName(strange)
+    rows = packing.pack_documents(docs, path, 512).collect()
+    tok.encode_special_tokens = True
+    for r in docs.collect():
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        own = sorted((x.piece, x.start, x.length, x.ids_crc32) for x in rows if x.doc_id == r.doc_id)
+        assert own == [(k, a, len(ids[a : a + 512]), zlib.crc32(ids[a : a + 512].tobytes())) for k, a in enumerate(range(0, len(ids), 512))]
+    by: dict = {}
+    for x in rows:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for parts in by.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= 512
+    assert len(by) <= 1.02 * sum(x.length for x in rows) / 512 + 1
+
+
+def test_local_search_empties_bins():
+    size = [6, 6, 4, 4, 5, 5]
+    bins = packing.local_search([[0, 2], [1, 3], [4], [5]], size, 10)
+    assert sorted(sum(size[i] for i in b) for b in bins) == [10, 10, 10] and sorted(i for b in bins for i in b) == list(range(6))
+
+
+def test_secret_spans_and_owners(spark):
+    key = "AKIA" + "B" * 16
+    rows = [(1, f'é password="hunter2hunter2" {key}', "a/x"), (2, key, "b/y"), (3, key, "c/z"), (4, "secret: short", "a/x"), (5, "token=" + "0a" * 20, "a/x"), (6, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.report(docs).collect()}
+    assert got[1].spans == "assign:2:26,access:28:48" and (got[1].n_live, got[1].n_example) == (1, 1)
+    assert (got[4].n_assign, got[4].spans, got[6].spans) == (0, "", "")
+    assert got[5].spans == "assign:0:46,hex:6:46"
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean[1] == f'é [SECRET]" {key}' and clean[2] == key and clean[5] == "[SECRET]" and clean[6] is None
+
+
+def test_html_blocks():
+    page = '<!DOCTYPE html><html><body><nav><a href="/x">menu</a></nav><article><h1>Big &amp; small</h1><p><b>one<br>two<p>three <i>four</i></article><div class="comments"><p>me too</p></div><footer>end</footer>'
+    trees = html.Trees(1.0, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))
+    assert html.main_text(page, trees) == "Big & small\none two\nthree four"
+    assert html.main_text("", trees) == "" and html.main_text("<p", trees) == "<p"
+
+
+def test_html_learns_without_marks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    trees = html.train(pages, 200, 20, 3, 0.3)
+    rows = html.extract(pages, trees).collect()
+    assert len(rows) == pages.count() and all(r.n_chars == len(r.text) for r in rows)
+    raw = {r.page_id: r.html for r in pages.collect()}
+    assert all(r.text.split()[-1] in raw[r.page_id].split("</article>")[0] for r in rows if r.text and "&" not in raw[r.page_id].split("</article>")[0][-80:])
+
+
+def brute_components(rows, k, percent):
+    s = {i: set(jaccard.shingle_set(t or "", k).tolist()) for i, t in rows}
+    near = {i: [j for j in s if s[i] and s[j] and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j])] for i in s}
+    out = {}
+    for i in sorted(s):
+        if i not in out:
+            todo, seen = [i], {i}
+            while todo:
+                for j in near[todo.pop()]:
+                    if j not in seen:
+                        seen.add(j)
+                        todo.append(j)
+            out |= dict.fromkeys(seen, i)
+    return out
+
+
+def test_jaccard_matches_brute_force(spark, real):
+    base = [f"w{k}" for k in range(60)]
+    rng = np.random.default_rng(3)
+    more = []
+    for k in range(60):
+        w = list(base)
+        for j in rng.integers(0, 60, rng.integers(0, 4)):
+            w[j] = f"x{rng.integers(0, 99)}"
+        more.append((10_000 + k, " ".join(w)))
+    rows = [(r.doc_id, r.text) for r in real.collect()] + more + [(20_000, None), (20_001, "a b"), (20_002, "A  b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute_components(rows, 4, 85)
+    kept = {r.doc_id for r in jaccard.one_of_each(docs).collect()}
+    assert kept == {i for i, c in brute_components(rows, 5, 80).items() if i == c}
+
+
+def test_odd_rows(spark, odd, none):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    items = spark.createDataFrame([(1, "x y z q w e"), (2, None), (3, "")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    flagged = lambda d: d.selectExpr("doc_id", "text", "coalesce(doc_id % 2 = 0, false) AS held_out")
+    for docs, n in ((odd, odd.count()), (none, 0)):
+        assert quality.quality(docs).count() == n
+        assert hmm.hmm_scores(flagged(docs), 3, 16, 4, 1, 5, 2).count() == n
+        assert sharding.shard_by_bytes(docs, 4).count() == n
+        assert decontaminate.contaminated(docs, items).count() == (3 if n else 0)
+        assert decontaminate.without_contaminated(docs, items).count() == (n - 3 if n else 0)
+        langs, prob = langid.train(docs.where("lang is not null and text is not null"), public_tokenizers.path("piece_bpe_32k.model"), 1, 10)
+        got = langid.identify(flagged(docs), langs, prob, public_tokenizers.path("piece_bpe_32k.model")).collect()
+        assert len(got) == n and sum(r.lang_pred == "und" for r in got) == (3 if n else 0)
+        p = dict(toxicity.PARAMETERS, bits=8, models=2, epochs=3)
+        model = toxicity.train(docs, labels, **p)
+        assert toxicity.score(docs, model, 8).count() == n
+        assert (packing.pack_documents(docs, path).count() >= n) and (n or packing.pack_documents(docs, path).count() == 0)
+        assert secrets.report(docs).count() == n and secrets.redact(docs).count() == n
+        assert jaccard.jaccard_components(docs).count() == n
+        assert jaccard.one_of_each(docs).count() == (6 if n else 0)
+    assert html.extract(spark.createDataFrame([(1, None, None), (2, "u", "<p>x")], "page_id long, url string, html string"), html.Trees(1.0, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))).count() == 2
