@@ -5,9 +5,10 @@ discarded; the pairs left get their whole overlap counted.
 Documents with the same shingle set are one class first, so copies never meet. Under one global order of shingles (rare
 before those that a sample finds frequent, then by hash) two sets of Jaccard >= t share one of their first
 n - ceil(t * n) + 1 shingles; only these columns are multiplied. Any order gives the same result, so the sample decides
-speed alone. A column of many classes is not expanded into all pairs: its classes meet one leader first (a star). The
-links found join classes to components, and only pairs of classes in different components meet in a second round. Every link
-between two components is thus looked at, none within one is needed.
+speed alone. A column is not expanded into all pairs: its classes first meet one leader, the class with most company in
+its columns (the middle of a group of near copies), then another one. The links found join classes to components, and
+in the last round all pairs of classes in different components meet. Every link between two components is thus looked
+at, none within one is needed.
 
 Shingles are 64-bit hashes of the words. Defined cases: text that is null or without a word has the empty set, links with
 nothing and is its own component; fewer than k words are one shingle; repeated rows are copies; a null id is carried
@@ -30,7 +31,7 @@ from .common import Scratch, arrow_map, broadcast_if_small, record_batch, table,
 WORDS, PERCENT = 4, 85
 #: Documents of the sample that tells frequent shingles, and the number of sampled classes from which one is frequent.
 SAMPLE, FREQUENT = 4000, 6
-#: Parts into which a frequent column is dealt.
+#: Parts into which a frequent column is dealt while columns are put together.
 SALT = 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,13 +120,13 @@ def _entries(rows: DataFrame) -> DataFrame:
             hot = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8)
             c, n = np.repeat(c, size), np.repeat(n, size)
             at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            yield record_batch(schema, h, (hot * (c % SALT)).astype(np.int32), c, n, at.astype(np.int32))
+            yield record_batch(schema, h, np.where(hot > 0, c % SALT, -1).astype(np.int32), c, n, at.astype(np.int32))
 
     return arrow_map(rows.where("prefix is not null").select("n", "c", "prefix", "hot"), run, "h long, salt int, c long, n long, at int")
 
 
-def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Whole runs of two rows or more with the same first `keys` columns of sorted batches."""
+def _runs(batches: Iterable[pa.RecordBatch], keys: int, least: int = 2) -> Iterator[list[np.ndarray]]:
+    """Whole runs of `least` rows or more with the same first `keys` columns of sorted batches."""
     held: list[np.ndarray] | None = None
     for batch in batches:
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -135,79 +136,107 @@ def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np.ndar
         new = np.ones(len(now[0]), bool)
         new[1:] = np.any([x[1:] != x[:-1] for x in now[:keys]], axis=0)
         begin = np.append(np.flatnonzero(new), len(new))
-        for a, b in zip(begin[:-2], begin[1:-1]):
-            if b - a > 1:
-                yield [x[a:b] for x in now]
+        size = np.diff(begin)[:-1]
+        for k in np.flatnonzero(size >= least) if least > 1 else np.flatnonzero((size > 1) | (now[1][begin[:-2]] >= 0)):
+            yield [x[begin[k] : begin[k + 1]] for x in now]
         held = [x[begin[-2] :] for x in now]
-    if held is not None and len(held[0]) > 1:
+    if held is not None and (len(held[0]) >= 2 or least < 2 and held[1][0] >= 0):
         yield held
 
 
 def _possible(n1, at1, n2, at2, percent: int):
-    """Size and position bounds for the overlap of two sets that share the entries at at1 and at2."""
-    need = -(-percent * (n1 + n2) // (100 + percent))
-    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (1 + np.minimum(n1 - at1 - 1, n2 - at2 - 1) + np.minimum(at1, at2) >= need)
+    """Size and position bounds for two sets whose first shared entries are at at1 and at2. Every link is found at its
+    first shared entry; before it nothing is shared."""
+    need = (percent * (n1 + n2) + 99 + percent) // (100 + percent)
+    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (np.minimum(n1 - at1, n2 - at2) >= need)
 
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-RUN = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("a", pa.int64()), ("leads", pa.bool_())])
+RUN = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("company", pa.int64())])
 
 
-def _stars(entries: DataFrame, percent: int) -> DataFrame:
-    """Rows of columns of two classes or more: each class with the leader `a` it meets (null: none, or it cannot link).
-    In the order of sizes a class leads those that its size allows, until one is too long."""
+def _columns(entries: DataFrame) -> DataFrame:
+    """(h, c, n, at, company): the entries of columns of two classes or more, each class once, and how many share the
+    column. Frequent columns come in parts, which are kept even if one class is alone there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list = []
-        for h, _, c, n, at in _runs(batches, 2):
+        for h, salt, c, n, at in _runs(batches, 2, 1):
             once = np.append(True, c[1:] != c[:-1])
-            h, c, n, at = h[once], c[once], n[once], at[once]
-            if len(c) < 2:
-                continue
-            leader = np.zeros(len(c), np.int64)
-            k = 0
-            while k < len(c):
-                end = int(np.searchsorted(n, n[k] * 100 // percent, "right"))
-                leader[k:end] = k
-                k = max(end, k + 1)
-            fit = (leader != np.arange(len(c))) & _possible(n, at, n[leader], at[leader], percent)
-            out.append((h, c, n, at, np.where(fit, c[leader], 0), fit, leader == np.arange(len(c))))
-            if len(out) >= 2000:
-                yield flush(out)
+            if once.sum() > 1 or salt[0] >= 0:
+                out.append((h[once], c[once], n[once], at[once], np.full(once.sum(), once.sum())))
+            if len(out) >= 5000:
+                yield record_batch(RUN, *(np.concatenate(x) for x in zip(*out)))
+                out = []
         if out:
-            yield flush(out)
+            yield record_batch(RUN, *(np.concatenate(x) for x in zip(*out)))
+
+    sorted_ = entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "n")
+    return arrow_map(sorted_, run, "h long, c long, n long, at int, company long")
+
 
-    def flush(out: list) -> pa.RecordBatch:
-        h, c, n, at, a, fit, leads = (np.concatenate(x) for x in zip(*out))
-        out.clear()
-        return record_batch(RUN, h, c, n, at, pa.array(a, mask=~fit), leads)
+def _mixed(columns: DataFrame) -> DataFrame:
+    """The columns whose classes are not all of one component."""
+    both = columns.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+    return columns.join(both, "h", "left_semi")
 
-    sorted_ = entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "c")
-    return arrow_map(sorted_, run, "h long, c long, n long, at int, a long, leads boolean")
 
+def _star_pairs(columns: DataFrame, percent: int) -> DataFrame:
+    """Each class of a column with the column's leader, the class of greatest `rank`, if it is of another component."""
+    leader = columns.groupBy("h").agg(F.max(F.struct("rank", "c", "n", "at", "label")).alias("led")).select("h", "led")
+    n, at = (F.greatest(F.col(x), F.col(f"led.{x}")) for x in ("n", "at"))
+    low = F.least("n", "led.n")
+    size = 100 * low >= percent * n
+    need = F.floor((percent * (F.col("n") + F.col("led.n")) + 99 + percent) / (100 + percent))
+    place = F.least(F.col("n") - F.col("at"), F.col("led.n") - F.col("led.at")) >= need
+    met = columns.join(leader, "h").where((F.col("label") != F.col("led.label")) & size & place)
+    return met.select(F.least("c", "led.c").alias("a"), F.greatest("c", "led.c").alias("b")).distinct()
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that meet in a column. rows(h, c, n, at, label)"""
+
+def _cross_pairs(columns: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of different components that meet in a column at places where a link's first entry can be."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, c, n, at, label in _runs(batches, 1):
-            for k in range(len(c) - 1):
-                end = int(np.searchsorted(n, n[k] * 100 // percent, "right"))
-                other = slice(k + 1, end)
-                fit = (label[other] != label[k]) & _possible(n[k], at[k], n[other], at[other], percent)
-                b = c[other][fit]
+            names, number, many = np.unique(label, return_inverse=True, return_counts=True)
+            main = number == many.argmax()  # pairs within the largest component are none
+            for k in np.flatnonzero(~main):
+                fit = (number != number[k]) & (main | (np.arange(len(c)) > k)) & _possible(n[k], at[k], n, at, percent)
+                b = c[fit]
                 if len(b):
                     yield record_batch(PAIRS, np.minimum(b, c[k]), np.maximum(b, c[k]))
 
-    mixed = rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
-    sorted_ = rows.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "c").select("h", "c", "n", "at", "label")
+    sorted_ = columns.repartition("h").sortWithinPartitions("h", "c").select("h", "c", "n", "at", "label")
     return arrow_map(sorted_, run, "a long, b long").distinct()
 
 
+def _likely(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose first columns have enough in common. Of the set whose first columns end earlier, what is not
+    shared there is not in the other set at all; so the overlap is at most the shared ones and the later columns."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    first = rows.where("prefix is not null").join(wanted, "c").groupBy("c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    both = pairs.join(first.toDF("a", "n_a", "p_a"), "a").join(first.toDF("b", "n_b", "p_b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [batch.column(k).to_numpy() for k in (2, 3)]
+            fit = []
+            for n_a, n_b, x, y in zip(*n, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                later = max(n_a - len(x) // 8, n_b - len(y) // 8)
+                fit.append((100 + percent) * (shared + later) >= percent * (n_a + n_b))
+            keep = pa.array(fit, pa.bool_())
+            yield record_batch(PAIRS, batch.column(0).filter(keep), batch.column(1).filter(keep))
+
+    return arrow_map(both, run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs of classes whose whole overlap, counted over all shingles, reaches the bound."""
+    pairs = scratch.save(_likely(pairs, rows, percent), f"{name}-likely")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    one = scratch.save(rows.join(wanted, "c").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("of_id")).select("of_id").distinct(), f"{name}-ids")
+    ids = rows.where("prefix is not null").select("doc_id", "c")
+    one = scratch.save(ids.join(wanted, "c").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("of_id")).select("of_id").distinct(), f"{name}-ids")
     schema = pa.schema([("c", pa.int64()), ("s", pa.binary())])
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +245,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent:
             yield record_batch(schema, [class_of(s) for s in made], [s.tobytes() for s in made])
 
     reread = docs.join(broadcast_if_small(one), F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi").select("text")
-    s = scratch.save(arrow_map(reread, sets, "c long, s binary").dropDuplicates(["c"]), f"{name}-sets")
-    both = pairs.join(s.withColumnsRenamed({"c": "a", "s": "s_a"}), "a").join(s.withColumnsRenamed({"c": "b", "s": "s_b"}), "b")
+    s = scratch.save(arrow_map(reread, sets, "c long, s binary"), f"{name}-sets").groupBy("c").agg(F.first("s").alias("s"))
+    both = pairs.join(s.toDF("a", "s_a"), "a").join(s.toDF("b", "s_b"), "b")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +259,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent:
             yield record_batch(PAIRS, batch.column(0).filter(keep), batch.column(1).filter(keep))
 
     out = scratch.save(arrow_map(both.select("a", "b", "s_a", "s_b"), count, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-sets", f"{name}-likely", f"{name}-ids")
     return out
 
 
@@ -255,42 +284,38 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     """(doc_id, n_shingles, class_id, component_id) for every row of docs(doc_id, text)."""
     scratch, docs = Scratch(docs.sparkSession, "jaccard"), docs.select("doc_id", "text")
     rows = scratch.save(_incidence(docs, k, percent, _frequent(docs, k)), "rows")
+    columns = scratch.save(_columns(_entries(rows)), "columns")
+    company = columns.groupBy("c").agg(F.sum("company").alias("company"))
+    labelled = columns.drop("company").join(company, "c").withColumnsRenamed({"company": "rank"}).withColumn("label", F.col("c"))
+    links = labels = seen = None
+    for k_round, name in enumerate(("middle", "other", "all")):
+        if labels is not None:
+            rank = F.xxhash64("c", F.lit(k_round))
+            labelled = columns.select("h", "c", "n", "at", rank.alias("rank")).join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        labelled = scratch.save(_mixed(labelled), f"{name}-columns")
+        pairs = _cross_pairs(labelled, percent) if name == "all" else _star_pairs(labelled, percent)
+        pairs = scratch.save(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), f"{name}-pairs")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        scratch.drop(f"{name}-columns")
+        if pairs.isEmpty() and labels is not None:
+            continue
+        new = _linked(pairs, docs, rows, k, percent, scratch, name)
+        links = new if links is None else links.unionByName(new)
+        labels = components(links, scratch, name)
+    scratch.drop("columns")
     ids = rows.where("n > 0").select("doc_id", "c")
-    stars = scratch.save(_stars(_entries(rows), percent), "stars")
-    # leaders of the parts of one frequent column meet each other
-    leaders = stars.where("leads").select("h", F.lit(0).alias("salt"), "c", "n", "at").distinct()
-    first = stars.where("a is not null").select("a", "c").unionByName(_stars(leaders, percent).where("a is not null").select("a", "c"))
-    pairs = scratch.save(first.groupBy(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).count().select("a", "b"), "pairs")
-    links = _linked(pairs, docs, ids, k, percent, scratch, "first")
-    labels = components(links, scratch, "first")
-    # whole columns: also classes that were alone in their part of a frequent one
-    many = stars.select("h").distinct().unionByName(_entries(rows).where("salt > 0").select("h").distinct()).distinct()
-    columns = _entries(rows).join(many, "h", "left_semi").select("h", "c", "n", "at").distinct() if _has_hot(rows) else stars.select("h", "c", "n", "at").distinct()
-    columns = columns.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    rest = scratch.save(_cross_pairs(columns, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_linked(rest, docs, ids, k, percent, scratch, "second"))
-        labels = components(links, scratch, "second")
-    scratch.drop("stars")
     classes = ids.groupBy("c").agg(F.min("doc_id").alias("least")).join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     named = classes.join(classes.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("c", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
     return rows.select("doc_id", "n", "c").join(named, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.coalesce(alone, "component_id").alias("component_id"))
 
 
-def _has_hot(rows: DataFrame) -> bool:
-    """Whether any kept column is a frequent one; only then are there parts of columns."""
-    return not rows.where(F.col("hot").isNotNull() & F.contains(F.hex("hot"), F.lit("01"))).limit(1).isEmpty()
-
-
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near copies: of each component the least id stays, once. Rows with an empty set stay."""
     found = Scratch(docs.sparkSession, "nearcopies").save(jaccard_components(docs, k, percent), "components")
-    stays = found.where("n_shingles = 0 or doc_id = component_id or component_id is null").select(F.col("doc_id").alias("kept_id"), "n_shingles").distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    # an id that stands for several rows keeps one of the rows that have words
-    several = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many_id")).limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if several else kept
+    stays = found.where("n_shingles = 0 or doc_id = component_id or component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
+    # an id of several rows keeps its texts once each
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
