@@ -193,20 +193,43 @@ def _star_pairs(columns: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("c", "led.c").alias("a"), F.greatest("c", "led.c").alias("b")).distinct()
 
 
-def _cross_pairs(columns: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes of different components that meet in a column at places where a link's first entry can be."""
+def _signatures(rows: DataFrame) -> DataFrame:
+    """(c, sig): a bitmap of 256 bits over a class's first columns."""
+    schema = pa.schema([("c", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c, n, at, label in _runs(batches, 1):
+        for batch in batches:
+            out = []
+            for x in batch.column(1).to_pylist():
+                bits = np.zeros(256, np.uint8)
+                bits[(np.frombuffer(x, np.uint64) >> np.uint64(13)) % np.uint64(256)] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield record_batch(schema, batch.column(0), out)
+
+    return arrow_map(rows.where("prefix is not null").select("c", "prefix"), run, "c long, sig binary").groupBy("c").agg(F.first("sig").alias("sig"))
+
+
+def _cross_pairs(columns: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of different components that meet in a column at places where a link's first entry can be.
+    Of a bit that only one of two bitmaps has, at least one entry is not shared; that bounds the overlap of the
+    first columns, and pairs that cannot reach the least overlap are discarded before they are made."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c, n, at, label, sig in _runs(batches, 1):
             names, number, many = np.unique(label, return_inverse=True, return_counts=True)
             main = number == many.argmax()  # pairs within the largest component are none
+            bits = np.frombuffer(b"".join(sig), np.uint64).reshape(-1, 4)
+            first = n - -(-percent * n // 100) + 1
             for k in np.flatnonzero(~main):
-                fit = (number != number[k]) & (main | (np.arange(len(c)) > k)) & _possible(n[k], at[k], n, at, percent)
-                b = c[fit]
-                if len(b):
-                    yield record_batch(PAIRS, np.minimum(b, c[k]), np.maximum(b, c[k]))
-
-    sorted_ = columns.repartition("h").sortWithinPartitions("h", "c").select("h", "c", "n", "at", "label")
+                to = np.flatnonzero((number != number[k]) & (main | (np.arange(len(c)) > k)) & _possible(n[k], at[k], n, at, percent))
+                own = first[k] - np.bitwise_count(bits[k] & ~bits[to]).sum(1)
+                other = first[to] - np.bitwise_count(bits[to] & ~bits[k]).sum(1)
+                later = np.maximum(n[k] - first[k], n[to] - first[to])
+                to = to[(100 + percent) * (np.minimum(own, other) + later) >= percent * (n[k] + n[to])]
+                if len(to):
+                    yield record_batch(PAIRS, np.minimum(c[to], c[k]), np.maximum(c[to], c[k]))
+
+    sorted_ = columns.join(signatures, "c").repartition("h").sortWithinPartitions("h", "c").select("h", "c", "n", "at", "label", "sig")
     return arrow_map(sorted_, run, "a long, b long").distinct()
 
 
@@ -293,7 +316,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
             rank = F.xxhash64("c", F.lit(k_round))
             labelled = columns.select("h", "c", "n", "at", rank.alias("rank")).join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
         labelled = scratch.save(_mixed(labelled), f"{name}-columns")
-        pairs = _cross_pairs(labelled, percent) if name == "all" else _star_pairs(labelled, percent)
+        pairs = _cross_pairs(labelled, _signatures(rows), percent) if name == "all" else _star_pairs(labelled, percent)
         pairs = scratch.save(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), f"{name}-pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
         scratch.drop(f"{name}-columns")
