@@ -43,9 +43,9 @@ def _mask(s, d):
 
 def _gray(mode, sql):
     def run(s, d):
-        return pixels.to_gray(views.rgb_grids(s, d), mode).select(*V6, r6("v", "v"))
+        return pixels.to_gray(views.rgb_grids(s, d), mode).select(*V6, (F.round("v", 6) + F.lit(0.0)).alias("v"))  # no negative zero
 
-    return run, f"WITH {RGB} SELECT image_id, r, c, round({sql}, 6) AS v FROM rgb"
+    return run, f"WITH {RGB} SELECT image_id, r, c, round({sql}, 6) + 0.0 AS v FROM rgb"
 
 
 def _stats_sql() -> str:
