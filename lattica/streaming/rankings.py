@@ -31,6 +31,13 @@ def windowed_rankings(stream: DataFrame, width: str = "1 day", late: str = "2 ho
     return got.select(F.col("w.start").alias("start"), "descriptor", "trials", "mean_acc")
 
 
+def fusion_outcomes(stream: DataFrame) -> DataFrame:
+    """Mean gain, runs helped, best and worst pair of each type, from (object_type, pair, gain); a stream or a table."""
+    by = F.struct("gain", "pair")
+    got = stream.groupBy("object_type").agg(F.count("*").alias("n"), F.avg("gain").alias("g"), F.sum((F.col("gain") > 0.001).cast("int")).alias("helped"), F.max_by("pair", by).alias("best_pair"), F.min_by("pair", by).alias("worst_pair"))
+    return got.select("object_type", "n", F.round("g", 6).alias("mean_gain"), "helped", "best_pair", "worst_pair")
+
+
 def bounded_memory(log: DataFrame, keys: list[str], most: int) -> DataFrame:
     """The latest `most` entries of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("event_id"))
