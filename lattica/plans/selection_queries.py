@@ -12,26 +12,33 @@ from lattica.sources import results_io
 from lattica.sources.views import CELLS
 from lattica.streaming import rankings as st
 
-NUMBER = F.substring("dataset", 2, 9).cast("int")
-EVENT = F.concat(F.lit("d"), (F.col("user_id") % 26).cast("string")).alias("dataset")
 STANDARD = [50, 100, 200, 500, 1000, 2000, 5000]
 KEYWORDS = {"code": ["error", "file", "system"], "talk": ["you", "what", "how"], "place": ["city", "house", "road"]}
 RULES = [("mean_value", ">=", 52.0, "click"), ("n", "<", 380.0, "view"), ("users", ">=", 6.0, "error")]
 
 
+def _number():
+    """Number in a dataset's name. Columns need a running session, so they are made in calls, not on import."""
+    return F.substring("dataset", 2, 9).cast("int")
+
+
+def _dataset():
+    return F.concat(F.lit("d"), (F.col("user_id") % 26).cast("string")).alias("dataset")
+
+
 def _events(s, d):
     return read(s, d, "events")
 
 
 def _sizes(s, d):
-    return _events(s, d).groupBy(EVENT).agg(F.count("*").alias("n_max"), F.countDistinct("event_type").alias("n_classes"))
+    return _events(s, d).groupBy(_dataset()).agg(F.count("*").alias("n_max"), F.countDistinct("event_type").alias("n_classes"))
 
 
 SIZES = "sizes AS (SELECT 'd' || (user_id % 26) AS dataset, count(*) AS n_max, count(DISTINCT event_type) AS n_classes FROM events GROUP BY 1)"
 
 
 def _converged(s, d):
-    return _events(s, d).where("user_id % 26 % 3 <> 0").groupBy(EVENT).agg((F.countDistinct("user_id") * 50).alias("n"))
+    return _events(s, d).where("user_id % 26 % 3 <> 0").groupBy(_dataset()).agg((F.countDistinct("user_id") * 50).alias("n"))
 
 
 def _split(s, d):
@@ -40,12 +47,12 @@ def _split(s, d):
 
 
 def _features(s, d):
-    return _events(s, d).groupBy(EVENT).agg(r6(F.avg("value"), "mean_value"), F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return _events(s, d).groupBy(_dataset()).agg(r6(F.avg("value"), "mean_value"), F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
 def _trials(s, d):
     params = F.create_map(F.lit("sigma"), (F.col("user_id") % 3).cast("string"), F.lit("bins"), (F.col("event_id") % 4).cast("string"))
-    return _events(s, d).select(EVENT, F.col("event_type").alias("descriptor"), params.alias("params"), (F.col("value") / 100).alias("acc"))
+    return _events(s, d).select(_dataset(), F.col("event_type").alias("descriptor"), params.alias("params"), (F.col("value") / 100).alias("acc"))
 
 
 TRIALS = "trials AS (SELECT 'd' || (user_id % 26) AS dataset, event_type AS descriptor, CAST(user_id % 3 AS VARCHAR) AS sigma, CAST(event_id % 4 AS VARCHAR) AS bins, value / 100 AS acc FROM events)"
@@ -56,7 +63,7 @@ def _sized(s, d):
 
 
 def _pairs(s, d):
-    return sel.fused_pairs(best(s, d)).where(NUMBER % 3 != 0)
+    return sel.fused_pairs(best(s, d)).where(_number() % 3 != 0)
 
 
 def _wide(s, d):
@@ -75,7 +82,7 @@ LOOKED = f"{SIZES}, {WIDE}, {PAIRS}, looked AS (SELECT w.dataset, w.p AS first,
 
 
 def _choices(s, d):
-    t = F.concat(F.lit("t"), (NUMBER % 3).cast("string"))
+    t = F.concat(F.lit("t"), (_number() % 3).cast("string"))
     types = cells(s, d).select("dataset", "object_type").distinct()
     return selections(s, d).where("method = 'm3'").join(types, "dataset").select("dataset", "object_type", t.alias("perceived"), "descriptor")
 
@@ -120,7 +127,7 @@ SELECT feature, round(mid, 6) AS threshold, side, round(hits / n, 6) AS accuracy
     "r44_r55_best_dimension": (lambda s, d: sel.best_dimension(_sized(s, d), 160), "WITH c AS (SELECT event_type AS descriptor, event_id % 8 * 32 AS n, round(avg(value) / 100, 6) AS acc FROM events GROUP BY ALL), k AS (SELECT *, min(n) OVER w AS lo, max(n) OVER w AS hi FROM c WHERE n <= 160 AND acc > 0 WINDOW w AS (PARTITION BY descriptor)) SELECT descriptor, n, acc, n = lo OR n = hi AS at_boundary FROM k QUALIFY row_number() OVER (PARTITION BY descriptor ORDER BY acc DESC, n) = 1"),
     "r45_color_methods": (lambda s, d: sel.color_method_ranking(_events(s, d).select(F.col("event_type").alias("method"), (F.col("value") / 100 - 0.1).alias("acc")), "view"), "WITH g AS (SELECT event_type AS method, round(avg(value / 100 - 0.1::DOUBLE), 6) AS mean_acc, count(*) AS n FROM events WHERE value / 100 - 0.1::DOUBLE >= 0 GROUP BY 1), b AS (SELECT mean_acc AS base FROM g WHERE method = 'view') SELECT method, mean_acc, n, round(mean_acc - base, 6) AS gain, round(mean_acc - base, 6) > 0.02 AS recommended, CAST(rank() OVER (ORDER BY mean_acc DESC) AS INTEGER) AS rank FROM g, b"),
     "r47_fusion_lookup": (_looked, S + f", {LOOKED} SELECT * FROM looked"),
-    "r49_seed_aggregate": (lambda s, d: sel.seed_aggregate(_events(s, d).select(EVENT, (F.col("event_id") % 3).alias("temperature"), (F.col("value") / 100).alias("acc"), F.col("event_type").alias("descriptor"))), "WITH r AS (SELECT 'd' || (user_id % 26) AS dataset, event_id % 3 AS temperature, value / 100 AS acc, event_type AS x FROM events), c AS (SELECT dataset, temperature, x, count(*) AS n FROM r GROUP BY ALL), o AS (SELECT dataset, temperature, x AS mode FROM c QUALIFY row_number() OVER (PARTITION BY dataset, temperature ORDER BY n DESC, x) = 1) SELECT dataset, temperature, round(avg(acc), 6) AS mean, round(stddev_samp(acc), 6) AS std, round(min(acc), 6) AS min, round(max(acc), 6) AS max, any_value(mode) AS mode, count(DISTINCT x) AS n_unique FROM r JOIN o USING (dataset, temperature) GROUP BY ALL"),
+    "r49_seed_aggregate": (lambda s, d: sel.seed_aggregate(_events(s, d).select(_dataset(), (F.col("event_id") % 3).alias("temperature"), (F.col("value") / 100).alias("acc"), F.col("event_type").alias("descriptor"))), "WITH r AS (SELECT 'd' || (user_id % 26) AS dataset, event_id % 3 AS temperature, value / 100 AS acc, event_type AS x FROM events), c AS (SELECT dataset, temperature, x, count(*) AS n FROM r GROUP BY ALL), o AS (SELECT dataset, temperature, x AS mode FROM c QUALIFY row_number() OVER (PARTITION BY dataset, temperature ORDER BY n DESC, x) = 1) SELECT dataset, temperature, round(avg(acc), 6) AS mean, round(stddev_samp(acc), 6) AS std, round(min(acc), 6) AS min, round(max(acc), 6) AS max, any_value(mode) AS mode, count(DISTINCT x) AS n_unique FROM r JOIN o USING (dataset, temperature) GROUP BY ALL"),
     "r50_decisions": (lambda s, d: sel.decision_behaviour(_wide(s, d)), S + f", {WIDE}, n AS (SELECT CASE WHEN f = p THEN 'confirmed' WHEN f = q THEN 'alternative' ELSE 'switched' END AS decision, count(*) AS n FROM wide GROUP BY 1) SELECT *, round(n / sum(n) OVER (), 6) AS share FROM n"),
     "r52_failure_report": (lambda s, d: sel.failure_report(_choices(s, d), best(s, d)), S + f", {TYPES}, j AS (SELECT ch.*, coalesce(a.k, 99) AS kt, coalesce(b.k, 99) AS kp FROM ch LEFT JOIN ranks a ON a.object_type = ch.object_type AND a.descriptor = ch.descriptor LEFT JOIN ranks b ON b.object_type = ch.perceived AND b.descriptor = ch.descriptor) SELECT object_type, perceived, count(*) AS n, count(*) FILTER (WHERE kt <= 1) AS true_top1, count(*) FILTER (WHERE kt <= 3) AS true_top3, count(*) FILTER (WHERE kp <= 1) AS seen_top1, count(*) FILTER (WHERE kp <= 3) AS seen_top3, count(*) FILTER (WHERE kt > 3 AND object_type <> perceived) AS perception_errors, count(*) FILTER (WHERE kt > 3 AND object_type = perceived) AS reasoning_errors FROM j GROUP BY ALL"),
     "r53_ablation": (_by_classifier, f"WITH {RANKED}, w AS (SELECT classifier AS method, dataset, descriptor FROM cells QUALIFY row_number() OVER (PARTITION BY classifier, dataset ORDER BY acc DESC, descriptor) = 1), sd AS (SELECT method, acc, rank, oracle_acc - acc AS regret FROM w JOIN rk USING (dataset, descriptor) JOIN orc USING (dataset)) SELECT method, round(avg(acc), 6) AS mba, round(avg((rank <= 1)::INT), 6) AS dsa1, round(avg((rank <= 3)::INT), 6) AS dsa3, round(avg(regret), 6) AS mean_regret, round(max(regret), 6) AS max_regret, count(*) AS n FROM sd GROUP BY 1"),
@@ -135,7 +142,7 @@ SELECT feature, round(mid, 6) AS threshold, side, round(hits / n, 6) AS accuracy
     "k13_execution_stats": (lambda s, d: sel.execution_stats(_log(s, d), 40), "SELECT role, count(*) AS calls, round(avg((coalesce(length(text), 0) >= 40)::INT), 6) AS success_rate, max_by(coalesce(length(text), 0), conv_id * 100000 + turn) AS last_length FROM conversations GROUP BY 1"),
     "t2_fusion_outcomes": (_fusion_log, "WITH g AS (SELECT 't' || (user_id % 5) AS object_type, event_type AS pair, round(value / 100 - 0.5::DOUBLE, 6) AS gain FROM events) SELECT object_type, count(*) AS n, round(avg(gain), 6) AS mean_gain, count(*) FILTER (WHERE gain > 0.001) AS helped, arg_max(pair, (gain, pair)) AS best_pair, arg_min(pair, (gain, pair)) AS worst_pair FROM g GROUP BY 1"),
     "s7_read_results": (lambda s, d: _r3(results_io.json_round_trip(cells(s, d))), f"WITH {CELLS} SELECT dataset, descriptor, classifier, round(acc, 3) AS acc FROM cells"),
-    "s7_merge_results": (lambda s, d: _r3(results_io.merge_results(cells(s, d).where(NUMBER % 2 == 0).withColumn("acc", F.col("acc") + 1), cells(s, d), ["dataset", "descriptor", "classifier"])), f"WITH {CELLS} SELECT dataset, descriptor, classifier, round(CASE WHEN CAST(substr(dataset, 2) AS INTEGER) % 2 = 0 THEN acc + 1 ELSE acc END, 3) AS acc FROM cells"),
+    "s7_merge_results": (lambda s, d: _r3(results_io.merge_results(cells(s, d).where(_number() % 2 == 0).withColumn("acc", F.col("acc") + 1), cells(s, d), ["dataset", "descriptor", "classifier"])), f"WITH {CELLS} SELECT dataset, descriptor, classifier, round(CASE WHEN CAST(substr(dataset, 2) AS INTEGER) % 2 = 0 THEN acc + 1 ELSE acc END, 3) AS acc FROM cells"),
     "s8_s9_master_csv": (lambda s, d: _r3(results_io.csv_round_trip(m.master_matrix(cells(s, d), [f"c{k}" for k in range(6)]), [f"c{k}" for k in range(6)])), f"WITH {CELLS} SELECT dataset, descriptor, classifier, round(acc, 3) AS acc FROM cells"),
-    "s12_extension_overrides": (lambda s, d: sel.extension_overrides(_events(s, d).select(EVENT, (F.col("event_id") % 7 == 0).alias("is_extension"), F.col("event_id").alias("n"), r6("value", "acc"))), "SELECT 'd' || (user_id % 26) AS dataset, event_id % 7 = 0 AS is_extension, event_id AS n, round(value, 6) AS acc FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 26 ORDER BY (event_id % 7 = 0)::INT DESC, event_id DESC) = 1"),
+    "s12_extension_overrides": (lambda s, d: sel.extension_overrides(_events(s, d).select(_dataset(), (F.col("event_id") % 7 == 0).alias("is_extension"), F.col("event_id").alias("n"), r6("value", "acc"))), "SELECT 'd' || (user_id % 26) AS dataset, event_id % 7 = 0 AS is_extension, event_id AS n, round(value, 6) AS acc FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 26 ORDER BY (event_id % 7 = 0)::INT DESC, event_id DESC) = 1"),
 }

@@ -1,3 +1,7 @@
+import pathlib
+import subprocess
+import sys
+
 import __spark_entry__ as entry
 
 
@@ -7,3 +11,8 @@ def test_every_oracle_belongs_to_a_query():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_import_needs_no_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).parents[1], capture_output=True).returncode == 0
