@@ -123,7 +123,7 @@ SELECT feature, round(mid, 6) AS threshold, side, round(hits / n, 6) AS accuracy
     "r35_apply_rules": (lambda s, d: sel.apply_rules(_features(s, d), RULES, "purchase"), "WITH f AS (SELECT 'd' || (user_id % 26) AS dataset, round(avg(value), 6) AS mean_value, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT *, CASE WHEN mean_value >= 52 THEN 'click' WHEN n < 380 THEN 'view' WHEN users >= 6 THEN 'error' ELSE 'purchase' END AS choice FROM f"),
     "r39_ranking_metrics": (lambda s, d: sel.ranking_metrics(sel.leave_one_out(best(s, d))), B + ", t AS (SELECT a.dataset, a.descriptor, a.acc, round(avg(b.acc), 9) AS pred FROM best a JOIN best b ON b.descriptor = a.descriptor AND b.dataset <> a.dataset GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY pred DESC, descriptor) AS kp, row_number() OVER (PARTITION BY dataset ORDER BY acc DESC, descriptor) AS kt, rank() OVER (PARTITION BY dataset ORDER BY acc) + (count(*) OVER (PARTITION BY dataset, acc) - 1) / 2 AS ra, rank() OVER (PARTITION BY dataset ORDER BY pred) + (count(*) OVER (PARTITION BY dataset, pred) - 1) / 2 AS rp FROM t) SELECT dataset, round(max(acc) - max(acc) FILTER (WHERE kp = 1), 6) AS regret, " + ", ".join(f"max(kt) FILTER (WHERE kp = 1) <= {k} AS top{k}" for k in (1, 2, 3)) + ", round(corr(ra, rp), 6) AS rho FROM r GROUP BY 1"),
     "r42_sweep_sensitivity": (lambda s, d: sel.sweep_sensitivity(_trials(s, d)), f"WITH {TRIALS}, l AS (SELECT descriptor, 'sigma' AS param, sigma AS value, acc FROM trials UNION ALL SELECT descriptor, 'bins', bins, acc FROM trials), g AS (SELECT descriptor, param, value, avg(acc) AS m, stddev_pop(acc) AS s, count(*) AS n FROM l GROUP BY ALL) SELECT descriptor, param, value, round(m, 6) AS mean, round(s, 6) AS std, n, round(max(m) OVER w - min(m) OVER w, 6) AS range FROM g WINDOW w AS (PARTITION BY descriptor, param)"),
-    "r43_consensus_params": (lambda s, d: sel.consensus_params(_trials(s, d)), f"WITH {TRIALS}, t AS (SELECT dataset, descriptor, 'bins=' || bins || ',sigma=' || sigma AS config, round(avg(acc), 9) AS acc FROM trials GROUP BY ALL), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY dataset, descriptor ORDER BY acc DESC, config) = 1), n AS (SELECT descriptor, config, count(*) AS n, round(avg(acc), 6) AS mean_acc FROM b GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY descriptor ORDER BY n DESC, mean_acc DESC, config) = 1"),
+    "r43_consensus_params": (lambda s, d: sel.consensus_params(_trials(s, d)).select("descriptor", "config", "n", F.round("mean_acc", 4).alias("mean_acc")), f"WITH {TRIALS}, t AS (SELECT dataset, descriptor, 'bins=' || bins || ',sigma=' || sigma AS config, round(avg(acc), 9) AS acc FROM trials GROUP BY ALL), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY dataset, descriptor ORDER BY acc DESC, config) = 1), n AS (SELECT descriptor, config, count(*) AS n, round(avg(acc), 6) AS mean_acc FROM b GROUP BY ALL) SELECT descriptor, config, n, round(mean_acc, 4) AS mean_acc FROM n QUALIFY row_number() OVER (PARTITION BY descriptor ORDER BY n DESC, n.mean_acc DESC, config) = 1"),
     "r44_r55_best_dimension": (lambda s, d: sel.best_dimension(_sized(s, d), 160), "WITH c AS (SELECT event_type AS descriptor, event_id % 8 * 32 AS n, round(avg(value) / 100, 6) AS acc FROM events GROUP BY ALL), k AS (SELECT *, min(n) OVER w AS lo, max(n) OVER w AS hi FROM c WHERE n <= 160 AND acc > 0 WINDOW w AS (PARTITION BY descriptor)) SELECT descriptor, n, acc, n = lo OR n = hi AS at_boundary FROM k QUALIFY row_number() OVER (PARTITION BY descriptor ORDER BY acc DESC, n) = 1"),
     "r45_color_methods": (lambda s, d: sel.color_method_ranking(_events(s, d).select(F.col("event_type").alias("method"), (F.col("value") / 100 - 0.1).alias("acc")), "view"), "WITH g AS (SELECT event_type AS method, round(avg(value / 100 - 0.1::DOUBLE), 6) AS mean_acc, count(*) AS n FROM events WHERE value / 100 - 0.1::DOUBLE >= 0 GROUP BY 1), b AS (SELECT mean_acc AS base FROM g WHERE method = 'view') SELECT method, mean_acc, n, round(mean_acc - base, 6) AS gain, round(mean_acc - base, 6) > 0.02 AS recommended, CAST(rank() OVER (ORDER BY mean_acc DESC) AS INTEGER) AS rank FROM g, b"),
     "r47_fusion_lookup": (_looked, S + f", {LOOKED} SELECT * FROM looked"),
