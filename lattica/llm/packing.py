@@ -3,7 +3,8 @@ are exchanged one-for-one, two-for-one or moved, each time increasing the sum of
 
 Only rows of a few numbers for each piece are shuffled, dealt evenly into groups by a running number (so equal rows
 spread as well). Each group is packed by itself; what lies in its bins that are not full goes to the next round with
-fewer groups, and the last rounds are a single small group. A bin that is full is final.
+fewer groups, and the last rounds are a single small group. A bin that is full is final. Where a round fills hardly any
+bin (lengths that never add up to the limit), its bins are final too, so the rounds end.
 
 Defined cases: a null text is empty and is the terminator alone (one piece of length 1); ties of length are packed in the
 order of their running number, so which of equal pieces takes which place is open; repeated rows are pieces of
@@ -219,21 +220,23 @@ def _packer(limit: int, round_: int, last: bool) -> Callable[[tuple, pa.Table],
 def pack(rows: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
     """Gives each row of `pieces` a sequence and an offset in it."""
     scratch = Scratch(rows.sparkSession, "packing")
-    rest, out, round_ = scratch.save(rows, "pieces"), None, 0
+    rest, out, round_, before = scratch.save(rows, "pieces"), None, 0, None
     while True:
         many = rest.count()
         groups = max(1, -(-many // group))
+        last = groups == 1 or before is not None and 10 * many > 9 * before
+        before = many
         # a group holds at most a few times `group` rows, as rows are dealt by their running numbers
         dealt = rest.withColumn("group", F.pmod(F.xxhash64("turn", F.lit(round_)), F.lit(groups)))
-        packed = scratch.save(dealt.groupBy("group").applyInArrow(_packer(limit, round_, groups == 1), PACKED), f"round{round_}")
-        if groups == 1:
+        packed = scratch.save(dealt.groupBy("group").applyInArrow(_packer(limit, round_, last), PACKED), f"round{round_}")
+        if last:
             done = packed
         else:
             done = packed.where("settled")
             rest = packed.where("not settled").drop("sequence_id", "offset", "settled")
         out = done if out is None else out.unionByName(done)
         round_ += 1
-        if groups == 1:
+        if last:
             scratch.drop("pieces")
             return out.drop("settled")
 

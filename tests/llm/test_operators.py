@@ -181,6 +181,12 @@ def test_local_search_empties_bins():
     assert sorted(sum(size[i] for i in b) for b in bins) == [10, 10, 10] and sorted(i for b in bins for i in b) == list(range(6))
 
 
+def test_packing_ends_where_no_bin_fills(spark):
+    rows = spark.range(500).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "3L AS length", "0L AS ids_crc32", "id AS turn")
+    got = packing.pack(rows, 8, 100).groupBy("sequence_id").count().collect()
+    assert sum(r["count"] for r in got) == 500 and max(r["count"] for r in got) == 2 and len(got) <= 255
+
+
 def test_secret_spans_and_owners(spark):
     key = "AKIA" + "B" * 16
     rows = [(1, f'é password="hunter2hunter2" {key}', "a/x"), (2, key, "b/y"), (3, key, "c/z"), (4, "secret: short", "a/x"), (5, "token=" + "0a" * 20, "a/x"), (6, None, None)]
