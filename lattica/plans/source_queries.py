@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import descriptors
 from lattica.functions.tables import r6, read
-from lattica.operators import resample, rules, vectors
+from lattica.operators import features, resample, rules, vectors
 from lattica.operators import selection as sel
 from lattica.plans.diagram_queries import BARS, bars
 from lattica.plans.pixel_queries import QUERIES as PIXELS
@@ -18,7 +18,7 @@ from lattica.sources.views import GRIDS
 
 I = "image_id"
 V = [I, "r", "c"]
-KNOWN = {"web": "per_channel", "code": "grayscale", "forum": "per_channel"}
+KNOWN = {"src3": "per_channel", "src1": "grayscale", "src7": "per_channel"}
 ALWAYS = {"tabpfn": ["click"], "forest": ["error", "view"]}
 
 
@@ -69,6 +69,11 @@ def _fused(s, d):
     return got.select(I, F.size("vec").alias("n"), r6(F.element_at("vec", 9), "ninth"), r6(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), "total"))
 
 
+def _halves(s, d):
+    x = _vectors(s, d).select(I, F.posexplode("vec").alias("pos", "x"))
+    return x.select(I, F.when(F.col("pos") < 32, "low").otherwise("high").alias("descriptor"), (F.col("pos") % 32).alias("pos"), "x")
+
+
 def _groups(s, d):
     b = best(s, d)
     return vectors.group_correlations(sel.pair_correlation(b), b.select("descriptor", (F.ascii("descriptor") % 2).alias("grp")).distinct()).select(*[F.round(c, 4).alias(c) if not c.endswith("_n") else F.col(c) for c in ("within_mean", "within_std", "within_n", "between_mean", "between_std", "between_n", "separation")])
@@ -131,6 +136,9 @@ q AS (SELECT image_id, level, trial, sum(u * v) / (sqrt(sum(u * u)) * sqrt(sum(v
 m AS (SELECT pos, median(x) AS mid FROM l WHERE image_id % 5 <> 0 GROUP BY 1), f AS (SELECT image_id, pos, coalesce(x, mid) AS x FROM l JOIN m USING (pos)), t AS (SELECT pos, avg(x) AS mu, stddev_pop(x) AS sd FROM f WHERE image_id % 5 <> 0 GROUP BY 1)
 SELECT image_id, pos, round((x - mu) / sd, 6) AS x FROM f JOIN t USING (pos)"""),
     "f5_fuse": (_fused, "SELECT vec_id AS image_id, 40 AS n, round(embedding[33]::DOUBLE, 6) AS ninth, round(list_sum(embedding[1:8]::DOUBLE[]) + list_sum(embedding[33:64]::DOUBLE[]), 6) AS total FROM embeddings WHERE vec_id % 3 <> 0"),
+    "f6_linear_cka": (lambda s, d: features.linear_cka(_halves(s, d)).select("a", "b", r6("cka", "cka")), """WITH x AS (SELECT vec_id AS image_id, CAST(unnest(range(64)) AS INTEGER) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), z AS (SELECT image_id, CASE WHEN p < 32 THEN 'low' ELSE 'high' END AS d, p, (x - avg(x) OVER (PARTITION BY p)) / stddev_pop(x) OVER (PARTITION BY p) AS z FROM x),
+q AS (SELECT u.d AS a, v.d AS b, u.p AS i, v.p AS j, sum(u.z * v.z) AS q FROM z u JOIN z v USING (image_id) GROUP BY ALL), h AS (SELECT a, b, sum(q * q) AS h FROM q GROUP BY ALL)
+SELECT h.a, h.b, round(h.h / sqrt(k.h * l.h), 6) AS cka FROM h JOIN h k ON k.a = h.a AND k.b = h.a JOIN h l ON l.a = h.b AND l.b = h.b"""),
     "f8_group_correlations": (_groups, f"""WITH {BEST}, c AS (SELECT x.descriptor AS a, y.descriptor AS b, round(corr(x.acc, y.acc), 6) AS rho FROM best x JOIN best y ON x.dataset = y.dataset AND x.descriptor < y.descriptor GROUP BY ALL), s AS (SELECT rho, ascii(a) % 2 = ascii(b) % 2 AS same FROM c)
 SELECT round(avg(rho) FILTER (WHERE same), 4) AS within_mean, round(stddev_pop(rho) FILTER (WHERE same), 4) AS within_std, count(*) FILTER (WHERE same) AS within_n, round(avg(rho) FILTER (WHERE NOT same), 4) AS between_mean, round(stddev_pop(rho) FILTER (WHERE NOT same), 4) AS between_std, count(*) FILTER (WHERE NOT same) AS between_n, round(avg(rho) FILTER (WHERE same) - avg(rho) FILTER (WHERE NOT same), 4) AS separation FROM s"""),
     "r41_importance_summary": (_importance, """WITH x AS (SELECT vec_id % 5 AS run, CAST(unnest(range(64)) AS INTEGER) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x, label FROM embeddings), i AS (SELECT run, feature, abs(corr(x, label)) AS i FROM x GROUP BY ALL), m AS (SELECT feature, feature // 16 AS category, round(avg(i), 6) AS mean, stddev_pop(i) AS std FROM i GROUP BY ALL),
