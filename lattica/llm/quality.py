@@ -1,10 +1,15 @@
 r"""Quality rules: perplexity under a Spark-counted modified Kneser-Ney model of character 4-grams, with a lower and
 an upper perplexity band for each language.
 
-Characters are folded to an alphabet of 40 symbols, so a language's model has at most 40^4 + 40^3 + 40^2 + 40 entries
-(2.7 million, 43 MB as arrays) however large the corpus is. That is the proven bound of what is broadcast per language.
-A model is kept as sorted arrays of 64-bit n-gram hashes (the hash packs the symbols, so it has no collisions) with
-log10 probabilities and back-off weights, and is read by binary search.
+Every code point is a symbol of its own: case, single signs, digits and letters of all scripts count apart. The model
+grows with the corpus and stays a Spark table; an n-gram's key is the packed context (3 x 21 bits) and its last symbol,
+so there are no collisions. Texts are scored against blocks of at most BLOCK n-grams: one block is broadcast at a time
+as sorted arrays, and each further block adds its share of the log probabilities in a pass of its own over the texts.
+The scored texts are the counted ones, so each of their n-grams is in the model and no back-off is left to do.
+
+Junk that is frequent in the corpus teaches the model itself: words with %%% or joined by ' | ' cost a surprise each and
+then characters that are all but certain, so their mean is that of clean text. The verdict therefore also has an upper
+band for the share of characters of a text with log10 p above SURE.
 
 Defined cases: a null text counts as empty; a null language is a language of its own ("und"); a text without a scored
 character has a null perplexity and fails the base rules; ties and repeated rows are judged row by row; an empty table
@@ -13,47 +18,34 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, record_batch, small_slices, texts
 
-ORDER, A = 4, 40
+#: A: all code points and the start symbol 0; a code point's symbol is its number plus 1. BITS hold one symbol.
+ORDER, A, BITS = 4, 0x110001, 21
+#: Most n-grams of the model that are broadcast at once.
+BLOCK = 2_000_000
+#: Most rows of counts that a task holds before it gives them out.
+HELD = 1_000_000
 SYMBOLS = b"#*$%&|<>"
 #: Width of the histogram in which the quartiles of log10 perplexity are found.
 STEP = 0.001
-
-
-def _alphabet() -> np.ndarray:
-    """Symbol of each code point below 0x250: 0 start, 1 space, 2-27 letters, 28 digits, 29-32 signs, 33-39 others."""
-    out = np.empty(0x250, np.uint8)
-    for c in range(0x250):
-        x = chr(c).lower()[0]
-        if x.isspace() or c == 0:
-            out[c] = 1
-        elif "a" <= x <= "z":
-            out[c] = 2 + ord(x) - 97
-        elif "0" <= x <= "9":
-            out[c] = 28
-        elif c < 128:
-            out[c] = 29 if x == "." else 30 if x == "," else 31 if x in "!?;:'\"()-" else 32
-        else:
-            out[c] = 33 + ord(x) % 7
-    return out
-
-
-ALPHABET = _alphabet()
+#: A character of at least this log10 probability is all but certain.
+SURE = -0.05
 
 
 def symbols(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, each after ORDER - 1 start symbols, and where each text begins."""
     pad = "\0" * (ORDER - 1)
-    code = np.frombuffer((pad + pad.join(many)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where(code < 0x250, ALPHABET[np.minimum(code, 0x24F)], (33 + code % 7).astype(np.uint8))
+    out = np.frombuffer((pad + pad.join(many)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32) + 1
     size = np.fromiter(map(len, many), np.int64, len(many)) + ORDER - 1
     begin = np.concatenate(([0], np.cumsum(size)))[:-1]
     for k in range(ORDER - 1):
@@ -61,24 +53,37 @@ def symbols(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def ngram_hashes(s: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the n-gram that ends at each position from ORDER - 1 on."""
-    n = len(s) - ORDER + 1
-    key = np.zeros(n, np.int64)
-    for k in range(order):
-        key = key * A + s[ORDER - order + k : ORDER - order + k + n]
-    return key
+def _distinct(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below `size` in order, and the number of each key among them."""
+    if size > 1 << 24:
+        return np.unique(key, return_inverse=True)
+    number = np.zeros(size, np.int32)
+    number[key] = 1
+    values = np.flatnonzero(number)
+    number[values] = np.arange(len(values))
+    return values, number[key]
+
+
+def ngrams(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of order ORDER as packed contexts and last symbols; before them, which of these ends at each
+    position from ORDER - 1 on."""
+    letters, x = _distinct(s, A)
+    n, m = len(s) - ORDER + 1, len(letters)
+    packed, number = letters.astype(np.int64), x[:n]
+    for k in range(1, ORDER):
+        values, number = _distinct(number.astype(np.int64) * m + x[k : k + n], len(packed) * m)
+        if k < ORDER - 1:
+            packed = packed[values // m] << BITS | letters[values % m]
+    return number, packed[values // m], letters[values % m].astype(np.int32)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
-    held: dict[str, np.ndarray] = {}
+    schema = pa.schema([("lang", pa.string()), ("context", pa.int64()), ("w", pa.int32()), ("n", pa.int64())])
+    held: list[pa.Table] = []
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, count in held.items():
-            keys = np.flatnonzero(count)
-            yield record_batch(schema, [lang] * len(keys), keys, count[keys])
-        held.clear()
+    def added() -> pa.Table:
+        out = pa.concat_tables(held).group_by(["lang", "context", "w"]).aggregate([("n", "sum")])
+        return out.rename_columns(["lang", "context", "w", "n"]).select(schema.names)
 
     for batch in small_slices(batches):
         by: dict[str, list[str]] = {}
@@ -87,31 +92,36 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, many in by.items():
             s, _ = symbols(many)
             if len(s) >= ORDER:
-                key = ngram_hashes(s, ORDER)[s[ORDER - 1 :] > 0]
-                if lang not in held:
-                    if len(held) == 8:
-                        yield from flush()
-                    held[lang] = np.zeros(A**ORDER, np.int64)
-                held[lang] += np.bincount(key, minlength=A**ORDER)
-    yield from flush()
+                number, context, w = ngrams(s)
+                n = np.bincount(number, minlength=len(w))
+                real = w > 0
+                names = pa.repeat(pa.scalar(lang, pa.string()), int(real.sum()))
+                held.append(pa.Table.from_arrays([names, pa.array(context[real]), pa.array(w[real]), pa.array(n[real])], schema=schema))
+        if sum(t.num_rows for t in held) > HELD:
+            held = [added()]
+            if held[0].num_rows > HELD // 2:
+                yield from held[0].to_batches()
+                held = []
+    if held:
+        yield from added().to_batches()
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, hash, n) of all character ORDER-grams, added up in each task before the shuffle."""
-    return arrow_map(docs.select("text", "lang"), _count, "lang string, hash long, n long").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
+    """(lang, context, w, n) of all character ORDER-grams, added up in each task before the shuffle."""
+    return arrow_map(docs.select("text", "lang"), _count, "lang string, context long, w int, n long").groupBy("lang", "context", "w").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(lang, k, hash, p, bow): interpolated modified Kneser-Ney probabilities, and the back-off weight of each n-gram
-    as a context. Orders below the highest use continuation counts; n-grams that begin at the start use plain counts."""
-    levels = {ORDER: scratch.save(counts, "level4")}
+    """(lang, context, w, p): interpolated modified Kneser-Ney probabilities of all n-grams of order ORDER. Orders below
+    the highest use continuation counts; n-grams that begin at the start use plain counts."""
+    levels = {ORDER: scratch.save(counts, f"level{ORDER}")}
+    low = lambda k: F.col("context").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))  # noqa: E731 (last k - 1 symbols of a context)
     for k in range(ORDER - 1, 0, -1):
-        hash_ = F.col("hash") % A**k
-        adjusted = F.when(hash_ < A ** (k - 1), F.sum("n")).otherwise(F.count("*")) if k > 1 else F.count("*")
-        levels[k] = scratch.save(levels[k + 1].groupBy("lang", hash_.alias("hash")).agg(adjusted.alias("n")), f"level{k}")
-    below, rows = None, None
+        adjusted = F.when(F.col("context") < 1 << BITS * (k - 2), F.sum("n")).otherwise(F.count("*")) if k > 1 else F.count("*")
+        levels[k] = scratch.save(levels[k + 1].withColumn("context", low(k)).groupBy("lang", "context", "w").agg(adjusted.alias("n")), f"level{k}")
+    below = None
     for k in range(1, ORDER + 1):
-        level = levels[k].withColumn("context", F.floor(F.col("hash") / A))
+        level = levels[k]
         of = [F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"t{i}") for i in range(1, 5)]
         t = level.groupBy("lang").agg(*of).withColumn("y", F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2")))
         usable = (F.col("t1") > 0) & (F.col("t2") > 0) & (F.col("t3") > 0)
@@ -122,57 +132,40 @@ def kneser_ney(counts: DataFrame, scratch: Scratch) -> DataFrame:
         level = level.join(F.broadcast(t), "lang").withColumn("d", d)  # one row for each language
         context = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma"))
         level = level.join(context, ["lang", "context"])
-        if below is None:
-            lower = F.lit(1.0 / (A - 1))
-        else:
-            level = level.join(below.select("lang", F.col("hash").alias("suffix"), F.col("p").alias("lower")), (level["lang"] == below["lang"]) & (level["hash"] % A ** (k - 1) == F.col("suffix"))).drop(below["lang"])
+        lower = F.lit(1.0 / (A - 1))
+        if below is not None:
+            level = level.withColumn("suffix", low(k - 1)).join(below.select("lang", F.col("context").alias("suffix"), "w", F.col("p").alias("lower")), ["lang", "suffix", "w"])
             lower = F.col("lower")
-        level = scratch.save(level.select("lang", "hash", ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * lower).alias("p")), f"p{k}")
-        context = context.select("lang", F.lit(k - 1).alias("k"), F.col("context").alias("hash"), F.lit(None).cast("double").alias("p"), F.col("gamma").alias("bow"))
-        own = level.select("lang", F.lit(k).alias("k"), "hash", "p", F.lit(None).cast("double").alias("bow"))
-        rows = (own if rows is None else rows.unionByName(own)).unionByName(context)
-        below = level
-    return rows.groupBy("lang", "k", "hash").agg(F.max("p").alias("p"), F.max("bow").alias("bow"))
-
-
-def sorted_arrays(model: DataFrame) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """The model as sorted hash arrays: language -> order -> (hashes, log10 p, log10 back-off). Bounded by the
-    alphabet, see the module's text."""
-    t = model.toArrow()
-    lang, k, key, p, bow = (t.column(c) for c in ("lang", "k", "hash", "p", "bow"))
-    lang = np.array(lang.to_pylist(), object)
-    k, key = k.to_numpy(), key.to_numpy()
-    p, bow = (np.nan_to_num(np.log10(x.to_numpy().astype(float)), nan=0.0, neginf=-99.0).astype(np.float32) for x in (p, bow))
-    out: dict = {}
-    for name in sorted(set(lang)):
-        for order in range(ORDER + 1):
-            at = np.flatnonzero((lang == name) & (k == order))
-            at = at[np.argsort(key[at])]
-            out.setdefault(name, {})[order] = (key[at], p[at], bow[at])
-    return out
-
-
-def log_probabilities(model: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], s: np.ndarray) -> np.ndarray:
-    """log10 p of the symbol at each position from ORDER - 1 on, by back-off from the highest order."""
-    n = len(s) - ORDER + 1
-    out = np.zeros(n)
-    rest = np.arange(n)
-    for k in range(ORDER, 0, -1):
-        keys, p, _ = model[k]
-        key = ngram_hashes(s, k)[rest] if k == ORDER else sum(s[ORDER - 1 + rest - i].astype(np.int64) * A**i for i in range(k))
-        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-        hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-        out[rest[hit]] += p[at[hit]]
-        rest, key = rest[~hit], key[~hit]
-        if not len(rest):
-            return out
-        contexts, _, bow = model[k - 1]
-        if k > 1 and len(contexts):
-            at = np.minimum(np.searchsorted(contexts, key // A), len(contexts) - 1)
-            out[rest] += np.where(contexts[at] == key // A, bow[at], 0)
-    bow = model[0][2]
-    out[rest] += (bow[0] if len(bow) else 0.0) - np.log10(A - 1)
-    return out
+        below = scratch.save(level.select("lang", "context", "w", ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * lower).alias("p")), f"p{k}")
+    return below
+
+
+def blocks(model: DataFrame, most: int = BLOCK) -> Iterator[dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The model in blocks of about `most` n-grams by hash: language -> contexts, keys (number of the context, last
+    symbol) and log10 p, sorted. An empty model is one empty block."""
+    many = max(1, -(-model.count() // most))
+    for k in range(many):
+        t = (model.where(F.pmod(F.xxhash64("lang", "context"), F.lit(many)) == k) if many > 1 else model).toArrow()
+        out = {}
+        for name in pc.unique(t.column("lang")).to_pylist():
+            own = t.filter(pc.equal(t.column("lang"), name))
+            contexts, number = np.unique(own.column("context").to_numpy(), return_inverse=True)
+            key = number << BITS | own.column("w").to_numpy()
+            order = np.argsort(key)
+            out[name] = (contexts, key[order], np.log10(own.column("p").to_numpy()[order]).astype(np.float32))
+        yield out
+
+
+def log_probabilities(block: tuple[np.ndarray, np.ndarray, np.ndarray], s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 p of the symbol at each position from ORDER - 1 on, and whether it is all but certain; 0 and False for start
+    symbols and n-grams of other blocks."""
+    number, context, w = ngrams(s)
+    contexts, keys, p = block
+    at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+    key = np.where(contexts[at] == context, at << BITS | w, -1)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    hit = keys[at] == key
+    return np.where(hit, p[at], 0).astype(float)[number], (hit & (p[at] > SURE))[number]
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -198,55 +191,85 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, word_chars, n_symbols, dup, repeat
 
 
-SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_scored long, log_perplexity double"
-
-
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """Base counts and log10 perplexity of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored")] + [("log_perplexity", pa.float64())])
-        for batch in small_slices(batches):
-            many, lang = texts(batch), [x or "und" for x in batch.column(2).to_pylist()]
-            base = np.array([base_counts(x) for x in many], np.int64).reshape(-1, 5)
-            length, total = np.fromiter(map(len, many), np.int64, len(many)), np.zeros(len(many))
-            for name in set(lang):
-                at = np.array([k for k, x in enumerate(lang) if x == name])
-                s, begin = symbols([many[k] for k in at])
-                if name in shared.value and len(s) >= ORDER:
-                    logs = np.concatenate(([0.0], np.cumsum(np.where(s[ORDER - 1 :] > 0, log_probabilities(shared.value[name], s), 0))))
-                    total[at] = logs[begin + length[at]] - logs[begin]
-            perplexity = [-t / n if n else None for t, n in zip(total, length)]
-            yield record_batch(schema, batch.column(1), lang, *base.T, length, perplexity)
-
-    return arrow_map(docs.select("text", "doc_id", "lang"), run, SCORED)
-
-
-def bands(scored: DataFrame, below: float, above: float) -> DataFrame:
-    """(lang, low, high): quartiles of log10 perplexity over all texts that pass the base rules, from a histogram,
-    less `below` times and plus `above` times the distance between them."""
-    bins = scored.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).groupBy("lang", F.floor(F.col("log_perplexity") / STEP).alias("bin")).count()
+SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_scored long, total double, n_sure long, key binary"
+
+
+def _totals(block: dict, many: list[str], lang: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the sum of log10 p and the number of all but certain characters, over the n-grams of this block."""
+    length, total, sure = np.fromiter(map(len, many), np.int64, len(many)), np.zeros(len(many)), np.zeros(len(many), np.int64)
+    for name in set(lang):
+        at = np.array([k for k, x in enumerate(lang) if x == name])
+        s, begin = symbols([many[k] for k in at])
+        if name in block and len(s) >= ORDER:
+            for out, each in zip((total, sure), log_probabilities(block[name], s), strict=True):
+                upto = np.concatenate(([0], np.cumsum(each)))
+                out[at] = upto[begin + length[at]] - upto[begin]
+    return total, sure
+
+
+def _key(text: str, lang: str) -> bytes:
+    return hashlib.blake2b(f"{lang}\0{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def score(docs: DataFrame, model: DataFrame, scratch: Scratch, most: int = BLOCK) -> DataFrame:
+    """Base counts, log10 perplexity and share of all but certain characters of every whole text."""
+    sc = docs.sparkSession.sparkContext
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored")] + [("total", pa.float64()), ("n_sure", pa.int64()), ("key", pa.binary())])
+    out, steps = None, []
+    for number, block in enumerate(blocks(model, most)):
+        shared = sc.broadcast(block)
+
+        def base(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in small_slices(batches):
+                many, lang = texts(batch), [x or "und" for x in batch.column(2).to_pylist()]
+                counts = np.array([base_counts(x) for x in many], np.int64).reshape(-1, 5)
+                yield record_batch(schema, batch.column(1), lang, *counts.T, [len(x) for x in many], *_totals(shared.value, many, lang), [_key(*x) for x in zip(many, lang)])
+
+        def more(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in small_slices(batches):
+                many, lang = texts(batch), [x or "und" for x in batch.column(1).to_pylist()]
+                yield record_batch(pa.schema([schema.field(c) for c in ("key", "total", "n_sure")]), [_key(*x) for x in zip(many, lang)], *_totals(shared.value, many, lang))
+
+        if number == 0:
+            out = scratch.save(arrow_map(docs.select("text", "doc_id", "lang"), base, SCORED), "block0")
+        else:  # equal texts of a language have equal sums
+            part = arrow_map(docs.select("text", "lang"), more, "key binary, total double, n_sure long")
+            steps.append(scratch.save(part.groupBy("key").agg(F.min("total").alias("total"), F.min("n_sure").alias("n_sure")), f"block{number}"))
+        shared.destroy()
+    if steps:
+        rest = steps[0]
+        for step in steps[1:]:
+            rest = rest.unionByName(step)
+        rest = rest.groupBy("key").agg(F.sum("total").alias("more"), F.sum("n_sure").alias("more_sure"))
+        out = out.join(rest, "key").withColumn("total", F.col("total") + F.col("more")).withColumn("n_sure", F.col("n_sure") + F.col("more_sure")).drop("more", "more_sure")
+    return out.withColumn("log_perplexity", F.when(F.col("n_scored") > 0, -F.col("total") / F.col("n_scored"))).withColumn("sure_share", F.try_divide("n_sure", "n_scored")).drop("total", "n_sure", "key")
+
+
+def bands(scored: DataFrame, value: str, step: float, below: float, above: float) -> DataFrame:
+    """(lang, low, high): quartiles of a value over all texts that pass the base rules, from a histogram, less `below`
+    times and plus `above` times the distance between them."""
+    bins = scored.where(~F.col("base_failed") & F.col(value).isNotNull()).groupBy("lang", F.floor(F.col(value) / step).alias("bin")).count()
     up = Window.partitionBy("lang").orderBy("bin")
     bins = bins.withColumn("upto", F.sum("count").over(up)).withColumn("all", F.sum("count").over(Window.partitionBy("lang")))
-    q = [F.min(F.when(F.col("upto") >= share * F.col("all"), (F.col("bin") + 0.5) * STEP)).alias(name) for share, name in ((0.25, "q1"), (0.75, "q3"))]
-    width = F.greatest(F.col("q3") - F.col("q1"), F.lit(10 * STEP))
+    q = [F.min(F.when(F.col("upto") >= share * F.col("all"), (F.col("bin") + 0.5) * step)).alias(name) for share, name in ((0.25, "q1"), (0.75, "q3"))]
+    width = F.greatest(F.col("q3") - F.col("q1"), F.lit(10 * step))
     return bins.groupBy("lang").agg(*q).select("lang", (F.col("q1") - below * width).alias("low"), (F.col("q3") + above * width).alias("high"))
 
 
-def quality(docs: DataFrame, below: float = 3.0, above: float = 4.0, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
-    """Base counts, log10 perplexity, the language's bands and the verdict `kept` for every row of docs(doc_id, text, lang)."""
+def quality(docs: DataFrame, below: float = 3.0, above: float = 4.0, min_words: int = 50, max_repeat: int = 50, block: int = BLOCK) -> DataFrame:
+    """Base counts, log10 perplexity, share of sure characters, the language's bands and the verdict `kept` for every row of docs(doc_id, text, lang)."""
     scratch = Scratch(docs.sparkSession, "quality")
-    model = sorted_arrays(kneser_ney(ngram_counts(docs), scratch))
+    model = kneser_ney(ngram_counts(docs), scratch)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    scored = scratch.save(score(docs, model).withColumn("base_failed", failed), "scored")
+    scored = scratch.save(score(docs, model, scratch, block).withColumn("base_failed", failed), "scored")
     scratch.drop(*[f"level{k}" for k in range(1, ORDER + 1)], *[f"p{k}" for k in range(1, ORDER + 1)])
+    sure = bands(scored, "sure_share", STEP / 10, below, above).select("lang", F.col("high").alias("sure_high"))
     # one row for each language
-    out = scored.join(F.broadcast(bands(scored, below, above)), "lang", "left")
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & inside)
+    out = scored.join(F.broadcast(bands(scored, "log_perplexity", STEP, below, above)), "lang", "left").join(F.broadcast(sure), "lang", "left")
+    inside = F.col("log_perplexity").between(F.col("low"), F.col("high")) & (F.col("sure_share") <= F.col("sure_high"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"), "low", "high")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"), "low", "high", F.round("sure_share", 6).alias("sure_share"), "sure_high")

@@ -77,6 +77,28 @@ def test_quality_base_and_model(spark, real):
         assert x.word_chars == sum(len(v.decode()) for v in w)
 
 
+def test_quality_rejects_planted_junk_and_keeps_clean_text(spark):
+    top = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in quality.quality(spark.read.parquet(f"{top}/documents.parquet")).collect()}
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{top}/labels.parquet").collect()}
+    judged = [(r.kept, label[i]) for i, r in got.items() if i in label and not r.base_failed]
+    junk, clean = ([k for k, q in judged if q == x] for x in (0, 1))
+    assert len(junk) > 20 and np.mean(junk) <= 0.05 and np.mean(clean) >= 0.98
+
+
+def test_quality_characters_stay_apart():
+    s, _ = quality.symbols(["Aa#$%&*éèабÄ日本"])
+    assert len(set(s[3:].tolist())) == len(s) - 3
+
+
+def test_quality_model_in_blocks(spark, real, odd):
+    for docs in (real, odd):
+        key = lambda r: (str(r.doc_id), r.n_scored)
+        one, many = (sorted(quality.quality(docs, block=b).collect(), key=key) for b in (10**9, 20_000))
+        assert [(*key(r), r.kept, r.sure_share) for r in one] == [(*key(r), r.kept, r.sure_share) for r in many]
+        assert all(a.log_perplexity == b.log_perplexity or abs(a.log_perplexity - b.log_perplexity) < 1e-9 for a, b in zip(one, many))
+
+
 def test_hmm_is_exact_and_helps(spark, real):
     rng = np.random.default_rng(0)
     m = hmm.Model.from_counts(rng.random(2 * 3 + 9 + 3 * 5), 3, 5)
