@@ -6,7 +6,9 @@ There are no hand labels. Pages that mark their article (`article`, `main`, item
 content nodes look like; the teacher's marks are left out of the features of half of the training pages, so the trees
 also judge pages without such marks. Training uses a bounded, documented sample of `most` pages by hash of the id; the
 histograms of all tree levels are worked out in numpy on that sample. What no reader sees (script, style, comments,
-forms and the like) is removed by rule.
+forms and the like) is removed by rule, and so is a part that its class, id, role or aria-label names as something else
+(WORDS_OUT). Such a name is no verdict on a layout wrapper: it does not count on a node that holds at least half of the
+page's visible text, and what it marks ends at a descendant article, main or articleBody. There the trees decide.
 
 Defined cases: null html is empty and gives an empty text; unclosed and stray tags are mended as a browser would roughly do;
 a page without any text gives an empty text; repeated rows are extracted each; a table without a marked article leaves
@@ -163,15 +165,41 @@ def features(nodes: list[Node], marked: bool = True) -> np.ndarray:
     return out
 
 
+def _marked(n: Node) -> bool:
+    return n.tag in ("article", "main") or "articlebody" in n.tokens
+
+
+def _large(nodes: list[Node]) -> np.ndarray:
+    """Nodes that hold at least half of the page's visible text."""
+    number = {id(n): k for k, n in enumerate(nodes)}
+    size = np.zeros(len(nodes), np.int64)
+    for k in range(len(nodes) - 1, -1, -1):
+        n = nodes[k]
+        if not n.hidden:
+            size[k] += sum(len(x) - x.count(" ") for x in n.own)
+            if n.parent:
+                size[number[id(n.parent)]] += size[k]
+    return 2 * size >= max(size[0], 1)
+
+
+def _named(nodes: list[Node]) -> np.ndarray:
+    """Nodes in a part that its attributes name as something else."""
+    number, large = {id(n): k for k, n in enumerate(nodes)}, _large(nodes)
+    out = np.zeros(len(nodes), bool)
+    for k, n in enumerate(nodes):
+        own = any(t in WORDS_OUT for t in n.tokens) and not any(t in WORDS_IN for t in n.tokens) and not large[k]
+        out[k] = own or bool(n.parent) and out[number[id(n.parent)]] and not _marked(n)
+    return out
+
+
 def _teacher(nodes: list[Node]) -> np.ndarray | None:
     """1 in a marked article, 0 outside it or in a part of it that is named as something else; None without a mark."""
     inside = np.zeros(len(nodes), np.int8)
-    number = {id(n): k for k, n in enumerate(nodes)}
+    number, large = {id(n): k for k, n in enumerate(nodes)}, _large(nodes)
     for k, n in enumerate(nodes):
         above = inside[number[id(n.parent)]] if n.parent else 0
-        mark = n.tag in ("article", "main") or "articlebody" in n.tokens
-        out = n.hidden or any(t in WORDS_OUT for t in n.tokens)
-        inside[k] = 0 if out else 1 if mark else above
+        out = n.hidden or any(t in WORDS_OUT for t in n.tokens) and not large[k]
+        inside[k] = 0 if out else 1 if _marked(n) else above
     return inside if inside.any() else None
 
 
@@ -250,9 +278,8 @@ def main_text(page: str, trees: Trees | None, predicted: np.ndarray | None = Non
     nodes, stream = parsed or parse(page)
     score = trees.predict(features(nodes)) if predicted is None else predicted
     number = {id(n): k for k, n in enumerate(nodes)}
-    named = np.zeros(len(nodes), bool)  # in a part that its attributes name as something else
+    named = _named(nodes)
     for k, n in enumerate(nodes):
-        named[k] = bool(n.parent) and named[number[id(n.parent)]] or any(t in WORDS_OUT for t in n.tokens) and not any(t in WORDS_IN for t in n.tokens)
         if n.parent and n.tag in INLINE_KEEPS and n.parent.tag not in ("#page", "body", "html"):
             score[k] = score[number[id(n.parent)]]  # an inline node goes with the block around it
         if named[k]:

@@ -228,6 +228,19 @@ def test_html_blocks():
     assert html.main_text("", trees) == "" and html.main_text("<p", trees) == "<p"
 
 
+def test_html_layout_wrapper_is_no_verdict():
+    trees = html.Trees(1.0, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))
+    text = "A long story, told in full. " * 8
+    side = '<div class="sidebar"><p>read also</p></div>'
+    for wrapper in ('<body class="page has-sidebar"><div>', '<body><div id="page" class="site header-fixed">'):
+        for tag in ("article", "div"):
+            assert html.main_text(f"<html>{wrapper}{side}<{tag}><p>{text}</p></{tag}>{side}</div></body></html>", trees) == text.strip()
+    small = f'<body><p>{text}</p><div class="social"><p>share</p><article><p>short one</p></article></div></body>'
+    assert html.main_text(small, trees) == f"{text.strip()}\nshort one"
+    nodes, _ = html.parse(f'<body><main><div class="has-sidebar"><p>{text}</p></div></main></body>')
+    assert html._teacher(nodes).tolist() == [0, 0, 1, 1, 1]
+
+
 def test_html_learns_without_marks(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     trees = html.train(pages, 200, 20, 3, 0.3)
