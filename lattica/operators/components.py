@@ -6,46 +6,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.tables import save
-from lattica.operators.grid import I, grid_edges
+from lattica.operators.grid import I, grid_edges, pixel_id as at
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, id, label) from nodes(g, id) and edges(g, a, b): the least id of each component, by least-label propagation
     with pointer jumping over all graphs in one job. Each round is a written table; it ends when no label changes."""
     both = save(edges.select("g", "a", "b").unionByName(edges.select("g", F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = nodes.select("g", "id", F.col("id").alias("label"))
-    for _ in range(most):
+    while True:  # labels only fall
         near = both.join(labels.select("g", F.col("id").alias("b"), "label"), ["g", "b"]).groupBy("g", F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = labels.join(near, ["g", "id"], "left").select("g", "id", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         up = low.select("g", F.col("id").alias("label"), F.col("label").alias("up"))
         new = save(low.join(up, ["g", "label"]).select("g", "id", "before", F.least("label", "up").alias("label")), "labels")
         labels = new.select("g", "id", "label")
         if new.where("before <> label").isEmpty():
-            break
-    return labels
+            return labels
 
 
-def mask_components(mask: DataFrame, conn: int = 8, width: int = 8) -> DataFrame:
-    """(image_id, r, c, label) of fg pixels."""
+def mask_components(mask: DataFrame, conn: int = 8) -> DataFrame:
+    """(image_id, r, c, label) of fg pixels; a label is r * width + c of the component's first pixel, with the image's own width."""
     fg = mask.where("fg = 1").select(I, "r", "c", F.lit(0.0).alias("v"))
-    at = lambda r, c: F.col(r) * width + F.col(c)
     found = connected_components(fg.select(F.col(I).alias("g"), at("r", "c").alias("id")), grid_edges(fg, conn).select(F.col(I).alias("g"), at("r", "c").alias("a"), at("r2", "c2").alias("b")))
-    return found.select(F.col("g").alias(I), F.floor(F.col("id") / width).cast("int").alias("r"), (F.col("id") % width).alias("c"), "label")
+    row, col = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    width = mask.groupBy(F.col(I).alias("g")).agg((F.max("c") + 1).alias("width"))
+    label = (row(F.col("label")) * F.col("width") + col(F.col("label"))).alias("label")
+    return found.join(width, "g").select(F.col("g").alias(I), row(F.col("id")).alias("r"), col(F.col("id")).alias("c"), label)
 
 
-def component_stats(mask: DataFrame, conn: int = 8, width: int = 8) -> DataFrame:
+def component_stats(mask: DataFrame, conn: int = 8) -> DataFrame:
     """Number, mean size, variation and largest share of components; 0 for an empty mask."""
-    sizes = mask_components(mask, conn, width).groupBy(I, "label").agg(F.count("*").alias("size"))
+    sizes = mask_components(mask, conn).groupBy(I, "label").agg(F.count("*").alias("size"))
     got = sizes.groupBy(I).agg(F.count("*").alias("n"), F.avg("size").alias("mean"), (F.stddev_pop("size") / F.avg("size")).alias("cv"), (F.max("size") / F.sum("size")).alias("largest"))
     out = mask.select(I).distinct().join(got, I, "left")
     return out.select(I, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "mean", "cv", "largest")])
 
 
-def holes_and_fill(mask: DataFrame, width: int = 8, height: int = 8) -> DataFrame:
+def holes_and_fill(mask: DataFrame) -> DataFrame:
     """Holes: background components (4-neighbours) that touch no border. Fill ratio: fg with holes filled over fg."""
     back = mask.withColumn("fg", 1 - F.col("fg"))
-    label = mask_components(back, 4, width)
-    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == height - 1) | (F.col("c") == width - 1)
+    last = mask.groupBy(I).agg(F.max("r").alias("last_r"), F.max("c").alias("last_c"))
+    label = mask_components(back, 4).join(last, I)
+    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("last_r")) | (F.col("c") == F.col("last_c"))
     inner = label.groupBy(I, "label").agg(F.max(edge.cast("int")).alias("edge"), F.count("*").alias("size")).where("edge = 0")
     holes = inner.groupBy(I).agg(F.count("*").alias("holes"), F.sum("size").alias("inside"))
     fg = mask.groupBy(I).agg(F.sum("fg").alias("fg"))

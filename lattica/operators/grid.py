@@ -14,6 +14,11 @@ I = "image_id"
 STEPS = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
 
 
+def pixel_id(r: str, c: str) -> Column:
+    """One number for a pixel of an image of any size, in row order."""
+    return F.shiftleft(F.col(r).cast("long"), 32) + F.col(c)
+
+
 def grid_edges(grid: DataFrame, conn: int = 8) -> DataFrame:
     """(image_id, r, c, v, r2, c2, v2): each pair of neighbours once."""
     step = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in STEPS[conn]])

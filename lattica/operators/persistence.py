@@ -7,16 +7,18 @@ clusters stays. The rounds end when no edge is left.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.tables import over, save
-from lattica.operators.grid import I, grid_edges
+from lattica.operators.grid import I, grid_edges, pixel_id as at
 
 OUTSIDE = -1
 
 
-def persistence_h0_graph(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def persistence_h0_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, birth, death) from nodes(g, id, v) and edges(g, a, b): death is null for the component that never dies; pairs
     of no length are left out."""
     ranked = save(nodes.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("v", "id"))), "ranked")
@@ -24,12 +26,14 @@ def persistence_h0_graph(nodes: DataFrame, edges: DataFrame, most: int = 64) ->
     one = edges.select("g", "a", "b").join(a, ["g", "a"]).join(b, ["g", "b"]).select("g", "x", "y", F.greatest("x", "y").alias("w"))
     live = save(one.unionByName(one.select("g", F.col("y").alias("x"), F.col("x").alias("y"), "w")), "live")
     deaths = None
-    for _ in range(most):
+    for k in count(1):  # the least edge of all merges two clusters, so every round has fewer edges
         if live.isEmpty():
             break
         least = live.groupBy("g", "x").agg(F.min(F.struct("w", "y")).alias("e")).where("e.y < x").select("g", "x", F.col("e.y").alias("y"), F.col("e.w").alias("w"))
         least = save(least, "least")
         deaths = least.select("g", "x", "w") if deaths is None else deaths.unionByName(least.select("g", "x", "w"))
+        if k % 32 == 0:  # keeps the plan short
+            deaths = save(deaths, "deaths")
         root = least.select("g", "x", F.col("y").alias("root"))
         while True:  # pointer jumping: chains of deaths lead to the oldest
             up = root.select("g", F.col("x").alias("root"), F.col("root").alias("up"))
@@ -49,16 +53,14 @@ def persistence_h0_graph(nodes: DataFrame, edges: DataFrame, most: int = 64) ->
     return died.unionByName(kept)
 
 
-def persistence_h0(grid: DataFrame, conn: int = 8, width: int = 8) -> DataFrame:
-    at = lambda r, c: F.col(r) * width + F.col(c)
+def persistence_h0(grid: DataFrame, conn: int = 8) -> DataFrame:
     nodes = grid.select(F.col(I).alias("g"), at("r", "c").alias("id"), "v")
     edges = grid_edges(grid, conn).select(F.col(I).alias("g"), at("r", "c").alias("a"), at("r2", "c2").alias("b"))
     return persistence_h0_graph(nodes, edges).select(F.col("g").alias(I), F.lit(0).alias("hdim"), "birth", "death")
 
 
-def persistence_h1(grid: DataFrame, width: int = 8) -> DataFrame:
+def persistence_h1(grid: DataFrame) -> DataFrame:
     """By duality: components of the negated image with 4-neighbours and one outside node next to every border pixel."""
-    at = lambda r, c: F.col(r) * width + F.col(c)
     inner = grid.select(F.col(I).alias("g"), at("r", "c").alias("id"), (-F.col("v")).alias("v"))
     outside = grid.select(F.col(I).alias("g")).distinct().select("g", F.lit(OUTSIDE).alias("id"), F.lit(float("-inf")).alias("v"))
     w = over(I)
@@ -69,11 +71,11 @@ def persistence_h1(grid: DataFrame, width: int = 8) -> DataFrame:
     return pairs.select(F.col("g").alias(I), F.lit(1).alias("hdim"), (-F.col("death")).alias("birth"), (-F.col("birth")).alias("death"))
 
 
-def persistence(grid: DataFrame, filtration: str = "sublevel", width: int = 8) -> DataFrame:
+def persistence(grid: DataFrame, filtration: str = "sublevel") -> DataFrame:
     """(image_id, hdim, birth, death) of H0 and H1; superlevel works on 1 - v."""
     if filtration == "superlevel":
         grid = grid.withColumn("v", 1 - F.col("v"))
-    return persistence_h0(grid, 8, width).unionByName(persistence_h1(grid, width))
+    return persistence_h0(grid, 8).unionByName(persistence_h1(grid))
 
 
 def cap_infinite(diagram: DataFrame, grid: DataFrame | None = None, policy: str = "image_max") -> DataFrame:

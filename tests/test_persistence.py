@@ -86,3 +86,24 @@ def test_partition_count_does_not_matter(spark):
     g = table(spark, [image(s, 50) for s in range(3)])
     a, b = (sorted(map(tuple, persistence.persistence_h0(g.repartition(n)).collect()), key=str) for n in (1, 7))
     assert a == b
+
+
+def test_images_wider_than_eight(spark):
+    wide = [[float((c // 3) % 2) for c in range(20)], [0.0] * 20, [float(c % 4 == 1) for c in range(20)]]
+    hole = [[float(max(abs(r - 5), abs(c - 9)) in (1, 4)) for c in range(20)] for r in range(11)]
+    m = table(spark, [wide, hole]).withColumn("fg", F.col("v").cast("int"))
+    got = {(x.image_id, x.r, x.c): x.label for x in components.mask_components(m).collect()}
+    assert {x for (k, _, _), x in got.items() if k == 0} == {3, 9, 15} | {40 + c for c in (1, 5, 9, 13, 17)}
+    assert all(got[0, 0, c] == c - c % 3 for c in range(20) if (c // 3) % 2) and len({x for (k, _, _), x in got.items() if k == 1}) == 2
+    assert {x.image_id: x.holes for x in components.holes_and_fill(m).collect()} == {0: 0, 1: 2}
+    bars = persistence.persistence(m).collect()
+    assert sorted((x.hdim, x.birth, x.death) for x in bars if x.image_id == 1 and x.death is not None) == [(0, 0.0, 1.0)] * 2 + [(1, 0.0, 1.0)] * 2
+
+
+def test_staircase_of_many_basins(spark):
+    n = 70
+    nodes = [(0, k, float(k)) for k in range(n)] + [(0, n + k, 1000.0 - k) for k in range(n - 1)]
+    edges = [(0, n + k, j) for k in range(n - 1) for j in (k, k + 1)]
+    got = persistence.persistence_h0_graph(spark.createDataFrame(nodes, "g int, id int, v double"), spark.createDataFrame(edges, "g int, a int, b int")).collect()
+    assert sorted((x.birth, x.death) for x in got if x.death is not None) == [(float(k), 1001.0 - k) for k in range(1, n)]
+    assert [x.birth for x in got if x.death is None] == [0.0]
