@@ -3,9 +3,9 @@ verified by exact shingle containment. DataFrame functions only.
 
 Items are partitioned by the power of two of their shingle number. An item of n shingles that a document holds to at
 least `threshold` lacks at most n - ceil(threshold * n) of them, so one of its s = n - ceil(threshold * n) + 1 shingles of
-least hash is in the document: this bottom-s MinHash sketch loses nothing. A document's sketch for a partition is its
-shingles whose hash is at most the partition's largest sketch hash, and it must be as long as the partition's least
-allowed intersection. Documents that meet an item this way are read again, and the shingles themselves are compared.
+least hash is in the document: this bottom-s MinHash sketch loses nothing. A document has one sketch for all partitions:
+its shingles whose hash is at most the largest sketch hash of any item. The partition only serves as a test of length:
+the document must be as long as the partition's least allowed intersection. Documents that meet an item this way are read again, and the shingles themselves are compared.
 
 Defined cases: text that is null or without words holds nothing and is no item; an item of fewer than k words is one
 shingle, found only in documents of these words alone; a null id is carried along; repeated rows give repeated
