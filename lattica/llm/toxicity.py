@@ -8,7 +8,8 @@ mean decides. Training uses a bounded, documented sample: at most about `most` p
 
 Defined cases: null text counts as empty and gets a score; a label that is null, or of no text, is no label; a null
 id counts as the empty text in the split; no positive example: every score is the class prior; repeated rows are
-scored each, repeated training texts count once; an empty table gives an empty result; extra columns are ignored.
+scored each, repeated training texts count once; a very long text is read whole; an empty table gives an empty result;
+extra columns are ignored by the query and carried along, whatever their names, by without_toxic().
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_map, id_crc, record_batch, texts
+from .common import arrow_map, id_crc, record_batch, small_slices, texts
 
 PARAMETERS = dict(bits=18, most=3000, models=3, epochs=200, penalty=3e-4, least=3)
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -82,12 +84,14 @@ def train(docs: DataFrame, labels: DataFrame, bits: int, most: int, models: int,
         return nothing
     many = docs.count()
     share = lambda bound, seed: F.abs(F.xxhash64("doc_id", F.lit(seed)) % 1_000_003) / 1_000_003 < bound
+    # about `most` ids at most, whatever the number of labels: a bounded table, so texts are filtered before any shuffle
     toxic = labels.where("toxic = 1").where(share(most / positives, 17)).select("doc_id", F.lit(True).alias("positive"))
-    few = docs.select("doc_id", "text").join(toxic, "doc_id", "left").where(F.col("positive") | share(3 * most / max(many, 1), 19))
+    joined = docs.select("doc_id", "text").join(F.broadcast(toxic), "doc_id", "left")
+    few = joined.where(F.col("positive") | share(3 * most / max(many, 1), 19))
     schema = pa.schema([("positive", pa.bool_()), ("at", pa.list_(pa.int32()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_slices(batches):
             yield record_batch(schema, [bool(x) for x in batch.column(1).to_pylist()], [features(x, bits) for x in texts(batch)])
 
     # every text once; a text that is toxic anywhere is positive
@@ -108,19 +112,26 @@ def train(docs: DataFrame, labels: DataFrame, bits: int, most: int, models: int,
     return w[:-1], float(w[-1]), prior
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float, float], bits: int) -> DataFrame:
-    """Adds `score` to docs(text, ...); the other columns are carried along."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float, float], bits: int, name: str = "toxic_score") -> DataFrame:
+    """Adds the column `name` to docs(text, ...), which may not have it yet; the other columns are carried along."""
     shared = docs.sparkSession.sparkContext.broadcast(model[:2])
     place = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
-        for batch in batches:
+        for batch in small_slices(batches):
             z = np.array([b + w[features(x or "", bits)].sum() for x in batch.column(place).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*batch.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, run, f"{fields}, toxic_score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float, float], bits: int) -> DataFrame:
+    """The rows of docs that score below 0.5. The other columns travel in a struct, so their names clash with nothing."""
+    rest = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("string")
+    kept = score(docs.select("text", row.alias("row")), model, bits).where(F.col("toxic_score") < 0.5)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
