@@ -3,36 +3,41 @@ are exchanged one-for-one, two-for-one or moved, each time increasing the sum of
 
 Only rows of a few numbers for each piece are shuffled, dealt evenly into groups by a running number (so equal rows
 spread as well). Each group is packed by itself; what lies in its bins that are not full goes to the next round with
-fewer groups, and the last rounds are a single small group. A bin that is full is final. Where a round fills hardly any
-bin (lengths that never add up to the limit), its bins are final too, so the rounds end.
+fewer groups, and the last round is one group of at most `group` rows. A bin that is full is final. Once a round fills
+hardly any bin (lengths that never add up to the limit), bins more than half full are final too; the search leaves a
+group one emptier bin at most, and only these are put together again, so the rounds end.
 
 Defined cases: a null text is empty and is the terminator alone (one piece of length 1); ties of length are packed in the
 order of their running number, so which of equal pieces takes which place is open; repeated rows are pieces of
-their own; a text over the limit is cut and only its last piece may be shorter; an empty table gives an empty result;
-extra columns are ignored.
+their own; a text over the limit is cut and only its last piece may be shorter; the vocabulary's special tokens are found
+inside texts as the library finds them; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 import zlib
-from bisect import bisect_right
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, record_batch, texts
+from .common import Scratch, arrow_map, record_batch, small_slices
 
 LIMIT, END = 2048, 0
 #: Pieces of a group, about.
 GROUP = 60_000
-#: Token numbers of this many words are kept at a time, twice; a frequent word is moved to the newer half.
-KEPT_WORDS = 300_000
+#: Pre-tokens of up to 63 bytes that a worker keeps, about 200 bytes each; beyond it starts anew.
+KEPT_PARTS = 250_000
+#: Signs that may follow a word in a run of their own.
+TAIL = ".,;:!?)]}\"|%"
 
 #: The vocabulary's pre-tokens (a fixed value of the public file) and its usual letters for bytes.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -40,55 +45,70 @@ _plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(b) for b in _plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _plain)}
 
 
-class WordTokens(dict):
-    """Token numbers of a word (little-endian 16 bits each), worked out when first asked for. Words are what ASCII white
-    space divides; the vocabulary never joins over white space, so a text's tokens are those of its words in turn."""
+class WordTokens:
+    """Token numbers of a word (little-endian 16 bits each). Words are what ASCII white space divides; the vocabulary never
+    joins over white space, so a text's tokens are those of its words in turn. A word's pre-tokens are kept."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.whole.model
-        self.old: dict[bytes, bytes] = {}
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        value = self.old.get(word)
-        if value is None:
-            value = self.encode(word)
-        if len(self) >= KEPT_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = value
-        return value
-
     def encode(self, word: bytes) -> bytes:
-        low = word.lower()
-        if low.isalpha() and low.isascii():
-            return self.part(low.decode())
-        text = low.decode("utf-8", "replace")
-        if max(text) >= "ɐ" or "İ" in text:  # normal forms and unusual case rules: left to the library
-            return np.array(self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
-        return b"".join(map(self.part, PRE_TOKENS.findall(text.lower())))
+        text = word.decode("utf-8", "replace")
+        if not text.isascii() and (max(text) >= "ɐ" or "İ" in text) or b"<|" in word and any(x in word for x in self.special):
+            # special tokens, normal forms and unusual case rules: left to the library
+            return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        text = text.lower()
+        core = text.rstrip(TAIL)
+        if core.isalpha():  # a word, and perhaps one run of signs, which no contraction begins
+            return self.part(core) if core == text else self.part(core) + self.part(text[len(core) :])
+        return b"".join(map(self.part, PRE_TOKENS.findall(text)))
 
     def part(self, text: str) -> bytes:
         value = self.parts.get(text)
         if value is None:
-            if len(self.parts) >= KEPT_WORDS:
-                self.parts.clear()
-            letters = text.encode().decode("latin-1").translate(BYTE_LETTERS)
-            value = self.parts[text] = np.array([t.id for t in self.model.tokenize(letters)], "<u2").tobytes()
+            letters = text if text.isprintable() and text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+            value = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(text) < 64:
+                if len(self.parts) >= KEPT_PARTS:
+                    self.parts = {}
+                self.parts[text] = value
         return value
 
 
-_cache: dict[str, WordTokens] = {}
+_loaded: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The vocabulary of a file, loaded once in a worker."""
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = WordTokens(path)
+    return _loaded[path]
 
 
-def tokens(text: str, words: WordTokens) -> np.ndarray:
-    return np.frombuffer(b"".join(map(words.__getitem__, text.encode("utf-8", "surrogatepass").split())), "<u2")
+def token_ids(column: pa.Array, words: WordTokens) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a column (little-endian 32 bits), each text's followed by END, and where the texts begin. Each
+    distinct word of the column is encoded once; its ids are then copied to all its places."""
+    split = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
+    coded = split.flatten().dictionary_encode()
+    code = coded.indices.to_numpy()
+    ids = [words.encode(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    size = np.array([len(x) // 2 for x in ids], np.int32)
+    flat, first = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(size, dtype=np.int32) - size
+    size, first = size[code], first[code]  # of each word in turn
+    before = np.append(np.int32(0), np.cumsum(size, dtype=np.int32))
+    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+    begin = before[offsets] + np.arange(len(offsets))  # an END follows each text
+    out = np.full(begin[-1], END, "<u4")
+    step = np.arange(before[-1], dtype=np.int32)
+    out[step + np.repeat(np.arange(len(column), dtype=np.int32), np.diff(before[offsets]))] = flat[np.repeat(first - before[:-1], size) + step]
+    return out, begin
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, turn long"
@@ -99,17 +119,17 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64())])
-        words = _cache.setdefault(path, None) or _cache.update({path: WordTokens(path)}) or _cache[path]
+        words = word_tokens(path)
         turn = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in small_slices(batches, most=6_000_000):
+            ids, begin = token_ids(batch.column(0), words)
             out = []
-            for doc_id, text in zip(batch.column(1).to_pylist(), texts(batch), strict=True):
-                ids = np.append(tokens(text, words), END).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), limit)):
-                    cut = ids[start : start + limit]
-                    out.append((doc_id, k, start, len(cut), zlib.crc32(cut.tobytes()), turn))
+            for k, doc_id in enumerate(batch.column(1).to_pylist()):
+                for piece, start in enumerate(range(begin[k], begin[k + 1], limit)):
+                    cut = ids[start : min(start + limit, begin[k + 1])]
+                    out.append((doc_id, piece, start - begin[k], len(cut), zlib.crc32(cut), turn))
                     turn += 1
-            yield record_batch(schema, *(zip(*out) if out else [[]] * 6))
+            yield record_batch(schema, *zip(*out))
 
     return arrow_map(docs.select("text", "doc_id"), run, PIECES)
 
@@ -138,65 +158,97 @@ def best_fit(size: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], size: list[int], limit: int, rounds: int = 3) -> list[list[int]]:
-    """Moves and swaps between underfull bins that increase the sum of squared fills. The emptiest bin gives: each other
-    bin takes what fills its room best, by a move, one of its items for a longer one, or one of its items for two."""
-    full = [b for b in bins if sum(size[i] for i in b) == limit]
-    open_ = [b for b in bins if sum(size[i] for i in b) < limit]
-    fill = lambda b: sum(size[i] for i in b)
-    for _ in range(rounds):
-        changed = False
-        open_.sort(key=fill)
-        for giver in open_:
-            have = fill(giver)
-            if not have:
-                continue
-            for taker in reversed(open_):
-                room = limit - fill(taker)
-                if taker is giver or not room or not giver:
-                    continue
-                if fill(taker) < have:
-                    break
-                own = sorted(giver, key=size.__getitem__)
-                own_size = [size[i] for i in own]
-                best: tuple[int, list[int], list[int]] = (0, [], [])
-                k = bisect_right(own_size, room)
-                if k:  # move
-                    best = (own_size[k - 1], [own[k - 1]], [])
-                for item in taker:
-                    if best[0] == room:
-                        break
-                    n = size[item]
-                    k = bisect_right(own_size, n + room)
-                    if k and own_size[k - 1] - n > best[0]:  # one for one
-                        best = (own_size[k - 1] - n, [own[k - 1]], [item])
-                    for a in range(len(own) - 1):  # two for one
-                        k = bisect_right(own_size, n + room - own_size[a], a + 1)
-                        if k > a + 1 and own_size[a] + own_size[k - 1] - n > best[0]:
-                            best = (own_size[a] + own_size[k - 1] - n, [own[a], own[k - 1]], [item])
-                        if own_size[a] > n + room:
+def exchanges(own: list[int]) -> dict[int, tuple[int, ...]]:
+    """What a bin with items of these sizes can hand over in one step: one item or two, by their total size."""
+    first: dict[int, list[int]] = {}
+    for k, n in enumerate(own):
+        if len(at := first.setdefault(n, [])) < 2:
+            at.append(k)
+    out: dict[int, tuple[int, ...]] = {}
+    sizes = list(first)
+    for k, a in enumerate(sizes):
+        for b in sizes[k:]:
+            if b != a:
+                out[a + b] = (first[a][0], first[b][0])
+            elif len(first[a]) > 1:
+                out[2 * a] = tuple(first[a])
+    return out | {n: (at[0],) for n, at in first.items()}
+
+
+def local_search(bins: list[list[int]], size: list[int], limit: int) -> list[list[int]]:
+    """Moves and swaps between underfull bins, each increasing the sum of squared fills, until none does.
+
+    A taker with `room` that gives up an item of size b (0: none) can take s <= room + b. All (taker, item) are filed
+    under the key room + b. A giver with a total s to hand over (one item, or two) looks for the least key from s on:
+    it leaves the taker with key - s. The sum of squares grows exactly if the taker ends fuller than the giver was,
+    that is if key - s < the giver's room, and if b < s. The sum is a whole number with a bound, so the search ends."""
+    fill = [sum(size[i] for i in b) for b in bins]
+    filed: list[list[tuple[int, int, int]]] = [[] for _ in range(limit + 1)]  # key -> heap of (b, bin, version)
+    version, keys = [0] * len(bins), 0
+
+    def file(at: int) -> None:
+        nonlocal keys
+        version[at] += 1
+        room = limit - fill[at]
+        if room and bins[at]:
+            for b in {0, *(size[i] for i in bins[at])}:
+                heapq.heappush(filed[room + b], (b, at, version[at]))
+                keys |= 1 << (room + b)
+
+    def find(key: int, total: int, giver: int) -> tuple[int, int] | None:
+        """A taker under the key that gives up less than `total`."""
+        nonlocal keys
+        heap, own = filed[key], None
+        while heap and (version[heap[0][1]] != heap[0][2] or heap[0][1] == giver):
+            entry = heapq.heappop(heap)
+            if version[entry[1]] == entry[2]:
+                own = entry  # the giver itself
+        got = heap[0][:2] if heap and heap[0][0] < total else None
+        if own:
+            heapq.heappush(heap, own)
+        if not heap:
+            keys &= ~(1 << key)
+        return got
+
+    for at in range(len(bins)):
+        file(at)
+    waiting = {at for at in range(len(bins)) if 0 < fill[at] < limit}
+    while waiting:
+        changed: set[int] = set()
+        for giver in sorted(waiting, key=lambda at: (fill[at], at)):
+            while bins[giver] and fill[giver] < limit:
+                room, best = limit - fill[giver], None
+                for total, items in exchanges([size[i] for i in bins[giver]]).items():
+                    upto = total + (room if best is None else best[0])  # what would be left has to be less
+                    ahead = keys >> total
+                    while ahead:
+                        key = total + (ahead & -ahead).bit_length() - 1
+                        if key >= upto:
                             break
-                if best[0] > 0:  # the taker is at least as full as the giver, so squared fill grows
-                    for i in best[1]:
-                        giver.remove(i)
-                        taker.append(i)
-                    for i in best[2]:
-                        taker.remove(i)
-                        giver.append(i)
-                    have = fill(giver)
-                    changed = True
-                    if not giver:
+                        if got := find(key, total, giver):
+                            best = (key - total, items, *got)
+                            break
+                        ahead &= ahead - 1
+                    if best and best[0] == 0:
                         break
-        open_ = [b for b in open_ if b]
-        if not changed:
-            break
-    return full + open_
+                if best is None:
+                    break
+                _, items, b, taker = best
+                moved = [bins[giver][k] for k in items]
+                back = [next(i for i in bins[taker] if size[i] == b)] if b else []
+                for at, out, into in ((giver, moved, back), (taker, back, moved)):
+                    bins[at] = [i for i in bins[at] if i not in out] + into
+                    fill[at] = sum(size[i] for i in bins[at])
+                    file(at)
+                    changed.add(at)
+        waiting = {at for at in changed if 0 < fill[at] < limit}
+    return [b for b in bins if b]
 
 
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, turn long, sequence_id long, offset long, settled boolean"
 
 
-def _packer(limit: int, round_: int, last: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+def _packer(limit: int, round_: int, final: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.drop_columns("group").sort_by("turn")
         size = rows.column("length").to_pylist()
@@ -209,7 +261,7 @@ def _packer(limit: int, round_: int, last: bool) -> Callable[[tuple, pa.Table],
             for i in items:
                 sequence[i], offset[i] = first + k, at
                 at += size[i]
-            settled[items] = last or at == limit
+            settled[items] = at >= final
         for name, value in (("sequence_id", sequence), ("offset", offset), ("settled", settled)):
             rows = rows.append_column(name, pa.array(value))
         return rows
@@ -220,15 +272,17 @@ def _packer(limit: int, round_: int, last: bool) -> Callable[[tuple, pa.Table],
 def pack(rows: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
     """Gives each row of `pieces` a sequence and an offset in it."""
     scratch = Scratch(rows.sparkSession, "packing")
-    rest, out, round_, before = scratch.save(rows, "pieces"), None, 0, None
+    rest, out, round_, before, closing = scratch.save(rows, "pieces"), None, 0, None, False
     while True:
         many = rest.count()
         groups = max(1, -(-many // group))
-        last = groups == 1 or before is not None and 10 * many > 9 * before
+        last = groups == 1
+        closing |= before is not None and 10 * many > 9 * before
         before = many
+        final = 0 if last else limit // 2 + 1 if closing else limit
         # a group holds at most a few times `group` rows, as rows are dealt by their running numbers
         dealt = rest.withColumn("group", F.pmod(F.xxhash64("turn", F.lit(round_)), F.lit(groups)))
-        packed = scratch.save(dealt.groupBy("group").applyInArrow(_packer(limit, round_, last), PACKED), f"round{round_}")
+        packed = scratch.save(dealt.groupBy("group").applyInArrow(_packer(limit, round_, final), PACKED), f"round{round_}")
         if last:
             done = packed
         else:
