@@ -2,24 +2,27 @@ r"""HTML extraction: gradient-boosted trees over DOM-node features (subtree dens
 statistics) give each node a content score; hierarchical decoding chooses labels so that nothing below a rejected node is
 kept and no kept node is empty.
 
-There are no hand labels. Pages that mark their article (`article`, `main`, itemprop=articleBody) teach the trees what
-content nodes look like; the teacher's marks are left out of the features of half of the training pages, so the trees
-also judge pages without such marks. Training uses a bounded, documented sample of `most` pages by hash of the id; the
-histograms of all tree levels are worked out in numpy on that sample. What no reader sees (script, style, comments,
-forms and the like) is removed by rule, and so is a part that its class, id, role or aria-label names as something else
-(WORDS_OUT). Such a name is no verdict on a layout wrapper: it does not count on a node that holds at least half of the
-page's visible text, and what it marks ends at a descendant article, main or articleBody. There the trees decide.
+There are no hand labels. Pages that mark their article (`article`, `main`, itemprop=articleBody) teach the trees: what lies
+in the article is content, the rest is not. Each training page is also shown a second time in another dress (`dress`): the
+article's marks are taken off, menus and footers become plain parts with other names, and lists of links, notices and
+comments made of the page's own words are put before, into and behind the article; what is put in is no content. So the
+trees learn from structure and names, on a node and on the way to it, and no rule overrules them. Only what no reader
+sees, and forms, are left out by rule (HIDDEN). Training uses a bounded, documented sample: about `most` pages by hash of
+the id, and of each page at most `nodes` nodes at even distances; histograms are worked out in numpy on that sample.
 
 Defined cases: null html is empty and gives an empty text; unclosed and stray tags are mended as a browser would roughly do;
-a page without any text gives an empty text; repeated rows are extracted each; a table without a marked article leaves
-only the rules by name; an empty table gives an empty result; extra columns are ignored.
+a page without any text gives an empty text; repeated rows are extracted each; a table without a marked article gives
+all visible text; a very long page is read whole, in time that grows with it; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, record_batch, small_slices, table, texts
 
-PARAMETERS = dict(most=1500, trees=40, depth=3, rate=0.3)
+PARAMETERS = dict(most=600, nodes=120, trees=60, depth=4, rate=0.2)
 #: One token of a page: comment, declaration, end tag, start tag, text.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = set("head script style textarea title noscript template iframe svg form button select input nav footer aside menu dialog object canvas option label".split())
+HIDDEN = set("head script style textarea title noscript template iframe svg form button select input object canvas option".split())
 BLOCK = set("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption header footer nav aside form address details summary fieldset hr hgroup center menu dialog".split())
 #: Start tags that end an open paragraph, and tags that end an open one of the same set.
 ENDS_P = BLOCK - {"html", "body"}
@@ -137,70 +140,136 @@ def parse(page: str) -> tuple[list[Node], list]:
     return nodes, stream
 
 
-def features(nodes: list[Node], marked: bool = True) -> np.ndarray:
-    """One row a node. Without `marked` the marks that the teacher uses are blanked."""
-    out = np.zeros((len(nodes), 16 + 2 * len(TAGS) + 2 + BINS), np.float32)
-    whole = max(nodes[0].chars, 1)
-    for k, node in enumerate(nodes):
-        up = node.parent or node
-        like = sum(x.tag == node.tag for x in up.children) if len(up.children) < 200 else len(up.children)
-        tag, up_tag = (("div" if x.tag in ("article", "main") and not marked else x.tag) for x in (node, up))
-        row = out[k]
-        row[:16] = (
-            node.chars, node.chars / node.tags, node.links / max(node.chars, 1), node.commas / max(node.chars, 1), node.depth, node.tags, len(node.children), len(up.children),
-            like, like / max(len(up.children), 1), node.chars / max(up.chars, 1), up.chars / whole, node.chars / whole, up.links / max(up.chars, 1), up.chars / up.tags, len(node.own),
-        )
-        if tag in TAGS:
-            row[16 + TAGS.index(tag)] = 1
-        if up_tag in TAGS:
-            row[16 + len(TAGS) + TAGS.index(up_tag)] = 1
-        a = 16 + 2 * len(TAGS)
-        for x in {*node.tokens, *up.tokens}:
-            if x in WORDS_OUT:
-                row[a] += 1
-            elif x in WORDS_IN:
-                row[a + 1] += marked
-            else:
-                row[a + 2 + zlib.crc32(x.encode()) % BINS] += 1
-    return out
+PARTS = {"nav", "footer", "aside", "header", "menu", "dialog"}
 
 
 def _marked(n: Node) -> bool:
     return n.tag in ("article", "main") or "articlebody" in n.tokens
 
 
-def _large(nodes: list[Node]) -> np.ndarray:
-    """Nodes that hold at least half of the page's visible text."""
+def features(nodes: list[Node]) -> np.ndarray:
+    """One row a node: sizes, densities, depth, siblings, tags, attribute tokens of the node, its parent and the way to it."""
+    out = np.zeros((len(nodes), 26 + 2 * len(TAGS) + BINS), np.float32)
+    whole = max(nodes[0].chars, 1)
     number = {id(n): k for k, n in enumerate(nodes)}
-    size = np.zeros(len(nodes), np.int64)
-    for k in range(len(nodes) - 1, -1, -1):
-        n = nodes[k]
-        if not n.hidden:
-            size[k] += sum(len(x) - x.count(" ") for x in n.own)
-            if n.parent:
-                size[number[id(n.parent)]] += size[k]
-    return 2 * size >= max(size[0], 1)
-
-
-def _named(nodes: list[Node]) -> np.ndarray:
-    """Nodes in a part that its attributes name as something else."""
-    number, large = {id(n): k for k, n in enumerate(nodes)}, _large(nodes)
-    out = np.zeros(len(nodes), bool)
-    for k, n in enumerate(nodes):
-        own = any(t in WORDS_OUT for t in n.tokens) and not any(t in WORDS_IN for t in n.tokens) and not large[k]
-        out[k] = own or bool(n.parent) and out[number[id(n.parent)]] and not _marked(n)
+    like = {id(n): Counter(x.tag for x in n.children) for n in nodes}
+    way = np.zeros((len(nodes), 6), np.float32)  # of the node and all above it
+    for k, node in enumerate(nodes):
+        up = node.parent or node
+        row, wide = out[k], 2 * node.chars >= whole
+        bad, good = sum(x in WORDS_OUT for x in node.tokens), sum(x in WORDS_IN for x in node.tokens)
+        links = node.links / max(node.chars, 1)
+        # named parts and link lists, small and large ones apart; marks of an article; headings of their own
+        own = (bad * (not wide), bad * wide, good, node.tag in PARTS, _marked(node), links * (not wide))
+        way[k] = np.maximum(way[number[id(up)]], own) if node.parent else own
+        row[:26] = (
+            node.chars, node.chars / node.tags, links, node.commas / max(node.chars, 1), node.depth, node.tags, len(node.children), len(up.children),
+            like[id(up)][node.tag], like[id(up)][node.tag] / max(len(up.children), 1), node.chars / max(up.chars, 1), up.chars / whole, node.chars / whole,
+            up.links / max(up.chars, 1), up.chars / up.tags, len(node.own), bad, good, sum(x in WORDS_OUT for x in up.tokens), sum(x in WORDS_IN for x in up.tokens), *way[k],
+        )
+        if node.tag in TAGS:
+            row[26 + TAGS.index(node.tag)] = 1
+        if up.tag in TAGS:
+            row[26 + len(TAGS) + TAGS.index(up.tag)] = 1
+        for x in {*node.tokens, *up.tokens}:
+            if x not in WORDS_OUT and x not in WORDS_IN:
+                row[26 + 2 * len(TAGS) + zlib.crc32(x.encode()) % BINS] += 1
     return out
 
 
 def _teacher(nodes: list[Node]) -> np.ndarray | None:
-    """1 in a marked article, 0 outside it or in a part of it that is named as something else; None without a mark."""
-    inside = np.zeros(len(nodes), np.int8)
-    number, large = {id(n): k for k, n in enumerate(nodes)}, _large(nodes)
+    """1 for nodes whose visible text is mostly in a marked article and not put in by `dress`; None without a mark."""
+    number = {id(n): k for k, n in enumerate(nodes)}
+    inside, size, good = (np.zeros(len(nodes), np.int64) for _ in range(3))
     for k, n in enumerate(nodes):
         above = inside[number[id(n.parent)]] if n.parent else 0
-        out = n.hidden or any(t in WORDS_OUT for t in n.tokens) and not large[k]
-        inside[k] = 0 if out else 1 if _marked(n) else above
-    return inside if inside.any() else None
+        inside[k] = 0 if n.hidden or PUT_IN in n.tokens else 1 if _marked(n) else above
+    if not inside.any():
+        return None
+    for k in range(len(nodes) - 1, -1, -1):
+        n = nodes[k]
+        own = 0 if n.hidden else sum(len(x) - x.count(" ") for x in n.own)
+        size[k] += own
+        good[k] += own * inside[k]
+        if n.parent:
+            size[number[id(n.parent)]] += size[k]
+            good[number[id(n.parent)]] += good[k]
+    return np.where(size > 0, 2 * good > size, inside).astype(np.int8)
+
+
+#: The class by which parts put into a training page are known to the teacher; it is taken off before features are made.
+PUT_IN = "partputin"
+LISTS, NOTES, ENDS = "menu nav navbar toolbar related breadcrumb social share sidebar".split(), "ad notice comment comments cookie newsletter promo sponsor disclaimer banner popup reply".split(), "footer legal copyright".split()
+
+
+def _unwrap(node: Node) -> None:
+    """Takes a node out; what is in it goes to its parent."""
+    up = node.parent
+    at = up.children.index(node)
+    up.children[at : at + 1] = node.children
+    up.own += node.own
+    below = list(node.children)
+    for n in node.children:
+        n.parent = up
+    while below:
+        n = below.pop()
+        n.depth -= 1
+        below += n.children
+    while up:
+        up.tags -= 1
+        up = up.parent
+
+
+def dress(page: str, rng: random.Random) -> tuple[list[Node], np.ndarray] | None:
+    """The nodes of a page in another dress, and their labels; None for a page without a marked article."""
+    m = re.search(r"<(article|main)\b[^>]*>(.*)</\1\s*>", page, re.S | re.I)
+    if not m:
+        return None
+    words = re.sub(r"<[^>]*>", " ", m[2]).split() or ["x"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    def part() -> str:
+        tag = rng.choice(("div", "section", "aside", "ul", "div"))
+        if rng.random() < 0.4:
+            inner = "".join(f'<li><a href="#">{some(rng.randint(1, 6))}</a></li>' for _ in range(rng.randint(2, 9)))
+            return f'<{tag} class="{PUT_IN} {rng.choice(LISTS)}">{inner}</{tag}>' if rng.random() < 0.8 else f'<{tag} class="{PUT_IN}">{inner}</{tag}>'
+        inner = "".join(f"<{x}>{some(rng.randint(3, 40))}</{x}>" for x in rng.choices(("p", "div", "span", "h3"), k=rng.randint(1, 5)))
+        if rng.random() < 0.4:
+            inner = f"<div>{inner}</div>"
+        return f'<{tag} class="{PUT_IN} {rng.choice(NOTES + LISTS)}">{inner}</{tag}>'
+
+    def piece() -> str:
+        """Content of a kind that the article may not have."""
+        a, b = some(rng.randint(1, 12)), some(rng.randint(1, 5))
+        kinds = (f"<p>{a}</p>", f'<p>{a} <a href="#">{b}</a> {some(4)}</p>', f"<ul><li>{a}</li><li>{b}</li><li>{some(6)}</li></ul>", f"<blockquote><p>{a}</p></blockquote>", f"<h2>{b}</h2>", f"<table><tr><td>{a}</td><td>{b}</td></tr></table>", f"<p>{b}</p>", f'<div class="{rng.choice(("meta", "byline", "author", "date"))}">{b}</div>')
+        return rng.choice(kinds)
+
+    before, inside, behind = ("".join(part() for _ in range(rng.choice(k))) for k in ((0, 0, 1, 2), (0, 0, 0, 1), (0, 1, 2)))
+    begin, end = m.span(2)
+    gaps = [x.end() for x in re.finditer(r"</(?:p|div|ul|h[1-6])\s*>", m[2], re.I)] or [0]
+    gap, first = begin + rng.choice(gaps), begin + gaps[0]
+    inside += "".join(piece() for _ in range(rng.choice((0, 1, 1, 2, 3))))
+    top = piece() if first <= gap and rng.random() < 0.5 else ""
+    page = page[: m.start()] + before + page[m.start() : min(first, gap)] + top + page[min(first, gap) : gap] + inside + page[gap : m.end()] + behind + page[m.end() :]
+    nodes, _ = parse(page)
+    label = _teacher(nodes)
+    if rng.random() < 0.25:
+        at = next(k for k, n in enumerate(nodes) if _marked(n))
+        _unwrap(nodes.pop(at))
+        label = np.delete(label, at)
+    plain, names = rng.random() < 0.7, rng.choice(([], [], ["post"], ["entry", "body"], ["story"], ["text"]))
+    for n in nodes:
+        n.tokens = [x for x in n.tokens if x != PUT_IN]
+        if _marked(n) and plain:
+            n.tag, n.tokens = "div", [*names]
+        elif n.tag in PARTS and rng.random() < 0.5:
+            n.tokens = [*n.tokens, rng.choice(ENDS if n.tag == "footer" else LISTS)]
+            n.tag = "div"
+        elif n.tag == "body" and rng.random() < 0.3:
+            n.tokens = [*n.tokens, "has", rng.choice(LISTS)]
+        elif n.tag == "p" and rng.random() < 0.05:
+            n.tag = "div"
+    return nodes, label
 
 
 class Trees:
@@ -255,16 +324,30 @@ class Trees:
         return cls(base, f, t.astype(np.float32), leaves)
 
 
-def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
-    """Labels of greatest total score: a node's score counts for the text that is its own. Below a rejected node all are
-    rejected; a node is kept only if something in it is."""
+def weights(nodes: list[Node]) -> np.ndarray:
+    """How much a node's verdict counts: for its own text, and a tenth for all visible text in it."""
+    number = {id(n): k for k, n in enumerate(nodes)}
+    out, whole = np.zeros(len(nodes)), np.zeros(len(nodes))
+    for k in range(len(nodes) - 1, -1, -1):
+        n = nodes[k]
+        own = 0 if n.hidden else sum(map(len, map(str.strip, n.own)))
+        whole[k] += own
+        out[k] = own + 0.1 * whole[k]
+        if n.parent:
+            whole[number[id(n.parent)]] += whole[k]
+    return out
+
+
+def decode(nodes: list[Node], gain: np.ndarray) -> np.ndarray:
+    """Labels of greatest total gain among those without contradiction: below a rejected node all are rejected, and a
+    hidden node is. A node whose best total is not positive is rejected."""
     number = {id(n): k for k, n in enumerate(nodes)}
     value = np.zeros(len(nodes))
     for k in range(len(nodes) - 1, -1, -1):
         n = nodes[k]
-        own = sum(map(len, map(str.strip, n.own)))
-        total = score[k] * own + sum(value[number[id(c)]] for c in n.children)
-        value[k] = 0.0 if n.hidden else max(0.0, total)
+        value[k] = 0.0 if n.hidden else max(0.0, value[k] + gain[k])
+        if n.parent:
+            value[number[id(n.parent)]] += value[k]
     kept = np.zeros(len(nodes), bool)
     for k, n in enumerate(nodes):
         kept[k] = value[k] > 0 and (n.parent is None or kept[number[id(n.parent)]])
@@ -276,15 +359,12 @@ INLINE_KEEPS = set("b i em strong span a u s small sup sub code mark abbr q cite
 
 def main_text(page: str, trees: Trees | None, predicted: np.ndarray | None = None, parsed=None) -> str:
     nodes, stream = parsed or parse(page)
-    score = trees.predict(features(nodes)) if predicted is None else predicted
+    score = trees.predict(features(nodes)) if predicted is None else np.array(predicted)
     number = {id(n): k for k, n in enumerate(nodes)}
-    named = _named(nodes)
     for k, n in enumerate(nodes):
         if n.parent and n.tag in INLINE_KEEPS and n.parent.tag not in ("#page", "body", "html"):
             score[k] = score[number[id(n.parent)]]  # an inline node goes with the block around it
-        if named[k]:
-            score[k] = min(score[k], -1.0)
-    kept = decode(nodes, score)
+    kept = decode(nodes, score * weights(nodes))
     blocks, run = [], []
     for node, text in stream:
         if text is None:
@@ -298,29 +378,27 @@ def main_text(page: str, trees: Trees | None, predicted: np.ndarray | None = Non
     return "\n".join(b for b in blocks if b)
 
 
-def train(pages: DataFrame, most: int, trees: int, depth: int, rate: float) -> Trees:
+def train(pages: DataFrame, most: int, nodes: int, trees: int, depth: int, rate: float) -> Trees:
     many = pages.count()
-    few = pages.where(F.abs(F.xxhash64("page_id", F.lit(29)) % 1_000_003) / 1_000_003 < most / max(many, 1)).select("html")
-    width = 16 + 2 * len(TAGS) + 2 + BINS
-    schema = pa.schema([("x", pa.binary()), ("y", pa.binary())])
+    few = pages.where(F.abs(F.xxhash64("page_id", F.lit(29)) % 1_000_003) / 1_000_003 < most / max(many, 1)).select("html", F.xxhash64("page_id").alias("seed"))
+    schema = pa.schema([("seed", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xs, ys = [], []
-            for page in texts(batch, "html"):
-                nodes, _ = parse(page)
-                y = _teacher(nodes)
-                if y is not None:
-                    xs.append(features(nodes, zlib.crc32(page[:2000].encode("utf-8", "replace")) % 2 == 0))
-                    ys.append(y)
-            if xs:
-                yield record_batch(schema, [np.concatenate(xs).tobytes()], [np.concatenate(ys).tobytes()])
-
-    got = arrow_map(few, run, "x binary, y binary").collect()
-    got.sort(key=lambda r: zlib.crc32(r["x"]))
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, width)
+        for batch in small_slices(batches, "html", 2_000_000):
+            out = []
+            for page, seed in zip(texts(batch, "html"), batch.column(1).to_pylist(), strict=True):
+                own, _ = parse(page)
+                for shown in ((own, _teacher(own)), dress(page, random.Random(seed))):
+                    if shown and shown[1] is not None:
+                        step = -(-len(shown[0]) // nodes)
+                        out.append((seed, features(shown[0])[::step].tobytes(), shown[1][::step].tobytes()))
+            if out:
+                yield record_batch(schema, *zip(*out))
+
+    got = sorted(arrow_map(few, run, "seed long, x binary, y binary").collect())  # a bounded sample
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, 26 + 2 * len(TAGS) + BINS)
     y = np.frombuffer(b"".join(bytes(r["y"]) for r in got), np.int8).astype(float)
-    return Trees.fit(x, y, trees if len(y) else 0, depth, rate) if len(y) else Trees(1.0, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))
+    return Trees.fit(x, y, trees, depth, rate) if len(y) else Trees(1.0, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))
 
 
 def extract(pages: DataFrame, trees: Trees) -> DataFrame:
