@@ -29,6 +29,36 @@ def r6(c: Column | str, name: str) -> Column:
     return F.round(c, 6).alias(name)
 
 
+def micro(c: Column | str) -> Column:
+    """Millionths as whole numbers, so that sums do not depend on their order."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 1e6).cast("long")
+
+
+def halved_up(millionths: Column, name: str) -> Column:
+    """Millionths with a fraction, rounded half up, as a number."""
+    return (F.floor(millionths + 0.5) / 1e6).alias(name)
+
+
+def mean6(c: Column | str, name: str) -> Column:
+    """Mean of numbers of at most 6 places: one division of an exact sum."""
+    return halved_up(F.sum(micro(c)) / F.count(c), name)
+
+
+def std6(c: Column | str, name: str) -> Column:
+    """Population deviation of numbers of at most 6 places, from exact sums of values and squares."""
+    x, n = micro(c), F.count(c)
+    return halved_up(F.sqrt((n * F.sum(x * x) - F.sum(x) * F.sum(x)).cast("double")) / n, name)
+
+
+def mean6_sql(c: str) -> str:
+    return f"floor(sum(CAST(round(({c}) * 1e6) AS BIGINT)) / count({c}) + 0.5) / 1e6"
+
+
+def std6_sql(c: str) -> str:
+    x = f"CAST(round(({c}) * 1e6) AS BIGINT)"
+    return f"floor(sqrt(CAST(count({c}) * sum({x} * {x}) - sum({x}) * sum({x}) AS DOUBLE)) / count({c}) + 0.5) / 1e6"
+
+
 def small(spark: SparkSession, n: int, name: str) -> DataFrame:
     """Integers 0 to n - 1: a grid or threshold table of fixed size, so it may be broadcast."""
     return F.broadcast(spark.range(n).select(F.col("id").cast("int").alias(name)))

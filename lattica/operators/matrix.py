@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import over, r6
+from lattica.functions.tables import halved_up, mean6, micro, over, r6, std6
 
 D, X = "dataset", "descriptor"
 
@@ -30,12 +30,12 @@ def oracle(best: DataFrame) -> DataFrame:
 
 def single_best(best: DataFrame) -> DataFrame:
     """The descriptor of greatest (coverage, mean accuracy)."""
-    got = best.groupBy(X).agg(F.countDistinct(D).alias("coverage"), r6(F.avg("acc"), "mean_acc"))
+    got = best.groupBy(X).agg(F.countDistinct(D).alias("coverage"), mean6("acc", "mean_acc"))
     return got.orderBy(F.desc("coverage"), F.desc("mean_acc"), X).limit(1)
 
 
 def rank_by_type(best: DataFrame) -> DataFrame:
-    got = best.groupBy("object_type", X).agg(r6(F.avg("acc"), "mean_acc"), r6(F.stddev_pop("acc"), "std_acc"), F.count("*").alias("n"))
+    got = best.groupBy("object_type", X).agg(mean6("acc", "mean_acc"), std6("acc", "std_acc"), F.count("*").alias("n"))
     return got.withColumn("rank", F.row_number().over(Window.partitionBy("object_type").orderBy(F.desc("mean_acc"), X)))
 
 
@@ -43,7 +43,8 @@ def rank_by_type_lodo(best: DataFrame) -> DataFrame:
     """Means of each type without one dataset: (sum - own) / (n - 1), no loop over held-out datasets."""
     w = over("object_type", X)
     n = F.count("*").over(w)
-    got = best.select("object_type", X, D, r6(F.when(n > 1, (F.sum("acc").over(w) - F.col("acc")) / F.nullif(n - 1, F.lit(0))), "mean_acc")).where("mean_acc is not null")
+    rest = (F.sum(micro("acc")).over(w) - micro("acc")) / F.nullif(n - 1, F.lit(0))
+    got = best.select("object_type", X, D, halved_up(rest, "mean_acc")).where("mean_acc is not null")
     return got.withColumn("rank", F.row_number().over(Window.partitionBy("object_type", D).orderBy(F.desc("mean_acc"), X)))
 
 
@@ -55,11 +56,11 @@ def master_matrix(cells: DataFrame, classifiers: list[str]) -> DataFrame:
 
 def classifier_comparison(cells: DataFrame) -> DataFrame:
     """Overall and by type in one pass of grouping sets; a null type is the overall row."""
-    return cells.groupingSets([["classifier"], ["classifier", "object_type"]], "classifier", "object_type").agg(r6(F.avg("acc"), "mean_acc"), r6(F.stddev_pop("acc"), "std_acc"), r6(F.expr("percentile(acc, 0.5)"), "median_acc"), F.count("*").alias("n"))
+    return cells.groupingSets([["classifier"], ["classifier", "object_type"]], "classifier", "object_type").agg(mean6("acc", "mean_acc"), std6("acc", "std_acc"), halved_up(F.percentile(micro("acc"), 0.5), "median_acc"), F.count("*").alias("n"))
 
 
 def descriptor_comparison(cells: DataFrame) -> DataFrame:
-    return cells.rollup(X, "object_type").agg(r6(F.avg("acc"), "mean_acc"), F.count("*").alias("n"))
+    return cells.rollup(X, "object_type").agg(mean6("acc", "mean_acc"), F.count("*").alias("n"))
 
 
 def missing_cells(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,11 +79,11 @@ def scored(selections: DataFrame, best: DataFrame) -> DataFrame:
 
 def method_metrics(got: DataFrame) -> DataFrame:
     share = lambda n: r6(F.avg((F.col("rank") <= n).cast("int")), f"dsa{n}")
-    return got.groupBy("method").agg(r6(F.avg("acc"), "mba"), share(1), share(3), r6(F.avg("regret"), "mean_regret"), r6(F.max("regret"), "max_regret"), F.count("*").alias("n"))
+    return got.groupBy("method").agg(mean6("acc", "mba"), share(1), share(3), mean6("regret", "mean_regret"), r6(F.max("regret"), "max_regret"), F.count("*").alias("n"))
 
 
 def mba_by_type(got: DataFrame, types: DataFrame) -> DataFrame:
-    return got.join(types, D).groupBy("method", "object_type").agg(r6(F.avg("acc"), "mba"), r6(F.avg("oracle_acc") - F.avg("acc"), "gap"))
+    return got.join(types, D).groupBy("method", "object_type").agg(mean6("acc", "mba"), mean6(F.col("oracle_acc") - F.col("acc"), "gap"))
 
 
 def selection_distribution(selections: DataFrame) -> DataFrame:
@@ -202,8 +203,9 @@ def adjust_and_winners(best: DataFrame, learned: list[str], penalty: float = 0.0
 def synergy(best: DataFrame) -> DataFrame:
     """Mean accuracy of each pair of descriptors against the better of the two."""
     a, b = best.select(D, F.col(X).alias("a"), F.col("acc").alias("x")), best.select(D, F.col(X).alias("b"), F.col("acc").alias("y"))
-    p = a.join(b, D).where("a < b")
-    return p.groupBy("a", "b").agg(r6(F.avg(F.greatest("x", "y")) - F.greatest(F.avg("x"), F.avg("y")), "gain"), F.count("*").alias("n"))
+    p = a.join(b, D).where("a < b").select("a", "b", micro("x").alias("x"), micro("y").alias("y"))
+    gain = (F.sum(F.greatest("x", "y")) - F.greatest(F.sum("x"), F.sum("y"))) / F.count("*")
+    return p.groupBy("a", "b").agg(halved_up(gain, "gain"), F.count("*").alias("n"))
 
 
 def cost_report(runs: DataFrame) -> DataFrame:

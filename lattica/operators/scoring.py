@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import over, r6
+from lattica.functions.tables import mean6, over, r6, std6
 
 
 def hash_order(seed: int, key: str):
@@ -52,7 +52,7 @@ def fold_metrics(pred: DataFrame) -> DataFrame:
 
 def cell_summary(folds: DataFrame) -> DataFrame:
     order = F.transform(F.array_sort(F.collect_list(F.struct("fold", "acc"))), lambda x: F.round(x["acc"], 6))
-    return folds.groupBy("dataset", "descriptor", "classifier").agg(r6(F.avg("acc"), "mean_acc"), r6(F.stddev_pop("acc"), "std_acc"), order.alias("folds"))
+    return folds.groupBy("dataset", "descriptor", "classifier").agg(mean6("acc", "mean_acc"), std6("acc", "std_acc"), order.alias("folds"))
 
 
 def knn_classify(query: DataFrame, reference: DataFrame, k: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import over, r6
+from lattica.functions.tables import halved_up, mean6, micro, over, r6
 from lattica.operators.matrix import D, X, average_rank, rank_by_type
 
 
@@ -24,7 +24,7 @@ def paired_t(got: DataFrame) -> DataFrame:
 
 def summary_stats(got: DataFrame) -> DataFrame:
     """Spread of each method's accuracies; zeros are failures and left out."""
-    return got.where("acc <> 0").groupBy("method").agg(r6(F.avg("acc"), "mean"), r6(F.stddev_samp("acc"), "std"), r6(F.min("acc"), "min"), r6(F.expr("percentile(acc, 0.5)"), "median"), r6(F.max("acc"), "max"), F.count("*").alias("n"))
+    return got.where("acc <> 0").groupBy("method").agg(mean6("acc", "mean"), r6(F.stddev_samp("acc"), "std"), r6(F.min("acc"), "min"), halved_up(F.percentile(micro("acc"), 0.5), "median"), r6(F.max("acc"), "max"), F.count("*").alias("n"))
 
 
 def n_grid(sizes: DataFrame, standard: list[int]) -> DataFrame:
@@ -89,9 +89,9 @@ def config_key(params: Column) -> Column:
 
 def consensus_params(trials: DataFrame) -> DataFrame:
     """Most frequent best configuration of each descriptor over datasets; ties go to the greater mean accuracy."""
-    t = trials.select(D, X, config_key(F.col("params")).alias("config"), "acc").groupBy(D, X, "config").agg(F.round(F.avg("acc"), 9).alias("acc"))
+    t = trials.select(D, X, config_key(F.col("params")).alias("config"), "acc").groupBy(D, X, "config").agg(mean6("acc", "acc"))
     best = t.withColumn("k", F.row_number().over(Window.partitionBy(D, X).orderBy(F.desc("acc"), "config"))).where("k = 1")
-    n = best.groupBy(X, "config").agg(F.count("*").alias("n"), r6(F.avg("acc"), "mean_acc"))
+    n = best.groupBy(X, "config").agg(F.count("*").alias("n"), mean6("acc", "mean_acc"))
     return n.withColumn("k", F.row_number().over(Window.partitionBy(X).orderBy(F.desc("n"), F.desc("mean_acc"), "config"))).where("k = 1").drop("k")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import over, read
+from lattica.functions.tables import mean6, mean6_sql, over, read, std6, std6_sql
 
 
 def grid_from_array(df: DataFrame, width: int, image: str = "vec_id", array: str = "embedding") -> DataFrame:
@@ -44,16 +44,27 @@ def image_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, object_type, descriptor, classifier, fold, acc)"""
+    """(dataset, object_type, descriptor, classifier, fold, acc): acc is the mean of value / 100, 1 at most, in whole
+    millionths from a sum of whole hundredths."""
     e = read(spark, sf_dir, "events")
     d = F.col("user_id") % 26
-    keys = e.select(F.concat(F.lit("d"), d.cast("string")).alias("dataset"), F.concat(F.lit("t"), (d % 5).cast("string")).alias("object_type"), F.col("event_type").alias("descriptor"), F.concat(F.lit("c"), (F.col("event_id") % 6).cast("string")).alias("classifier"), (F.dayofmonth("ts") % 5).alias("fold"), "value")
-    return keys.groupBy("dataset", "object_type", "descriptor", "classifier", "fold").agg(F.least(F.avg("value") / 100, F.lit(1.0)).alias("acc"))
+    keys = e.select(
+        F.concat(F.lit("d"), d.cast("string")).alias("dataset"),
+        F.concat(F.lit("t"), (d % 5).cast("string")).alias("object_type"),
+        F.col("event_type").alias("descriptor"),
+        F.concat(F.lit("c"), (F.col("event_id") % 6).cast("string")).alias("classifier"),
+        (F.dayofmonth("ts") % 5).alias("fold"),
+        F.round(F.col("value") * 100).cast("long").alias("hundredths"),
+    )
+    total = keys.groupBy("dataset", "object_type", "descriptor", "classifier", "fold").agg(F.sum("hundredths").alias("total"), F.count("hundredths").alias("n"))
+    millionths = F.least(F.expr("(200 * total + n) div (2 * n)"), F.lit(1_000_000))
+    return total.select("dataset", "object_type", "descriptor", "classifier", "fold", (millionths / 1e6).alias("acc"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset, object_type, descriptor, classifier, acc, acc_std, n_folds)"""
-    return fold_results(spark, sf_dir).groupBy("dataset", "object_type", "descriptor", "classifier").agg(F.round(F.avg("acc"), 6).alias("acc"), F.round(F.stddev_pop("acc"), 6).alias("acc_std"), F.count("*").alias("n_folds"))
+    folds = fold_results(spark, sf_dir).groupBy("dataset", "object_type", "descriptor", "classifier")
+    return folds.agg(mean6("acc", "acc"), std6("acc", "acc_std"), F.count("*").alias("n_folds"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +73,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRIDS = """g0 AS (SELECT vec_id AS image_id, label, CAST(unnest(range(64)) AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 grids AS (SELECT image_id, label, pos // 8 AS r, pos % 8 AS c, (x - min(x) OVER (PARTITION BY image_id)) / (max(x) OVER (PARTITION BY image_id) - min(x) OVER (PARTITION BY image_id)) AS v FROM g0)"""
-CELLS = """folds AS (SELECT 'd' || (user_id % 26) AS dataset, 't' || (user_id % 26 % 5) AS object_type, event_type AS descriptor, 'c' || (event_id % 6) AS classifier, day(ts) % 5 AS fold, least(avg(value) / 100, 1.0) AS acc FROM events GROUP BY ALL),
-cells AS (SELECT dataset, object_type, descriptor, classifier, round(avg(acc), 6) AS acc, round(stddev_pop(acc), 6) AS acc_std, count(*) AS n_folds FROM folds GROUP BY ALL)"""
+CELLS = f"""sums AS (SELECT 'd' || (user_id % 26) AS dataset, 't' || (user_id % 26 % 5) AS object_type, event_type AS descriptor, 'c' || (event_id % 6) AS classifier, day(ts) % 5 AS fold,
+ sum(CAST(round(value * 100) AS BIGINT)) AS total, count(value) AS n FROM events GROUP BY ALL),
+folds AS (SELECT dataset, object_type, descriptor, classifier, fold, CAST(least((200 * total + n) // (2 * n), 1000000) AS DOUBLE) / 1e6 AS acc FROM sums),
+cells AS (SELECT dataset, object_type, descriptor, classifier, {mean6_sql("acc")} AS acc, {std6_sql("acc")} AS acc_std, count(*) AS n_folds FROM folds GROUP BY ALL)"""
 PREDICTIONS = "preds AS (SELECT doc_id, doc_id % 5 AS fold, CAST(quality AS INTEGER) AS truth, CAST(n_chars > 1000 AS INTEGER) AS pred FROM labels JOIN documents USING (doc_id))"
