@@ -32,6 +32,12 @@ def feature_quality(vectors: DataFrame) -> DataFrame:
     )
 
 
+def vector_summary(vectors: DataFrame) -> DataFrame:
+    """(image_id, length, mean, std, max, min); an empty vector has length 0 and no other values."""
+    x = vectors.select(I, F.explode_outer("vec").alias("x"))
+    return x.groupBy(I).agg(F.count("x").alias("length"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"), F.min("x").alias("min"))
+
+
 def cosine_similarity(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

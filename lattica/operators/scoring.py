@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,17 +57,58 @@ def cell_summary(folds: DataFrame) -> DataFrame:
     return folds.groupBy("dataset", "descriptor", "classifier").agg(mean6("acc", "mean_acc"), std6("acc", "std_acc"), order.alias("folds"))
 
 
+def nearest(query: DataFrame, reference: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
+    """(id, label, id2, label2, d): the k nearest of reference(id, vec, label) by Euclidean distance for each row of
+    query(id, vec, label), exact; ties go to the lesser id, and a row is not its own neighbour. Both sides are dealt into
+    blocks of about `block` rows; a pair of blocks is one task, which keeps k rows for each row of its query side. The
+    work is the product of both sizes; what is shuffled grows with a side's rows times the other side's blocks."""
+    blocks = [max(1, -(-x.count() // block)) for x in (query, reference)]
+
+    def dealt(x: DataFrame, own: str, many: int, other: str, others: int) -> DataFrame:
+        place = F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias(own)
+        return x.select("id", F.col("vec").cast("array<double>").alias("vec"), "label", place, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    q = dealt(query, "qb", blocks[0], "rb", blocks[1])
+    r = dealt(reference, "rb", blocks[1], "qb", blocks[0])
+    kind = {c: query.schema[c].dataType.simpleString() for c in ("id", "label")}
+    schema = f"id {kind['id']}, label {kind['label']}, id2 {kind['id']}, label2 {kind['label']}, d double"
+
+    def met(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("id")  # equal distances stay in this order
+        x, y = (t.column("vec").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1)) for t in (a, b))
+        one, two = (t.column("id").to_numpy() for t in (a, b))
+        rows, cols, gaps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for s in range(0, len(x) if len(y) else 0, 16):
+            d = np.round(np.sqrt(((x[s : s + 16, None] - y) ** 2).sum(-1)), 9)
+            d[one[s : s + 16, None] == two] = np.inf
+            at = np.argsort(d, axis=1, kind="stable")[:, :k]
+            gap = np.take_along_axis(d, at, 1)
+            i, j = np.nonzero(np.isfinite(gap))
+            rows.append(s + i), cols.append(at[i, j]), gaps.append(gap[i, j])
+        a, b = a.take(np.concatenate(rows)), b.take(np.concatenate(cols))
+        return pa.table([a["id"], a["label"], b["id"], b["label"], pa.array(np.concatenate(gaps))], names=["id", "label", "id2", "label2", "d"])
+
+    near = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(met, schema)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "id2"))  # k rows for each block of the reference
+    return near.withColumn("k", place).where(F.col("k") <= k).drop("k")
+
+
 def knn_classify(query: DataFrame, reference: DataFrame, k: int = 5) -> DataFrame:
-    """Majority vote of the k nearest by Euclidean distance over (id, vec, label). The reference set is a checked small
-    table; every query row is compared with all of it."""
-    gap = F.aggregate(F.zip_with("vec", "vec2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    ref = reference.select(F.col("id").alias("id2"), F.col("vec").alias("vec2"), F.col("label").alias("label2"))
-    near = query.join(ref, F.lit(True)).where("id <> id2").select("id", "label", "id2", "label2", F.round(F.sqrt(gap), 9).alias("d"))
-    top = near.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("d", "id2"))).where(F.col("k") <= k)
-    votes = top.groupBy("id", "label", "label2").agg(F.count("*").alias("n"))
+    """Majority vote of the k nearest; the lesser label wins ties."""
+    votes = nearest(query, reference, k).groupBy("id", "label", "label2").agg(F.count("*").alias("n"))
     return votes.groupBy("id", "label").agg(F.max_by("label2", F.struct("n", -F.col("label2"))).alias("pred"), r6(100.0 * F.max("n") / k, "confidence"))
 
 
+def soft_vote(votes: DataFrame) -> DataFrame:
+    """(id, label, share) of greatest weighted probability from votes(id, label, weight, confidence, probs): probs is a map
+    of label to probability; without it the confidence in percent (50 where unknown) counts for the label. The smaller
+    label wins ties."""
+    sure = F.create_map(F.col("label"), F.coalesce("confidence", F.lit(50)) / 100.0)
+    each = votes.select("id", "weight", F.explode(F.coalesce("probs", sure)).alias("label", "p"))
+    n = each.groupBy("id", "label").agg(F.round(F.sum(F.col("weight") * F.col("p")), 9).alias("w"))
+    return n.groupBy("id").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label"), r6(F.max("w") / F.sum("w"), "share"))
+
+
 def hard_vote(votes: DataFrame) -> DataFrame:
     """(id, label) of greatest total weight from votes(id, label, weight); the smaller label wins ties."""
     n = votes.groupBy("id", "label").agg(F.round(F.sum("weight"), 9).alias("w"))

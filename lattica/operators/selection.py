@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.tables import halved_up, mean6, micro, over, r6
+from lattica.operators.features import cosine_similarity
 from lattica.operators.matrix import D, X, average_rank, rank_by_type
 
 
@@ -238,3 +239,18 @@ def fused_pairs(best: DataFrame) -> DataFrame:
     return a.join(b, D).where("a < b").select(D, "a", "b", r6((F.col("x") + F.col("y")) / 2, "acc"))
 
 
+
+
+def similar_experiences(asked: DataFrame, known: DataFrame, n: int = 5) -> DataFrame:
+    """(query_id, id, rank, similarity): the n experiences most alike each row of asked(query_id, object_type, h0, h1, a0,
+    a1, ratio) by the cosine of [ln(1 + h0), ln(1 + h1), 100 a0, 100 a1, ratio]; an unknown ratio is 1. Only those of the same
+    object type count, or all of known(id, object_type, ...) where a type has none."""
+    vec = F.array(F.log1p("h0"), F.log1p("h1"), 100.0 * F.col("a0"), 100.0 * F.col("a1"), F.coalesce("ratio", F.lit(1.0)))
+    q, e = asked.select("query_id", F.col("object_type").alias("own"), vec.alias("x")), known.select("id", "object_type", vec.alias("y"))
+    types = known.select("object_type").distinct().withColumn("found", F.lit(True))
+    q = q.join(types, q["own"] == types["object_type"], "left").select("query_id", "own", "x", F.coalesce("found", F.lit(False)).alias("found"))
+    same = q.where("found").join(e, F.col("own") == F.col("object_type"))
+    rest = q.where("not found").join(e)  # stated queries of unknown type against all
+    got = same.unionByName(rest).select("query_id", "id", F.round(cosine_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return got.withColumn("rank", rank).where(F.col("rank") <= n)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.functions.tables import r6
-from lattica.operators import diagram, matrix, persistence
+from lattica.operators import diagram, matrix, persistence, selection
 from lattica.sources import views
 from lattica.sources.views import GRIDS
 
@@ -47,12 +47,36 @@ def _r(x: str) -> str:
 
 
 Q = "quantile_cont(p, {})"
+_corr = lambda a, b: f"CASE WHEN stddev_pop({a}) >= 1e-10 AND stddev_pop({b}) >= 1e-10 THEN corr({a}, {b}) ELSE 0 END"
+D3 = f"""WITH {BARS}, m AS (SELECT *, p - avg(p) OVER k AS e, min(p) OVER k AS lo, (max(p) OVER k - min(p) OVER k) / 20 AS width, count(*) OVER k AS n FROM bars WINDOW k AS (PARTITION BY image_id, hdim)),
+ c AS (SELECT image_id, hdim, width, n, least(floor((p - lo) / width), 19) AS bin, count(*) AS k FROM m GROUP BY ALL), b AS (SELECT *, k / (n * width) AS h FROM c), x AS (SELECT image_id, hdim, -sum(h * ln(h + 1e-10)) AS entropy FROM b GROUP BY ALL),
+ g AS (SELECT image_id, hdim, {_r("count=count(*);mean=avg(p);std=stddev_pop(p);median=quantile_cont(p, 0.5);min=min(p);max=max(p);iqr=quantile_cont(p, 0.75) - quantile_cont(p, 0.25);q25=quantile_cont(p, 0.25);q75=quantile_cont(p, 0.75);sum=sum(p);range=max(p) - min(p)")},
+ round(avg(e ** 3) / power(avg(e ** 2), 1.5) * 16 / 6.0, 6) AS skewness, round(avg(e ** 4) / power(avg(e ** 2), 2) - 3, 6) AS kurtosis,
+ {_r("birth_mean=avg(birth);birth_std=stddev_pop(birth);death_mean=avg(death);death_std=stddev_pop(death);midlife_mean=avg((birth + death) / 2);midlife_std=stddev_pop((birth + death) / 2);amplitude=max(death) - min(birth);weighted_birth=sum(birth * p) / sum(p);weighted_death=sum(death * p) / sum(p);sum_squares=sum(p * p);sum_cubes=sum(p * p * p);sum_logs=sum(ln(p + 1e-10))")},
+ round({_corr("birth", "death")}, 6) AS birth_death_corr, round({_corr("birth", "p")}, 6) AS birth_p_corr, round({_corr("death", "p")}, 6) AS death_p_corr FROM m GROUP BY ALL)
+ SELECT g.*, round(x.entropy, 6) AS entropy FROM g JOIN x USING (image_id, hdim)"""
+K7 = f"""WITH {BARS}, f AS (SELECT image_id, ln(1 + count(*) FILTER (WHERE hdim = 0)) AS a, ln(1 + count(*) FILTER (WHERE hdim = 1)) AS b, 100 * avg(p) FILTER (WHERE hdim = 0) AS c, 100 * avg(p) FILTER (WHERE hdim = 1) AS d FROM bars GROUP BY 1),
+ e AS (SELECT f.*, label FROM f JOIN embeddings ON vec_id = image_id), q AS (SELECT image_id AS query_id, a, b, c, d, CASE WHEN image_id % 100 = 0 THEN 99 ELSE label END AS own FROM e WHERE image_id % 20 = 0),
+ s AS (SELECT query_id, image_id AS id, round((q.a * e.a + q.b * e.b + q.c * e.c + q.d * e.d + 1) / (sqrt(q.a ** 2 + q.b ** 2 + q.c ** 2 + q.d ** 2 + 1) * sqrt(e.a ** 2 + e.b ** 2 + e.c ** 2 + e.d ** 2 + 1)), 6) AS similarity FROM q JOIN e ON own = label OR own = 99)
+ SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5"""
+
+
+def _similar(s, d):
+    x = diagram.ph_profile(bars(s, d), views.image_labels(s, d)).join(views.image_labels(s, d), I)
+    own = F.when(F.col(I) % 100 == 0, 99).otherwise(F.col("label"))
+    x = x.select(I, own.alias("asked"), F.col("label").alias("object_type"), F.col("h0_count").alias("h0"), F.col("h1_count").alias("h1"), F.col("h0_avg").alias("a0"), F.col("h1_avg").alias("a1"), F.lit(None).cast("double").alias("ratio"))
+    asked = x.where(F.col(I) % 20 == 0).drop("object_type").withColumnsRenamed({I: "query_id", "asked": "object_type"})
+    return selection.similar_experiences(asked, x.drop("asked").withColumnRenamed(I, "id"))
+
+
 QUERIES = {
     "h1_persistence": (lambda s, d: _round(real(s, d)[0], K), None),
     "h3_superlevel": (lambda s, d: _round(persistence.persistence(views.grids(s, d), "superlevel"), K), None),
     "d1_topological_features": (_on(diagram.topological_features, ints=("n",)), f"""WITH {BARS}, s AS (SELECT *, p / sum(p) OVER (PARTITION BY image_id, hdim) AS q FROM bars) SELECT image_id, hdim, count(*) AS n,
  {_r("total=sum(p);mean=avg(p);std=stddev_pop(p);max=max(p);min=min(p);median=quantile_cont(p, 0.5);p25=quantile_cont(p, 0.25);p75=quantile_cont(p, 0.75);iqr=quantile_cont(p, 0.75) - quantile_cont(p, 0.25);p90=quantile_cont(p, 0.9);l2=sqrt(sum(p * p));range=max(p) - min(p);entropy=-sum(q * ln(q + 1e-10));entropy_norm=-sum(q * ln(q + 1e-10)) / ln(count(*));amplitude=max(p) / (max(birth) - min(birth));birth_mean=avg(birth);death_mean=avg(death);mid_mean=avg((birth + death) / 2)")} FROM s GROUP BY image_id, hdim"""),
     "d2_total_persistence": (_on(diagram.total_persistence_stats), f"""WITH {BARS}, m AS (SELECT *, p - avg(p) OVER (PARTITION BY image_id, hdim) AS e FROM bars) SELECT image_id, hdim, {_r("l1=sum(p);l2=sqrt(sum(p * p));lp=power(sum(power(p, 3)), 1 / 3.0::DOUBLE);linf=max(p);skew=avg(e ** 3) / power(avg(e ** 2), 1.5) * 16 / 6.0;kurtosis=avg(e ** 4) / power(avg(e ** 2), 2) - 3")} FROM m GROUP BY image_id, hdim"""),
+    "d3_persistence_statistics": (_on(diagram.persistence_statistics), D3),
+    "k7_similar_experiences": (lambda s, d: _similar(s, d), K7),
     "d4_carlsson": (_on(diagram.carlsson_coordinates), f"WITH {BARS} SELECT image_id, hdim, {_r('f1=sum(p);f2=sum(p * p);f3=max(p);f4=sum(birth * p)')} FROM bars GROUP BY image_id, hdim"),
     "d5_tropical": (_on(diagram.tropical_coordinates, keys=[*K, "rank"], k=3), f"WITH {BARS} SELECT image_id, hdim, CAST(row_number() OVER (PARTITION BY image_id, hdim ORDER BY p DESC, birth) AS INTEGER) AS rank, {_r('birth=birth;death=death;pers=p;mid=(birth + death) / 2')} FROM bars QUALIFY rank <= 3"),
     "d7_entropy_curve": (_on(diagram.persistence_entropy, keys=[*K, "k"]), f"WITH {BARS}, {T}, a AS (SELECT b.*, k, p / sum(p) OVER (PARTITION BY b.image_id, b.hdim, k) AS q FROM bars b JOIN ts ON ts.image_id = b.image_id AND birth <= t AND t <= death) SELECT s.image_id, s.hdim, s.k, round(coalesce(0 - sum(q * ln(q)), 0), 6) AS entropy FROM spine s LEFT JOIN a ON a.image_id = s.image_id AND a.hdim = s.hdim AND a.k = s.k GROUP BY ALL"),

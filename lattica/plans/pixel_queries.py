@@ -127,4 +127,5 @@ SELECT image_id, round(sum(a) FILTER (WHERE power(CASE WHEN i > 3 THEN i - 8 ELS
     "f1_feature_quality": (_quality, QUALITY),
     "f3_sanitize_fit": (lambda s, d: read(s, d, "embeddings").select(F.col("vec_id").alias(I), features.fit_length(features.sanitize(F.col("embedding").cast("array<double>")), 66).alias("vec")).select(I, F.size("vec").alias("n"), r6(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), "total")), "SELECT vec_id AS image_id, 66 AS n, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings"),
     "f10_cosine": (lambda s, d: (lambda e: e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", r6(features.cosine_similarity(F.col("embedding").cast("array<double>"), F.col("other").cast("array<double>")), "cosine")))(read(s, d, "embeddings")), "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"),
+    "f13_vector_summary": (lambda s, d: features.vector_summary(read(s, d, "embeddings").select(F.col("vec_id").alias(I), F.col("embedding").cast("array<double>").alias("vec"))).select(I, "length", *[r6(c, c) for c in ("mean", "std", "max", "min")]), "SELECT vec_id AS image_id, len(embedding) AS length, round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(list_stddev_pop(embedding::DOUBLE[]), 6) AS std, round(list_max(embedding::DOUBLE[]), 6) AS max, round(list_min(embedding::DOUBLE[]), 6) AS min FROM embeddings"),
 }

@@ -62,6 +62,13 @@ def _convs(s, d):
     return read(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
 
 
+def _soft(s, d):
+    e = F.col("event_id")
+    probs = F.create_map(*[x for k in range(4) for x in (F.lit(k).cast("bigint"), (e + k) % 4 / 6.0)])
+    votes = read(s, d, "events").select(F.col("user_id").alias("id"), (e % 4).cast("bigint").alias("label"), (1 + e % 3).cast("double").alias("weight"), F.when(e % 7 != 0, e % 101).alias("confidence"), F.when(e % 5 != 0, probs).alias("probs"))
+    return votes
+
+
 S, B = f"WITH {SELECTIONS} ", f"WITH {BEST} "
 Qr = {
     "r1_best_cell": (best, B + "SELECT * FROM best"),
@@ -106,6 +113,9 @@ Qr = {
     "m5_knn": (lambda s, d: (lambda e: sc.knn_classify(e, e))(read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")), """WITH p AS (SELECT a.vec_id AS id, a.label, b.vec_id AS id2, b.label AS label2, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, id2) <= 5), v AS (SELECT id, label, label2, count(*) AS n FROM t GROUP BY ALL)
  SELECT id, label, label2 AS pred, round(100.0 * n / 5, 6) AS confidence FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label2) = 1"""),
     "m6_hard_vote": (lambda s, d: sc.hard_vote(read(s, d, "events").select(F.col("user_id").alias("id"), (F.col("event_id") % 4).alias("label"), (1 + F.col("event_id") % 3).cast("double").alias("weight"))), "WITH v AS (SELECT user_id AS id, event_id % 4 AS label, sum(1 + event_id % 3) AS w FROM events GROUP BY ALL) SELECT id, label, round(w / sum(w) OVER (PARTITION BY id), 6) AS share FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1"),
+    "m6_soft_vote": (lambda s, d: sc.soft_vote(_soft(s, d)), """WITH v AS (SELECT user_id AS id, event_id % 4 AS label, 1 + event_id % 3 AS w, event_id AS e, CASE WHEN event_id % 7 = 0 THEN 50 ELSE event_id % 101 END AS conf FROM events),
+ p AS (SELECT id, k AS label, w * ((e + k) % 4) / 6.0::DOUBLE AS s FROM v, (SELECT unnest(range(4)) AS k) WHERE e % 5 <> 0 UNION ALL SELECT id, label, w * conf / 100.0::DOUBLE FROM v WHERE e % 5 = 0),
+ t AS (SELECT id, label, round(sum(s), 9) AS s FROM p GROUP BY ALL) SELECT id, label, round(s / sum(s) OVER (PARTITION BY id), 6) AS share FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, label) = 1"""),
     "m7_fold_metrics": (lambda s, d: sc.fold_metrics(views.predictions(s, d)), f"WITH {PREDICTIONS}, c AS (SELECT fold, truth, count(*) FILTER (WHERE truth = pred) AS tp, count(*) AS n FROM preds GROUP BY ALL) SELECT fold, round(sum(tp) / sum(n), 6) AS accuracy, round(avg(tp / n), 6) AS balanced_accuracy FROM c GROUP BY 1"),
     "m8_cell_summary": (lambda s, d: sc.cell_summary(views.fold_results(s, d)), f"WITH {CELLS} SELECT dataset, descriptor, classifier, {mean6_sql('acc')} AS mean_acc, {std6_sql('acc')} AS std_acc, list(round(acc, 6) ORDER BY fold) AS folds FROM folds GROUP BY ALL"),
     "m9_confusion_report": (lambda s, d: sc.confusion_report(views.predictions(s, d)), f"""WITH {PREDICTIONS}, k AS (SELECT unnest([0, 1])::INT AS class), c AS (SELECT class, (SELECT count(*) FROM preds WHERE truth = class) AS support, (SELECT count(*) FROM preds WHERE truth = class AND pred = class) AS tp, (SELECT count(*) FROM preds WHERE pred = class) AS predicted FROM k)
