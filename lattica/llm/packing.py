@@ -212,9 +212,10 @@ def local_search(bins: list[list[int]], size: list[int], limit: int) -> list[lis
 
     for at in range(len(bins)):
         file(at)
-    waiting = {at for at in range(len(bins)) if 0 < fill[at] < limit}
+    waiting, all_wait = set(range(len(bins))), True
     while waiting:
         changed: set[int] = set()
+        waiting = {at for at in waiting if 0 < fill[at] < limit}
         for giver in sorted(waiting, key=lambda at: (fill[at], at)):
             while bins[giver] and fill[giver] < limit:
                 room, best = limit - fill[giver], None
@@ -241,7 +242,8 @@ def local_search(bins: list[list[int]], size: list[int], limit: int) -> list[lis
                     fill[at] = sum(size[i] for i in bins[at])
                     file(at)
                     changed.add(at)
-        waiting = {at for at in changed if 0 < fill[at] < limit}
+        # changed bins give again; once these are done all bins do, as they may have new takers
+        waiting, all_wait = (changed, False) if changed or all_wait else (set(range(len(bins))), True)
     return [b for b in bins if b]
 
 
