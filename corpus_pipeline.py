@@ -1,10 +1,15 @@
-"""A corpus pipeline of five stages; each works on all that the stage before it kept."""
+"""A corpus pipeline of five stages; each works on all that the stage before it kept.
+
+Defined cases for every stage: a null text counts as empty, an empty or null text is neither toxic nor a copy nor
+contaminated; null ids and other null columns are carried along; very long texts are read whole; an empty table gives an
+empty result; extra columns are carried along by all stages but the last, whatever their names. Rows of the same id and
+text are one row after the stage of near copies and stay apart in the others.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, jaccard, packing, secrets, toxicity
 from lattica.llm.common import Scratch, table
@@ -14,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go. Labels are learned from all labelled rows."""
     p = toxicity.PARAMETERS
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), **p)
-    return toxicity.score(docs, model, p["bits"]).where(F.col("toxic_score") < 0.5).select(*docs.columns)
+    return toxicity.without_toxic(docs, model, p["bits"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
