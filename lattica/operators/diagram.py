@@ -272,3 +272,60 @@ def atol_fit(diagram: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
         spread = part.select(F.explode(F.array("birth", "p")).alias("x")).agg(F.stddev_pop("x")).first()[0] or 1.0
         rows += [(h, i, float(c[0]), float(c[1]), float(spread)) for i, c in enumerate(KMeans(k=k, seed=seed).fit(part).clusterCenters())]
     return diagram.sparkSession.createDataFrame(rows, "hdim int, k int, cx double, cy double, sigma double")
+
+
+def codebook_fit(diagram: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
+    """centers(k, cx, cy) by one k-means on (birth, persistence) of all dimensions."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    points = diagram.select(array_to_vector(F.array("birth", pers())).alias("features"))
+    rows = [(i, float(c[0]), float(c[1])) for i, c in enumerate(KMeans(k=k, seed=seed).fit(points).clusterCenters())]
+    return diagram.sparkSession.createDataFrame(rows, "k int, cx double, cy double")
+
+
+def persistence_image_qc(diagram: DataFrame, image: DataFrame, images: DataFrame, least: float = 0.01) -> DataFrame:
+    """Share of places of a persistence image(image_id, .., value) that are not 0, with a flag below `least`, whether the
+    diagram is empty, and its longest and mean bar (null where empty)."""
+    filled = image.groupBy(I).agg(F.avg((F.col("value") != 0).cast("int")).alias("nonzero_ratio"))
+    scale = diagram.groupBy(I).agg(F.max(pers()).alias("dominant_scale"), F.avg(pers()).alias("mean_persistence"))
+    got = images.select(I).distinct().join(filled, I, "left").join(scale, I, "left").na.fill(0.0, ["nonzero_ratio"])
+    return got.withColumn("low_persistence", F.col("nonzero_ratio") < least).withColumn("empty", F.col("dominant_scale").isNull())
+
+
+#: Places of a dimension in the older layout; the rest are 0.
+PILOT_LENGTH = 25
+
+
+def pilot_statistics(diagram: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, vec): the older layout of 15 statistics for each of H0 and H1, each padded to 25 places."""
+    d = diagram.withColumn("p", pers())
+    d = d.withColumn("share", F.col("p") / (F.sum("p").over(over(*KEY)) + 1e-10))
+    q = lambda x: F.expr(f"percentile(p, {x})")
+    spread = lambda c: [F.avg(c), F.stddev_pop(c)]
+    lifetimes = [*spread("p"), q(0.5), q(0.25), q(0.75), F.max("p") - F.min("p"), F.min("p"), F.max("p"), F.count("*"), F.sum("p")]
+    entropy = -F.sum(F.col("share") * F.log(F.col("share") + 1e-10))
+    values = [*lifetimes, *spread("birth"), *spread("death"), entropy]
+    got = d.groupBy(*KEY).agg(F.array(*[v.cast("double") for v in values]).alias("vec"))
+    pad = F.array_repeat(F.lit(0.0), PILOT_LENGTH)
+    each = spine(diagram, images).join(got, KEY, "left").select(*KEY, F.slice(F.concat(F.coalesce("vec", pad), pad), 1, PILOT_LENGTH).alias("vec"))
+    both = each.groupBy(I).agg(F.array_sort(F.collect_list(F.struct("hdim", "vec"))).alias("parts"))
+    return both.select(I, F.flatten(F.col("parts.vec")).alias("vec"))
+
+
+def cubical_summary(diagram: DataFrame, grid: DataFrame) -> DataFrame:
+    """Cells and shape of each image, bars of H0 and H1, and Betti numbers of the whole complex: the bars that never die
+    (death null)."""
+    size = grid.groupBy(I).agg(F.count("*").alias("n_cells"), (F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
+    of = lambda h, cond: F.count_if((F.col("hdim") == h) & cond)
+    bars = diagram.groupBy(I).agg(*[of(h, c).alias(f"{n}{h}") for h in (0, 1) for n, c in (("h", F.lit(True)), ("b", F.col("death").isNull()))])
+    return size.join(bars, I, "left").na.fill(0)
+
+
+def threshold_components(diagram: DataFrame, grid: DataFrame, n: int = 20) -> DataFrame:
+    """(image_id, k, t, components): components of the pixels up to n even thresholds, counted as bars of H0 alive there.
+    A bar makes at most n rows, counted before they are shuffled."""
+    span = grid.groupBy(I).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = span.join(small(grid.sparkSession, n, "k")).select(I, "k", (F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (n - 1)).alias("t"))
+    alive = (F.col("birth") <= F.col("t")) & (F.col("death").isNull() | (F.col("death") > F.col("t")))
+    return at.join(diagram.where("hdim = 0"), I, "left").groupBy(I, "k", "t").agg(F.count_if(F.coalesce(alive, F.lit(False))).alias("components"))
