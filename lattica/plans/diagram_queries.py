@@ -60,6 +60,12 @@ K7 = f"""WITH {BARS}, f AS (SELECT image_id, ln(1 + count(*) FILTER (WHERE hdim
  s AS (SELECT query_id, image_id AS id, round((q.a * e.a + q.b * e.b + q.c * e.c + q.d * e.d + 1) / (sqrt(q.a ** 2 + q.b ** 2 + q.c ** 2 + q.d ** 2 + 1) * sqrt(e.a ** 2 + e.b ** 2 + e.c ** 2 + e.d ** 2 + 1)), 6) AS similarity FROM q JOIN e ON own = label OR own = 99)
  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5"""
 
+_place = "cos(q * pi() / 8 - pi() / 2) * x + sin(q * pi() / 8 - pi() / 2) * y"
+_side = lambda own, other: f"SELECT a, b, hdim, birth AS x, death AS y, '{own}' AS side FROM pairs JOIN bars ON image_id = {own} UNION ALL SELECT a, b, hdim, (birth + death) / 2, (birth + death) / 2, '{own}' FROM pairs JOIN bars ON image_id = {other}"
+D19 = f"""WITH {BARS}, pairs AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings), pts AS ({_side("a", "b")} UNION ALL {_side("b", "a")}), pr AS (SELECT a, b, hdim, q, side, {_place} AS p FROM pts, (SELECT unnest(range(8)) AS q)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY a, b, hdim, q, side ORDER BY p) AS k FROM pr), g AS (SELECT a, b, hdim, q, k, max(p) FILTER (WHERE side = 'a') - max(p) FILTER (WHERE side = 'b') AS gap FROM n GROUP BY ALL)
+ SELECT a, b, hdim, round(sum(abs(gap)) / 8, 6) AS distance FROM g GROUP BY ALL"""
+
 
 def _similar(s, d):
     x = diagram.ph_profile(bars(s, d), views.image_labels(s, d)).join(views.image_labels(s, d), I)
@@ -94,7 +100,7 @@ QUERIES = {
  count(*) FILTER (WHERE hdim = 1) AS b1, count(*) FILTER (WHERE hdim = 1 AND p >= 0.9) AS b1_long, count(*) FILTER (WHERE hdim = 1 AND birth <= 0.5 AND death > 0.5) AS b1_alive FROM bars GROUP BY 1) SELECT *, round(b1 / greatest(b0, 1), 6) AS ratio, b0 - b1 AS chi, b0_long - b1_long AS chi_long FROM c"""),
     "d17_significant": (lambda s, d: diagram.significant(bars(s, d)).select(*K, "n_significant", F.transform("top", lambda x: F.round(x, 5)).alias("top")), f"WITH {BARS}, c AS (SELECT image_id, hdim, quantile_cont(p, 0.5) + stddev_pop(p) AS cut FROM bars GROUP BY ALL) SELECT image_id, hdim, count(*) FILTER (WHERE p > cut) AS n_significant, list_transform((list_sort(list(p), 'DESC'))[1:5], lambda x: round(x, 5)) AS top FROM bars JOIN c USING (image_id, hdim) GROUP BY ALL"),
     "d18_diagonal_distance": (_on(diagram.diagonal_distance), f"WITH {BARS} SELECT image_id, hdim, {_r('wasserstein=sqrt(sum(p * p / 2));bottleneck=max(p) / 2')} FROM bars GROUP BY ALL"),
-    "d19_sliced_distance": (lambda s, d: _round(diagram.sliced_distance(views.image_labels(s, d).select(F.col(I).alias("a"), (F.col(I) + 1).alias("b")), bars(s, d)), ["a", "b", "hdim"]), None),
+    "d19_sliced_distance": (lambda s, d: _round(diagram.sliced_distance(views.image_labels(s, d).select(F.col(I).alias("a"), (F.col(I) + 1).alias("b")), bars(s, d)), ["a", "b", "hdim"]), D19),
     "d20_ph_profile": (lambda s, d: _round(diagram.ph_profile(bars(s, d), views.image_labels(s, d)), [I], ("h0_count", "h1_count")), f"WITH {BARS} SELECT image_id, " + ", ".join(f"count(*) FILTER (WHERE hdim = {h}) AS h{h}_count, round(max(p) FILTER (WHERE hdim = {h}), 6) AS h{h}_max, round(avg(p) FILTER (WHERE hdim = {h}), 6) AS h{h}_avg" for h in (0, 1)) + " FROM bars GROUP BY 1"),
     "k1_ph_signals": (lambda s, d: (lambda x: matrix.ph_signals(diagram.ph_profile(x[0], x[1])))(real(s, d)), None),
 }

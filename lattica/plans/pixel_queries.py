@@ -66,6 +66,23 @@ SELECT image_id, count(*) AS n, round(100 * avg(CAST(abs(x) < 1e-10 AS INTEGER))
  round(avg(e ** 4) / power(avg(e ** 2), 2) - 3, 6) AS kurtosis, round(avg(e ** 3) / power(avg(e ** 2), 1.5), 6) AS skew, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr,
  count(*) FILTER (WHERE e * e > 0.01 * t / k) AS n_informative, count(*) FILTER (WHERE abs(e) < 1e-12) AS n_constant FROM y GROUP BY image_id"""
 
+
+def _labelled(fg: int, near: str) -> str:
+    """SQL of lab(image_id, r, c, label): components of the pixels of a kind, by which pixels reach which."""
+    return f"""WITH RECURSIVE {GRIDS}, {OTSU}, px AS MATERIALIZED (SELECT image_id, r, c FROM mask WHERE fg = {fg}),
+reach AS (SELECT image_id, r, c, r * 8 + c AS start FROM px UNION SELECT p.image_id, p.r, p.c, reach.start FROM reach JOIN px p ON p.image_id = reach.image_id AND {near}),
+lab AS (SELECT image_id, r, c, min(start) AS label FROM reach GROUP BY ALL)"""
+
+
+NEAR8 = "abs(p.r - reach.r) <= 1 AND abs(p.c - reach.c) <= 1"
+NEAR4 = "abs(p.r - reach.r) + abs(p.c - reach.c) <= 1"
+SIZES = f"{_labelled(1, NEAR8)}, sizes AS (SELECT image_id, label, count(*) AS size FROM lab GROUP BY ALL)"
+EULER_TRANSFORM = f"""WITH {GRIDS}, {OTSU}, proj AS (SELECT image_id, d, r, c, round(cos(d * pi() / 4) * r + sin(d * pi() / 4) * c, 9) AS p FROM mask, (SELECT CAST(unnest(range(4)) AS INTEGER) AS d) WHERE fg = 1),
+steps AS (SELECT *, ceil(round((p - min(p) OVER w) / nullif(max(p) OVER w - min(p) OVER w, 0) * 7, 6)) AS step FROM proj WINDOW w AS (PARTITION BY image_id, d)),
+cells AS (SELECT image_id, d, r * 2 + a AS y, c * 2 + b AS x, 1 - 2 * ((a + b) % 2) AS sign, min(step) AS entry FROM steps, (VALUES (0), (1), (2)) p(a), (VALUES (0), (1), (2)) q(b) WHERE step IS NOT NULL GROUP BY ALL),
+spine AS (SELECT image_id, d, k FROM (SELECT DISTINCT image_id FROM mask), (SELECT CAST(unnest(range(4)) AS INTEGER) AS d), (SELECT CAST(unnest(range(8)) AS INTEGER) AS k))
+SELECT s.image_id, s.d, k, CAST(coalesce(sum(sign) FILTER (WHERE entry <= k), 0) AS BIGINT) AS chi FROM spine s LEFT JOIN cells c ON c.image_id = s.image_id AND c.d = s.d GROUP BY ALL"""
+
 QUERIES = {
     "s4_grid_from_array": (lambda s, d: views.grid_from_array(read(s, d, "embeddings"), 8).select(*V6, r6("v", "v")), "SELECT vec_id AS image_id, p // 8 AS r, p % 8 AS c, round(CAST(embedding[p + 1] AS DOUBLE), 6) AS v FROM (SELECT *, CAST(unnest(range(64)) AS INTEGER) AS p FROM embeddings)"),
     "p1_gray_mean": _gray("mean", "(of_r + of_g + of_b) / 3"),
@@ -94,15 +111,17 @@ SELECT image_id, round(max(t), 6) AS threshold, count(*) FILTER (WHERE v > t) AS
 e AS (SELECT a.image_id, a.id AS a, b.id AS b FROM p a JOIN p b ON a.image_id = b.image_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
 t(image_id, id, reach) AS (SELECT image_id, id, id FROM p UNION SELECT t.image_id, t.id, e.b FROM t JOIN e ON e.image_id = t.image_id AND e.a = t.reach),
 l AS (SELECT image_id, id, min(reach) AS label FROM t GROUP BY ALL) SELECT image_id, label, count(*) AS size FROM l GROUP BY ALL"""),
-    "g3_component_stats": (lambda s, d: components.component_stats(_mask(s, d)).select(I, "n", *[r6(c, c) for c in ("mean", "cv", "largest")]), None),
-    "g4_holes_fill": (lambda s, d: components.holes_and_fill(_mask(s, d)).select(I, "holes", r6("fill_ratio", "fill_ratio")), None),
+    "g3_component_stats": (lambda s, d: components.component_stats(_mask(s, d)).select(I, "n", *[r6(c, c) for c in ("mean", "cv", "largest")]), f"{SIZES}, g AS (SELECT image_id, count(*) AS n, avg(size) AS mean, stddev_pop(size) / avg(size) AS cv, max(size) / sum(size) AS largest FROM sizes GROUP BY 1) SELECT image_id, coalesce(n, 0) AS n, round(coalesce(mean, 0), 6) AS mean, round(coalesce(cv, 0), 6) AS cv, round(coalesce(largest, 0), 6) AS largest FROM (SELECT DISTINCT image_id FROM mask) LEFT JOIN g USING (image_id)"),
+    "g4_holes_fill": (lambda s, d: components.holes_and_fill(_mask(s, d)).select(I, "holes", r6("fill_ratio", "fill_ratio")), f"""{_labelled(0, NEAR4)}, inner_ AS (SELECT image_id, label, count(*) AS size FROM lab GROUP BY ALL HAVING count(*) FILTER (WHERE r IN (0, 7) OR c IN (0, 7)) = 0), h AS (SELECT image_id, count(*) AS holes, sum(size) AS inside FROM inner_ GROUP BY 1), f AS (SELECT image_id, sum(fg) AS fg FROM mask GROUP BY 1)
+SELECT image_id, coalesce(holes, 0) AS holes, round(CASE WHEN fg > 0 THEN (fg + coalesce(inside, 0)) / fg ELSE 0 END, 6) AS fill_ratio FROM f LEFT JOIN h USING (image_id)"""),
     "g5_euler_4": (lambda s, d: grid.euler_number(_mask(s, d), 4), f"""WITH {GRIDS}, {OTSU}, w AS (SELECT image_id, fg, coalesce(lead(fg) OVER a, 0) AS x, coalesce(lead(fg) OVER b, 0) AS y, r, c FROM mask WINDOW a AS (PARTITION BY image_id, r ORDER BY c), b AS (PARTITION BY image_id, c ORDER BY r)),
 z AS (SELECT *, coalesce(lead(y) OVER (PARTITION BY image_id, r ORDER BY c), 0) AS xy FROM w) SELECT image_id, CAST(sum(fg - fg * x - fg * y + fg * x * y * xy) AS BIGINT) AS chi FROM z GROUP BY image_id"""),
     "g5_euler_8": (lambda s, d: grid.euler_number(_mask(s, d), 8), f"""WITH {GRIDS}, {OTSU}, u AS (SELECT DISTINCT image_id, r * 2 + a AS y, c * 2 + b AS x, 1 - 2 * ((a + b) % 2) AS sign FROM mask, (VALUES (0), (1), (2)) p(a), (VALUES (0), (1), (2)) q(b) WHERE fg = 1)
 SELECT image_id, CAST(sum(sign) AS BIGINT) AS chi FROM u GROUP BY image_id"""),
-    "g6_betti": (lambda s, d: (lambda m: components.betti_estimate(components.component_stats(m), grid.euler_number(m, 8)))(_mask(s, d)), None),
+    "g6_betti": (lambda s, d: (lambda m: components.betti_estimate(components.component_stats(m), grid.euler_number(m, 8)))(_mask(s, d)), f"""{SIZES}, u AS (SELECT DISTINCT image_id, r * 2 + a AS y, c * 2 + b AS x, 1 - 2 * ((a + b) % 2) AS sign FROM mask, (VALUES (0), (1), (2)) p(a), (VALUES (0), (1), (2)) q(b) WHERE fg = 1), e AS (SELECT image_id, CAST(sum(sign) AS BIGINT) AS chi FROM u GROUP BY 1), n AS (SELECT image_id, count(*) AS b0 FROM sizes GROUP BY 1)
+SELECT image_id, b0, greatest(0, b0 - chi) AS b1, chi FROM n JOIN e USING (image_id)"""),
     "g7_euler_curve": (lambda s, d: grid.euler_curve(views.grids(s, d)).select(I, "k", r6("t", "t"), "chi"), f"WITH {GRIDS}, {CELLS}, k AS (SELECT CAST(unnest(range(32)) AS INTEGER) AS k) SELECT i.image_id, k.k, round(k.k / 31, 6) AS t, CAST(coalesce(sum(sign) FILTER (WHERE floor(entry * 31) + 1 <= k.k), 0) AS BIGINT) AS chi FROM (SELECT DISTINCT image_id FROM grids) i CROSS JOIN k JOIN cells c ON c.image_id = i.image_id GROUP BY ALL"),
-    "g8_euler_transform": (lambda s, d: grid.euler_transform(_mask(s, d), 4, 8), None),
+    "g8_euler_transform": (lambda s, d: grid.euler_transform(_mask(s, d), 4, 8), EULER_TRANSFORM),
     "g9_voxel_euler": (lambda s, d: grid.anisotropy_faces(views.voxels(s, d)), """WITH g0 AS (SELECT vec_id AS image_id, CAST(unnest(range(64)) AS INTEGER) AS p, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
 o AS (SELECT image_id, p // 16 AS z, p // 4 % 4 AS y, p % 4 AS x, CAST((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) > 0.5 AS INTEGER) AS o FROM g0 WINDOW w AS (PARTITION BY image_id)),
 f AS (SELECT * FROM o WHERE o = 1), n AS (SELECT f.image_id, f.z, f.y, f.x, list(struct_pack(a := q.z - f.z, b := q.y - f.y, c := q.x - f.x)) AS n FROM f JOIN f q ON q.image_id = f.image_id AND q.z - f.z IN (0, 1) AND q.y - f.y IN (0, 1) AND q.x - f.x IN (0, 1) GROUP BY ALL),
@@ -116,7 +135,8 @@ SELECT image_id, t, round(avg(o), 6) AS volume, round(avg(o * (1 - x * l * y * u
     "g13_lacunarity": (lambda s, d: grid.lacunarity(_mask(s, d)).select(I, r6("lacunarity", "lacunarity")), f"WITH {GRIDS}, {OTSU}, b AS (SELECT a.image_id, a.r, a.c, sum(b.fg) AS m FROM mask a JOIN mask b ON b.image_id = a.image_id AND b.r - a.r IN (0, 1) AND b.c - a.c IN (0, 1) WHERE a.r < 7 AND a.c < 7 GROUP BY ALL) SELECT image_id, round(CASE WHEN avg(m) > 0 THEN var_pop(m) / power(avg(m), 2) + 1 ELSE 1 END, 6) AS lacunarity FROM b GROUP BY image_id"),
     "g14_lbp": (lambda s, d: grid.lbp_histogram(views.grids(s, d), False).select(I, "bin", "n", r6("density", "density")), f"""WITH {GRIDS}, k AS (SELECT * FROM (VALUES {", ".join(f"({a}, {b}, {2**i})" for i, (a, b) in enumerate(grid.RING))}) t(dr, dc, w)), z AS (SELECT g.image_id, g.r, g.c, count(*) AS n, CAST(sum(CASE WHEN h.v >= g.v THEN w ELSE 0 END) AS INTEGER) AS code FROM grids g CROSS JOIN k JOIN grids h ON h.image_id = g.image_id AND h.r = g.r + k.dr AND h.c = g.c + k.dc GROUP BY ALL),
 b AS (SELECT image_id, CASE WHEN n = 8 THEN code ELSE 0 END AS bin, count(*) AS n FROM z GROUP BY ALL) SELECT image_id, bin, n, round(n / 64, 6) AS density FROM b"""),
-    "g14_lbp_uniform": (lambda s, d: grid.lbp_histogram(views.grids(s, d)).select(I, "bin", "n", r6("density", "density")), None),
+    "g14_lbp_uniform": (lambda s, d: grid.lbp_histogram(views.grids(s, d)).select(I, "bin", "n", r6("density", "density")), f"""WITH {GRIDS}, k AS (SELECT * FROM (VALUES {", ".join(f"({a}, {b}, {2**i})" for i, (a, b) in enumerate(grid.RING))}) t(dr, dc, w)), z AS (SELECT g.image_id, g.r, g.c, count(*) AS n, CAST(sum(CASE WHEN h.v >= g.v THEN w ELSE 0 END) AS INTEGER) AS code FROM grids g CROSS JOIN k JOIN grids h ON h.image_id = g.image_id AND h.r = g.r + k.dr AND h.c = g.c + k.dc GROUP BY ALL),
+u AS (SELECT image_id, CASE WHEN bit_count(xor(code, (code % 128) * 2 + code // 128)) <= 2 THEN CAST(bit_count(code) AS INTEGER) ELSE 9 END AS bin FROM (SELECT image_id, CASE WHEN n = 8 THEN code ELSE 0 END AS code FROM z)), b AS (SELECT image_id, bin, count(*) AS n FROM u GROUP BY ALL) SELECT image_id, bin, n, round(n / 64, 6) AS density FROM b"""),
     "g15_edge_histogram": (lambda s, d: grid.edge_histogram(views.grids(s, d)).select(I, "cell", "bin", "n", r6("density", "density")), f"""WITH {GRIDS}, x AS ({_conv(pixels.SOBEL_X)}), y AS ({_conv(pixels.SOBEL_Y)}), g AS (SELECT image_id, r, c, x.v AS gx, y.v AS gy, round(sqrt(x.v * x.v + y.v * y.v), 9) AS m FROM x JOIN y USING (image_id, r, c)), t AS (SELECT image_id, quantile_cont(m, 0.7) AS cut FROM g WHERE m > 0 GROUP BY 1),
 a AS (SELECT image_id, least(r // 4, 1) * 2 + least(c // 4, 1) AS cell, round(atan2(gy, gx), 9) AS th FROM g JOIN t USING (image_id) WHERE m > cut), b AS (SELECT image_id, CAST(cell AS INTEGER) AS cell, CAST(least(floor((CASE WHEN th < 0 THEN th + pi() WHEN th >= pi() THEN th - pi() ELSE th END) / pi() * 8), 7) AS INTEGER) AS bin, count(*) AS n FROM a GROUP BY ALL)
 SELECT *, round(n / (sum(n) OVER (PARTITION BY image_id, cell) * pi() / 8), 6) AS density FROM b"""),
