@@ -26,6 +26,26 @@ def stratified_sample(df: DataFrame, label: str, key: str, n: int, seed: int = 4
     return ranked.join(F.broadcast(quota), label).where("k <= quota").drop("k", "quota")
 
 
+def equal_sample(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n // k rows of each of the k labels, the first n % k labels one more, all rows of a label that has fewer."""
+    count = df.select(label).distinct()
+    place, many = F.row_number().over(Window.orderBy(label)), F.count("*").over(over())  # one row for each label
+    quota = count.select(label, (F.floor(F.lit(n) / many) + (place <= F.lit(n) % many).cast("int")).alias("quota"))
+    ranked = df.withColumn("k", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, key), key)))
+    return ranked.join(F.broadcast(quota), label).where("k <= quota").drop("k", "quota")
+
+
+def proportional_sample(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows (all if there are fewer): each label's rounded share, one row at least, in hash order; rows too many go and
+    missing ones are added in hash order of all rows. Halves are rounded to the even number."""
+    count = df.groupBy(label).agg(F.count("*").alias("size"))
+    share = F.col("size") / F.sum("size").over(over()) * n  # one row for each label
+    quota = count.select(label, F.greatest(F.lit(1), F.bround(share).cast("int")).alias("quota"))
+    ranked = df.withColumn("k", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, key), key)))
+    first = (F.col("k") <= F.col("quota")).alias("first")
+    return ranked.join(F.broadcast(quota), label).orderBy(F.desc(first), hash_order(seed, key), key).limit(n).drop("k", "quota")
+
+
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, key), key)) - 1) % k).cast("int"))
 
@@ -115,12 +135,17 @@ def hard_vote(votes: DataFrame) -> DataFrame:
     return n.groupBy("id").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label"), r6(F.max("w") / F.sum("w"), "share"))
 
 
-def match_label(texts: DataFrame, classes: list[str]) -> DataFrame:
-    """(id, label) of the first class that equals the text or is held by it, else -1."""
+def match_label(texts: DataFrame, classes: list[str], either_way: bool = False) -> DataFrame:
+    """(id, label) of the first class that equals the text or is held by it, else -1. With `either_way` a class that holds
+    the text counts as well (an empty text: the first class), and then a number after the word class."""
     low = F.lower(F.trim(F.coalesce("text", F.lit(""))))
     best = F.lit(-1)
+    if either_way:
+        number = F.regexp_extract(low, r"class[_\s]*(\d+)", 1).try_cast("int")
+        best = F.when(number < len(classes), number).otherwise(best)
     for k in range(len(classes) - 1, -1, -1):
-        best = F.when(low.contains(classes[k].lower()), k).otherwise(best)
+        held = low.contains(classes[k].lower())
+        best = F.when(held | F.lit(classes[k].lower()).contains(low) if either_way else held, k).otherwise(best)
     for k in range(len(classes) - 1, -1, -1):
         best = F.when(low == classes[k].lower(), k).otherwise(best)
     return texts.select("id", best.alias("label"))

@@ -107,6 +107,21 @@ def _codebook_fitted(s, d):
     return diagram.codebook_transform(b, diagram.codebook_fit(b)).select(*K, "k", "n", r6("value", "value"))
 
 
+def _labels(s, d):
+    return read(s, d, "embeddings").select("vec_id", "label")
+
+
+def _matched(s, d):
+    k = F.col("doc_id") % 6
+    told = F.when(k == 0, F.concat(F.lit("Class_"), (F.col("doc_id") % 5).cast("string"))).when(k == 1, F.concat(F.lit("it is class  "), (F.col("doc_id") % 4).cast("string")))
+    told = told.when(k == 2, "ng").when(k == 3, F.concat(F.lit(" "), F.upper("lang"))).when(k == 4, "In French?").otherwise("none")
+    return scoring.match_label(read(s, d, "documents").select(F.col("doc_id").alias("id"), told.alias("text")), CLASS_NAMES, either_way=True)
+
+
+CLASS_NAMES = ["English", "French", "de"]
+RANKED = "r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) AS k FROM embeddings)"
+_names = " ".join(f"WHEN t = '{x.lower()}' THEN {k}" for k, x in enumerate(CLASS_NAMES)) + " " + " ".join(f"WHEN contains(t, '{x.lower()}') OR contains('{x.lower()}', t) THEN {k}" for k, x in enumerate(CLASS_NAMES))
+
 PREDS = f"{PREDICTIONS}, sure AS (SELECT *, CASE WHEN fold <> 0 THEN (doc_id % 50 + 50) / 100.0::DOUBLE END AS confidence FROM preds)"
 CLASSES = f"""{PREDS}, t AS (SELECT fold, truth AS class, count(*) AS support, count(*) FILTER (WHERE truth = pred) AS tp FROM preds GROUP BY ALL), m AS (SELECT fold, pred AS class, count(*) AS predicted FROM preds GROUP BY ALL),
 j AS (SELECT fold, class, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(predicted, 0) AS predicted FROM t FULL JOIN m USING (fold, class)),
@@ -116,6 +131,10 @@ SCALED = """x AS (SELECT vec_id AS id, label, CAST(unnest(range(64)) AS INTEGER)
 z AS (SELECT id, label, list((x - m) / s ORDER BY pos) AS vec FROM x JOIN st USING (pos) GROUP BY ALL)"""
 
 QUERIES = {
+    "m1_equal_sample": (lambda s, d: scoring.equal_sample(_labels(s, d), "label", "vec_id", 103), f"WITH {RANKED}, q AS (SELECT label, 103 // count(*) OVER () + (row_number() OVER (ORDER BY label) <= 103 % count(*) OVER ())::INT AS quota FROM (SELECT DISTINCT label FROM embeddings)) SELECT vec_id, label FROM r JOIN q USING (label) WHERE k <= quota"),
+    "m1_proportional_sample": (lambda s, d: scoring.proportional_sample(_labels(s, d), "label", "vec_id", 103), f"WITH {RANKED}, q AS (SELECT label, greatest(1, CAST(round_even(count(*) / sum(count(*)) OVER () * 103, 0) AS INTEGER)) AS quota FROM embeddings GROUP BY 1) SELECT vec_id, label FROM r JOIN q USING (label) ORDER BY k <= quota DESC, md5('42:' || vec_id), vec_id LIMIT 103"),
+    "m10_match_either_way": (_matched, f"""WITH x AS (SELECT doc_id AS id, lower(trim(CASE doc_id % 6 WHEN 0 THEN 'Class_' || (doc_id % 5) WHEN 1 THEN 'it is class  ' || (doc_id % 4) WHEN 2 THEN 'ng' WHEN 3 THEN ' ' || coalesce(lang, '') WHEN 4 THEN 'In French?' ELSE 'none' END)) AS t FROM documents)
+SELECT id, CAST(CASE {_names} WHEN TRY_CAST(regexp_extract(t, 'class[_\\s]*([0-9]+)', 1) AS INTEGER) < 3 THEN TRY_CAST(regexp_extract(t, 'class[_\\s]*([0-9]+)', 1) AS INTEGER) ELSE -1 END AS INTEGER) AS label FROM x"""),
     "m4_forest": (_cross_validated("forest"), None),
     "m4_logistic": (_cross_validated("logistic"), None),
     "m5_knn_report": (_knn, f"""WITH {SCALED}, p AS (SELECT a.id, a.label, b.id AS id2, b.label AS label2, round(list_distance(a.vec, b.vec), 9) AS d FROM z a JOIN z b ON a.id <> b.id), n AS (SELECT *, 1 / (d + 1e-6) AS w FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, id2) <= 5),
