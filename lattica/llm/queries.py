@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hmm, html, jaccard, langid, packing, quality, secrets, sharding, toxicity
+from . import collocations, decontaminate, hmm, html, jaccard, langid, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_html": html.op9_html,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
     "op8_secrets": secrets.SQL,
     "op10_jaccard": jaccard.SQL,
+    "op13_collocations": collocations.SQL,
 }
