@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, decontaminate, hmm, html, jaccard, langid, packing, pii, quality, secrets, sharding, toxicity
+from . import collocations, decontaminate, gnat, hmm, html, jaccard, langid, packing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_html": html.op9_html,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_gnat": gnat.op11_gnat,
     "op12_pii": pii.op12_pii,
     "op13_collocations": collocations.op13_collocations,
 }
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
     "op8_secrets": secrets.SQL,
     "op10_jaccard": jaccard.SQL,
+    "op11_gnat": gnat.SQL,
     "op13_collocations": collocations.SQL,
 }
