@@ -136,7 +136,7 @@ def _votes(text: str, kind: int, start: int, end: int, holds: bool) -> tuple[int
         gazetteer = 1 if any(digits.startswith(c) for c in CODES) else -1
     elif name == "phone_national":
         form = 1 if 9 <= len(digits) <= 12 else -1
-        gazetteer = 1 if span[0] in "(0" else 0
+        gazetteer = 1 if span[0] in "(0" else -1
     elif name == "iban":
         code = span.replace(" ", "")
         form = 1 if IBAN_LENGTHS.get(code[:2], len(code)) == len(code) else -1
