@@ -94,8 +94,10 @@ def selection_distribution(selections: DataFrame) -> DataFrame:
 def method_summary(got: DataFrame, best: DataFrame) -> DataFrame:
     """Metrics against the single best descriptor: win rate and the share of its gap to the oracle that is closed."""
     sba = best.join(single_best(best).select(X), X).select(D, F.col("acc").alias("sba_acc"))
-    g = got.join(sba, D).groupBy("method").agg(F.count("*").alias("n"), F.avg("acc").alias("m"), F.avg("oracle_acc").alias("o"), F.avg("sba_acc").alias("s"), r6(F.avg((F.col("acc") >= F.col("sba_acc")).cast("int")), "win_rate"))
-    return g.select("method", "n", r6("m", "mean_acc"), "win_rate", r6(F.when(F.col("o") - F.col("s") > 0.005, 100 * (F.col("m") - F.col("s")) / F.nullif(F.col("o") - F.col("s"), F.lit(0.0))), "gap_closed"))
+    total = lambda c, name: F.sum(micro(c)).alias(name)  # noqa: E731 (whole millionths)
+    g = got.join(sba, D).groupBy("method").agg(F.count("*").alias("n"), total("acc", "m"), total("oracle_acc", "o"), total("sba_acc", "s"), r6(F.avg((F.col("acc") >= F.col("sba_acc")).cast("int")), "win_rate"))
+    gap = F.col("o") - F.col("s")
+    return g.select("method", "n", halved_up(F.col("m") / F.col("n"), "mean_acc"), "win_rate", r6(F.when(gap > 5000 * F.col("n"), 100 * (F.col("m") - F.col("s")) / F.nullif(gap, F.lit(0))), "gap_closed"))
 
 
 def win_loss_tie(got: DataFrame, eps: float = 1e-6) -> DataFrame:
@@ -131,12 +133,13 @@ def baseline_by_type(best: DataFrame) -> DataFrame:
 def bootstrap_ci(got: DataFrame, n: int = 200, ci: float = 0.95) -> DataFrame:
     """Percentile interval of resampled means of acc for each method; draws come from md5 of (replicate, draw)."""
     rows = got.withColumn("k", F.row_number().over(Window.partitionBy("method").orderBy(D)) - 1).select("method", "k", "acc")
-    many = rows.groupBy("method").agg(F.count("*").alias("n"), r6(F.avg("acc"), "mean_acc"))
+    many = rows.groupBy("method").agg(F.count("*").alias("n"), mean6("acc", "mean_acc"))
     draws = many.select("method", "n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")).select("method", "n", "rep", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("draw"))
     at = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    means = draws.select("method", "rep", at.alias("k")).join(rows, ["method", "k"]).groupBy("method", "rep").agg(F.avg("acc").alias("m"))
-    lo, hi = (1 - ci) / 2, 1 - (1 - ci) / 2
-    out = means.groupBy("method").agg(r6(F.expr(f"percentile(m, {lo})"), "low"), r6(F.expr(f"percentile(m, {hi})"), "high"))
+    sums = draws.select("method", "rep", "n", at.alias("k")).join(rows, ["method", "k"]).groupBy("method", "rep", "n").agg(F.sum(micro("acc")).alias("m"))
+    # percentiles of whole sums in whole thousandths, divided once
+    end = lambda p, name: halved_up(F.round(F.expr(f"percentile(m, {p})") * 1000) / (1000 * F.first("n")), name)
+    out = sums.groupBy("method").agg(end((1 - ci) / 2, "low"), end(1 - (1 - ci) / 2, "high"))
     return many.join(out, "method").select("method", "mean_acc", "low", "high")
 
 
@@ -173,7 +176,7 @@ def average_rank(df: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
 
 def ranking_stability(best: DataFrame) -> DataFrame:
     """Spearman correlation of each dataset's accuracies with the mean accuracies."""
-    mean = best.groupBy(X).agg(F.round(F.avg("acc"), 9).alias("mean"))
+    mean = best.groupBy(X).agg((F.sum(micro("acc")) / F.count("acc")).alias("mean"))
     r = average_rank(average_rank(best.join(mean, X), "acc", "ra", D), "mean", "rm", D)
     return r.groupBy(D).agg(r6(F.corr("ra", "rm"), "rho"))
 
@@ -188,8 +191,8 @@ def lodo_baselines(best: DataFrame) -> DataFrame:
     """For each held-out dataset: random expectation, and the accuracy of the descriptor that is best on all others."""
     w = over(X)
     n = F.count("*").over(w)
-    rest = best.withColumn("rest", F.round((F.sum("acc").over(w) - F.col("acc")) / F.nullif(n - 1, F.lit(0)), 9))
-    top = rest.groupBy(D).agg(F.max_by(F.struct(X, "acc"), F.struct("rest", F.col(X))).alias("p"), r6(F.avg("acc"), "random_acc"))
+    rest = best.withColumn("rest", (F.sum(micro("acc")).over(w) - micro("acc")) / F.nullif(n - 1, F.lit(0)))
+    top = rest.groupBy(D).agg(F.max_by(F.struct(X, "acc"), F.struct("rest", F.col(X))).alias("p"), mean6("acc", "random_acc"))
     return top.select(D, F.col(f"p.{X}").alias("picked"), r6("p.acc", "picked_acc"), "random_acc")
 
 

@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import halved_up, mean6, micro, over, r6
+from lattica.functions.tables import halved_up, mean6, micro, over, r6, std6
 from lattica.operators.features import cosine_similarity
 from lattica.operators.matrix import D, X, average_rank, rank_by_type
 
 
-def t_interval(got: DataFrame, t_value: float) -> DataFrame:
-    """Mean and its t interval for each method; t_value is the quantile for the degrees of freedom that the caller has."""
-    half = t_value * F.stddev_samp("acc") / F.sqrt(F.count("*"))
-    return got.groupBy("method").agg(r6(F.avg("acc"), "mean"), r6(F.avg("acc") - half, "low"), r6(F.avg("acc") + half, "high"), F.count("*").alias("n"))
+def t_quantile(p: float, df: int) -> float:
+    """Quantile of Student's t with whole degrees of freedom, by bisection on the finite sums of its distribution."""
+    if df < 1:
+        return math.nan
+
+    def below(t: float) -> float:
+        angle = math.atan(t / math.sqrt(df))
+        sine, cosine = math.sin(angle), math.cos(angle)
+        term = total = cosine if df % 2 else 1.0
+        for k in range(3 if df % 2 else 2, df - 1, 2):
+            term *= cosine * cosine * (k - 1) / k
+            total += term
+        middle = 2 / math.pi * (angle + (sine * total if df > 1 else 0.0)) if df % 2 else sine * total
+        return 0.5 + middle / 2
+
+    low, high = 0.0, 1.0
+    while below(high) < p:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if below(mid) < p else (low, mid)
+    return (low + high) / 2
+
+
+def t_interval(got: DataFrame, ci: float = 0.95) -> DataFrame:
+    """Mean and its t interval for each method; one row has no interval. The quantile follows from the number of rows."""
+
+    @F.pandas_udf("double")
+    def quantile(df: pd.Series) -> pd.Series:
+        return df.map({k: t_quantile(1 - (1 - ci) / 2, int(k)) for k in df.unique()})
+
+    x, n = micro("acc"), F.col("n")
+    g = got.groupBy("method").agg(F.count("*").alias("n"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"))
+    half = F.when(n > 1, quantile(n - 1) * F.sqrt((n * F.col("squares") - F.col("total") * F.col("total")).cast("double") / (n - 1)))
+    at = lambda c, name: halved_up(c / n, name)  # noqa: E731 (all from sums of whole millionths)
+    return g.select("method", at(F.col("total"), "mean"), at(F.col("total") - half, "low"), at(F.col("total") + half, "high"), "n")
 
 
 def paired_t(got: DataFrame) -> DataFrame:
@@ -78,9 +113,9 @@ def sweep_sensitivity(trials: DataFrame) -> DataFrame:
     """Mean, spread and count for each value of each parameter, and the range of means, of trials(descriptor, params
     MAP<STRING, STRING>, acc)."""
     long = trials.select(X, F.explode("params").alias("param", "value"), "acc")
-    g = long.groupBy(X, "param", "value").agg(F.avg("acc").alias("m"), F.stddev_pop("acc").alias("s"), F.count("*").alias("n"))
+    g = long.groupBy(X, "param", "value").agg(mean6("acc", "mean"), std6("acc", "std"), F.count("*").alias("n"))
     w = over(X, "param")
-    return g.select(X, "param", "value", r6("m", "mean"), r6("s", "std"), "n", r6(F.max("m").over(w) - F.min("m").over(w), "range"))
+    return g.select(X, "param", "value", "mean", "std", "n", r6(F.max("mean").over(w) - F.min("mean").over(w), "range"))
 
 
 def config_key(params: Column) -> Column:
@@ -106,7 +141,7 @@ def best_dimension(curve: DataFrame, most: int) -> DataFrame:
 
 def color_method_ranking(runs: DataFrame, base: str, least: float = 0.02) -> DataFrame:
     """Mean of runs(method, acc) without failures (negative), rank, and whether a method beats the base by `least`."""
-    g = runs.where("acc >= 0").groupBy("method").agg(r6(F.avg("acc"), "mean_acc"), F.count("*").alias("n"))
+    g = runs.where("acc >= 0").groupBy("method").agg(mean6("acc", "mean_acc"), F.count("*").alias("n"))
     one = g.where(F.col("method") == base).select(F.col("mean_acc").alias("base"))  # one row
     gain = F.round(F.col("mean_acc") - F.col("base"), 6)
     return g.join(F.broadcast(one)).select("method", "mean_acc", "n", gain.alias("gain"), (gain > least).alias("recommended"), F.rank().over(Window.orderBy(F.desc("mean_acc"))).alias("rank"))

@@ -89,19 +89,21 @@ Qr = {
     "r14_selection_distribution": (lambda s, d: m.selection_distribution(selections(s, d)), S + ", c AS (SELECT method, descriptor, count(*) AS n FROM sel GROUP BY ALL) SELECT *, round(100.0 * n / sum(n) OVER (PARTITION BY method), 6) AS percent FROM c"),
     "r15_detail_table": (lambda s, d: scored(s, d).select("method", "dataset", "descriptor", "acc", "oracle", "oracle_acc", r6("regret", "regret"), "is_match"), S + "SELECT method, dataset, descriptor, acc, oracle, oracle_acc, round(regret, 6) AS regret, descriptor = oracle AS is_match FROM sd"),
     "r16_bootstrap_ci": (lambda s, d: m.bootstrap_ci(scored(s, d)), S + """, n AS (SELECT method, dataset, acc, row_number() OVER (PARTITION BY method ORDER BY dataset) - 1 AS k, count(*) OVER (PARTITION BY method) AS n FROM sd), dr AS (SELECT method, n, rep, draw, CAST(('0x' || substr(md5(rep || ':' || draw), 1, 8)) AS BIGINT) % n AS k FROM (SELECT DISTINCT method, n FROM n), (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(1000)) AS draw) WHERE draw < n),
- me AS (SELECT method, rep, avg(acc) AS m FROM dr JOIN n USING (method, k) GROUP BY ALL) SELECT a.method, round(a.mean_acc, 6) AS mean_acc, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM (SELECT method, avg(acc) AS mean_acc FROM sd GROUP BY 1) a JOIN me USING (method) GROUP BY ALL"""),
+ me AS (SELECT method, rep, dr.n, CAST(sum(CAST(round(acc * 1e6) AS BIGINT)) AS BIGINT) AS m FROM dr JOIN n USING (method, k) GROUP BY ALL),
+ mean AS (SELECT method, """ + mean6_sql('acc') + """ AS mean_acc FROM sd GROUP BY 1)
+SELECT method, mean_acc, floor(round(quantile_cont(m, 0.025) * 1000) / (1000 * n) + 0.5) / 1e6 AS low, floor(round(quantile_cont(m, 0.975) * 1000) / (1000 * n) + 0.5) / 1e6 AS high FROM me JOIN mean USING (method) GROUP BY method, mean_acc, n"""),
     "r18_mcnemar": (lambda s, d: m.mcnemar_counts(_pred2(s, d)), f"WITH {PREDICTIONS}, c AS (SELECT count(*) FILTER (WHERE pred = truth AND doc_id % 2 <> truth) AS b, count(*) FILTER (WHERE pred <> truth AND doc_id % 2 = truth) AS c FROM preds) SELECT b, c, round(CASE WHEN b + c > 0 THEN power(abs(b - c) - 1, 2) / (b + c) ELSE 0 END, 6) AS statistic FROM c"),
     "r19_wilcoxon": (lambda s, d: m.wilcoxon_w(scored(s, d), "m1", "m3"), S + ", d AS (SELECT round(x.acc - y.acc, 9) AS d FROM sd x JOIN sd y USING (dataset) WHERE x.method = 'm1' AND y.method = 'm3' AND round(x.acc - y.acc, 9) <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d) SELECT round(coalesce(sum(r) FILTER (WHERE d > 0), 0), 6) AS w_plus, count(*) AS n FROM r"),
-    "r20_method_summary": (lambda s, d: m.method_summary(scored(s, d), best(s, d)), S + f", b1 AS (SELECT descriptor FROM best GROUP BY 1 ORDER BY count(DISTINCT dataset) DESC, {mean6_sql('acc')} DESC, 1 LIMIT 1), sba AS (SELECT dataset, acc AS sa FROM best JOIN b1 USING (descriptor)) SELECT method, count(*) AS n, round(avg(acc), 6) AS mean_acc, round(avg((acc >= sa)::INT), 6) AS win_rate, round(CASE WHEN avg(oracle_acc) - avg(sa) > 0.005 THEN 100 * (avg(acc) - avg(sa)) / (avg(oracle_acc) - avg(sa)) END, 6) AS gap_closed FROM sd JOIN sba USING (dataset) GROUP BY 1"),
+    "r20_method_summary": (lambda s, d: m.method_summary(scored(s, d), best(s, d)), S + f", b1 AS (SELECT descriptor FROM best GROUP BY 1 ORDER BY count(DISTINCT dataset) DESC, {mean6_sql('acc')} DESC, 1 LIMIT 1), sba AS (SELECT dataset, acc AS sa FROM best JOIN b1 USING (descriptor)) , t AS (SELECT method, count(*) AS n, sum(CAST(round(acc * 1e6) AS BIGINT)) AS m, sum(CAST(round(oracle_acc * 1e6) AS BIGINT)) AS o, sum(CAST(round(sa * 1e6) AS BIGINT)) AS s, round(avg((acc >= sa)::INT), 6) AS win_rate FROM sd JOIN sba USING (dataset) GROUP BY 1) SELECT method, n, floor(m / n + 0.5) / 1e6 AS mean_acc, win_rate, round(CASE WHEN o - s > 5000 * n THEN 100 * (m - s) / (o - s) END, 6) AS gap_closed FROM t"),
     "r23_win_loss_tie": (lambda s, d: m.win_loss_tie(scored(s, d)), S + "SELECT x.method AS a, y.method AS b, count(*) FILTER (WHERE x.acc - y.acc > 1e-6) AS wins, count(*) FILTER (WHERE x.acc - y.acc < -1e-6) AS losses, count(*) FILTER (WHERE abs(x.acc - y.acc) <= 1e-6) AS ties FROM sd x JOIN sd y ON x.dataset = y.dataset AND x.method < y.method GROUP BY ALL"),
     "r24_agreement": (lambda s, d: m.agreement_matrix(selections(s, d)), S + "SELECT x.method AS a, y.method AS b, round(100 * avg((x.descriptor = y.descriptor)::INT), 6) AS percent FROM sel x JOIN sel y USING (dataset) GROUP BY ALL"),
     "r25_baseline_random": (lambda s, d: m.baseline_random(best(s, d), s.range(5).select(F.col("id").alias("seed"))), B + ", p AS (SELECT seed, dataset, descriptor, acc FROM best, (SELECT unnest(range(5)) AS seed) QUALIFY row_number() OVER (PARTITION BY seed, dataset ORDER BY md5(seed || ':' || dataset || ':' || descriptor)) = 1) SELECT seed, round(avg(acc), 6) AS mba, count(DISTINCT descriptor) AS n_unique FROM p GROUP BY 1"),
     "r26_baseline_fixed": (lambda s, d: m.baseline_fixed(best(s, d), "click"), f"WITH {RANKED} SELECT o.dataset, coalesce(b.descriptor, o.oracle) AS descriptor FROM orc o LEFT JOIN best b ON b.dataset = o.dataset AND b.descriptor = 'click'"),
     "r27_baseline_by_type": (lambda s, d: m.baseline_by_type(best(s, d)), B + f", t AS (SELECT object_type, descriptor, {mean6_sql('acc')} AS a FROM best GROUP BY ALL) SELECT dataset, best.descriptor FROM best JOIN t ON t.object_type = best.object_type AND t.descriptor = best.descriptor QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY a DESC, best.descriptor) = 1"),
     "r28_convergence": (lambda s, d: m.convergence_n(_curve(s, d), 0.05, 0.5), f"WITH {CELLS}, c AS (SELECT descriptor, CAST(substr(dataset, 2) AS INTEGER) AS n, {mean6_sql('acc')} AS acc, {mean6_sql('acc_std')} AS sd FROM cells GROUP BY ALL), l AS (SELECT *, max_by(acc, n) OVER (PARTITION BY descriptor) AS last FROM c) SELECT descriptor, min(n) AS n FROM l WHERE abs(acc - last) < 0.05 AND sd < 0.5 GROUP BY 1"),
-    "r29_ranking_stability": (lambda s, d: m.ranking_stability(best(s, d)), B + ", me AS (SELECT descriptor, round(avg(acc), 9) AS mean FROM best GROUP BY 1), r AS (SELECT dataset, rank() OVER (PARTITION BY dataset ORDER BY acc) + (count(*) OVER (PARTITION BY dataset, acc) - 1) / 2 AS ra, rank() OVER (PARTITION BY dataset ORDER BY mean) + (count(*) OVER (PARTITION BY dataset, mean) - 1) / 2 AS rm FROM best JOIN me USING (descriptor)) SELECT dataset, round(corr(ra, rm), 6) AS rho FROM r GROUP BY 1"),
+    "r29_ranking_stability": (lambda s, d: m.ranking_stability(best(s, d)), B + ", me AS (SELECT descriptor, sum(CAST(round(acc * 1e6) AS BIGINT)) / count(*) AS mean FROM best GROUP BY 1), r AS (SELECT dataset, rank() OVER (PARTITION BY dataset ORDER BY acc) + (count(*) OVER (PARTITION BY dataset, acc) - 1) / 2 AS ra, rank() OVER (PARTITION BY dataset ORDER BY mean) + (count(*) OVER (PARTITION BY dataset, mean) - 1) / 2 AS rm FROM best JOIN me USING (descriptor)) SELECT dataset, round(corr(ra, rm), 6) AS rho FROM r GROUP BY 1"),
     "r32_winners": (lambda s, d: m.adjust_and_winners(best(s, d), ["click", "error"]), B + ", a AS (SELECT dataset, descriptor, round(acc - CASE WHEN descriptor IN ('click', 'error') THEN 0.02 ELSE 0 END, 6) AS adj FROM best), k AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY adj DESC, descriptor) AS k FROM a) SELECT dataset, max(descriptor) FILTER (WHERE k = 1) AS winner, max(descriptor) FILTER (WHERE k = 2) AS runner_up, round(max(adj) FILTER (WHERE k = 1) - max(adj) FILTER (WHERE k = 2), 6) AS gap FROM k GROUP BY 1"),
-    "r37_lodo_baselines": (lambda s, d: m.lodo_baselines(best(s, d)), B + ", t AS (SELECT a.dataset, a.descriptor, a.acc, round(avg(b.acc), 9) AS rest FROM best a JOIN best b ON b.descriptor = a.descriptor AND b.dataset <> a.dataset GROUP BY ALL), p AS (SELECT dataset, descriptor, acc FROM t QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY rest DESC, descriptor DESC) = 1) SELECT p.dataset, p.descriptor AS picked, round(p.acc, 6) AS picked_acc, round(avg(b.acc), 6) AS random_acc FROM p JOIN best b USING (dataset) GROUP BY ALL"),
+    "r37_lodo_baselines": (lambda s, d: m.lodo_baselines(best(s, d)), B + ", t AS (SELECT a.dataset, a.descriptor, a.acc, sum(CAST(round(b.acc * 1e6) AS BIGINT)) / count(*) AS rest FROM best a JOIN best b ON b.descriptor = a.descriptor AND b.dataset <> a.dataset GROUP BY ALL), p AS (SELECT dataset, descriptor, acc FROM t QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY rest DESC, descriptor DESC) = 1) SELECT p.dataset, p.descriptor AS picked, round(p.acc, 6) AS picked_acc, " + mean6_sql('b.acc') + " AS random_acc FROM p JOIN best b USING (dataset) GROUP BY ALL"),
     "r38_regret_summary": (lambda s, d: m.regret_summary(scored(s, d)), S + "SELECT method, round(avg(regret), 6) AS mean, round(stddev_pop(regret), 6) AS std, round(median(regret), 6) AS median, round(max(regret), 6) AS max, round(avg((regret = 0)::INT), 6) AS top1, round(avg((regret < 0.01)::INT), 6) AS soft, round(avg((regret < 0.02)::INT), 6) AS near FROM sd GROUP BY 1"),
     "r46_synergy": (lambda s, d: m.synergy(best(s, d)), B + ", m AS (SELECT dataset, descriptor, CAST(round(acc * 1e6) AS BIGINT) AS acc FROM best) SELECT x.descriptor AS a, y.descriptor AS b, floor((sum(greatest(x.acc, y.acc)) - greatest(sum(x.acc), sum(y.acc))) / count(*) + 0.5) / 1e6 AS gain, count(*) AS n FROM m x JOIN m y ON x.dataset = y.dataset AND x.descriptor < y.descriptor GROUP BY ALL"),
     "r48_cost_report": (lambda s, d: m.cost_report(read(s, d, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 26 % 5).cast("string")).alias("object_type"), F.concat(F.lit("d"), (F.col("user_id") % 26).cast("string")).alias("dataset"), "value")), "SELECT object_type, dataset, count(*) AS calls, round(sum(value), 6) AS total, round(avg((value > 50)::INT), 6) AS retry_rate FROM (SELECT 't' || (user_id % 26 % 5) AS object_type, 'd' || (user_id % 26) AS dataset, value FROM events) GROUP BY ROLLUP (object_type, dataset)"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import mean6_sql, r6, read
+from lattica.functions.tables import mean6_sql, r6, read, std6_sql
 from lattica.operators import matrix as m
 from lattica.operators import selection as sel
 from lattica.plans.result_queries import B, RANKED, S, best, cells, scored, selections
@@ -55,6 +55,7 @@ def _trials(s, d):
     return _events(s, d).select(_dataset(), F.col("event_type").alias("descriptor"), params.alias("params"), (F.col("value") / 100).alias("acc"))
 
 
+MICRO = "CAST(round(acc * 1e6) AS BIGINT)"
 TRIALS = "trials AS (SELECT 'd' || (user_id % 26) AS dataset, event_type AS descriptor, CAST(user_id % 3 AS VARCHAR) AS sigma, CAST(event_id % 4 AS VARCHAR) AS bins, value / 100 AS acc FROM events)"
 
 
@@ -110,7 +111,9 @@ def _fusion_log(s, d):
 
 
 QUERIES = {
-    "r17_t_interval": (lambda s, d: sel.t_interval(scored(s, d), 2.06), S + "SELECT method, round(avg(acc), 6) AS mean, round(avg(acc) - 2.06::DOUBLE * stddev_samp(acc) / sqrt(count(*)), 6) AS low, round(avg(acc) + 2.06::DOUBLE * stddev_samp(acc) / sqrt(count(*)), 6) AS high, count(*) AS n FROM sd GROUP BY 1"),
+    "r17_t_interval": (lambda s, d: sel.t_interval(scored(s, d)), S + f""", t AS (SELECT method, count(*) AS n, sum({MICRO}) AS total, sum({MICRO} * {MICRO}) AS squares FROM sd GROUP BY 1),
+h AS (SELECT *, 2.0595385527532946::DOUBLE * sqrt(CAST(n * squares - total * total AS DOUBLE) / (n - 1)) AS half FROM t WHERE n = 26)
+SELECT method, floor(total / n + 0.5) / 1e6 AS mean, floor((total - half) / n + 0.5) / 1e6 AS low, floor((total + half) / n + 0.5) / 1e6 AS high, n FROM h"""),
     "r17_paired_t": (lambda s, d: sel.paired_t(scored(s, d)), S + ", d AS (SELECT x.method AS a, y.method AS b, round(x.acc - y.acc, 9) AS d FROM sd x JOIN sd y ON x.dataset = y.dataset AND x.method < y.method) SELECT a, b, round(CASE WHEN stddev_samp(d) > 1e-12 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 6) AS t, count(*) - 1 AS df FROM d GROUP BY ALL"),
     "r21_fusion_summary": (lambda s, d: sel.fusion_summary(_looked(s, d), _pairs(s, d), best(s, d)), S + f", {LOOKED}, o AS (SELECT dataset, max(acc) AS single FROM best GROUP BY 1), p AS (SELECT dataset, max(acc) AS pair FROM pairs GROUP BY 1) SELECT round(avg(single - acc), 6) AS single_regret, round(avg(pair - acc), 6) AS pair_regret, CAST(count(*) FILTER (WHERE acc > single + 0.001) AS BIGINT) AS beats, round(avg(is_pair::INT), 6) AS pair_share, count(*) AS n FROM looked JOIN o USING (dataset) LEFT JOIN p USING (dataset)"),
     "r22_summary_stats": (lambda s, d: sel.summary_stats(scored(s, d)), S + f"SELECT method, {mean6_sql('acc')} AS mean, round(stddev_samp(acc), 6) AS std, round(min(acc), 6) AS min, floor(median(CAST(round(acc * 1e6) AS BIGINT)) + 0.5) / 1e6 AS median, round(max(acc), 6) AS max, count(*) AS n FROM sd WHERE acc <> 0 GROUP BY 1"),
@@ -122,10 +125,10 @@ h AS (SELECT feature, mid, side, count(*) FILTER (WHERE (t = 1) = CASE WHEN side
 SELECT feature, round(mid, 6) AS threshold, side, round(hits / n, 6) AS accuracy FROM h QUALIFY row_number() OVER (PARTITION BY feature ORDER BY hits DESC, round(mid, 6), side DESC) = 1"""),
     "r35_apply_rules": (lambda s, d: sel.apply_rules(_features(s, d), RULES, "purchase"), "WITH f AS (SELECT 'd' || (user_id % 26) AS dataset, round(avg(value), 6) AS mean_value, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT *, CASE WHEN mean_value >= 52 THEN 'click' WHEN n < 380 THEN 'view' WHEN users >= 6 THEN 'error' ELSE 'purchase' END AS choice FROM f"),
     "r39_ranking_metrics": (lambda s, d: sel.ranking_metrics(sel.leave_one_out(best(s, d))), B + ", t AS (SELECT a.dataset, a.descriptor, a.acc, round(avg(b.acc), 9) AS pred FROM best a JOIN best b ON b.descriptor = a.descriptor AND b.dataset <> a.dataset GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY pred DESC, descriptor) AS kp, row_number() OVER (PARTITION BY dataset ORDER BY acc DESC, descriptor) AS kt, rank() OVER (PARTITION BY dataset ORDER BY acc) + (count(*) OVER (PARTITION BY dataset, acc) - 1) / 2 AS ra, rank() OVER (PARTITION BY dataset ORDER BY pred) + (count(*) OVER (PARTITION BY dataset, pred) - 1) / 2 AS rp FROM t) SELECT dataset, round(max(acc) - max(acc) FILTER (WHERE kp = 1), 6) AS regret, " + ", ".join(f"max(kt) FILTER (WHERE kp = 1) <= {k} AS top{k}" for k in (1, 2, 3)) + ", round(corr(ra, rp), 6) AS rho FROM r GROUP BY 1"),
-    "r42_sweep_sensitivity": (lambda s, d: sel.sweep_sensitivity(_trials(s, d)), f"WITH {TRIALS}, l AS (SELECT descriptor, 'sigma' AS param, sigma AS value, acc FROM trials UNION ALL SELECT descriptor, 'bins', bins, acc FROM trials), g AS (SELECT descriptor, param, value, avg(acc) AS m, stddev_pop(acc) AS s, count(*) AS n FROM l GROUP BY ALL) SELECT descriptor, param, value, round(m, 6) AS mean, round(s, 6) AS std, n, round(max(m) OVER w - min(m) OVER w, 6) AS range FROM g WINDOW w AS (PARTITION BY descriptor, param)"),
+    "r42_sweep_sensitivity": (lambda s, d: sel.sweep_sensitivity(_trials(s, d)), f"WITH {TRIALS}, l AS (SELECT descriptor, 'sigma' AS param, sigma AS value, acc FROM trials UNION ALL SELECT descriptor, 'bins', bins, acc FROM trials), g AS (SELECT descriptor, param, value, {mean6_sql('acc')} AS mean, {std6_sql('acc')} AS std, count(*) AS n FROM l GROUP BY ALL) SELECT descriptor, param, value, mean, std, n, round(max(mean) OVER w - min(mean) OVER w, 6) AS range FROM g WINDOW w AS (PARTITION BY descriptor, param)"),
     "r43_consensus_params": (lambda s, d: sel.consensus_params(_trials(s, d)), f"WITH {TRIALS}, t AS (SELECT dataset, descriptor, 'bins=' || bins || ',sigma=' || sigma AS config, {mean6_sql('acc')} AS acc FROM trials GROUP BY ALL), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY dataset, descriptor ORDER BY acc DESC, config) = 1), n AS (SELECT descriptor, config, count(*) AS n, {mean6_sql('acc')} AS mean_acc FROM b GROUP BY ALL) SELECT descriptor, config, n, mean_acc FROM n QUALIFY row_number() OVER (PARTITION BY descriptor ORDER BY n DESC, n.mean_acc DESC, config) = 1"),
     "r44_r55_best_dimension": (lambda s, d: sel.best_dimension(_sized(s, d), 160), "WITH c AS (SELECT event_type AS descriptor, event_id % 8 * 32 AS n, round(avg(value) / 100, 6) AS acc FROM events GROUP BY ALL), k AS (SELECT *, min(n) OVER w AS lo, max(n) OVER w AS hi FROM c WHERE n <= 160 AND acc > 0 WINDOW w AS (PARTITION BY descriptor)) SELECT descriptor, n, acc, n = lo OR n = hi AS at_boundary FROM k QUALIFY row_number() OVER (PARTITION BY descriptor ORDER BY acc DESC, n) = 1"),
-    "r45_color_methods": (lambda s, d: sel.color_method_ranking(_events(s, d).select(F.col("event_type").alias("method"), (F.col("value") / 100 - 0.1).alias("acc")), "view"), "WITH g AS (SELECT event_type AS method, round(avg(value / 100 - 0.1::DOUBLE), 6) AS mean_acc, count(*) AS n FROM events WHERE value / 100 - 0.1::DOUBLE >= 0 GROUP BY 1), b AS (SELECT mean_acc AS base FROM g WHERE method = 'view') SELECT method, mean_acc, n, round(mean_acc - base, 6) AS gain, round(mean_acc - base, 6) > 0.02 AS recommended, CAST(rank() OVER (ORDER BY mean_acc DESC) AS INTEGER) AS rank FROM g, b"),
+    "r45_color_methods": (lambda s, d: sel.color_method_ranking(_events(s, d).select(F.col("event_type").alias("method"), (F.col("value") / 100 - 0.1).alias("acc")), "view"), f"WITH g AS (SELECT event_type AS method, {mean6_sql('value / 100 - 0.1::DOUBLE')} AS mean_acc, count(*) AS n FROM events WHERE value / 100 - 0.1::DOUBLE >= 0 GROUP BY 1), b AS (SELECT mean_acc AS base FROM g WHERE method = 'view') SELECT method, mean_acc, n, round(mean_acc - base, 6) AS gain, round(mean_acc - base, 6) > 0.02 AS recommended, CAST(rank() OVER (ORDER BY mean_acc DESC) AS INTEGER) AS rank FROM g, b"),
     "r47_fusion_lookup": (_looked, S + f", {LOOKED} SELECT * FROM looked"),
     "r49_seed_aggregate": (lambda s, d: sel.seed_aggregate(_events(s, d).select(_dataset(), (F.col("event_id") % 3).alias("temperature"), (F.col("value") / 100).alias("acc"), F.col("event_type").alias("descriptor"))), "WITH r AS (SELECT 'd' || (user_id % 26) AS dataset, event_id % 3 AS temperature, value / 100 AS acc, event_type AS x FROM events), c AS (SELECT dataset, temperature, x, count(*) AS n FROM r GROUP BY ALL), o AS (SELECT dataset, temperature, x AS mode FROM c QUALIFY row_number() OVER (PARTITION BY dataset, temperature ORDER BY n DESC, x) = 1) SELECT dataset, temperature, round(avg(acc), 6) AS mean, round(stddev_samp(acc), 6) AS std, round(min(acc), 6) AS min, round(max(acc), 6) AS max, any_value(mode) AS mode, count(DISTINCT x) AS n_unique FROM r JOIN o USING (dataset, temperature) GROUP BY ALL"),
     "r50_decisions": (lambda s, d: sel.decision_behaviour(_wide(s, d)), S + f", {WIDE}, n AS (SELECT CASE WHEN f = p THEN 'confirmed' WHEN f = q THEN 'alternative' ELSE 'switched' END AS decision, count(*) AS n FROM wide GROUP BY 1) SELECT *, round(n / sum(n) OVER (), 6) AS share FROM n"),
