@@ -134,37 +134,43 @@ def lbp_histogram(grid: DataFrame, uniform: bool = True) -> DataFrame:
     return code.groupBy(I, "bin").agg(F.count("*").alias("n")).withColumn("density", F.col("n") / F.sum("n").over(over(I)))
 
 
-def edge_histogram(grid: DataFrame, bins: int = 8, cells: int = 2, size: int = 8) -> DataFrame:
+def edge_histogram(grid: DataFrame, bins: int = 8, cells: int = 2) -> DataFrame:
     """(image_id, cell, bin, density): orientations of edges stronger than the 70th percentile of non-zero strengths."""
     g = convolve(grid, SOBEL_X).withColumnRenamed("v", "gx").join(convolve(grid, SOBEL_Y).withColumnRenamed("v", "gy"), [I, "r", "c"])
     g = g.withColumn("m", F.round(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2), 9))
     cut = g.where("m > 0").groupBy(I).agg(F.expr("percentile(m, 0.7)").alias("cut"))
     angle = F.pmod(F.round(F.atan2("gy", "gx"), 9), F.lit(math.pi))
-    side = max(1, size // cells)
-    cell = F.least(F.floor(F.col("r") / side), F.lit(cells - 1)) * cells + F.least(F.floor(F.col("c") / side), F.lit(cells - 1))
-    e = g.join(cut, I).where("m > cut").select(I, cell.cast("int").alias("cell"), F.least(F.floor(angle / math.pi * bins), F.lit(bins - 1)).cast("int").alias("bin"))
+    size = grid.groupBy(I).agg(*[F.greatest(F.floor((F.max(x) + 1) / cells), F.lit(1)).alias(f"{x}_side") for x in "rc"])
+    place = lambda x: F.least(F.floor(F.col(x) / F.col(f"{x}_side")), F.lit(cells - 1))
+    cell = place("r") * cells + place("c")
+    e = g.join(cut, I).join(size, I).where("m > cut").select(I, cell.cast("int").alias("cell"), F.least(F.floor(angle / math.pi * bins), F.lit(bins - 1)).cast("int").alias("bin"))
     n = e.groupBy(I, "cell", "bin").agg(F.count("*").alias("n"))
     return n.withColumn("density", F.col("n") / (F.sum("n").over(over(I, "cell")) * (math.pi / bins)))
 
 
-def glcm(grid: DataFrame, levels: int = 8) -> DataFrame:
-    """Contrast and homogeneity of horizontal neighbours, symmetric."""
-    q = quantize(grid, levels).withColumn("b", F.lead("q").over(Window.partitionBy(I, "r").orderBy("c"))).where("b is not null")
+def glcm(grid: DataFrame, levels: int = 8, tall: int = 64, stride: int = 4) -> DataFrame:
+    """Contrast and homogeneity of horizontal neighbours, symmetric; of images of more than `tall` rows every stride-th row and
+    column counts."""
+    seen = F.when(F.max("r").over(over(I)) + 1 > tall, (F.col("r") % stride == 0) & (F.col("c") % stride == 0)).otherwise(F.lit(True))
+    few = grid.withColumn("seen", seen).where("seen").drop("seen")
+    q = quantize(few, levels).withColumn("b", F.lead("q").over(Window.partitionBy(I, "r").orderBy("c"))).where("b is not null")
     gap = F.abs(F.col("q") - F.col("b"))  # both measures are the same for (a, b) and (b, a)
     return q.groupBy(I).agg(F.avg(gap * gap).alias("contrast"), F.avg(1 / (1 + gap)).alias("homogeneity"))
 
 
-def low_frequency_ratio(grid: DataFrame, size: int = 8) -> DataFrame:
-    """Share of the summed DFT amplitudes within radius size // 8 of the centre; rows, then columns."""
-    k = small(grid.sparkSession, size, "k")
-    turn = lambda x, y: -2 * math.pi * F.col(x) * F.col(y) / size
-    rows = grid.join(k).groupBy(I, "r", "k").agg(F.sum(F.col("v") * F.cos(turn("c", "k"))).alias("re"), F.sum(F.col("v") * F.sin(turn("c", "k"))).alias("im"))
-    j = small(grid.sparkSession, size, "j")
-    cos, sin = F.cos(turn("r", "j")), F.sin(turn("r", "j"))
-    both = rows.join(j).groupBy(I, "k", "j").agg(F.sum(F.col("re") * cos - F.col("im") * sin).alias("re"), F.sum(F.col("re") * sin + F.col("im") * cos).alias("im"))
-    far = lambda x: F.when(F.col(x) >= size // 2, F.col(x) - size).otherwise(F.col(x))
+def low_frequency_ratio(grid: DataFrame) -> DataFrame:
+    """Share of the summed DFT amplitudes within radius min(h, w) // 8 of the centre, for images of any size: rows are
+    transformed, then columns."""
+    size = grid.groupBy(I).agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("wd"))
+    sized = grid.join(size, I)
+    turn = lambda x, y, n: -2 * math.pi * F.col(x) * F.col(y) / F.col(n)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = sized.withColumn("k", upto("wd")).groupBy(I, "h", "wd", "r", "k").agg(F.sum(F.col("v") * F.cos(turn("c", "k", "wd"))).alias("re"), F.sum(F.col("v") * F.sin(turn("c", "k", "wd"))).alias("im"))
+    cos, sin = F.cos(turn("r", "j", "h")), F.sin(turn("r", "j", "h"))
+    both = rows.withColumn("j", upto("h")).groupBy(I, "h", "wd", "k", "j").agg(F.sum(F.col("re") * cos - F.col("im") * sin).alias("re"), F.sum(F.col("re") * sin + F.col("im") * cos).alias("im"))
+    far = lambda x, n: F.when(F.col(x) >= F.floor((F.col(n) + 1) / 2), F.col(x) - F.col(n)).otherwise(F.col(x))
     a = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)
-    near = far("k") ** 2 + far("j") ** 2 <= (size // 8) ** 2
+    near = far("k", "wd") ** 2 + far("j", "h") ** 2 <= F.floor(F.least("h", "wd") / 8) ** 2
     return both.groupBy(I).agg((F.sum(F.when(near, a).otherwise(0.0)) / F.sum(a)).alias("ratio"))
 
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import read
-from lattica.operators import rule_fit
+from lattica.functions.tables import r6, read
+from lattica.operators import characteristics, rule_fit
+from lattica.operators.pixels import LAPLACE
+from lattica.plans.pixel_queries import GRAD, OTSU, _conv
 from lattica.plans.result_queries import B, best
+from lattica.sources import views
+from lattica.sources.views import GRIDS
 
 TARGETS, DEFAULT = ["click", "view", "error"], "purchase"
 #: The hybrid mode: features that a target's rule may use.
@@ -86,7 +90,57 @@ SELECT ch.dataset, choice, winner, coalesce(b.acc, mean) AS choice_acc, winner_a
     return run, sql
 
 
+def _members(s, d):
+    """Five datasets of images, their labels as classes."""
+    return read(s, d, "embeddings").select(F.concat(F.lit("d"), (F.col("vec_id") % 5).cast("string")).alias("dataset"), F.col("vec_id").alias("image_id"), "label")
+
+
+def _rounded(df):
+    return df.select("dataset", *[r6(c, c) for c in characteristics.NAMES])
+
+
+NEAR = "abs(p.r - q.r) + abs(p.c - q.c) = 1"
+IMAGES = f"""{GRIDS}, {OTSU}, {GRAD}, maskm AS MATERIALIZED (SELECT * FROM mask),
+reach AS (SELECT image_id, fg, r, c, r * 8 + c AS start FROM maskm UNION SELECT p.image_id, p.fg, p.r, p.c, q.start FROM reach q JOIN maskm p ON p.image_id = q.image_id AND p.fg = q.fg AND {NEAR}),
+lab AS (SELECT image_id, fg, r, c, min(start) AS label FROM reach GROUP BY ALL),
+parts AS (SELECT image_id, fg, label, count(*) AS size, max(CAST(r IN (0, 7) OR c IN (0, 7) AS INTEGER)) AS edge FROM lab GROUP BY ALL),
+comp AS (SELECT image_id, count(*) FILTER (WHERE fg = 1) AS n_comp, greatest(0, count(*) FILTER (WHERE fg = 0) - 1) AS holes, coalesce(sum(size) FILTER (WHERE fg = 1), 0) AS area, coalesce(sum(size * size) FILTER (WHERE fg = 1), 0) AS squares,
+ coalesce(max(size) FILTER (WHERE fg = 1), 0) AS big, coalesce(sum(size) FILTER (WHERE fg = 0 AND edge = 0), 0) AS inside FROM parts GROUP BY 1),
+sides AS (SELECT image_id, avg(v) FILTER (WHERE fg = 1) - avg(v) FILTER (WHERE fg = 0) AS gap FROM maskm GROUP BY 1),
+edges AS (SELECT image_id, max(mean) AS gradient_mean, avg(CAST(m > 2 * mean AND mean > 0 AS INTEGER)) AS edge_density FROM (SELECT image_id, sqrt(gx * gx + gy * gy) AS m, avg(sqrt(gx * gx + gy * gy)) OVER (PARTITION BY image_id) AS mean FROM grad) GROUP BY 1),
+q8 AS (SELECT image_id, r, c, least(CAST(floor(v * 8) AS INTEGER), 7) AS q FROM grids),
+tex AS (SELECT a.image_id, avg(power(a.q - b.q, 2)) AS con, avg(1 / (1 + abs(a.q - b.q))) AS hom FROM q8 a JOIN q8 b ON a.image_id = b.image_id AND a.r = b.r AND b.c = a.c + 1 GROUP BY 1),
+waves AS (SELECT a.k AS i, b.k AS j FROM (SELECT unnest(range(8)) AS k) a, (SELECT unnest(range(8)) AS k) b),
+fourier AS (SELECT image_id, i, j, sqrt(power(sum(v * cos(-2 * pi() * (r * i + c * j) / 8)), 2) + power(sum(v * sin(-2 * pi() * (r * i + c * j) / 8)), 2)) AS a FROM grids, waves GROUP BY ALL),
+low AS (SELECT image_id, sum(a) FILTER (WHERE power(CASE WHEN i > 3 THEN i - 8 ELSE i END, 2) + power(CASE WHEN j > 3 THEN j - 8 ELSE j END, 2) <= 1) / sum(a) AS ratio FROM fourier GROUP BY 1),
+lap AS (SELECT image_id, var_pop(v) AS lap FROM ({_conv(LAPLACE)}) GROUP BY 1),
+img AS MATERIALIZED (SELECT *, CASE WHEN area > 0 THEN (area + inside) / area ELSE 0 END AS fill, CASE WHEN area > 0 THEN big / area ELSE 0 END AS largest, coalesce(abs(gap), 0) AS contrast, coalesce(CASE WHEN gap > 0 THEN 1 WHEN gap IS NOT NULL THEN -1 END, 0) AS polarity
+ FROM comp JOIN sides USING (image_id) JOIN edges USING (image_id) LEFT JOIN tex USING (image_id) JOIN low USING (image_id) JOIN lap USING (image_id))"""
+
+
+def _characteristics_sql(sample: str, last: str) -> str:
+    """The 25 values for each (dataset, rep) of a sample."""
+    return f"""WITH RECURSIVE {IMAGES}, members AS (SELECT 'd' || (vec_id % 5) AS dataset, vec_id AS image_id, label FROM embeddings), sample AS MATERIALIZED ({sample}),
+cls AS (SELECT dataset, sum(n) AS n, count(*) AS k, max(n) / min(n) AS imbalance FROM (SELECT dataset, label, count(*) AS n FROM members GROUP BY ALL) GROUP BY 1),
+px AS MATERIALIZED (SELECT dataset, rep, v FROM grids JOIN sample USING (image_id)), mid AS (SELECT dataset, rep, avg(v) AS mu FROM px GROUP BY ALL),
+mom AS (SELECT dataset, rep, any_value(mu) AS mu, avg(power(v - mu, 2)) AS m2, avg(power(v - mu, 3)) AS m3, avg(power(v - mu, 4)) AS m4, quantile_cont(v, 0.95) - quantile_cont(v, 0.05) AS spread FROM px JOIN mid USING (dataset, rep) GROUP BY ALL),
+his AS (SELECT dataset, rep, least(CAST(floor(v * 256) AS INTEGER), 255) AS bin, count(*) AS n FROM px GROUP BY ALL), ent AS (SELECT dataset, rep, -sum(p * log2(p)) AS h FROM (SELECT dataset, rep, n / sum(n) OVER (PARTITION BY dataset, rep) AS p FROM his) GROUP BY ALL),
+pool AS (SELECT dataset, rep, avg(n_comp) AS comps, 1 / (1 + stddev_pop(n_comp) / greatest(avg(n_comp), 1e-10)) AS stability, sum(area) / sum(n_comp) AS size, sqrt(greatest(sum(squares) / sum(n_comp) - power(sum(area) / sum(n_comp), 2), 0)) / (sum(area) / sum(n_comp)) AS cv,
+ avg(edge_density) AS edge_density, avg(gradient_mean) AS gradient_mean, avg(holes) AS holes, avg(fill) AS fill, avg(con) AS con, avg(hom) AS hom, avg(ratio) AS ratio, avg(contrast) AS contrast, avg(polarity) AS polarity, avg(largest) AS largest, avg(lap) AS lap FROM img JOIN sample USING (image_id) GROUP BY ALL),
+out AS (SELECT dataset, rep, CAST(n AS DOUBLE) AS n_samples, CAST(k AS DOUBLE) AS n_classes, n / k AS samples_per_class, imbalance AS class_imbalance, mu AS intensity_mean, sqrt(m2) AS intensity_std, m3 / power(m2, 1.5) AS intensity_skewness, m4 / (m2 * m2) - 3 AS intensity_kurtosis, spread AS intensity_p95_p5, h AS intensity_entropy,
+ edge_density, gradient_mean, comps AS otsu_components, holes AS otsu_holes, fill AS binary_fill_ratio, con AS glcm_contrast, hom AS glcm_homogeneity, ratio AS fft_low_freq_ratio, stability AS otsu_stability, size AS component_size_mean, cv AS component_size_cv, contrast AS fg_bg_contrast, polarity, largest AS largest_component_ratio, lap AS laplacian_variance
+ FROM mom JOIN ent USING (dataset, rep) JOIN pool USING (dataset, rep) JOIN cls USING (dataset))
+{last}"""
+
+
+ALL_IMAGES = "SELECT dataset, 0 AS rep, image_id FROM members"
+DRAWN = "SELECT dataset, rep, image_id FROM members, (SELECT unnest(range(3)) AS rep) QUALIFY row_number() OVER (PARTITION BY dataset, rep ORDER BY md5((42 + 1000 * rep) || ':' || image_id), image_id) <= 40"
+EACH = ", ".join(f"round({c}, 6) AS {c}" for c in characteristics.NAMES)
+MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in characteristics.NAMES)
+
 QUERIES = {
+    "e1_characteristics": (lambda s, d: _rounded(characteristics.dataset_characteristics(views.grids(s, d), _members(s, d))), _characteristics_sql(ALL_IMAGES, f"SELECT dataset, {EACH} FROM out")),
+    "e2_stable": (lambda s, d: _rounded(characteristics.stable_characteristics(views.grids(s, d), _members(s, d), 3, 40)), _characteristics_sql(DRAWN, f"SELECT dataset, {MEANS} FROM out GROUP BY 1")),
     "r34_fit_rules": _fit(None),
     "r34_fit_rules_hybrid": _fit(DOMAINS),
     "r36_lodo_rules": _lodo(None),
