@@ -1,14 +1,21 @@
-"""Persistent homology of all images together, as rounds of joins.
+"""Persistent homology of all images together.
 
-Nodes of a graph are numbered by (value, id). In a round each cluster takes its least outgoing edge; if the cluster across
-is older, it dies there. Clusters that die are contracted into the older ones, and only the least edge between two
-clusters stays. The rounds end when no edge is left.
+Images of at most WHOLE pixels are solved one by one in the tasks of a single shuffle by image: pixels are numbered by
+(value, place), edges are taken in the order of their later end, and of two clusters that meet the younger dies. Both
+dimensions come from the same pass.
+
+Larger images, and graphs of any kind, are solved together as rounds of joins. Nodes are numbered by (value, id). In a round
+each cluster takes its least outgoing edge; if the cluster across is older, it dies there. Clusters that die are contracted into
+the older ones, and only the least edge between two clusters stays. The rounds end when no edge is left. H0 and H1 of
+such images are one set of graphs, so their rounds are shared.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +23,9 @@ from lattica.functions.tables import over, save
 from lattica.operators.grid import I, grid_edges, pixel_id as at
 
 OUTSIDE = -1
+#: Most pixels of an image that one task solves at once; memory and time of the pass grow with it and with nothing else.
+WHOLE = 1 << 20
+BARS = "hdim int, birth double, death double"
 
 
 def persistence_h0_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -53,29 +63,114 @@ def persistence_h0_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return died.unionByName(kept)
 
 
+def merges(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """(rank of the oldest node of the cluster that dies, rank at which it dies) of a graph whose nodes are ranked by age."""
+    a, b = rank[a], rank[b]
+    old, young = np.minimum(a, b), np.maximum(a, b)
+    order = np.argsort(young, kind="stable")
+    root, out = list(range(len(rank))), []
+    for x, y in zip(old[order].tolist(), young[order].tolist()):
+        at = y
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            x, y = (x, y) if x < y else (y, x)
+            root[y] = x  # the older one stays
+            out.append((y, at))
+    return out
+
+
+def solve_image(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> list[tuple[int, float, float | None]]:
+    """(hdim, birth, death) of one image: H0 with 8 neighbours; H1 by duality, from the components of the negated image with
+    4 neighbours and one node outside that touches the border. Pixels may be missing; bars of no length are left out."""
+    order = np.lexsort((c, r))
+    r, c, v = r[order], c[order], v[order]
+    number = -np.ones((int(r.max()) + 3, int(c.max()) + 3), np.int64)
+    number[r + 1, c + 1] = np.arange(len(v))
+    ahead = {(dr, dc): number[r + 1 + dr, c + 1 + dc] for dr, dc in ((0, 1), (1, 0), (1, 1), (1, -1))}
+    every = np.arange(len(v))
+
+    def bars(value: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[float, float]], list[float]]:
+        by_age = np.argsort(value, kind="stable")
+        rank = np.empty(len(value), np.int64)
+        rank[by_age] = np.arange(len(value))
+        sorted_value = value[by_age]
+        gone = merges(rank, np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges]))
+        dead = np.ones(len(value), bool)
+        dead[[k for k, _ in gone]] = False
+        return [(sorted_value[x], sorted_value[y]) for x, y in gone if sorted_value[x] < sorted_value[y]], sorted_value[dead].tolist()
+
+    edges = [(every[to >= 0], to[to >= 0]) for to in ahead.values()]
+    died, stay = bars(v, edges)
+    out: list[tuple[int, float, float | None]] = [(0, float(x), float(y)) for x, y in died] + [(0, float(x), None) for x in stay]
+    rim = (r == 0) | (c == 0) | (r == r.max()) | (c == c.max())
+    four = [(a + 1, b + 1) for a, b in edges[:2]] + [(np.zeros(int(rim.sum()), np.int64), every[rim] + 1)]
+    died, _ = bars(np.append(-np.inf, -v), four)  # node 0 is the outside, the oldest
+    return out + [(1, float(-y), float(-x)) for x, y in died]
+
+
+def _solved(small: DataFrame) -> DataFrame:
+    kind = small.schema[I].dataType.simpleString()
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        found = solve_image(*(rows.column(x).to_numpy() for x in ("r", "c", "v")))
+        hdim, birth, death = zip(*found)
+        image = pa.repeat(key[0], len(found))
+        return pa.table([image, pa.array(hdim, pa.int32()), pa.array(birth, pa.float64()), pa.array(death, pa.float64())], names=[I, "hdim", "birth", "death"])
+
+    return small.groupBy(I).applyInArrow(run, f"{I} {kind}, {BARS}")
+
+
+def _graphs(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of both dimensions as one set of graphs, g = (image_id, hdim)."""
+    g = lambda k: F.struct(F.col(I), F.lit(k).alias("hdim")).alias("g")
+    inner = grid.select(g(1), at("r", "c").alias("id"), (-F.col("v")).alias("v"))
+    outside = grid.select(I).distinct().select(g(1), F.lit(OUTSIDE).cast("long").alias("id"), F.lit(float("-inf")).alias("v"))
+    w = over(I)
+    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.max("r").over(w)) | (F.col("c") == F.max("c").over(w))
+    rim = grid.withColumn("edge", edge).where("edge").select(g(1), at("r", "c").alias("a"), F.lit(OUTSIDE).cast("long").alias("b"))
+    ends = (at("r", "c").alias("a"), at("r2", "c2").alias("b"))
+    nodes = grid.select(g(0), at("r", "c").alias("id"), "v").unionByName(inner).unionByName(outside)
+    return nodes, grid_edges(grid, 8).select(g(0), *ends).unionByName(grid_edges(grid, 4).select(g(1), *ends)).unionByName(rim)
+
+
+def persistence(grid: DataFrame, filtration: str = "sublevel", whole: int = WHOLE) -> DataFrame:
+    """(image_id, hdim, birth, death) of H0 and H1; death is null for a component that never dies; superlevel works on 1 - v."""
+    if filtration == "superlevel":
+        grid = grid.withColumn("v", 1 - F.col("v"))
+    grid = save(grid.select(I, "r", "c", F.col("v").cast("double").alias("v")), "grid")
+    large = save(grid.groupBy(I).agg(F.count("*").alias("n")).where(F.col("n") > whole).select(I), "large")
+    if large.isEmpty():
+        return _solved(grid)
+    nodes, edges = _graphs(grid.join(large, I))
+    rounds = persistence_h0_graph(nodes, edges).where("g.hdim = 0 or death is not null")
+    flip = lambda a, b: F.when(F.col("g.hdim") == 0, F.col(a)).otherwise(-F.col(b))
+    rounds = rounds.select(F.col(f"g.{I}").alias(I), F.col("g.hdim").alias("hdim"), flip("birth", "death").alias("birth"), flip("death", "birth").alias("death"))
+    return _solved(grid.join(large, I, "left_anti")).unionByName(rounds)
+
+
 def persistence_h0(grid: DataFrame, conn: int = 8) -> DataFrame:
+    """H0 alone; with 4 neighbours by rounds of joins."""
+    if conn == 8:
+        return persistence(grid).where("hdim = 0")
     nodes = grid.select(F.col(I).alias("g"), at("r", "c").alias("id"), "v")
     edges = grid_edges(grid, conn).select(F.col(I).alias("g"), at("r", "c").alias("a"), at("r2", "c2").alias("b"))
     return persistence_h0_graph(nodes, edges).select(F.col("g").alias(I), F.lit(0).alias("hdim"), "birth", "death")
 
 
 def persistence_h1(grid: DataFrame) -> DataFrame:
-    """By duality: components of the negated image with 4-neighbours and one outside node next to every border pixel."""
-    inner = grid.select(F.col(I).alias("g"), at("r", "c").alias("id"), (-F.col("v")).alias("v"))
-    outside = grid.select(F.col(I).alias("g")).distinct().select("g", F.lit(OUTSIDE).alias("id"), F.lit(float("-inf")).alias("v"))
-    w = over(I)
-    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.max("r").over(w)) | (F.col("c") == F.max("c").over(w))
-    rim = grid.withColumn("edge", edge).where("edge").select(F.col(I).alias("g"), at("r", "c").alias("a"), F.lit(OUTSIDE).alias("b"))
-    edges = grid_edges(grid, 4).select(F.col(I).alias("g"), at("r", "c").alias("a"), at("r2", "c2").alias("b")).unionByName(rim)
-    pairs = persistence_h0_graph(inner.unionByName(outside), edges).where("death is not null")
-    return pairs.select(F.col("g").alias(I), F.lit(1).alias("hdim"), (-F.col("death")).alias("birth"), (-F.col("birth")).alias("death"))
+    return persistence(grid).where("hdim = 1")
 
 
-def persistence(grid: DataFrame, filtration: str = "sublevel") -> DataFrame:
-    """(image_id, hdim, birth, death) of H0 and H1; superlevel works on 1 - v."""
-    if filtration == "superlevel":
-        grid = grid.withColumn("v", 1 - F.col("v"))
-    return persistence_h0(grid, 8).unionByName(persistence_h1(grid))
+def alive(diagram: DataFrame, thresholds: int) -> DataFrame:
+    """(image_id, k, b0, b1): bars alive at k / (thresholds - 1), born at or below it and dying above it."""
+    t = F.col("k") / F.lit(thresholds - 1)
+    on = diagram.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1)))).where((F.col("birth") <= t) & (F.col("death").isNull() | (F.col("death") > t)))
+    n = lambda k: F.sum(F.when(F.col("hdim") == k, 1).otherwise(0)).alias(f"b{k}")
+    spine = diagram.select(I).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))))
+    return spine.join(on.groupBy(I, "k").agg(n(0), n(1)), [I, "k"], "left").select(I, "k", *[F.coalesce(f"b{x}", F.lit(0)).cast("long").alias(f"b{x}") for x in (0, 1)])
 
 
 def cap_infinite(diagram: DataFrame, grid: DataFrame | None = None, policy: str = "image_max") -> DataFrame:

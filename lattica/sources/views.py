@@ -39,6 +39,21 @@ def rgb_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pos.select("image_id", "channel", F.floor(F.col("pos") / 8).cast("int").alias("r"), (F.col("pos") % 8).alias("c"), v.alias("v"))
 
 
+def heatmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, r, c, v): a user's summed values by day (30 rows) and hour (24 columns), missing cells 0, in whole hundredths
+    and then scaled to 0..1 for each user. Many ties."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), (F.dayofmonth("ts") - 1).alias("r"), F.hour("ts").alias("c"), F.round(F.col("value") * 100).cast("long").alias("h"))
+    cells_ = e.groupBy("image_id", "r", "c").agg(F.sum("h").alias("h"))
+    spine = e.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("r")).select("image_id", "r", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("c"))
+    return minmax_normalize(spine.join(cells_, ["image_id", "r", "c"], "left").select("image_id", "r", "c", F.coalesce("h", F.lit(0)).cast("double").alias("v")))
+
+
+def series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """nodes(g, id, v) and edges(g, a, b): each user's cells of the heat map in time order, neighbours joined."""
+    nodes = heatmaps(spark, sf_dir).select(F.col("image_id").alias("g"), (F.col("r") * 24 + F.col("c")).cast("long").alias("id"), "v")
+    return nodes, nodes.where("id < 719").select("g", F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+
+
 def image_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
 
@@ -73,6 +88,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRIDS = """g0 AS (SELECT vec_id AS image_id, label, CAST(unnest(range(64)) AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 grids AS (SELECT image_id, label, pos // 8 AS r, pos % 8 AS c, (x - min(x) OVER (PARTITION BY image_id)) / (max(x) OVER (PARTITION BY image_id) - min(x) OVER (PARTITION BY image_id)) AS v FROM g0)"""
+HEATMAPS = """hourly AS (SELECT user_id AS image_id, day(ts) - 1 AS r, hour(ts) AS c, sum(CAST(round(value * 100) AS BIGINT)) AS h FROM events GROUP BY ALL),
+heat AS (SELECT image_id, r, c, CAST(coalesce(h, 0) AS DOUBLE) AS x FROM (SELECT DISTINCT user_id AS image_id FROM events) CROSS JOIN (SELECT unnest(range(30)) AS r) CROSS JOIN (SELECT unnest(range(24)) AS c) LEFT JOIN hourly USING (image_id, r, c)),
+heatmaps AS (SELECT image_id, r, c, CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE 0 END AS v FROM heat WINDOW w AS (PARTITION BY image_id))"""
 CELLS = f"""sums AS (SELECT 'd' || (user_id % 26) AS dataset, 't' || (user_id % 26 % 5) AS object_type, event_type AS descriptor, 'c' || (event_id % 6) AS classifier, day(ts) % 5 AS fold,
  sum(CAST(round(value * 100) AS BIGINT)) AS total, count(value) AS n FROM events GROUP BY ALL),
 folds AS (SELECT dataset, object_type, descriptor, classifier, fold, CAST(least((200 * total + n) // (2 * n), 1000000) AS DOUBLE) / 1e6 AS acc FROM sums),
