@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,17 +17,55 @@ from lattica.operators import features, scoring
 
 
 def classifier(name: str, length: int, classes: int, seed: int = 42) -> Estimator:
-    """`forest`, `logistic` or `perceptron` on scaled features; the scaler is part of what is fitted in a fold."""
+    """`forest`, `logistic`, `perceptron`, or one classifier for each class against the rest: `boosted` trees or `one_vs_rest`
+    logistic ones; on scaled features. The scaler is part of what is fitted in a fold."""
     common = {"featuresCol": "scaled", "labelCol": "label"}
     made = {
         "forest": lambda: RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **common),
         "logistic": lambda: LogisticRegression(maxIter=100, regParam=0.01, **common),
         "perceptron": lambda: MultilayerPerceptronClassifier(layers=[length, 64, classes], maxIter=100, seed=seed, **common),
+        "boosted": lambda: OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=4, seed=seed), parallelism=2, **common),
+        "one_vs_rest": lambda: OneVsRest(classifier=LogisticRegression(maxIter=50, regParam=0.01), parallelism=2, **common),
     }
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     return Pipeline(stages=[scaler, made[name]()])
 
 
+def subspaces(length: int, above: int = 2000, size: int = 500, many: int = 5, seed: int = 42) -> list[list[int]] | None:
+    """Places of `many` random subsets of `size` places where vectors are longer than `above`; None for shorter ones."""
+    if length <= above:
+        return None
+    rng = random.Random(seed)
+    return [sorted(rng.sample(range(length), size)) for _ in range(many)]
+
+
+def random_subspace(name: str, train: DataFrame, test: DataFrame, length: int, classes: int, sets: list[list[int]], seed: int = 42) -> DataFrame:
+    """test with the mean probability of one classifier for each subset of places, and its greatest place as prediction."""
+    for k, places in enumerate(sets):
+        cut = VectorSlicer(inputCol="features", outputCol="part", indices=places)
+        view = lambda df: cut.transform(df).drop("features").withColumnRenamed("part", "features")  # noqa: B023, E731
+        model = classifier(name, len(places), classes, seed + k).fit(view(train))
+        got = model.transform(cut.transform(test).withColumnRenamed("features", "all").withColumnRenamed("part", "features"))
+        test = got.withColumn(f"p{k}", vector_to_array("probability")).drop("features", "scaled", "rawPrediction", "probability", "prediction").withColumnRenamed("all", "features")
+    mean = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: sum((F.get(f"p{k}", c) for k in range(len(sets))), F.lit(0.0)) / len(sets))
+    out = test.withColumn("mean", mean).drop(*[f"p{k}" for k in range(len(sets))])
+    return out.withColumn("probability", F.col("mean")).withColumn("prediction", (F.array_position("mean", F.array_max("mean")) - 1).cast("double")).drop("mean")
+
+
+def cross_validate_subspaces(rows: DataFrame, name: str, length: int, classes: int, k: int = 5, above: int = 2000, size: int = 500, many: int = 5, seed: int = 42) -> DataFrame:
+    """cross_validate of a named classifier, by random subspaces where the vectors are longer than `above`."""
+    sets = subspaces(length, above, size, many, seed)
+    if sets is None:
+        return cross_validate(rows, classifier(name, length, classes, seed), k)
+    rows = save(rows.withColumn("features", array_to_vector(features.sanitize(F.col("vec")))).drop("vec"), "folds")
+    out = None
+    for fold in range(k):
+        got = random_subspace(name, rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), length, classes, sets, seed)
+        got = got.select("id", "fold", F.col("label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("pred"), F.array_max("probability").alias("confidence"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def cross_validate(rows: DataFrame, estimator: Estimator, k: int = 5, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """(id, fold, truth, pred, confidence) of rows(id, fold, label, vec): each fold's rows by a model of the other folds.
 
@@ -42,7 +81,7 @@ def cross_validate(rows: DataFrame, estimator: Estimator, k: int = 5, fit: Calla
             train, test = learned(train), learned(test)
         ready = [x.withColumn("features", array_to_vector(features.sanitize(F.col("vec")))) for x in (train, test)]
         got = estimator.fit(ready[0]).transform(ready[1])
-        sure = F.array_max(vector_to_array("probability"))
+        sure = F.array_max(vector_to_array("probability")) if "probability" in got.columns else F.lit(-1.0)
         got = got.select("id", "fold", F.col("label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("pred"), sure.alias("confidence"))
         out = got if out is None else out.unionByName(got)
     return out

@@ -117,7 +117,7 @@ def _solved(small: DataFrame) -> DataFrame:
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         found = solve_image(*(rows.column(x).to_numpy() for x in ("r", "c", "v")))
         hdim, birth, death = zip(*found)
-        image = pa.repeat(key[0], len(found))
+        image = pa.array([key[0].as_py()] * len(found), key[0].type)
         return pa.table([image, pa.array(hdim, pa.int32()), pa.array(birth, pa.float64()), pa.array(death, pa.float64())], names=[I, "hdim", "birth", "death"])
 
     return small.groupBy(I).applyInArrow(run, f"{I} {kind}, {BARS}")
