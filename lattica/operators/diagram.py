@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,7 +169,9 @@ def persistence_silhouette(diagram: DataFrame, images: DataFrame, power: float =
     return out.select(*KEY, "k", F.coalesce(F.col("s") / F.nullif("whole", F.lit(0.0)), F.lit(0.0)).alias("value"))
 
 
-def _surface(diagram: DataFrame, res: int, weight: str, kind: str, sigma: float | None, margin: float) -> DataFrame:
+def _surface(diagram: DataFrame, res: int, weight: str | Callable[[Column], Column], kind: str | Callable[[Column, Column, Column], Column], sigma: float | None, margin: float) -> DataFrame:
+    """Weights are named or functions of a bar's length, templates named or functions of the distances to a node in both
+    directions and of the lattice's step."""
     d = diagram.withColumn("p", pers())
     b = d.groupBy(*KEY).agg(F.min("birth").alias("b0"), F.max("birth").alias("b1"), F.max("p").alias("p1"))
     pad = F.greatest((F.col("b1") - F.col("b0")) * margin, F.lit(1e-6))
@@ -176,9 +179,11 @@ def _surface(diagram: DataFrame, res: int, weight: str, kind: str, sigma: float
     s = diagram.sparkSession
     d = d.join(b, KEY).join(small(s, res, "i")).join(small(s, res, "j"))
     x, y = F.col("b0") + F.col("i") * (F.col("b1") - F.col("b0")) / (res - 1), F.col("j") * F.col("p1") / (res - 1)
-    w = {"linear": F.col("p"), "squared": F.col("p") ** 2, "const": F.lit(1.0)}[weight]
+    w = weight(F.col("p")) if callable(weight) else {"linear": F.col("p"), "squared": F.col("p") ** 2, "const": F.lit(1.0)}[weight]
     gap = F.greatest((F.col("b1") - F.col("b0")) / (res - 1), F.col("p1") / (res - 1))
-    if kind == "tent":
+    if callable(kind):
+        value = kind(F.abs(F.col("birth") - x), F.abs(F.col("p") - y), gap)
+    elif kind == "tent":
         value = F.greatest(F.lit(0.0), 1 - F.greatest(F.abs(F.col("birth") - x), F.abs(F.col("p") - y)) / gap)
     else:
         s2 = F.lit(2 * sigma * sigma) if sigma else 2 * (gap / 2) ** 2
@@ -186,14 +191,14 @@ def _surface(diagram: DataFrame, res: int, weight: str, kind: str, sigma: float
     return d.groupBy(*KEY, "i", "j").agg(F.sum(w * value).alias("value"))
 
 
-def persistence_image(diagram: DataFrame, res: int = 5, sigma: float = 0.1, weight: str = "linear") -> DataFrame:
+def persistence_image(diagram: DataFrame, res: int = 5, sigma: float = 0.1, weight: str | Callable[[Column], Column] = "linear") -> DataFrame:
     """(image_id, hdim, i, j, value): a Gaussian surface on (birth, persistence), divided by its maximum."""
     got = _surface(diagram, res, weight, "gaussian", sigma, 0.1)
     top = F.max("value").over(over(*KEY))
     return got.withColumn("value", F.when(top > 0, F.col("value") / F.nullif(top, F.lit(0.0))).otherwise(0.0))
 
 
-def template_functions(diagram: DataFrame, n: int = 25, kind: str = "tent") -> DataFrame:
+def template_functions(diagram: DataFrame, n: int = 25, kind: str | Callable[[Column, Column, Column], Column] = "tent") -> DataFrame:
     side = math.ceil(math.sqrt(n))
     got = _surface(diagram, side, "const", kind, None, 0.1).withColumn("k", F.col("j") * side + F.col("i"))
     return got.where(F.col("k") < n).select(*KEY, "k", "value")

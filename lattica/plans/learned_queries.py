@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from lattica.functions import descriptors, pipelines
 from lattica.functions.tables import r6, read
-from lattica.operators import characteristics, rule_fit
-from lattica.operators.pixels import LAPLACE
-from lattica.plans.pixel_queries import GRAD, OTSU, _conv
+from lattica.operators import characteristics, correlation, evaluation, meta, persistence, rule_fit
+from lattica.operators.pixels import LAPLACE, convolve, gaussian
+from lattica.plans.homology_queries import alive_sql
+from lattica.plans.pixel_queries import GRAD, OTSU, RGB, _conv
 from lattica.plans.result_queries import B, best
 from lattica.sources import views
-from lattica.sources.views import GRIDS
+from lattica.sources.diagrams import STORED, content_key
+from lattica.sources.views import GRIDS, minmax_normalize
+from lattica.streaming.diagrams import image_stream, stream_diagrams
 
 TARGETS, DEFAULT = ["click", "view", "error"], "purchase"
 #: The hybrid mode: features that a target's rule may use.
@@ -138,7 +146,107 @@ DRAWN = "SELECT dataset, rep, image_id FROM members, (SELECT unnest(range(3)) AS
 EACH = ", ".join(f"round({c}, 6) AS {c}" for c in characteristics.NAMES)
 MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in characteristics.NAMES)
 
+def _rows(s, d):
+    return meta.design(features(s, d), best(s, d).select("dataset", "descriptor", "acc"), ["click", "error", "purchase", "signup", "view"])
+
+
+def _predicted(f):
+    def run(s, d):
+        got = f(_rows(s, d))
+        return got.select("dataset", "descriptor", *[r6(c, c) for c in got.columns if c not in ("dataset", "descriptor")])
+
+    return run
+
+
+def _vectors(s, d):
+    """Vectors of three descriptors of the grids."""
+    long = descriptors.extract_all(views.grids(s, d), {"euler_curve": {"n": 16}, "lbp": {}, "minkowski": {}})
+    wide = long.groupBy("image_id", "descriptor").agg(F.map_from_entries(F.collect_list(F.struct("pos", "x"))).alias("m"))
+    size = {"euler_curve": 16, "lbp": 10, "minkowski": 30}
+    return wide.select("image_id", "descriptor", F.coalesce(*[F.when(F.col("descriptor") == n, F.array(*[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0.0)) for k in range(size[n])])) for n in size]).alias("vec"))
+
+
+def _parts(s, d):
+    """Three descriptors whose components are given: places of a vector, in other orders and coarser."""
+    x = read(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("pos", "x")).where("pos < 12")
+    x = x.select("image_id", F.element_at(F.array(F.lit("p"), F.lit("q"), F.lit("r")), F.floor(F.col("pos") / 4).cast("int") + 1).alias("descriptor"), (F.col("pos") % 4).alias("k"), F.col("x").cast("double").alias("x"))
+    return x.withColumn("x", F.when(F.col("descriptor") == "r", F.round(F.floor(F.col("x") * 10) / 10, 1)).otherwise(F.col("x")))
+
+
+CORRELATION = """WITH p0 AS (SELECT vec_id AS image_id, CAST(unnest(range(12)) AS INTEGER) AS pos, CAST(unnest(embedding[1:12]) AS DOUBLE) AS y FROM embeddings),
+parts AS (SELECT image_id, CASE pos // 4 WHEN 0 THEN 'p' WHEN 1 THEN 'q' ELSE 'r' END AS descriptor, pos % 4 AS k, CASE WHEN pos // 4 = 2 THEN round(floor(y * 10) / 10, 1) ELSE y END AS x FROM p0),
+ranks AS (SELECT *, rank() OVER (PARTITION BY descriptor, k ORDER BY x) + (count(*) OVER (PARTITION BY descriptor, k, x) - 1) / 2 AS r FROM parts),
+c AS (SELECT a.descriptor AS a, b.descriptor AS b, a.k, abs(corr(a.x, b.x)) AS p, abs(corr(a.r, b.r)) AS s FROM ranks a JOIN ranks b ON a.image_id = b.image_id AND a.k = b.k AND a.descriptor <> b.descriptor GROUP BY ALL)
+SELECT a, b, round(avg(p), 6) AS pearson, round(avg(s), 6) AS spearman, count(*) AS n FROM c GROUP BY ALL"""
+
+
+def _letters(s, d):
+    """(id, fold, label, vec): how often each letter stands in a document, and its language."""
+    t = read(s, d, "documents").where("lang is not null").select(F.col("doc_id").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("t"), "lang")
+    share = [F.length(F.regexp_replace("t", f"[^{c}]", "")) / F.greatest(F.length("t"), F.lit(1)) for c in "abcdefghijklmnopqrstuvwxyzäöüßéèàçñóí"]
+    label = F.array_position(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("lang")) - 1
+    return t.select("id", (F.col("id") % 3).alias("fold"), label.cast("int").alias("label"), F.array(*share).alias("vec")).where("label >= 0")
+
+
+def _taught(name):
+    def run(s, d):
+        return evaluation.fold_report(evaluation.cross_validate(_letters(s, d), evaluation.classifier(name, 37, 4), 3))
+
+    return run
+
+
+def _subspaces(s, d):
+    """Words hashed to 2600 places, which are too many for one model."""
+    t = read(s, d, "documents").where("lang in ('de', 'en', 'es', 'fr')")
+    words = t.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2).alias("fold"), (F.array_position(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("lang")) - 1).cast("int").alias("label"), F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}]+").alias("words"))
+    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=2600, binary=True).transform(words).select("id", "fold", "label", vector_to_array("tf").alias("vec"))
+    return evaluation.fold_report(evaluation.cross_validate_subspaces(hashed, "logistic", 2600, 4, 2))
+
+
+def _stream(s, d):
+    """The images as a stream into a fresh store, and the bars alive in what it holds."""
+    top = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir") + "/.scratch"
+    top = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    g = views.grids(s, d).groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "v"))), lambda p: p["v"]).alias("pixels")).select("image_id", "pixels", F.lit(8).alias("width"))
+    g.write.parquet(f"{top}/images")
+    images = s.read.parquet(f"{top}/images")
+    stream_diagrams(image_stream(s, f"{top}/images", images.schema), f"{top}/store", f"{top}/mark").awaitTermination()
+    held = s.read.schema(STORED).parquet(f"{top}/store")
+    keyed = images.select("image_id", content_key(F.col("pixels"), F.col("width"), "sublevel").alias("content"))
+    return persistence.alive(keyed.join(held, "content").drop("content"), 9)
+
+
+def _pipeline(f):
+    return lambda s, d: f(views.grids(s, d)).select("image_id", "part", "pos", r6("x", "x"))
+
+
+SCALARS = f"""WITH {GRIDS}, smooth AS ({_conv(gaussian(1.0))}), m AS (SELECT image_id, r, c, CAST(v > 0.5 AS INTEGER) AS fg FROM smooth),
+w AS (SELECT image_id, fg, coalesce(lead(fg) OVER a, 0) AS x, coalesce(lead(fg) OVER b, 0) AS y, r, c FROM m WINDOW a AS (PARTITION BY image_id, r ORDER BY c), b AS (PARTITION BY image_id, c ORDER BY r)),
+z AS (SELECT *, coalesce(lead(y) OVER (PARTITION BY image_id, r ORDER BY c), 0) AS xy FROM w), e AS (SELECT image_id, CAST(sum(fg - fg * x - fg * y + fg * x * y * xy) AS DOUBLE) AS chi FROM z GROUP BY 1),
+o AS (SELECT image_id, avg(v) AS mean, stddev_pop(v) AS std, avg(CAST(v > 0.5 AS DOUBLE)) AS share FROM grids GROUP BY 1)
+SELECT image_id, 'euler' AS part, 0 AS pos, chi AS x FROM e UNION ALL SELECT image_id, 'image_mean', 0, round(mean, 6) FROM o UNION ALL SELECT image_id, 'image_std', 0, round(std, 6) FROM o UNION ALL SELECT image_id, 'foreground_ratio', 0, round(share, 6) FROM o"""
+
+RGB_EULER = f"""WITH {RGB}, ch AS (SELECT image_id, 0 AS ch, r, c, of_r AS x FROM rgb UNION ALL SELECT image_id, 1, r, c, of_g FROM rgb UNION ALL SELECT image_id, 2, r, c, of_b FROM rgb),
+n AS (SELECT image_id, ch, r, c, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) AS v FROM ch WINDOW w AS (PARTITION BY image_id, ch)),
+cell AS (SELECT image_id, ch, r * 2 + a AS y, c * 2 + b AS x, 1 - 2 * ((a + b) % 2) AS sign, min(v) AS entry FROM n, (VALUES (0), (1), (2)) p(a), (VALUES (0), (1), (2)) q(b) GROUP BY ALL),
+e AS (SELECT image_id, ch, k, coalesce(sum(sign) FILTER (WHERE floor(entry * 7) + 1 <= k), 0) AS chi FROM cell, (SELECT unnest(range(8)) AS k) GROUP BY ALL)
+SELECT image_id, count(*) AS n, CAST(sum(chi) AS DOUBLE) AS total, CAST(sum(chi * (ch * 8 + k)) AS DOUBLE) AS moment FROM e GROUP BY 1"""
 QUERIES = {
+    "d25_statistics": (_pipeline(pipelines.statistics_pipeline), None),
+    "d25_landscapes": (_pipeline(pipelines.landscape_pipeline), None),
+    "d25_curves": (_pipeline(pipelines.curves_pipeline), None),
+    "d25_scalars": (_pipeline(lambda g: pipelines.scalars(g, convolve(g, gaussian(1.0)))), SCALARS),
+    "d24_rgb_euler": (lambda s, d: descriptors.extract("euler_curve", minmax_normalize(views.rgb_grids(s, d), "image_id", "channel"), "per_channel", n=8).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("x")).alias("total"), F.sum(F.col("x") * F.col("pos")).alias("moment")), RGB_EULER),
+    "r40_meta_ridge": (_predicted(meta.ridge_lodo), None),
+    "r40_meta_boosted": (_predicted(lambda rows: meta.boosted_lodo(rows, 6, 2)), None),
+    "r40_meta_forest": (_predicted(lambda rows: meta.forest_lodo(rows, 8, 4)), None),
+    "f7_correlation": (lambda s, d: correlation.descriptor_correlation(_parts(s, d)).select("a", "b", r6("pearson", "pearson"), r6("spearman", "spearman"), "n"), CORRELATION),
+    "f7_principal": (lambda s, d: correlation.descriptor_correlation(correlation.components(_vectors(s, d), 10)).select("a", "b", r6("pearson", "pearson"), r6("spearman", "spearman"), "n"), None),
+    "f12_subspaces": (_subspaces, None),
+    "m4_boosted": (_taught("boosted"), None),
+    "m4_perceptron": (_taught("perceptron"), None),
+    "m4_one_vs_rest": (_taught("one_vs_rest"), None),
+    "t4_stream_diagrams": (_stream, alive_sql(GRIDS, "grids", 9)),
     "e1_characteristics": (lambda s, d: _rounded(characteristics.dataset_characteristics(views.grids(s, d), _members(s, d))), _characteristics_sql(ALL_IMAGES, f"SELECT dataset, {EACH} FROM out")),
     "e2_stable": (lambda s, d: _rounded(characteristics.stable_characteristics(views.grids(s, d), _members(s, d), 3, 40)), _characteristics_sql(DRAWN, f"SELECT dataset, {MEANS} FROM out GROUP BY 1")),
     "r34_fit_rules": _fit(None),
