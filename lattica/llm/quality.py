@@ -7,18 +7,20 @@ so there are no collisions. Texts are scored against blocks of at most BLOCK n-g
 as sorted arrays, and each further block adds its share of the log probabilities in a pass of its own over the texts.
 The scored texts are the counted ones, so each of their n-grams is in the model and no back-off is left to do.
 
-Junk that is frequent in the corpus teaches the model itself: words with %%% or joined by ' | ' cost a surprise each and
-then characters that are all but certain, so their mean is that of clean text. The verdict therefore also has an upper
-band for the share of characters of a text with log10 p above SURE.
+The perplexity is that of a word: the log probability of all characters over the number of words that hold a letter or digit.
+A mean over characters would hide junk that is frequent in the corpus and so teaches the model itself: words with %%% or
+joined by ' | ' cost a surprise each and then characters that are all but certain, which lower a mean of characters
+and raise the cost of a word. The two bands of a language decide alone.
 
-Defined cases: a null text counts as empty; a null language is a language of its own ("und"); a text without a scored
-character has a null perplexity and fails the base rules; ties and repeated rows are judged row by row; an empty table
+Defined cases: a null text counts as empty; a null language is a language of its own ("und"); a text without a word
+that holds a letter or digit has a null perplexity and is not kept; a very long text is read whole, in memory that grows with it; ties and repeated rows are judged row by row; an empty table
 gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,8 +40,7 @@ HELD = 1_000_000
 SYMBOLS = b"#*$%&|<>"
 #: Width of the histogram in which the quartiles of log10 perplexity are found.
 STEP = 0.001
-#: A character of at least this log10 probability is all but certain.
-SURE = -0.05
+WORDS = re.compile("[^\\x20\\x09-\\x0D]+")
 
 
 def symbols(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,16 +157,19 @@ def blocks(model: DataFrame, most: int = BLOCK) -> Iterator[dict[str, tuple[np.n
         yield out
 
 
-def log_probabilities(block: tuple[np.ndarray, np.ndarray, np.ndarray], s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 p of the symbol at each position from ORDER - 1 on, and whether it is all but certain; 0 and False for start
-    symbols and n-grams of other blocks."""
+def log_probabilities(block: tuple[np.ndarray, np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
+    """log10 p of the symbol at each position from ORDER - 1 on; 0 for start symbols and n-grams of other blocks."""
     number, context, w = ngrams(s)
     contexts, keys, p = block
     at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
     key = np.where(contexts[at] == context, at << BITS | w, -1)
     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    hit = keys[at] == key
-    return np.where(hit, p[at], 0).astype(float)[number], (hit & (p[at] > SURE))[number]
+    return np.where(keys[at] == key, p[at], 0).astype(float)[number]
+
+
+def lettered(text: str) -> int:
+    """Number of words that hold a letter or digit."""
+    return sum(w[0].isalnum() or any(map(str.isalnum, w)) for w in WORDS.findall(text))
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -191,20 +195,19 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, word_chars, n_symbols, dup, repeat
 
 
-SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_scored long, total double, n_sure long, key binary"
+SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_scored long, total double, key binary"
 
 
-def _totals(block: dict, many: list[str], lang: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text the sum of log10 p and the number of all but certain characters, over the n-grams of this block."""
-    length, total, sure = np.fromiter(map(len, many), np.int64, len(many)), np.zeros(len(many)), np.zeros(len(many), np.int64)
+def _totals(block: dict, many: list[str], lang: list[str]) -> np.ndarray:
+    """Of each text the sum of log10 p over the n-grams of this block."""
+    length, total = np.fromiter(map(len, many), np.int64, len(many)), np.zeros(len(many))
     for name in set(lang):
         at = np.array([k for k, x in enumerate(lang) if x == name])
         s, begin = symbols([many[k] for k in at])
         if name in block and len(s) >= ORDER:
-            for out, each in zip((total, sure), log_probabilities(block[name], s), strict=True):
-                upto = np.concatenate(([0], np.cumsum(each)))
-                out[at] = upto[begin + length[at]] - upto[begin]
-    return total, sure
+            upto = np.concatenate(([0], np.cumsum(log_probabilities(block[name], s))))
+            total[at] = upto[begin + length[at]] - upto[begin]
+    return total
 
 
 def _key(text: str, lang: str) -> bytes:
@@ -212,9 +215,9 @@ def _key(text: str, lang: str) -> bytes:
 
 
 def score(docs: DataFrame, model: DataFrame, scratch: Scratch, most: int = BLOCK) -> DataFrame:
-    """Base counts, log10 perplexity and share of all but certain characters of every whole text."""
+    """Base counts and log10 perplexity of a word of every whole text."""
     sc = docs.sparkSession.sparkContext
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored")] + [("total", pa.float64()), ("n_sure", pa.int64()), ("key", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored")] + [("total", pa.float64()), ("key", pa.binary())])
     out, steps = None, []
     for number, block in enumerate(blocks(model, most)):
         shared = sc.broadcast(block)
@@ -223,26 +226,26 @@ def score(docs: DataFrame, model: DataFrame, scratch: Scratch, most: int = BLOCK
             for batch in small_slices(batches):
                 many, lang = texts(batch), [x or "und" for x in batch.column(2).to_pylist()]
                 counts = np.array([base_counts(x) for x in many], np.int64).reshape(-1, 5)
-                yield record_batch(schema, batch.column(1), lang, *counts.T, [len(x) for x in many], *_totals(shared.value, many, lang), [_key(*x) for x in zip(many, lang)])
+                yield record_batch(schema, batch.column(1), lang, *counts.T, [lettered(x) for x in many], _totals(shared.value, many, lang), [_key(*x) for x in zip(many, lang)])
 
         def more(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in small_slices(batches):
                 many, lang = texts(batch), [x or "und" for x in batch.column(1).to_pylist()]
-                yield record_batch(pa.schema([schema.field(c) for c in ("key", "total", "n_sure")]), [_key(*x) for x in zip(many, lang)], *_totals(shared.value, many, lang))
+                yield record_batch(pa.schema([schema.field(c) for c in ("key", "total")]), [_key(*x) for x in zip(many, lang)], _totals(shared.value, many, lang))
 
         if number == 0:
             out = scratch.save(arrow_map(docs.select("text", "doc_id", "lang"), base, SCORED), "block0")
         else:  # equal texts of a language have equal sums
-            part = arrow_map(docs.select("text", "lang"), more, "key binary, total double, n_sure long")
-            steps.append(scratch.save(part.groupBy("key").agg(F.min("total").alias("total"), F.min("n_sure").alias("n_sure")), f"block{number}"))
+            part = arrow_map(docs.select("text", "lang"), more, "key binary, total double")
+            steps.append(scratch.save(part.groupBy("key").agg(F.min("total").alias("total")), f"block{number}"))
         shared.destroy()
     if steps:
         rest = steps[0]
         for step in steps[1:]:
             rest = rest.unionByName(step)
-        rest = rest.groupBy("key").agg(F.sum("total").alias("more"), F.sum("n_sure").alias("more_sure"))
-        out = out.join(rest, "key").withColumn("total", F.col("total") + F.col("more")).withColumn("n_sure", F.col("n_sure") + F.col("more_sure")).drop("more", "more_sure")
-    return out.withColumn("log_perplexity", F.when(F.col("n_scored") > 0, -F.col("total") / F.col("n_scored"))).withColumn("sure_share", F.try_divide("n_sure", "n_scored")).drop("total", "n_sure", "key")
+        rest = rest.groupBy("key").agg(F.sum("total").alias("more"))
+        out = out.join(rest, "key").withColumn("total", F.col("total") + F.col("more")).drop("more")
+    return out.withColumn("log_perplexity", F.when(F.col("n_scored") > 0, -F.col("total") / F.col("n_scored"))).drop("total", "key")
 
 
 def bands(scored: DataFrame, value: str, step: float, below: float, above: float) -> DataFrame:
@@ -256,20 +259,19 @@ def bands(scored: DataFrame, value: str, step: float, below: float, above: float
     return bins.groupBy("lang").agg(*q).select("lang", (F.col("q1") - below * width).alias("low"), (F.col("q3") + above * width).alias("high"))
 
 
-def quality(docs: DataFrame, below: float = 3.0, above: float = 4.0, min_words: int = 50, max_repeat: int = 50, block: int = BLOCK) -> DataFrame:
-    """Base counts, log10 perplexity, share of sure characters, the language's bands and the verdict `kept` for every row of docs(doc_id, text, lang)."""
+def quality(docs: DataFrame, below: float = 4.0, above: float = 5.0, min_words: int = 50, max_repeat: int = 50, block: int = BLOCK) -> DataFrame:
+    """Base counts, log10 perplexity of a word, the language's bands and the verdict `kept` for every row of docs(doc_id, text, lang)."""
     scratch = Scratch(docs.sparkSession, "quality")
     model = kneser_ney(ngram_counts(docs), scratch)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     scored = scratch.save(score(docs, model, scratch, block).withColumn("base_failed", failed), "scored")
     scratch.drop(*[f"level{k}" for k in range(1, ORDER + 1)], *[f"p{k}" for k in range(1, ORDER + 1)])
-    sure = bands(scored, "sure_share", STEP / 10, below, above).select("lang", F.col("high").alias("sure_high"))
     # one row for each language
-    out = scored.join(F.broadcast(bands(scored, "log_perplexity", STEP, below, above)), "lang", "left").join(F.broadcast(sure), "lang", "left")
-    inside = F.col("log_perplexity").between(F.col("low"), F.col("high")) & (F.col("sure_share") <= F.col("sure_high"))
+    out = scored.join(F.broadcast(bands(scored, "log_perplexity", STEP, below, above)), "lang", "left")
+    inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"), "low", "high", F.round("sure_share", 6).alias("sure_share"), "sure_high")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"), "low", "high")

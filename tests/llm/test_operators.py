@@ -66,7 +66,7 @@ def test_quality_base_and_model(spark, real):
 
     r = min(rows, key=lambda r: len(r.text))
     s, _ = quality.symbols([r.text])
-    want = -sum(np.log10(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))) / len(r.text)
+    want = -sum(np.log10(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))) / sum(any(c.isalnum() for c in w) for w in r.text.split())
     assert abs(want - got[r.doc_id].log_perplexity) < 1e-4
     for r in real.collect():
         w = r.text.encode().split()
@@ -76,6 +76,14 @@ def test_quality_base_and_model(spark, real):
         x = got[r.doc_id]
         assert (x.n_words, x.n_repeat_words, x.n_symbols) == (len(w), len(hit), sum(c in "#*$%&|<>" for c in r.text))
         assert x.word_chars == sum(len(v.decode()) for v in w)
+        lines, seen = [y for y in r.text.split("\n") if y.strip(" \t\n\x0b\f\r")], set()
+        assert x.n_dup_lines == sum(y in seen or seen.add(y) is not None for y in lines)
+    for lang in ("en", "fr"):  # the bands from the sorted perplexities
+        own = sorted(x.log_perplexity for x in got.values() if x.lang == lang and not x.base_failed)
+        q1, q3 = (own[max(0, -(-len(own) * k // 4) - 1)] for k in (1, 3))
+        band = next(x for x in got.values() if x.lang == lang)
+        assert abs(band.low - (q1 - 4 * (q3 - q1))) < 0.01 and abs(band.high - (q3 + 5 * (q3 - q1))) < 0.01
+        assert all(x.kept == (not x.base_failed and band.low <= x.log_perplexity <= band.high) for x in got.values() if x.lang == lang)
 
 
 def test_quality_rejects_planted_junk_and_keeps_clean_text(spark):
@@ -96,7 +104,7 @@ def test_quality_model_in_blocks(spark, real, odd):
     for docs in (real, odd):
         key = lambda r: (str(r.doc_id), r.n_scored)
         one, many = (sorted(quality.quality(docs, block=b).collect(), key=key) for b in (10**9, 20_000))
-        assert [(*key(r), r.kept, r.sure_share) for r in one] == [(*key(r), r.kept, r.sure_share) for r in many]
+        assert [(*key(r), r.kept) for r in one] == [(*key(r), r.kept) for r in many]
         assert all(a.log_perplexity == b.log_perplexity or abs(a.log_perplexity - b.log_perplexity) < 1e-9 for a, b in zip(one, many))
 
 
