@@ -29,6 +29,9 @@ MARK, LONGEST, MOST = "▁", 32, 16
 PRIME = np.uint64(1_000_003)
 #: Probability of one certain letter among all that no piece covers.
 UNKNOWN_LETTER = 1e-5
+#: Factor by which the recursion lifts each letter, so that a word of LONGEST letters that no piece covers stays in the range of
+#: doubles; every segmentation of a word gets the same power of it, which is taken off again.
+LIFT = 1e8
 
 
 def vocabulary(path: str) -> list[str]:
@@ -95,11 +98,11 @@ def word_log10(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarray
             ahead[0] = 1
             for i, j, piece in pieces.spans(code):
                 hit = np.flatnonzero(piece >= 0)
-                ahead[j, hit] += ahead[i, hit] * prob[piece[hit]]
+                ahead[j, hit] += ahead[i, hit] * (prob[piece[hit]] * LIFT ** (j - i))
                 if j == i + 1:
                     miss = np.flatnonzero(piece < 0)
-                    ahead[j, miss] += ahead[i, miss] * (prob[-1] * UNKNOWN_LETTER)
-            out[at] = np.log10(np.maximum(ahead[-1], 1e-300))
+                    ahead[j, miss] += ahead[i, miss] * (prob[-1] * UNKNOWN_LETTER * LIFT)
+            out[at] = np.log10(ahead[-1]) - code.shape[1] * np.log10(LIFT)
     return out
 
 
@@ -110,14 +113,14 @@ def expected_pieces(words: list[str], weight: np.ndarray, pieces: Pieces, prob:
         for cut in range(0, len(where), 20_000):
             at, code = where[cut : cut + 20_000], every[cut : cut + 20_000]
             length = code.shape[1]
-            spans = [(i, j, np.where(piece < 0, pieces.many, piece), np.where(piece >= 0, prob[piece], prob[-1] * UNKNOWN_LETTER if j == i + 1 else 0.0)) for i, j, piece in pieces.spans(code)]
+            spans = [(i, j, np.where(piece < 0, pieces.many, piece), LIFT ** (j - i) * np.where(piece >= 0, prob[piece], prob[-1] * UNKNOWN_LETTER if j == i + 1 else 0.0)) for i, j, piece in pieces.spans(code)]
             ahead, back = np.zeros((length + 1, len(at))), np.zeros((length + 1, len(at)))
             ahead[0] = back[length] = 1
             for i, j, _, p in spans:
                 ahead[j] += ahead[i] * p
             for i, j, _, p in sorted(spans, key=lambda x: -x[1]):
                 back[i] += back[j] * p
-            scale = weight[at] / np.maximum(ahead[length], 1e-300)
+            scale = weight[at] / ahead[length]
             for i, j, piece, p in spans:
                 total += np.bincount(piece, ahead[i] * p * back[j] * scale, pieces.many + 1)
     return total

@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_secrets": secrets.op8_secrets,
+    "secrets_shared": secrets.secrets_shared,
     "op9_html": html.op9_html,
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_gnat": gnat.op11_gnat,
@@ -23,6 +24,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
     "op8_secrets": secrets.SQL,
+    "secrets_shared": secrets.SQL_SHARED,
     "op10_jaccard": jaccard.SQL,
     "op11_gnat": gnat.SQL,
     "op13_collocations": collocations.SQL,

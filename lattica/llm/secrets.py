@@ -3,8 +3,9 @@ and owners, which separates widely copied examples from owner-specific, live-loo
 
 Base kinds are matched leftmost and non-overlapping, and their spans always stay. The method adds spans of two more
 kinds (`provider`: published key prefixes, `random`: long mixed strings), but only where the value is owner-specific.
-A value is a widely copied example when at least `common` owners hold it. `owner` is what stands before the first slash
-of a repository's name. Positions are code points, ends exclusive.
+A value is a widely copied example when at least `common` owners hold it, or when at least two owners hold it in twice as many
+repositories as `common`; what one owner alone holds is owner-specific, in however many repositories. `owner` is what
+stands before the first slash of a repository's name. Positions are code points, ends exclusive.
 
 Defined cases: a null text is empty and has no spans; a null repository is one of its own; ties of start are ordered by
 kind as listed; repeated rows get the same result each; an empty table gives an empty result; extra columns
@@ -77,16 +78,21 @@ def ownership(found: DataFrame) -> DataFrame:
     return repos.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
 
 
+def copied_widely(common: int) -> Column:
+    """By both counts of a value."""
+    return (F.col("owners") >= common) | ((F.col("owners") >= 2) & (F.col("repos") >= 2 * common))
+
+
 def scan(docs: DataFrame, repo: str = "source", common: int = 3) -> tuple[DataFrame, DataFrame]:
     """The candidates of each row, and for rows with any the spans that stay:
-    (row_key, row_key2, spans array<struct<start, kind, end, live>>)."""
+    (row_key, row_key2, spans array<struct<start, kind, end, live>>, most_repos, most_owners), the last two of all its values."""
     scratch = Scratch(docs.sparkSession, "secrets")
     found = candidates(docs, repo, scratch)
-    often = ownership(found).select("hash", (F.col("owners") < common).alias("live"))
+    often = ownership(found).select("hash", (~copied_widely(common)).alias("live"), "repos", "owners")
     each = found.where((F.size("base") > 0) | (F.size("added") > 0)).select("row_key", "row_key2", F.explode(F.concat("base", "added")).alias("s")).distinct()
     each = each.select("row_key", "row_key2", "s.start", "s.kind", "s.end", "s.hash").join(often, "hash")
     each = each.where((F.col("kind") < len(BASE)) | F.col("live"))
-    spans = each.groupBy("row_key", "row_key2").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
+    spans = each.groupBy("row_key", "row_key2").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"), F.max("repos").alias("most_repos"), F.max("owners").alias("most_owners"))
     return found, scratch.save(spans, "spans")
 
 
@@ -103,7 +109,7 @@ def report(docs: DataFrame, repo: str = "source", common: int = 3) -> DataFrame:
     many = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [many(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE)]
     live = F.size(F.filter(spans, lambda s: s["live"])).cast("long")
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"), live.alias("n_live"), (F.size(spans) - live).cast("long").alias("n_example"))
+    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"), live.alias("n_live"), (F.size(spans) - live).cast("long").alias("n_example"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("most_repos", "most_owners")])
 
 
 def redact(docs: DataFrame, repo: str = "source", common: int = 3, mark: str = "[SECRET]") -> DataFrame:
@@ -127,11 +133,28 @@ def redact(docs: DataFrame, repo: str = "source", common: int = 3, mark: str = "
     return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+def shared(docs: DataFrame) -> DataFrame:
+    """Every document once for each of its doc_id % 6 + 1 owners, in five repositories of each owner with an even number: values
+    of one owner, of two owners in many repositories, and of many owners."""
+    repos = lambda k: F.transform(F.array(*map(F.lit, "abcde")), lambda r: F.concat(F.lit("o"), k.cast("string"), F.lit("/"), r))
+    held = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("doc_id") % 6), lambda k: F.when(k % 2 == 0, repos(k)).otherwise(F.slice(repos(k), 1, 1)))
+    return docs.select("doc_id", "text", F.explode(F.flatten(held)).alias("source"))
+
+
+def secrets_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator where values are shared between repositories and owners, summed for each document."""
+    got = report(shared(table(spark, sf_dir, "documents")))
+    return got.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_live", "n_example")], *[F.max(c).alias(c) for c in ("most_repos", "most_owners", "spans")])
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
-def _sql() -> str:
+SHARED = """documents AS (SELECT doc_id, text, unnest(flatten(list_transform(range(0, doc_id % 6 + 1), lambda k: list_transform(CASE WHEN k % 2 = 0 THEN ['a', 'b', 'c', 'd', 'e'] ELSE ['a'] END, lambda r: 'o' || k || '/' || r)))) AS source FROM main.documents), """
+
+
+def _sql(view: str = "") -> str:
     kinds = []
     for k, (kind, pattern, group, least) in enumerate(BASE + ADDED):
         if "(?<!" in pattern:  # DuckDB's patterns know no look-around: maximal runs, then the conditions
@@ -145,18 +168,20 @@ def _sql() -> str:
   WHERE length(v) >= {least} {mixed}""")
     n = len(BASE)
     counts = ", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{kind}" for k, (kind, *_) in enumerate(BASE))
+    key = "doc_id, source" if view else "doc_id"
     line = "string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY s, k)"
     return f"""
-WITH t AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+WITH {view}t AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
 c AS ({' UNION ALL '.join(kinds)}),
-o AS (SELECT v, count(DISTINCT regexp_extract(source, '^([^/]*)', 1)) < 3 AS live FROM c GROUP BY v),
-x AS (SELECT c.*, o.live FROM c JOIN o USING (v) WHERE k < {n} OR live),
-y AS (SELECT doc_id, {counts}, {line} FILTER (WHERE k < {n}) AS base, {line} AS spans,
-  count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example FROM x GROUP BY doc_id)
+o AS (SELECT v, count(DISTINCT source) AS repos, count(DISTINCT regexp_extract(source, '^([^/]*)', 1)) AS owners, NOT (owners >= 3 OR (owners >= 2 AND repos >= 6)) AS live FROM c GROUP BY v),
+x AS (SELECT c.*, o.live, repos, owners FROM c JOIN o USING (v) WHERE k < {n} OR live),
+y AS (SELECT {key}, {counts}, {line} FILTER (WHERE k < {n}) AS base, {line} AS spans,
+  count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example, max(repos) AS most_repos, max(owners) AS most_owners FROM x GROUP BY {key})
 SELECT d.doc_id, {', '.join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in BASE)}, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
-FROM documents d LEFT JOIN y ON d.doc_id = y.doc_id
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_repos, 0) AS most_repos, coalesce(most_owners, 0) AS most_owners
+FROM documents d LEFT JOIN y ON d.doc_id = y.doc_id{' AND d.source = y.source' if view else ''}
 """
 
 
 SQL = _sql()
+SQL_SHARED = f"SELECT doc_id, CAST(sum(n_live) AS BIGINT) AS n_live, CAST(sum(n_example) AS BIGINT) AS n_example, max(most_repos) AS most_repos, max(most_owners) AS most_owners, max(spans) AS spans FROM ({_sql(SHARED)}) GROUP BY 1"

@@ -217,6 +217,20 @@ def test_packing_ends_where_no_bin_fills(spark):
     assert sum(r["count"] for r in got) == 500 and max(r["count"] for r in got) == 2 and len(got) <= 255
 
 
+def test_language_of_letters_that_no_piece_covers():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = langid.Pieces(langid.vocabulary(path))
+    prob = np.full((pieces.many + 1, 2), 1.0 / (pieces.many + 1))
+    prob[-1] = (1e-6, 3e-6)
+    word = "\u1200" * langid.LONGEST
+    got = langid.word_log10([word], pieces, prob)[0]
+    rare = np.log10(prob[-1] * langid.UNKNOWN_LETTER)
+    mark = np.log10(prob[langid.vocabulary(path).index(langid.MARK)])
+    assert np.abs(got - (langid.LONGEST * rare + mark)).max() < 1e-6 and got[1] > got[0]
+    used = langid.expected_pieces([word], np.ones(1), pieces, prob[:, 0])
+    assert abs(used[-1] - langid.LONGEST) < 1e-6
+
+
 def test_secret_spans_and_owners(spark):
     key = "AKIA" + "B" * 16
     rows = [(1, f'é password="hunter2hunter2" {key}', "a/x"), (2, key, "b/y"), (3, key, "c/z"), (4, "secret: short", "a/x"), (5, "token=" + "0a" * 20, "a/x"), (6, None, None)]
@@ -225,6 +239,11 @@ def test_secret_spans_and_owners(spark):
     assert got[1].spans == "assign:2:26,access:28:48" and (got[1].n_live, got[1].n_example) == (1, 1)
     assert (got[4].n_assign, got[4].spans, got[6].spans) == (0, "", "")
     assert got[5].spans == "assign:0:46,hex:6:46"
+    assert (got[1].most_repos, got[1].most_owners, got[6].most_repos) == (3, 3, 0)
+    forks = [(10 + k, key, f"{'ab'[k % 2]}/r{k}") for k in range(6)] + [(20 + k, "token=" + "1c" * 20, f"a/r{k}") for k in range(9)]
+    both = {r.doc_id: r for r in secrets.report(spark.createDataFrame(forks, "doc_id long, text string, source string")).collect()}
+    assert (both[10].n_live, both[10].n_example, both[10].most_repos, both[10].most_owners) == (0, 1, 6, 2)  # two owners, six repositories
+    assert (both[20].n_live, both[20].n_example, both[20].most_repos, both[20].most_owners) == (2, 0, 9, 1)  # one owner alone
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert clean[1] == f'é [SECRET]" {key}' and clean[2] == key and clean[5] == "[SECRET]" and clean[6] is None
 
