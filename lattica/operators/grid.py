@@ -114,13 +114,22 @@ RING = [(-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1)]
 
 
 def lbp_codes(grid: DataFrame) -> DataFrame:
-    """(image_id, r, c, code): bit k is set where the k-th of 8 neighbours is at least the centre; border pixels are 0."""
-    rows = [grid.select(I, (F.col("r") - a).alias("r"), (F.col("c") - b).alias("c"), F.lit(k).alias("k"), F.col("v").alias("u")) for k, (a, b) in enumerate(RING)]
-    near = rows[0]
-    for x in rows[1:]:
-        near = near.unionByName(x)
-    got = grid.join(near, [I, "r", "c"]).groupBy(I, "r", "c").agg(F.count("*").alias("n"), F.sum(F.when(F.col("u") >= F.col("v"), F.pow(F.lit(2), F.col("k"))).otherwise(0)).cast("int").alias("code"))
-    return got.select(I, "r", "c", F.when(F.col("n") == 8, F.col("code")).otherwise(0).alias("code"))
+    """(image_id, r, c, code): bit k is set where the k-th of 8 neighbours is at least the centre; border pixels, and those beside a
+    missing one, are 0. Neighbours come by windows along columns and then rows, so an image is shuffled once."""
+    row, col = Window.partitionBy(I, "r").orderBy("c"), Window.partitionBy(I, "c").orderBy("r")
+
+    def step(w: Window, axis: str, by: int, value: str) -> Column:
+        near = lambda x: F.lag(x, -by).over(w) if by < 0 else F.lead(x, by).over(w)
+        return F.when(near(axis) == F.col(axis) + by, near(value))
+
+    m = grid.select(I, "r", "c", "v").repartition(I).withColumn("v-1", step(col, "r", -1, "v")).withColumn("v0", F.col("v")).withColumn("v1", step(col, "r", 1, "v"))
+    near = [step(row, "c", b, f"v{a}") if b else F.col(f"v{a}") for a, b in RING]
+    m = m.select(I, "r", "c", "v", *[x.alias(f"n{k}") for k, x in enumerate(near)])
+    bits = sum((F.when(F.col(f"n{k}") >= F.col("v"), 1 << k).otherwise(0) for k in range(8)), F.lit(0))
+    whole = F.lit(True)
+    for k in range(8):
+        whole = whole & F.col(f"n{k}").isNotNull()
+    return m.select(I, "r", "c", F.when(whole, bits).otherwise(0).alias("code"))
 
 
 def uniform_bin(code: Column) -> Column:
