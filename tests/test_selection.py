@@ -79,3 +79,15 @@ def test_empty_tables(spark):
     assert sel.pair_correlation(none).count() == sel.ranking_metrics(sel.leave_one_out(none)).count() == sel.top_descriptors(none, 3).count() == 0
     log = spark.createDataFrame([], "object_type string, pair string, gain double")
     assert st.fusion_outcomes(log).count() == 0
+
+
+def test_t_quantiles_are_those_of_the_tables(spark):
+    from lattica.operators.selection import t_interval, t_quantile
+
+    known = {(0.975, 1): 12.7062, (0.975, 2): 4.3027, (0.975, 3): 3.1824, (0.975, 10): 2.2281, (0.975, 25): 2.0595, (0.95, 7): 1.8946, (0.995, 30): 2.7500, (0.975, 1000): 1.9623}
+    assert all(abs(t_quantile(p, df) - t) < 5e-5 for (p, df), t in known.items())
+    rows = [("m", 0.1), ("m", 0.2), ("m", 0.4), ("one", 0.5)]
+    got = {r.method: r for r in t_interval(spark.createDataFrame(rows, "method string, acc double")).collect()}
+    mean, half = 0.7 / 3, 4.302653 * (0.07 / 3) ** 0.5 / 3**0.5
+    assert abs(got["m"].low - (mean - half)) < 1e-5 and abs(got["m"].high - (mean + half)) < 1e-5
+    assert got["one"].mean == 0.5 and got["one"].low is None
