@@ -11,7 +11,9 @@ documents as numbers of these. Only a block's distinct tokens are shuffled, to m
 
 Defined cases: a null text is empty and holds the end token alone; a null id counts as the empty text in the split;
 repeated rows are scored each; without training tokens every count is 0, the shared start distribution is used and
-scores stay finite; an empty table gives an empty result; extra columns are ignored.
+scores stay finite; an empty table gives an empty result; a very long text is learned from and scored as one sequence,
+in memory that grows with its tokens; of equally frequent tokens those first in byte order get classes of their own;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, id_crc, record_batch, texts
 
-#: Tokens of a training window; windows cover every token of every training text.
+#: Tokens of a training window. What a text tells before and behind a window enters it exactly, see `_messages`.
 WINDOW = 512
 #: Tokens that one step of the recursions works on at most, unless a single text has more.
 BATCH = 400_000
-PARAMETERS = dict(states=12, own=4096, shared=2048, rounds=2, start_docs=400, start_rounds=15)
+PARAMETERS = dict(states=12, own=4096, shared=2048, rounds=8, start_docs=400, start_rounds=15, gain=0.02)
 
 BLOCKS = pa.schema([("block", pa.string()), ("k", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int32())), ("tokens", pa.binary())])
 
@@ -110,25 +112,27 @@ def encode_documents(blocks: DataFrame, counts: DataFrame, classes: DataFrame, f
 
 
 class Model:
-    """Start distributions of texts and of later windows, transitions and class emissions."""
+    """Start distribution of texts, transitions and class emissions."""
 
-    def __init__(self, first: np.ndarray, later: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.first, self.later, self.move, self.emit = first, later, move, emit
+    def __init__(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        self.first, self.move, self.emit = first, move, emit
 
     @classmethod
     def from_counts(cls, flat: np.ndarray, states: int, kinds: int) -> Model:
-        """Counts in one vector: first, later, move, emit. A little is added to each, so nothing is impossible."""
-        first, later, move, emit = np.split(flat, np.cumsum([states, states, states * states]))
+        """Counts in one vector: first, move, emit. A little is added to each, so nothing is impossible."""
+        first, move, emit = np.split(flat, np.cumsum([states, states * states]))
         even = lambda x: x / x.sum(-1, keepdims=True)
         emit = emit.reshape(states, kinds)
         prior = 0.05 * (emit.sum(0) + 1) / (emit.sum() + kinds) * kinds
-        return cls(even(first + 1), even(later + 1), even(move.reshape(states, states) + 0.1), even(emit + prior))
+        return cls(even(first + 1), even(move.reshape(states, states) + 0.1), even(emit + prior))
 
 
-def _windows(rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[bool]]:
-    cut = [(x[k : k + WINDOW], k == 0) for x in rows for k in range(0, len(x), WINDOW)]
-    cut.sort(key=lambda x: len(x[0]))
-    return [x for x, _ in cut], [b for _, b in cut]
+def _stacked(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows sorted by length as the columns of one array, padded with 0."""
+    seen = np.zeros((len(rows[-1]), len(rows)), np.int64)
+    for k, x in enumerate(rows):
+        seen[: len(x), k] = x
+    return seen
 
 
 def _batches(rows: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -142,47 +146,88 @@ def _batches(rows: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         yield begin, len(rows)
 
 
+def _messages(cut: list[np.ndarray], number: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of texts in their order, `number` being its place in its text: the state distribution after all
+    tokens before it, and how likely each state at its end makes all tokens behind it (up to a factor). Windows of long
+    texts become products of transitions and emissions, all windows at once; the products of a text are then chained."""
+    states = len(model.first)
+    before, behind = np.ones((len(cut), states)), np.ones((len(cut), states))
+    inner = number[1:] > 0
+    long_ = np.flatnonzero(np.append(inner, False) | (number > 0))
+    through = np.empty((len(long_), states, states), np.float32)
+    move, emit = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T, dtype=np.float32)
+    order = sorted(range(len(long_)), key=lambda k: len(cut[long_[k]]))
+    ranked = [cut[long_[k]] for k in order]
+    for a, b in _batches(ranked):
+        own, seen = np.array(order[a:b]), _stacked(ranked[a:b])
+        size = np.array([len(x) for x in ranked[a:b]])
+        now = np.where((number[long_[own]] > 0)[:, None, None], move, model.first.astype(np.float32))
+        at = 0
+        for t, kind in enumerate(seen):
+            ended = np.searchsorted(size, t, "right")
+            if ended > at:
+                through[own[at:ended]] = now[: ended - at]
+                now, at = now[ended - at :], ended
+            now = ((now.reshape(-1, states) @ move).reshape(now.shape) if t else now) * emit[kind[at:]][:, None, :]
+            if t % 2:
+                now /= now.sum((1, 2), keepdims=True)
+        through[own[at:]] = now
+    for k in range(1, len(long_)):
+        w = long_[k]
+        if number[w]:
+            x = before[w - 1] @ through[k - 1]
+            before[w] = x / x.sum()
+    for k in range(len(long_) - 1, 0, -1):
+        w = long_[k]
+        if number[w]:
+            x = through[k] @ behind[w]
+            behind[w - 1] = x / x.sum()
+    return before, behind
+
+
 def expected_counts(rows: list[np.ndarray], model: Model) -> np.ndarray:
-    """Baum-Welch counts of whole training texts, as one vector: first, later, move, emit."""
+    """Baum-Welch counts of whole training texts, as one vector: first, move, emit; the last entry is their natural log
+    likelihood. Long texts are worked on in windows at once; the counts are those of the whole text."""
     states, kinds = model.emit.shape
-    first, later, move = np.zeros(states), np.zeros(states), np.zeros((states, states))
-    emit = np.zeros((states, kinds))
+    first, move, emit, likely = np.zeros(states), np.zeros((states, states)), np.zeros((states, kinds)), 0.0
     move32, emit32 = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T, dtype=np.float32)
-    cut, is_first = _windows(rows)
+    cut = [x[k : k + WINDOW] for x in rows for k in range(0, len(x), WINDOW)]
+    number = np.array([k for x in rows for k in range(-(-len(x) // WINDOW))], np.int64)
+    before, behind = _messages(cut, number, model)
+    order = sorted(range(len(cut)), key=lambda k: len(cut[k]))
+    cut = [cut[k] for k in order]
     for a, b in _batches(cut):
+        own, seen = order[a:b], _stacked(cut[a:b])
         n, size = b - a, np.array([len(x) for x in cut[a:b]])
-        steps = int(size[-1])
-        seen = np.zeros((steps, n), np.int64)
-        for k, x in enumerate(cut[a:b]):
-            seen[: len(x), k] = x
+        steps = len(seen)
+        ends = np.searchsorted(size, np.arange(steps), "right")  # windows before it have ended
         live = np.arange(steps)[:, None] < size[None, :]
-        start = np.array(is_first[a:b])
-        alpha = np.empty((steps, n, states), np.float32)
+        start, past = number[own] == 0, before[own].astype(np.float32)
+        alpha, scale = np.empty((steps, n, states), np.float32), np.ones((steps, n, 1), np.float32)
         e = emit32[seen]
-        now = np.where(start[:, None], model.first, model.later).astype(np.float32) * e[0]
-        scale = np.empty((steps, n, 1), np.float32)
-        for t in range(steps):
-            if t:
-                now = (now @ move32) * e[t]
-            scale[t] = np.maximum(now.sum(1, keepdims=True), 1e-30)
-            now = now / scale[t]
-            alpha[t] = now
-        beta = np.ones((n, states), np.float32)
+        now = np.where(start[:, None], model.first.astype(np.float32), past @ move32)
+        for t, k in enumerate(ends):
+            now = (alpha[t - 1, k:] @ move32 if t else now) * e[t, k:]
+            scale[t, k:] = np.maximum(now.sum(1, keepdims=True), 1e-30)
+            np.divide(now, scale[t, k:], out=alpha[t, k:])
+        likely += float(np.log(scale, dtype=float).sum())
+        e /= scale
+        beta = behind[own]
+        beta = (beta / (alpha[size - 1, np.arange(n)] * beta).sum(1, keepdims=True)).astype(np.float32)
         for t in range(steps - 1, -1, -1):
-            at = live[t][:, None]
-            gamma = np.where(at, alpha[t] * beta, 0)
+            k = ends[t]
+            onward = e[t, k:] * beta[k:]
+            alpha[t, k:] *= beta[k:]
             if t:
-                onward = np.where(at, e[t] * beta / scale[t], 0)
-                move += (alpha[t - 1].T @ onward) * move32
-                beta = np.where(at, onward @ move32.T, 1.0)
+                move += (alpha[t - 1, k:].T @ onward) * move32
+                beta[k:] = onward @ move32.T
             else:
-                first += gamma[start].sum(0)
-                later += gamma[~start].sum(0)
-            alpha[t] = gamma
+                first += alpha[0, start].sum(0)
+                move += (past[~start].T @ onward[~start]) * move32
         at, gamma = seen[live], alpha[live]
         for s in range(states):
             emit[s] += np.bincount(at, gamma[:, s], kinds)
-    return np.concatenate([first, later, move.ravel(), emit.ravel()])
+    return np.concatenate([first, move.ravel(), emit.ravel(), [likely]])
 
 
 def log_likelihoods(rows: list[np.ndarray], model: Model) -> np.ndarray:
@@ -192,10 +237,7 @@ def log_likelihoods(rows: list[np.ndarray], model: Model) -> np.ndarray:
     ranked = [rows[k] for k in order]
     for a, b in _batches(ranked):
         size = np.array([len(x) for x in ranked[a:b]])
-        total = np.zeros(b - a)
-        seen = np.zeros((int(size[-1]), b - a), np.int64)
-        for k, x in enumerate(ranked[a:b]):
-            seen[: len(x), k] = x
+        total, seen = np.zeros(b - a), _stacked(ranked[a:b])
         ends = np.searchsorted(size, np.arange(int(size[-1])), "right")  # texts before it have ended
         now = np.broadcast_to(model.first, (b - a, len(model.first)))
         at = 0
@@ -217,18 +259,20 @@ def start_model(sample: list[np.ndarray], states: int, kinds: int, rounds: int)
     mix = rng.dirichlet(np.full(states, 0.2), len(seen))
     emit = mix.T @ seen
     move = np.full((states, states), 1.0) + np.eye(states) * states * 9
-    model = Model.from_counts(np.concatenate([np.ones(2 * states), move.ravel(), emit.ravel()]), states, kinds)
+    model = Model.from_counts(np.concatenate([np.ones(states), move.ravel(), emit.ravel()]), states, kinds)
     for _ in range(rounds if sample else 0):
-        model = Model.from_counts(expected_counts(sample, model), states, kinds)
+        model = Model.from_counts(expected_counts(sample, model)[:-1], states, kinds)
     return model
 
 
-def train(encoded: DataFrame, states: int, kinds: int, rounds: int, start_docs: int, start_rounds: int) -> Model:
-    """Baum-Welch over all training documents. The start comes from `start_docs` documents of at most 4000 tokens."""
+def train(encoded: DataFrame, states: int, kinds: int, rounds: int, start_docs: int, start_rounds: int, gain: float = 0.0) -> Model:
+    """Baum-Welch over all training documents: rounds on the whole corpus until one gains less than `gain` nats a token,
+    `rounds` at most. The start comes from `start_docs` documents of at most 4000 tokens."""
     fit = encoded.where("not held_out").select("classes")
     few = encoded.where("not held_out and n_tokens <= 4000").orderBy(F.xxhash64("doc_id", "classes"), "classes").limit(start_docs).select("classes")
     model = start_model([np.frombuffer(r[0], np.uint16) for r in few.collect()], states, kinds, start_rounds)
-    schema = pa.schema([("at", pa.int32()), ("value", pa.float64())])
+    schema, numbers = pa.schema([("at", pa.int32()), ("value", pa.float64())]), states * (1 + states + kinds)
+    last = -np.inf
     for _ in range(rounds):
         shared = encoded.sparkSession.sparkContext.broadcast(model)
 
@@ -243,15 +287,19 @@ def train(encoded: DataFrame, states: int, kinds: int, rounds: int, start_docs:
                 yield record_batch(schema, at.astype(np.int32), total[at])
 
         counts = arrow_map(fit, run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
-        flat = np.zeros(states * (2 + states + kinds))
+        flat = np.zeros(numbers + 1)
         flat[counts.column("at").to_numpy()] = counts.column("value").to_numpy()
         if not flat.any():
             break
-        model = Model.from_counts(flat, states, kinds)
+        model = Model.from_counts(flat[:-1], states, kinds)
+        now = flat[-1] / flat[-1 - states * kinds : -1].sum()
+        if now - last < gain:
+            break
+        last = now
     return model
 
 
-def hmm_scores(docs: DataFrame, states: int, own: int, shared: int, rounds: int, start_docs: int, start_rounds: int) -> DataFrame:
+def hmm_scores(docs: DataFrame, states: int, own: int, shared: int, rounds: int, start_docs: int, start_rounds: int, gain: float = 0.0) -> DataFrame:
     """Scores docs(doc_id, text, held_out); see the module's text. Adds train_tokens, base_score and score."""
     scratch, kinds = Scratch(docs.sparkSession, "hmm"), own + shared
     blocks = scratch.save(encode_blocks(docs), "blocks")
@@ -262,7 +310,7 @@ def hmm_scores(docs: DataFrame, states: int, own: int, shared: int, rounds: int,
     classes = scratch.save(with_class(counts, frequent, own, shared).groupBy("class").agg(F.sum("c").alias("class_total"), F.count("*").alias("class_words")), "classes")
     encoded = scratch.save(encode_documents(blocks, counts, classes, frequent, own, shared, total, distinct), "encoded")
     scratch.drop("blocks", "counts")
-    model = train(encoded, states, kinds, rounds, start_docs, start_rounds)
+    model = train(encoded, states, kinds, rounds, start_docs, start_rounds, gain)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 

@@ -110,7 +110,7 @@ def test_quality_model_in_blocks(spark, real, odd):
 
 def test_hmm_is_exact_and_helps(spark, real):
     rng = np.random.default_rng(0)
-    m = hmm.Model.from_counts(rng.random(2 * 3 + 9 + 3 * 5), 3, 5)
+    m = hmm.Model.from_counts(rng.random(3 + 9 + 3 * 5), 3, 5)
     seq = rng.integers(0, 5, 6)
     total = 0.0
     for path in itertools.product(range(3), repeat=6):
