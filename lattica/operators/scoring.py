@@ -77,6 +77,36 @@ def cell_summary(folds: DataFrame) -> DataFrame:
     return folds.groupBy("dataset", "descriptor", "classifier").agg(mean6("acc", "mean_acc"), std6("acc", "std_acc"), order.alias("folds"))
 
 
+def closest(x: np.ndarray, y: np.ndarray, one: np.ndarray, two: np.ndarray, k: int, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in x and y and distance, at 9 places, of the k rows of y that are nearest to each row of x; the earlier row
+    of y first where distances are equal. Rows of one id (`one`, `two`) and distances that are no finite number are left
+    out. A product of matrices gives rough distances with a bound on their error; only pairs that may be among the k by
+    this bound are measured exactly. At most about `cells` numbers, or one row's, are held at once, whatever the length."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    many, length = y.shape
+    if not many or not len(x):
+        return found[0]
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    most = yy[np.isfinite(yy)].max(initial=0)
+    for s in range(0, len(x), rows := max(1, cells // many)):
+        own = slice(s, s + rows)
+        rough = xx[own, None] + yy - 2 * (x[own] @ y.T)
+        rough[~np.isfinite(rough) | (one[own, None] == two)] = np.inf
+        last = np.partition(rough, min(k, many) - 1, axis=1)[:, min(k, many) - 1]
+        error = 8 * (length + 4) * np.finfo(float).eps * (xx[own] + most)
+        far = np.sqrt(np.maximum(last + error, 0)) + 2e-9  # distances are equal where 9 places are
+        i, j = np.nonzero(np.isfinite(rough) & (rough <= (far * far + error)[:, None]))
+        d = np.empty(len(i))
+        for p in range(0, len(i), step := max(1, cells // max(length, 1))):
+            at = slice(p, p + step)
+            d[at] = np.round(np.sqrt(((x[s + i[at]] - y[j[at]]) ** 2).sum(-1)), 9)
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        near = (np.arange(len(i)) - np.searchsorted(i, i) < k) & np.isfinite(d)
+        found.append((s + i[near], j[near], d[near]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def nearest(query: DataFrame, reference: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
     """(id, label, id2, label2, d): the k nearest of reference(id, vec, label) by Euclidean distance for each row of
     query(id, vec, label), exact; ties go to the lesser id, and a row is not its own neighbour. Both sides are dealt into
@@ -97,16 +127,9 @@ def nearest(query: DataFrame, reference: DataFrame, k: int = 5, block: int = 200
         b = b.sort_by("id")  # equal distances stay in this order
         x, y = (t.column("vec").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1)) for t in (a, b))
         one, two = (t.column("id").to_numpy() for t in (a, b))
-        rows, cols, gaps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for s in range(0, len(x) if len(y) else 0, 16):
-            d = np.round(np.sqrt(((x[s : s + 16, None] - y) ** 2).sum(-1)), 9)
-            d[one[s : s + 16, None] == two] = np.inf
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            gap = np.take_along_axis(d, at, 1)
-            i, j = np.nonzero(np.isfinite(gap))
-            rows.append(s + i), cols.append(at[i, j]), gaps.append(gap[i, j])
-        a, b = a.take(np.concatenate(rows)), b.take(np.concatenate(cols))
-        return pa.table([a["id"], a["label"], b["id"], b["label"], pa.array(np.concatenate(gaps))], names=["id", "label", "id2", "label2", "d"])
+        rows, cols, gaps = closest(x, y, one, two, k)
+        a, b = a.take(rows), b.take(cols)
+        return pa.table([a["id"], a["label"], b["id"], b["label"], pa.array(gaps)], names=["id", "label", "id2", "label2", "d"])
 
     near = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(met, schema)
     place = F.row_number().over(Window.partitionBy("id").orderBy("d", "id2"))  # k rows for each block of the reference

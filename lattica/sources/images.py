@@ -19,9 +19,9 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return images.select(F.col("image.origin").alias("image_id"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.mode", "image.data")
 
 
-def image_pixels(images: DataFrame) -> DataFrame:
+def image_pixels(images: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(image_id, channel, r, c, v) of images as `read_images` gives them: bytes 0 to 255. Bytes lie row by row, blue first;
-    a single channel is called L, and an alpha channel is left out."""
+    a single channel is called L, and an alpha channel is left out. A large image leaves in slices of about `most` pixels."""
     schema = pa.schema([("image_id", pa.string()), ("channel", pa.string()), ("r", pa.int32()), ("c", pa.int32()), ("v", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,10 +29,13 @@ def image_pixels(images: DataFrame) -> DataFrame:
             for image in range(batch.num_rows):
                 image_id, height, width, many, data = (batch.column(k)[image].as_py() for k in range(5))
                 value = np.frombuffer(data, np.uint8).reshape(height, width, many)
-                r, c = (x.ravel().astype(np.int32) for x in np.indices((height, width)))
+                step = max(1, most // max(width, 1))
                 for k, name in enumerate("L" if many == 1 else "BGR"):
-                    own = [pa.array([x] * len(r), pa.string()) for x in (image_id, name)]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(r), pa.array(c), pa.array(value[..., k].ravel().astype(float))], schema=schema)
+                    for top in range(0, height, step):
+                        part = value[top : top + step, :, k]
+                        r, c = (x.ravel().astype(np.int32) for x in np.indices(part.shape))
+                        own = [pa.repeat(pa.scalar(x, pa.string()), part.size) for x in (image_id, name)]
+                        yield pa.RecordBatch.from_arrays([*own, pa.array(r + np.int32(top)), pa.array(c), pa.array(part.ravel().astype(float))], schema=schema)
 
     return images.select("image_id", "height", "width", "n_channels", "data").mapInArrow(run, "image_id string, channel string, r int, c int, v double")
 

@@ -25,6 +25,8 @@ def running_rankings(stream: DataFrame) -> DataFrame:
 
 
 def windowed_rankings(stream: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
+    """Trials and mean accuracy of each window and descriptor. A table gives all its rows; a stream leaves out rows that
+    come more than `late` after the newest one seen, as their window may be closed."""
     if stream.isStreaming:
         stream = stream.withWatermark("ts", late)
     got = stream.groupBy(F.window("ts", width).alias("w"), "descriptor").agg(F.count("*").alias("trials"), F.avg("acc").alias("mean_acc"))
@@ -44,12 +46,16 @@ def bounded_memory(log: DataFrame, keys: list[str], most: int) -> DataFrame:
     return log.withColumn("_newest", F.row_number().over(w)).where(F.col("_newest") <= most).drop("_newest")
 
 
-def upsert(path: str, keys: list[str]):
-    """foreachBatch writer that keeps the newest row of each key in a parquet table, one folder a batch: a batch that is
-    run again overwrites its own folder."""
+def upsert(path: str, keys: list[str], newest: list[str] | None = None):
+    """foreachBatch writer of one row for each key and batch into a parquet table, one folder a batch: a batch that is run
+    again overwrites its own folder. Within a batch the row that is greatest by `newest` stays (by all other columns, if
+    none are named); `latest` then gives the row of each key's last batch."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:08d}")
+        by = newest or [c for c in batch.columns if c not in keys]
+        order = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in by] or [F.lit(0)])
+        one = batch.withColumn("_newest", F.row_number().over(order)).where("_newest = 1").drop("_newest")
+        one.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:08d}")
 
     return write
 
