@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import save
+from lattica.functions.tables import drop, save
 from lattica.operators.grid import I, grid_edges, pixel_id as at
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, id, label) from nodes(g, id) and edges(g, a, b): the least id of each component, by least-label propagation
-    with pointer jumping over all graphs in one job. Each round is a written table; it ends when no label changes."""
+    with pointer jumping over all graphs in one job. Each round is a written table, which goes once the next one is written; it
+    ends when no label changes."""
     both = save(edges.select("g", "a", "b").unionByName(edges.select("g", F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = nodes.select("g", "id", F.col("id").alias("label"))
+    last = []
     while True:  # labels only fall
         near = both.join(labels.select("g", F.col("id").alias("b"), "label"), ["g", "b"]).groupBy("g", F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = labels.join(near, ["g", "id"], "left").select("g", "id", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         up = low.select("g", F.col("id").alias("label"), F.col("label").alias("up"))
         new = save(low.join(up, ["g", "label"]).select("g", "id", "before", F.least("label", "up").alias("label")), "labels")
-        labels = new.select("g", "id", "label")
+        drop(*last)
+        labels, last = new.select("g", "id", "label"), [new]
         if new.where("before <> label").isEmpty():
+            drop(both)
             return labels
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import over, save
+from lattica.functions.tables import drop, over, save
 from lattica.operators.grid import I, grid_edges, pixel_id as at
 
 OUTSIDE = -1
@@ -35,25 +35,31 @@ def persistence_h0_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     a, b = ranked.select("g", F.col("id").alias("a"), F.col("k").alias("x")), ranked.select("g", F.col("id").alias("b"), F.col("k").alias("y"))
     one = edges.select("g", "a", "b").join(a, ["g", "a"]).join(b, ["g", "b"]).select("g", "x", "y", F.greatest("x", "y").alias("w"))
     live = save(one.unionByName(one.select("g", F.col("y").alias("x"), F.col("x").alias("y"), "w")), "live")
-    deaths = None
+    deaths, written = None, []  # tables that `deaths` reads
     for k in count(1):  # the least edge of all merges two clusters, so every round has fewer edges
         if live.isEmpty():
             break
         least = live.groupBy("g", "x").agg(F.min(F.struct("w", "y")).alias("e")).where("e.y < x").select("g", "x", F.col("e.y").alias("y"), F.col("e.w").alias("w"))
-        least = save(least, "least")
+        least, stale = save(least, "least"), []
+        written.append(least)
         deaths = least.select("g", "x", "w") if deaths is None else deaths.unionByName(least.select("g", "x", "w"))
         if k % 32 == 0:  # keeps the plan short
             deaths = save(deaths, "deaths")
-        root = least.select("g", "x", F.col("y").alias("root"))
+            stale, written = written, [deaths]
+        root, last = least.select("g", "x", F.col("y").alias("root")), []
         while True:  # pointer jumping: chains of deaths lead to the oldest
             up = root.select("g", F.col("x").alias("root"), F.col("root").alias("up"))
             next_ = save(root.join(up, ["g", "root"], "left").select("g", "x", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "root")
-            root = next_.select("g", "x", "root")
+            drop(*last)
+            root, last = next_.select("g", "x", "root"), [next_]
             if next_.where("moved").isEmpty():
                 break
         to_x, to_y = root.select("g", "x", F.col("root").alias("rx")), root.select("g", F.col("x").alias("y"), F.col("root").alias("ry"))
         moved = live.join(to_x, ["g", "x"], "left").join(to_y, ["g", "y"], "left").select("g", F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"), "w")
-        live = save(moved.where("x <> y").groupBy("g", "x", "y").agg(F.min("w").alias("w")), "live")
+        fewer = save(moved.where("x <> y").groupBy("g", "x", "y").agg(F.min("w").alias("w")), "live")
+        drop(live, *last, *stale)
+        live = fewer
+    drop(live)
     value = ranked.select("g", "k", "v")
     born = value.select("g", F.col("k").alias("x"), F.col("v").alias("birth"))
     if deaths is None:
