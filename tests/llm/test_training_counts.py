@@ -1,12 +1,13 @@
-"""Expected counts and places against plain versions: Baum-Welch over windows, shards of one sorted line."""
+"""Counts and places against plain versions: Baum-Welch over windows, shards of one sorted line, base columns of quality."""
 
 import itertools
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from lattica.llm import hmm, sharding
+from lattica.llm import hmm, quality, sharding
 
 
 @pytest.mark.parametrize("window", [1, 2, 3, 512])
@@ -87,3 +88,29 @@ def test_a_range_without_sampled_keys_is_still_parted():
     assert list(sharding._closer(np.zeros(0, np.int64), 4, -10, 10)) == [0, 1]
     assert list(sharding._closer(np.array([5, 5, 5], np.int64), 4, 5, 9)) == [6]
     assert list(sharding._closer(np.array([9, 9, 9], np.int64), 4, 5, 9)) == [9]
+
+
+def test_quality_base_columns_against_a_plain_version(spark):
+    """Equal lines with and without a word, odd white space, repeated windows, symbols, null and empty texts."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["a", "b", "#tag", "x*y", "\u00fcber", "\u3000", "A", "$%&", "|<>", "\x85"]
+    space = [" ", "\n", "\n", "\t", "\r\n", "\x0b", "\n \n", "  "]
+    made = ["".join(vocabulary[i % 10] + space[j % 8] for i, j in rng.integers(0, 40, (n, 2))) for n in (0, 1, 3, 20, 60, 200, 400)]
+    made += [None, "", "\n\n\n", "one\none\none ", "one two three\n" * 30, "a b a b a b", " \n \n"]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    for k, text in enumerate(made):
+        text = text or ""
+        word = "[^\x20\x09-\x0d]+"
+        words = re.findall(word, text)
+        seen, twice = set(), 0
+        for line_ in text.split("\n"):
+            if re.search(word, line_):
+                twice += line_ in seen
+                seen.add(line_)
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        many = Counter(windows)
+        repeated = {i + j for i, w in enumerate(windows) if many[w] > 1 for j in range(3)}
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), twice, len(repeated))
+        assert (got[k].n_words, got[k].word_chars, got[k].n_symbols, got[k].n_dup_lines, got[k].n_repeat_words) == want, (k, text)
+        assert got[k].base_failed == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
