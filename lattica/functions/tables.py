@@ -56,9 +56,11 @@ def mean6(c: Column | str, name: str) -> Column:
 
 
 def std6(c: Column | str, name: str) -> Column:
-    """Population deviation of numbers of at most 6 places, from exact sums of values and squares."""
-    x, n = micro(c), F.count(c)
-    return halved_up(F.sqrt((n * F.sum(x * x) - F.sum(x) * F.sum(x)).cast("double")) / n, name)
+    """Population deviation of numbers of at most 6 places, from exact sums of values and squares. These and their products pass
+    64 bits from some thousands of rows on, so they are decimals of 38 digits."""
+    x, n = micro(c).cast("decimal(19,0)"), F.count(c).cast("decimal(19,0)")
+    total = F.sum(micro(c)).cast("decimal(19,0)")
+    return halved_up(F.sqrt((n * F.sum((x * x).cast("decimal(38,0)")) - total * total).cast("double")) / F.count(c), name)
 
 
 def mean6_sql(c: str) -> str:
