@@ -4,7 +4,7 @@ Images of at most WHOLE pixels are solved one by one in the tasks of a single sh
 (value, place), edges are taken in the order of their later end, and of two clusters that meet the younger dies. Both
 dimensions come from the same pass.
 
-Larger images, and graphs of any kind, are solved together as rounds of joins. Nodes are numbered by (value, id). In a round
+Graphs of at most WHOLE nodes are solved in the same way. Larger images and graphs are solved together as rounds of joins. Nodes are numbered by (value, id). In a round
 each cluster takes its least outgoing edge; if the cluster across is older, it dies there. Clusters that die are contracted into
 the older ones, and only the least edge between two clusters stays. The rounds end when no edge is left. H0 and H1 of
 such images are one set of graphs, so their rounds are shared.
@@ -20,18 +20,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.tables import drop, over, save
+from lattica.operators.components import WHOLE, ends
 from lattica.operators.grid import I, grid_edges, pixel_id as at
 
 OUTSIDE = -1
-#: Most pixels of an image that one task solves at once; memory and time of the pass grow with it and with nothing else.
-WHOLE = 1 << 20
 BARS = "hdim int, birth double, death double"
 
 
-def persistence_h0_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def persistence_h0_graph(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(g, birth, death) from nodes(g, id, v) and edges(g, a, b): death is null for the component that never dies; pairs
-    of no length are left out."""
+    of no length are left out. Graphs of at most `whole` nodes are solved one by one in the tasks of a single shuffle by graph,
+    larger ones together by rounds."""
     ranked = save(nodes.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("v", "id"))), "ranked")
+    large = ranked.where(F.col("k") > whole).select("g").distinct()  # k runs from 1 to the number of nodes
+    if large.isEmpty():
+        return _solved_graphs(ranked, edges)
+    hinted = large.hint("merge")
+    rounds = _rounds(ranked.join(hinted, "g"), edges.join(hinted, "g"))
+    return _solved_graphs(ranked.join(hinted, "g", "left_anti"), edges.join(hinted, "g", "left_anti")).unionByName(rounds)
+
+
+def _solved_graphs(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    kind = {c: ranked.schema[c].dataType.simpleString() for c in ("g", "v")}
+
+    def run(key: tuple, nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("k")
+        value, every = nodes["v"].combine_chunks(), np.arange(nodes.num_rows)
+        a, b, known = ends(nodes["id"].to_numpy(), edges["a"].to_numpy(), edges["b"].to_numpy())
+        gone = np.array(merges(every, a[known], b[known]), np.int64).reshape(-1, 2)
+        stay = np.setdiff1d(every, gone[:, 0])
+        g = pa.array([key[0].as_py()] * len(every), key[0].type)
+        birth = value.take(pa.array(np.concatenate([gone[:, 0], stay])))
+        death = pa.concat_arrays([value.take(pa.array(gone[:, 1])), pa.nulls(len(stay), value.type)])
+        return pa.table([g, birth, death, pa.array(np.arange(len(every)) < len(gone))], names=["g", "birth", "death", "died"])
+
+    each = ranked.select("g", "id", "v", "k").groupBy("g").cogroup(edges.select("g", "a", "b").groupBy("g"))
+    found = each.applyInArrow(run, f"g {kind['g']}, birth {kind['v']}, death {kind['v']}, died boolean")
+    return found.where("not died or birth < death").select("g", "birth", "death")
+
+
+def _rounds(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graphs together by rounds of joins; ranked(g, id, v, k)."""
     a, b = ranked.select("g", F.col("id").alias("a"), F.col("k").alias("x")), ranked.select("g", F.col("id").alias("b"), F.col("k").alias("y"))
     one = edges.select("g", "a", "b").join(a, ["g", "a"]).join(b, ["g", "b"]).select("g", "x", "y", F.greatest("x", "y").alias("w"))
     live = save(one.unionByName(one.select("g", F.col("y").alias("x"), F.col("x").alias("y"), "w")), "live")
@@ -151,7 +180,7 @@ def persistence(grid: DataFrame, filtration: str = "sublevel", whole: int = WHOL
     if large.isEmpty():
         return _solved(grid)
     nodes, edges = _graphs(grid.join(large, I))
-    rounds = persistence_h0_graph(nodes, edges).where("g.hdim = 0 or death is not null")
+    rounds = persistence_h0_graph(nodes, edges, whole).where("g.hdim = 0 or death is not null")
     flip = lambda a, b: F.when(F.col("g.hdim") == 0, F.col(a)).otherwise(-F.col(b))
     rounds = rounds.select(F.col(f"g.{I}").alias(I), F.col("g.hdim").alias("hdim"), flip("birth", "death").alias("birth"), flip("death", "birth").alias("death"))
     return _solved(grid.join(large, I, "left_anti")).unionByName(rounds)
