@@ -211,7 +211,7 @@ def laplacian_profile(grid: DataFrame, values: list[float]) -> DataFrame:
     nodes = sub.select(F.col(I).alias("g"), at("r", "c").alias("id"))
     degree = edges.select("g", F.explode(F.array("a", "b")).alias("id")).groupBy("g", "id").agg(F.count("*").alias("d"))
     moment = degree.groupBy("g").agg(F.sum("d").alias("trace"), F.sum(F.col("d") * F.col("d") + F.col("d")).alias("trace2"))
-    labels = save(connected_components(nodes, edges), "labels")
+    labels = connected_components(nodes, edges)
     parts = labels.groupBy("g").agg(F.count("*").alias("vertices"), F.countDistinct("label").alias("components"))
     whole = parts.where("components = 1 and vertices > 1").select("g", "vertices")
 

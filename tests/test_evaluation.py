@@ -99,3 +99,18 @@ def test_codebook_centers_hold_the_points(spark):
     bars = spark.createDataFrame([(1, h, b, b + p) for h in (0, 1) for b, p in ((0.0, 0.1), (0.0, 0.2), (5.0, 3.0))], "image_id long, hdim int, birth double, death double")
     centers = sorted((round(r.cx, 6), round(r.cy, 6)) for r in diagram.codebook_fit(bars, 2).collect())
     assert centers == [(0.0, 0.15), (5.0, 3.0)]
+
+
+def test_rows_of_one_file_are_dealt_to_all_tasks(spark, monkeypatch):
+    """An iterative fit of rows in one part would run in one task."""
+    rows = spark.range(400).select("id", (F.col("id") % 2).alias("fold"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("vec")).coalesce(1)
+    kept = {}
+
+    def note(df, name):
+        kept[name] = (df.rdd.getNumPartitions(), df.count())
+        return df
+
+    monkeypatch.setattr(evaluation, "save", note)
+    got = evaluation.cross_validate(rows, evaluation.classifier("logistic", 2, 2), 2)
+    assert kept["folds"] == (spark.sparkContext.defaultParallelism, 400)
+    assert got.count() == 400 and got.where("truth = pred").count() == 400
