@@ -107,12 +107,20 @@ def closest(x: np.ndarray, y: np.ndarray, one: np.ndarray, two: np.ndarray, k: i
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def blocks_of(rows: int, length: int, block: int = 2000, most: int = 16, numbers: int = 4_000_000) -> int:
+    """Number of blocks of rows of `length` numbers: of `block` rows each, but at most `most` blocks as long as a block holds at
+    most `numbers` numbers."""
+    return max(1, -(-rows // max(block, min(-(-rows // most), numbers // max(length, 1)))))
+
+
 def nearest(query: DataFrame, reference: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
     """(id, label, id2, label2, d): the k nearest of reference(id, vec, label) by Euclidean distance for each row of
     query(id, vec, label), exact; ties go to the lesser id, and a row is not its own neighbour. Both sides are dealt into
-    blocks of about `block` rows; a pair of blocks is one task, which keeps k rows for each row of its query side. The
-    work is the product of both sizes; what is shuffled grows with a side's rows times the other side's blocks."""
-    blocks = [max(1, -(-x.count() // block)) for x in (query, reference)]
+    blocks as `blocks_of` says; a pair of blocks is one task, which keeps k rows for each row of its query side. The
+    work is the product of both sizes; what is shuffled grows with a side's rows times the other side's blocks, of which
+    there are 16 at most while a block stays small enough for a task."""
+    sizes = [x.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first() for x in (query, reference)]
+    blocks = [blocks_of(n, length, block) for n, length in sizes]
 
     def dealt(x: DataFrame, own: str, many: int, other: str, others: int) -> DataFrame:
         place = F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias(own)

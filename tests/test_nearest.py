@@ -35,3 +35,15 @@ def test_closest_without_rows_or_numbers():
     assert [len(c) for c in scoring.closest(some, none, np.arange(3), np.arange(0), 2)] == [0, 0, 0]
     got = scoring.closest(some, some[[0, 1, 2, 0]], np.arange(3), np.array([7, 8, 9, 10]), 2)
     assert [c.tolist() for c in got] == [[0, 0], [0, 3], [0.0, 0.0]]
+
+
+def test_blocks_do_not_grow_with_the_rows():
+    assert [scoring.blocks_of(n, 64) for n in (0, 500, 20_000, 100_000, 600_000)] == [1, 1, 10, 16, 16]
+    assert scoring.blocks_of(100_000, 10_000) == 50 and scoring.blocks_of(6_000_000, 64) == 96
+
+
+def test_blocks_do_not_matter(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, [float(x) for x in rng.integers(0, 4, 3)], k % 3) for k in range(60)], "id long, vec array<double>, label int")
+    one, many = (sorted(map(tuple, scoring.nearest(rows, rows, 3, n).collect())) for n in (2000, 2))
+    assert one == many and len(one) == 180
