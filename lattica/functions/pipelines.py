@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +32,8 @@ def scalars(grid: DataFrame, smooth: DataFrame, threshold: float = 0.5) -> DataF
     """Euler number (4 neighbours) of the smooth image's foreground; mean, deviation and foreground of the image itself."""
     chi = g.euler_number(smooth.withColumn("fg", (F.col("v") > threshold).cast("int")), 4).select(I, F.lit("euler").alias("part"), F.col("chi").alias("x"))
     own = grid.groupBy(I).agg(F.avg("v").alias("image_mean"), F.stddev_pop("v").alias("image_std"), F.avg((F.col("v") > threshold).cast("double")).alias("foreground_ratio"))
-    return reduce(DataFrame.unionByName, [_part(x.withColumn("pos", F.lit(0)), n) for x, n in [(chi, "euler"), *((own.select(I, F.col(c).alias("x")), c) for c in ("image_mean", "image_std", "foreground_ratio"))]])
+    own = own.unpivot(I, ["image_mean", "image_std", "foreground_ratio"], "part", "x").withColumn("pos", F.lit(0))
+    return _part(chi.withColumn("pos", F.lit(0)), "euler").unionByName(own.select(I, "part", "pos", "x"))
 
 
 def curves_pipeline(grid: DataFrame, sigma: float = 1.0, n: int = 50, threshold: float = 0.5) -> DataFrame:

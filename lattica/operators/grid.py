@@ -46,12 +46,12 @@ def euler_curve(grid: DataFrame, n: int = 32) -> DataFrame:
 
 
 def euler_number(mask: DataFrame, conn: int = 4) -> DataFrame:
-    """Euler number of fg pixels: V - E + F with 4-neighbours, or the 8-connected complex."""
+    """Euler number of fg pixels: V - E + F with 4-neighbours, by windows after one shuffle by image, or the 8-connected complex."""
     if conn == 8:
         got = cells_of(mask.where("fg = 1").withColumn("one", F.lit(0.0)), "one").groupBy(I).agg(F.sum("sign").alias("chi"))
         return mask.select(I).distinct().join(got, I, "left").select(I, F.coalesce("chi", F.lit(0)).cast("long").alias("chi"))
     row, col = Window.partitionBy(I, "r").orderBy("c"), Window.partitionBy(I, "c").orderBy("r")
-    m = mask.select(I, "r", "c", "fg").withColumn("right", F.coalesce(F.lead("fg").over(row), F.lit(0))).withColumn("down", F.coalesce(F.lead("fg").over(col), F.lit(0)))
+    m = mask.select(I, "r", "c", "fg").repartition(I).withColumn("right", F.coalesce(F.lead("fg").over(row), F.lit(0))).withColumn("down", F.coalesce(F.lead("fg").over(col), F.lit(0)))
     m = m.withColumn("across", F.coalesce(F.lead("down").over(row), F.lit(0)))
     v, right, down = F.col("fg"), F.col("right"), F.col("down")
     return m.groupBy(I).agg(F.sum(v - v * right - v * down + v * right * down * F.col("across")).cast("long").alias("chi"))

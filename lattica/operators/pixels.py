@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,25 +67,108 @@ def binarize(grid: DataFrame, method: str = "otsu", threshold: float = 0.5) -> D
     return grid.withColumn("fg", (F.col("v") > F.col("threshold")).cast("int"))
 
 
-def _reflect(x: Column, n: Column) -> Column:
-    """Index of the mirrored border (the edge pixel is repeated)."""
-    return F.when(x < 0, -x - 1).when(x >= n, 2 * n - 1 - x).otherwise(x)
-
+#: Side of the squares into which larger images are cut, so that no row or task holds more than a square and what surrounds it.
+SIDE = 64
+#: Pixels that a task filters at once.
+AT_ONCE = 1 << 15
 
-def neighbourhood(grid: DataFrame, kernel: list[tuple[int, int, float]]) -> DataFrame:
-    """(image_id, r, c, u, w): each pixel with the values u that a kernel (dr, dc, weight) reaches, mirrored at borders.
-    Every pixel is sent to the pixels it counts for; mirroring sends border pixels more than once."""
-    spark = grid.sparkSession
-    # the kernel is a table of fixed size
-    k = F.broadcast(spark.createDataFrame([(a, b, float(w)) for a, b, w in kernel], "dr int, dc int, w double"))
-    size = grid.groupBy(I).agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("wd"))
-    at = grid.select(I, "r", "c").join(size, I).join(k)
-    at = at.select(I, "r", "c", _reflect(F.col("r") + F.col("dr"), F.col("h")).alias("r2"), _reflect(F.col("c") + F.col("dc"), F.col("wd")).alias("c2"), "w")
-    return at.join(grid.select(I, F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("v").alias("u")), [I, "r2", "c2"]).select(I, "r", "c", "u", "w")
+Kernel = list[tuple[int, int, float]]
+#: (values u, whether each is there, weights w, the pixel's own value v) to a value: u has a row for each place of the kernel.
+Filter = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def convolve(grid: DataFrame, kernel: list[tuple[int, int, float]]) -> DataFrame:
-    return neighbourhood(grid, kernel).groupBy(I, "r", "c").agg(F.sum(F.col("u") * F.col("w")).alias("v"))
+def reflect(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Index of the mirrored border (the edge pixel is repeated)."""
+    return np.where(x < 0, -x - 1, np.where(x >= n, 2 * n - 1 - x, x))
+
+
+def tiles(grid: DataFrame, reach: int, beyond: int = 0, side: int = SIDE) -> DataFrame:
+    """(image_id, h, wd, tr, tc, pixels array<struct<r, c, v>>): squares of each image's pixels, with those at most `reach` away from
+    them; squares begin up to `beyond` after the image's end. One shuffle by image, none where pixels lie by image."""
+    w = over(I)
+    sized = grid.where(F.col(I).isNotNull()).select(I, "r", "c", F.col("v").cast("double").alias("v"), (F.max("r").over(w) + 1).alias("h"), (F.max("c").over(w) + 1).alias("wd"))
+    upto = lambda x, n: F.explode(F.sequence(F.floor(F.greatest(F.col(x) - reach, F.lit(0)) / side), F.floor(F.least(F.col(x) + reach, F.col(n) - 1 + beyond) / side)))
+    placed = sized.withColumn("tr", upto("r", "h")).withColumn("tc", upto("c", "wd"))
+    return placed.groupBy(I, "h", "wd", "tr", "tc").agg(F.collect_list(F.struct("r", "c", "v")).alias("pixels"))
+
+
+def slices(batches: Iterable[pa.RecordBatch], most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Cuts batches of tiles so that those of a slice hold about `most` pixels."""
+    for batch in batches:
+        ends, begin = batch["pixels"].offsets.to_numpy(), 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, side="right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def flat_tiles(batch: pa.RecordBatch, reach: int, side: int = SIDE) -> tuple[np.ndarray, ...]:
+    """Of all pixels of some tiles: number of the tile, r, c, v, whether v is there; and a table that gives the pixel at each place of
+    each tile, -1 where none is, with the place of its first row and column."""
+    pixels, lists = batch["pixels"].flatten(), batch["pixels"]
+    tile = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    r, c, v = (pixels.field(k) for k in range(3))
+    r, c, known = r.to_numpy().astype(np.int64), c.to_numpy().astype(np.int64), ~np.asarray(v.is_null().to_numpy(zero_copy_only=False), bool)
+    v = np.where(known, v.to_numpy(zero_copy_only=False), 0.0)
+    first = [np.maximum(batch[x].to_numpy().astype(np.int64) * side - reach, 0) for x in ("tr", "tc")]
+    y, x = r - first[0][tile], c - first[1][tile]
+    at = np.full((batch.num_rows, int(y.max()) + 1, int(x.max()) + 1), -1, np.int32)
+    at[tile, y, x] = np.arange(len(r))
+    return tile, r, c, v, known, at, *first
+
+
+def filtered(grid: DataFrame, filters: dict[str, tuple[Kernel, Filter]], side: int = SIDE) -> DataFrame:
+    """(image_id, r, c, h, wd, one column a filter): what a filter makes of the values that its kernel (dr, dc, weight) reaches from each
+    pixel, mirrored at borders, and of the image's size. Pixels from which a kernel reaches none are left out, and a filter of values
+    that are all null gives null. Tasks work on squares of images, many at a time."""
+    reach = max(max(abs(a), abs(b)) for kernel, _ in filters.values() for a, b, _ in kernel)
+    kind = {c: grid.schema[c].dataType.simpleString() for c in (I, "r", "c")}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            tile, r, c, v, known, at, r0, c0 = flat_tiles(batch, reach, side)
+            h, wd, tr, tc = (batch[x].to_numpy().astype(np.int64) for x in ("h", "wd", "tr", "tc"))
+            own = np.flatnonzero((r // side == tr[tile]) & (c // side == tc[tile]))
+            t, y, x = tile[own], r[own], c[own]
+            reached, out = np.ones(len(own), bool), []
+            for kernel, f in filters.values():
+                u, there, any_ = np.zeros((len(kernel), len(own))), np.zeros((len(kernel), len(own)), bool), np.zeros(len(own), bool)
+                rows = {a: reflect(y + a, h[t]) - r0[t] for a in {a for a, _, _ in kernel}}
+                columns = {b: reflect(x + b, wd[t]) - c0[t] for b in {b for _, b, _ in kernel}}
+                for k, (a, b, _) in enumerate(kernel):
+                    yy, xx = rows[a], columns[b]
+                    inside = (yy >= 0) & (xx >= 0) & (yy < at.shape[1]) & (xx < at.shape[2])
+                    pixel = at[t, np.where(inside, yy, 0), np.where(inside, xx, 0)]
+                    found = inside & (pixel >= 0)
+                    any_ |= found
+                    there[k] = found & known[pixel]
+                    u[k] = np.where(there[k], v[pixel], 0.0)
+                value = f(u, there, np.array([w for _, _, w in kernel]), np.where(known[own], v[own], np.nan))
+                out.append((value, ~there.any(axis=0)))
+                reached &= any_
+            keep = np.flatnonzero(reached)
+            ids = batch[I].take(pa.array(t[keep]))
+            size = [pa.array(z[t[keep]]) for z in (h, wd)]
+            columns = [pa.array(value[keep], mask=empty[keep]) for value, empty in out]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(y[keep]), pa.array(x[keep]), *size, *columns], names=[I, "r", "c", "h", "wd", *filters])
+
+    schema = f"{I} {kind[I]}, r bigint, c bigint, h bigint, wd bigint, " + ", ".join(f"`{name}` double" for name in filters)
+    got = tiles(grid, reach, side=side).mapInArrow(run, schema)
+    return got.select(I, *[F.col(x).cast(kind[x]).alias(x) for x in ("r", "c")], "h", "wd", *filters)
+
+
+def weighted_sum(u: np.ndarray, there: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return w @ u  # values that are not there are 0
+
+
+def median(u: np.ndarray, there: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    order, n = np.sort(np.where(there, u, np.nan), axis=0), there.sum(axis=0)
+    each = np.arange(u.shape[1])
+    return (order[np.maximum(n - 1, 0) // 2, each] + order[n // 2, each]) / 2
+
+
+def convolve(grid: DataFrame, kernel: Kernel) -> DataFrame:
+    return filtered(grid, {"v": (kernel, weighted_sum)}).select(I, "r", "c", "v")
 
 
 SOBEL_X = [(-1, -1, -1), (-1, 1, 1), (0, -1, -2), (0, 1, 2), (1, -1, -1), (1, 1, 1)]
@@ -89,12 +176,12 @@ SOBEL_Y = [(c, r, w) for r, c, w in SOBEL_X]
 LAPLACE = [(0, 0, -4), (0, 1, 1), (0, -1, 1), (1, 0, 1), (-1, 0, 1)]
 
 
-def uniform(k: int) -> list[tuple[int, int, float]]:
+def uniform(k: int) -> Kernel:
     h = k // 2
     return [(a, b, 1.0 / (k * k)) for a in range(-h, h + 1) for b in range(-h, h + 1)]
 
 
-def gaussian(sigma: float) -> list[tuple[int, int, float]]:
+def gaussian(sigma: float) -> Kernel:
     import math
 
     h = int(4 * sigma + 0.5)
@@ -104,17 +191,19 @@ def gaussian(sigma: float) -> list[tuple[int, int, float]]:
 
 
 def median_filter(grid: DataFrame, k: int = 3) -> DataFrame:
-    return neighbourhood(grid, uniform(k)).groupBy(I, "r", "c").agg(F.expr("percentile(u, 0.5)").alias("v"))
+    return filtered(grid, {"v": (uniform(k), median)}).select(I, "r", "c", "v")
 
 
 def bilateral_filter(grid: DataFrame, sigma_s: float = 1.0, sigma_r: float = 0.1, k: int = 5) -> DataFrame:
     h = k // 2
     import math
 
-    near = neighbourhood(grid, [(a, b, math.exp(-(a * a + b * b) / (2 * sigma_s**2))) for a in range(-h, h + 1) for b in range(-h, h + 1)])
-    near = near.join(grid, [I, "r", "c"])
-    w = F.col("w") * F.exp(-F.pow(F.col("u") - F.col("v"), 2) / (2 * sigma_r**2))
-    return near.groupBy(I, "r", "c").agg((F.sum(w * F.col("u")) / F.sum(w)).alias("v"))
+    def run(u: np.ndarray, there: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        near = np.where(there, w[:, None] * np.exp(-((u - v) ** 2) / (2 * sigma_r**2)), 0.0)
+        return (near * u).sum(axis=0) / near.sum(axis=0)
+
+    kernel = [(a, b, math.exp(-(a * a + b * b) / (2 * sigma_s**2))) for a in range(-h, h + 1) for b in range(-h, h + 1)]
+    return filtered(grid, {"v": (kernel, run)}).select(I, "r", "c", "v")
 
 
 def filter_report(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -22,7 +22,14 @@ def minmax_normalize(grid: DataFrame, *keys: str, constant: float = 0.0) -> Data
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax_normalize(grid_from_array(read(spark, sf_dir, "embeddings"), 8))
+    """minmax_normalize of the arrays as images of width 8. The extremes are taken before arrays become pixels, so one row an image is
+    shuffled, and the pixels lie by image."""
+    w = over("image_id")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")
+    rows = rows.withColumn("low", F.min(F.array_min("embedding")).over(w).cast("double")).withColumn("high", F.max(F.array_max("embedding")).over(w).cast("double"))
+    pos = rows.select("image_id", "low", "high", F.posexplode("embedding").alias("pos", "x"))
+    v = F.when(F.col("high") > F.col("low"), (F.col("x").cast("double") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    return pos.select("image_id", F.floor(F.col("pos") / 8).cast("int").alias("r"), (F.col("pos") % 8).alias("c"), v.alias("v"))
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
