@@ -69,8 +69,8 @@ def binarize(grid: DataFrame, method: str = "otsu", threshold: float = 0.5) -> D
 
 #: Side of the squares into which larger images are cut, so that no row or task holds more than a square and what surrounds it.
 SIDE = 64
-#: Pixels that a task filters at once.
-AT_ONCE = 1 << 15
+#: Pixels and squares that a task works on at once.
+AT_ONCE, SQUARES = 1 << 15, 512
 
 Kernel = list[tuple[int, int, float]]
 #: (values u, whether each is there, weights w, the pixel's own value v) to a value: u has a row for each place of the kernel.
@@ -93,28 +93,31 @@ def tiles(grid: DataFrame, reach: int, beyond: int = 0, side: int = SIDE) -> Dat
 
 
 def slices(batches: Iterable[pa.RecordBatch], most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """Cuts batches of tiles so that those of a slice hold about `most` pixels."""
+    """Cuts batches of tiles so that those of a slice hold at most `most` pixels, or are a single one."""
     for batch in batches:
         ends, begin = batch["pixels"].offsets.to_numpy(), 0
         while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, side="right")) - 1)
+            end = min(begin + SQUARES, max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, side="right")) - 1))
             yield batch.slice(begin, end - begin)
             begin = end
 
 
-def flat_tiles(batch: pa.RecordBatch, reach: int, side: int = SIDE) -> tuple[np.ndarray, ...]:
-    """Of all pixels of some tiles: number of the tile, r, c, v, whether v is there; and a table that gives the pixel at each place of
-    each tile, -1 where none is, with the place of its first row and column."""
+def flat_pixels(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of all pixels of some tiles: number of the tile, r, c, v and whether v is there."""
     pixels, lists = batch["pixels"].flatten(), batch["pixels"]
     tile = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
     r, c, v = (pixels.field(k) for k in range(3))
     r, c, known = r.to_numpy().astype(np.int64), c.to_numpy().astype(np.int64), ~np.asarray(v.is_null().to_numpy(zero_copy_only=False), bool)
-    v = np.where(known, v.to_numpy(zero_copy_only=False), 0.0)
+    return tile, r, c, np.where(known, v.to_numpy(zero_copy_only=False), 0.0), known
+
+
+def places(batch: pa.RecordBatch, tile: np.ndarray, r: np.ndarray, c: np.ndarray, reach: int, side: int = SIDE) -> tuple[np.ndarray, ...]:
+    """A table that gives the pixel at each place of each tile, -1 where none is, with the place of a tile's first row and column."""
     first = [np.maximum(batch[x].to_numpy().astype(np.int64) * side - reach, 0) for x in ("tr", "tc")]
     y, x = r - first[0][tile], c - first[1][tile]
     at = np.full((batch.num_rows, int(y.max()) + 1, int(x.max()) + 1), -1, np.int32)
     at[tile, y, x] = np.arange(len(r))
-    return tile, r, c, v, known, at, *first
+    return at, *first
 
 
 def filtered(grid: DataFrame, filters: dict[str, tuple[Kernel, Filter]], side: int = SIDE) -> DataFrame:
@@ -126,7 +129,8 @@ def filtered(grid: DataFrame, filters: dict[str, tuple[Kernel, Filter]], side: i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            tile, r, c, v, known, at, r0, c0 = flat_tiles(batch, reach, side)
+            tile, r, c, v, known = flat_pixels(batch)
+            at, r0, c0 = places(batch, tile, r, c, reach, side)
             h, wd, tr, tc = (batch[x].to_numpy().astype(np.int64) for x in ("h", "wd", "tr", "tc"))
             own = np.flatnonzero((r // side == tr[tile]) & (c // side == tc[tile]))
             t, y, x = tile[own], r[own], c[own]

@@ -4,6 +4,7 @@ binary patterns and Laplacian profiles of grid(image_id, r, c, v)."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.tables import over, save, small
-from lattica.operators.components import connected_components
+from lattica.operators.components import WHOLE, connected_components, ends, least_labels
 from lattica.operators.grid import I, grid_edges
 from lattica.operators.grid import pixel_id as at
+from lattica.operators.pixels import flat_pixels, slices, tiles
 
 AXES = ("z", "y", "x")
 
@@ -168,11 +170,20 @@ def lbp_summary(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy(I).agg((-F.sum(h * F.log(h + 1e-10))).alias("entropy"), F.sum(h * h).alias("uniformity"), F.sum((h > 0.001).cast("int")).alias("n_nonzero"))
 
 
+#: Most nodes of a graph whose Laplacian is solved as a matrix.
+DENSE = 100
+
+
 def second_eigenvalue(n: int, a: np.ndarray, b: np.ndarray) -> float:
-    """Second eigenvalue of the Laplacian of a connected graph of n nodes: Lanczos steps on the space without constants, each new
-    vector made orthogonal to all before, until the least value settles or the space is used up."""
+    """Second eigenvalue of the Laplacian of a connected graph of n nodes. Small ones are solved as a matrix; others by Lanczos steps on
+    the space without constants, each new vector made orthogonal to all before, until the least value settles or the space is used up."""
     if n < 2:
         return 0.0
+    if n <= DENSE:
+        m = np.zeros((n, n))
+        m[a, b] = m[b, a] = -1.0
+        m[np.arange(n), np.arange(n)] = -m.sum(axis=0)
+        return max(float(np.linalg.eigvalsh(m)[1]), 0.0)
     degree = (np.bincount(a, minlength=n) + np.bincount(b, minlength=n)).astype(float)
     times = lambda x: degree * x - np.bincount(a, x[b], n) - np.bincount(b, x[a], n)
     q = np.cos(np.arange(n) * 1.7) + np.arange(n) / n  # any start that is not constant
@@ -198,10 +209,60 @@ def second_eigenvalue(n: int, a: np.ndarray, b: np.ndarray) -> float:
     return max(alpha[0], 0.0)
 
 
-def laplacian_profile(grid: DataFrame, values: list[float]) -> DataFrame:
+#: Columns of a profile beside image and level.
+PROFILE = ("vertices", "edges", "trace", "trace2", "components")
+
+
+def laplacian_profile(grid: DataFrame, values: list[float], second: bool = True, whole: int = WHOLE) -> DataFrame:
     """(image_id, k, vertices, edges, trace, trace2, components, second) of the 4-neighbour graphs of {v <= values[k]}: sums of
-    degrees, traces of L and L^2, near-zero eigenvalues (components), and the second eigenvalue, 0 for a graph of several
-    parts. Only connected graphs go to the eigenvalue step, each one to a task."""
+    degrees, traces of L and L^2, near-zero eigenvalues (components), and, if asked for, the second eigenvalue, 0 for a graph of several
+    parts. Images of at most `whole` pixels are worked out in the tasks of a single shuffle by image, larger ones by rounds."""
+    large = save(grid.groupBy(I).agg(F.count("*").alias("n")).where(F.col("n") > whole).select(I), "large")
+    if large.isEmpty():
+        return _profiles(grid, values, second)
+    hinted = large.hint("merge")
+    return _profiles(grid.join(hinted, I, "left_anti"), values, second).unionByName(_profiles_by_rounds(grid.join(hinted, I), values, second))
+
+
+def _profiles(grid: DataFrame, values: list[float], second: bool) -> DataFrame:
+    kind = grid.schema[I].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            image, r, c, v, known = flat_pixels(batch)
+            order, width = np.lexsort((c, r, image)), int(c.max()) + 2  # one column more, so that no row runs into the next
+            ids = ((image * (int(r.max()) + 2) + r) * width + c)[order]
+            image, v, known = image[order], v[order], known[order]
+            for k, t in enumerate(values):
+                on = known & (v <= t)
+                own, low = image[on], ids[on]
+                near = [ends(low, low, low + step) for step in (1, width)]
+                a, b = (np.concatenate([x[side][x[2]] for x in near]) for side in (0, 1))
+                degree = np.bincount(a, minlength=len(low)) + np.bincount(b, minlength=len(low))
+                count = lambda which, by=None: np.bincount(which, by, batch.num_rows).astype(np.int64)
+                label = least_labels(len(low), a, b)
+                vertices, components, trace = count(own), count(own[label == np.arange(len(low))]), count(own, degree)
+                columns = [vertices, trace // 2, trace, count(own, degree * degree + degree), components]
+                if second:
+                    columns.append(_seconds(batch.num_rows, own, a, b, (components == 1) & (vertices > 1)))
+                yield pa.RecordBatch.from_arrays([batch[I], pa.array(np.full(batch.num_rows, k, np.int32)), *map(pa.array, columns)], names=[I, "k", *PROFILE, *["second"] * second])
+
+    return tiles(grid, 0, side=1 << 31).mapInArrow(run, f"{I} {kind}, k int, " + ", ".join(f"{c} bigint" for c in PROFILE) + ", second double" * second)
+
+
+def _seconds(n: int, own: np.ndarray, a: np.ndarray, b: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Second eigenvalues of the wanted ones of n graphs; own gives the graph of each node, graphs after one another."""
+    order = np.argsort(own[a], kind="stable")
+    a, b = a[order], b[order]
+    first, cut, out = np.searchsorted(own, np.arange(n + 1)), np.searchsorted(own[a], np.arange(n + 1)), np.zeros(n)
+    for g in np.flatnonzero(wanted):
+        edges = slice(cut[g], cut[g + 1])
+        out[g] = second_eigenvalue(int(first[g + 1] - first[g]), a[edges] - first[g], b[edges] - first[g])
+    return out
+
+
+def _profiles_by_rounds(grid: DataFrame, values: list[float], second: bool) -> DataFrame:
+    """The images together by rounds of joins. Only connected graphs go to the eigenvalue step, each one to a task."""
     spark = grid.sparkSession
     # a table of fixed size
     t = F.broadcast(spark.createDataFrame([(k, float(x)) for k, x in enumerate(values)], "k int, t double"))
@@ -213,6 +274,12 @@ def laplacian_profile(grid: DataFrame, values: list[float]) -> DataFrame:
     moment = degree.groupBy("g").agg(F.sum("d").alias("trace"), F.sum(F.col("d") * F.col("d") + F.col("d")).alias("trace2"))
     labels = connected_components(nodes, edges)
     parts = labels.groupBy("g").agg(F.count("*").alias("vertices"), F.countDistinct("label").alias("components"))
+    out = parts.join(moment, "g", "left").select(F.col(f"g.{I}").alias(I), F.col("g.k").alias("k"), "vertices", "components", "trace", "trace2")
+    spine = grid.select(I).distinct().join(t.select("k"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    got = spine.join(out, [I, "k"], "left").select(I, "k", zero("vertices"), (F.coalesce("trace", F.lit(0)) / 2).cast("long").alias("edges"), zero("trace"), zero("trace2"), zero("components"))
+    if not second:
+        return got
     whole = parts.where("components = 1 and vertices > 1").select("g", "vertices")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -223,8 +290,5 @@ def laplacian_profile(grid: DataFrame, values: list[float]) -> DataFrame:
 
     kind = grid.schema[I].dataType.simpleString()
     flat = edges.join(whole, "g").select(F.col(f"g.{I}").alias(I), F.col("g.k").alias("k"), "a", "b")
-    second = flat.groupBy(I, "k").applyInArrow(run, f"{I} {kind}, k int, second double")
-    out = parts.join(moment, "g", "left").select(F.col(f"g.{I}").alias(I), F.col("g.k").alias("k"), "vertices", "components", "trace", "trace2")
-    spine = grid.select(I).distinct().join(t.select("k"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return spine.join(out, [I, "k"], "left").join(second, [I, "k"], "left").select(I, "k", zero("vertices"), (F.coalesce("trace", F.lit(0)) / 2).cast("long").alias("edges"), zero("trace"), zero("trace2"), zero("components"), F.coalesce("second", F.lit(0.0)).alias("second"))
+    eigen = flat.groupBy(I, "k").applyInArrow(run, f"{I} {kind}, k int, second double")
+    return got.join(eigen, [I, "k"], "left").withColumn("second", F.coalesce("second", F.lit(0.0)))

@@ -67,6 +67,6 @@ QUERIES = {
     "g11_anisotropy": (_anisotropy, ANISOTROPY),
     "g14_lbp_scales": (lambda s, d: _scales(s, d).select(I, "scale", "bin", "n", r6("density", "density")), f"{SCALES} SELECT image_id, scale, bin, n, round(n / 64, 6) AS density FROM every"),
     "g14_lbp_summary": (lambda s, d: spatial.lbp_summary(_scales(s, d)).select(I, r6("entropy", "entropy"), r6("uniformity", "uniformity"), "n_nonzero"), f"{SCALES} SELECT image_id, round(-sum(n / 64 * ln(n / 64 + 1e-10)), 6) AS entropy, round(sum(power(n / 64, 2)), 6) AS uniformity, count(*) FILTER (WHERE n / 64 > 0.001) AS n_nonzero FROM every GROUP BY 1"),
-    "g20_laplacian_moments": (lambda s, d: spatial.laplacian_profile(views.grids(s, d), VALUES).drop("second"), PROFILE),
+    "g20_laplacian_moments": (lambda s, d: spatial.laplacian_profile(views.grids(s, d), VALUES, second=False), PROFILE),
     "g20_laplacian_profile": (lambda s, d: spatial.laplacian_profile(views.grids(s, d), VALUES).select(I, "k", r6("second", "second")), None),
 }

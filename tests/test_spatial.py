@@ -79,3 +79,16 @@ def test_circle_weights_add_up():
     for points, radius in ((8, 1.0), (16, 2.0), (24, 3.0)):
         assert all(abs(sum(w for *_, w in p) - 1) < 1e-9 for p in spatial.circle(points, radius))
     assert spatial.circle(8, 1.0)[0] == [(0, 1, 1.0)] and spatial.circle(8, 1.0)[2] == [(-1, 0, 1.0)]
+
+
+def test_laplacian_profile_by_rounds_and_in_one_pass(spark):
+    """Images of both kinds, with gaps and nulls, and no shuffle but that by image for small ones."""
+    rng = random.Random(8)
+    grid = [(k, r, c, None if rng.random() < 0.1 else abs(r - 2) / 9 + abs(c - 2) / 9 + rng.random() / 10) for k in range(5) for r in range(3 + k) for c in range(6) if rng.random() < 0.95]
+    grid = spark.createDataFrame([*grid, (9, 0, 0, 2.0)], "image_id long, r int, c int, v double")
+    rows = lambda df: sorted((x.image_id, x.k, x.vertices, x.edges, x.trace, x.trace2, x.components, round(x.second, 8)) for x in df.collect())
+    whole, mixed = (spatial.laplacian_profile(grid, [0.2, 0.5, 1.0], whole=n) for n in (1 << 20, 24))
+    assert rows(whole) == rows(mixed) and len(rows(whole)) == 18 and any(x[-1] for x in rows(whole))
+    fresh = spatial.laplacian_profile(grid, [0.2, 0.5, 1.0])  # a plan that has not run names each shuffle once
+    assert str(fresh._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning") == 1
+    assert rows(spatial.laplacian_profile(grid, [0.2, 0.5, 1.0], second=False).selectExpr("*", "0.0D as second")) == [(*x[:-1], 0.0) for x in rows(whole)]
