@@ -117,28 +117,37 @@ def tropical_coordinates(diagram: DataFrame, images: DataFrame, k: int = 5) -> D
     return out.select(*KEY, "rank", fill(F.col("birth")).alias("birth"), fill(F.col("death")).alias("death"), fill(F.col("p")).alias("pers"), fill((F.col("birth") + F.col("death")) / 2).alias("mid"))
 
 
-def thresholds(diagram: DataFrame, images: DataFrame, n: int, margin: float = 0.01) -> DataFrame:
-    """(image_id, k, t): n even places over an image's births and deaths, widened by `margin` of the range."""
+def _places(diagram: DataFrame, images: DataFrame, n: int, margin: float = 0.01) -> DataFrame:
+    """(image_id, ts): n even places over an image's births and deaths, widened by `margin` of the range."""
     b = diagram.groupBy(I).agg(F.min("birth").alias("lo"), F.max("death").alias("hi"))
     b = images.select(I).distinct().join(b, I, "left").select(I, F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
     pad = (F.col("hi") - F.col("lo")) * margin
     lo, hi = F.col("lo") - pad, F.col("hi") + pad
-    return b.join(small(diagram.sparkSession, n, "k")).select(I, "k", (lo + F.col("k") * (hi - lo) / (n - 1)).alias("t"))
+    return b.select(I, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: lo + k * (hi - lo) / (n - 1)).alias("ts"))
+
+
+def thresholds(diagram: DataFrame, images: DataFrame, n: int, margin: float = 0.01) -> DataFrame:
+    """(image_id, k, t) of these places."""
+    return _places(diagram, images, n, margin).select(I, F.posexplode("ts").alias("k", "t"))
 
 
 def _alive(diagram: DataFrame, images: DataFrame, n: int, closed: bool) -> DataFrame:
-    """Bars at the thresholds that they span: the steps are even, so a bar names its first and last step (no range join)."""
-    t = thresholds(diagram, images, n)
-    step = t.groupBy(I).agg(F.min("t").alias("t0"), ((F.max("t") - F.min("t")) / (n - 1)).alias("step"))
+    """Bars at the thresholds that they span: the steps are even, so a bar names its first and last step (no range join). Bars meet
+    the places of their image as an array, so one shuffle by image serves all."""
+    step = _places(diagram, images, n).withColumn("t0", F.array_min("ts")).withColumn("step", (F.array_max("ts") - F.array_min("ts")) / (n - 1))
     d = diagram.join(step, I).withColumn("a", F.greatest(F.floor((F.col("birth") - F.col("t0")) / F.nullif("step", F.lit(0.0))) - 1, F.lit(0))).withColumn("z", F.least(F.ceil((F.col("death") - F.col("t0")) / F.nullif("step", F.lit(0.0))) + 1, F.lit(n - 1)))
-    on = d.where("a <= z").withColumn("k", F.explode(F.sequence(F.col("a").cast("int"), F.col("z").cast("int")))).join(t, [I, "k"])
+    on = d.where("a <= z").withColumn("k", F.explode(F.sequence(F.col("a").cast("int"), F.col("z").cast("int")))).withColumn("t", F.get("ts", F.col("k"))).drop("ts")
     return on.where((F.col("birth") <= F.col("t")) & ((F.col("t") <= F.col("death")) if closed else (F.col("t") < F.col("death"))))
 
 
 def betti_curves(diagram: DataFrame, images: DataFrame, n: int = 20) -> DataFrame:
-    got = _alive(diagram, images, n, False).groupBy(*KEY, "k").agg(F.count("*").alias("betti"))
-    at = spine(diagram, images).join(thresholds(diagram, images, n), I)
-    return at.join(got, [*KEY, "k"], "left").select(*KEY, "k", F.coalesce("betti", F.lit(0)).alias("betti"))
+    """Bars alive at each threshold. A bar of no weight for each image and dimension gives all thresholds a row, so that counts need no
+    join with them."""
+    none = spine(diagram, images).select(*KEY, F.lit(None).cast("double").alias("birth"), F.lit(None).cast("double").alias("death"), F.lit(0).alias("one"))
+    both = diagram.select(*KEY, "birth", "death", F.lit(1).alias("one")).unionByName(none)
+    at = both.join(_places(diagram, images, n), I).select(*KEY, "birth", "death", "one", F.posexplode("ts").alias("k", "t"))
+    alive = (F.col("one") == 0) | ((F.col("birth") <= F.col("t")) & (F.col("t") < F.col("death")))
+    return at.where(alive).groupBy(*KEY, "k").agg(F.sum("one").alias("betti"))
 
 
 def persistence_entropy(diagram: DataFrame, images: DataFrame, n: int = 20) -> DataFrame:

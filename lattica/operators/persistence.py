@@ -12,6 +12,7 @@ such images are one set of graphs, so their rounds are shared.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from lattica.functions.tables import drop, over, save
 from lattica.operators.components import WHOLE, ends
 from lattica.operators.grid import I, grid_edges, pixel_id as at
+from lattica.operators.pixels import flat_pixels, slices, tiles
 
 OUTSIDE = -1
 BARS = "hdim int, birth double, death double"
@@ -171,19 +173,40 @@ def _graphs(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, grid_edges(grid, 8).select(g(0), *ends).unionByName(grid_edges(grid, 4).select(g(1), *ends)).unionByName(rim)
 
 
+def _solved_squares(squares: DataFrame) -> DataFrame:
+    """Bars of images that are each a single row of `tiles`, some hundred at a time."""
+    kind = squares.schema[I].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            image, r, c, v, known = flat_pixels(batch)
+            v, cut = np.where(known, v, np.nan), np.searchsorted(image, np.arange(batch.num_rows + 1))
+            found = [(k, *bar) for k in range(batch.num_rows) for bar in solve_image(*(x[cut[k] : cut[k + 1]] for x in (r, c, v)))]
+            k, hdim, birth, death = zip(*found)
+            yield pa.RecordBatch.from_arrays([batch[I].take(pa.array(k)), pa.array(hdim, pa.int32()), pa.array(birth, pa.float64()), pa.array(death, pa.float64())], names=[I, "hdim", "birth", "death"])
+
+    return squares.mapInArrow(run, f"{I} {kind}, {BARS}")
+
+
 def persistence(grid: DataFrame, filtration: str = "sublevel", whole: int = WHOLE) -> DataFrame:
-    """(image_id, hdim, birth, death) of H0 and H1; death is null for a component that never dies; superlevel works on 1 - v."""
+    """(image_id, hdim, birth, death) of H0 and H1, a written table; death is null for a component that never dies; superlevel works
+    on 1 - v. Images are written as arrays of squares, and those of a single square are solved without another shuffle."""
     if filtration == "superlevel":
         grid = grid.withColumn("v", 1 - F.col("v"))
-    grid = save(grid.select(I, "r", "c", F.col("v").cast("double").alias("v")), "grid")
-    large = save(grid.groupBy(I).agg(F.count("*").alias("n")).where(F.col("n") > whole).select(I), "large")
-    if large.isEmpty():
-        return _solved(grid)
-    nodes, edges = _graphs(grid.join(large, I))
+    side = 1 << 10
+    squares = save(tiles(grid, 0, side=side), "squares")
+    alone = (F.col("h") <= side) & (F.col("wd") <= side) & (F.size("pixels") <= whole)
+    rest = squares.where(~alone)
+    if rest.isEmpty():
+        return save(_solved_squares(squares), "bars")
+    kind = {c: grid.schema[c].dataType.simpleString() for c in ("r", "c")}
+    pixels = save(rest.select(I, F.explode("pixels").alias("p")).select(I, *[F.col(f"p.{c}").cast(kind[c]).alias(c) for c in ("r", "c")], "p.v"), "grid")
+    large = save(pixels.groupBy(I).agg(F.count("*").alias("n")).where(F.col("n") > whole).select(I), "large")
+    nodes, edges = _graphs(pixels.join(large, I))
     rounds = persistence_h0_graph(nodes, edges, whole).where("g.hdim = 0 or death is not null")
     flip = lambda a, b: F.when(F.col("g.hdim") == 0, F.col(a)).otherwise(-F.col(b))
     rounds = rounds.select(F.col(f"g.{I}").alias(I), F.col("g.hdim").alias("hdim"), flip("birth", "death").alias("birth"), flip("death", "birth").alias("death"))
-    return _solved(grid.join(large, I, "left_anti")).unionByName(rounds)
+    return save(_solved_squares(squares.where(alone)).unionByName(_solved(pixels.join(large, I, "left_anti"))).unionByName(rounds), "bars")
 
 
 def persistence_h0(grid: DataFrame, conn: int = 8) -> DataFrame:

@@ -86,7 +86,7 @@ def tiles(grid: DataFrame, reach: int, beyond: int = 0, side: int = SIDE) -> Dat
     """(image_id, h, wd, tr, tc, pixels array<struct<r, c, v>>): squares of each image's pixels, with those at most `reach` away from
     them; squares begin up to `beyond` after the image's end. One shuffle by image, none where pixels lie by image."""
     w = over(I)
-    sized = grid.where(F.col(I).isNotNull()).select(I, "r", "c", F.col("v").cast("double").alias("v"), (F.max("r").over(w) + 1).alias("h"), (F.max("c").over(w) + 1).alias("wd"))
+    sized = grid.select(I, "r", "c", F.col("v").cast("double").alias("v"), (F.max("r").over(w) + 1).alias("h"), (F.max("c").over(w) + 1).alias("wd"))
     upto = lambda x, n: F.explode(F.sequence(F.floor(F.greatest(F.col(x) - reach, F.lit(0)) / side), F.floor(F.least(F.col(x) + reach, F.col(n) - 1 + beyond) / side)))
     placed = sized.withColumn("tr", upto("r", "h")).withColumn("tc", upto("c", "wd"))
     return placed.groupBy(I, "h", "wd", "tr", "tc").agg(F.collect_list(F.struct("r", "c", "v")).alias("pixels"))
@@ -157,7 +157,7 @@ def filtered(grid: DataFrame, filters: dict[str, tuple[Kernel, Filter]], side: i
             yield pa.RecordBatch.from_arrays([ids, pa.array(y[keep]), pa.array(x[keep]), *size, *columns], names=[I, "r", "c", "h", "wd", *filters])
 
     schema = f"{I} {kind[I]}, r bigint, c bigint, h bigint, wd bigint, " + ", ".join(f"`{name}` double" for name in filters)
-    got = tiles(grid, reach, side=side).mapInArrow(run, schema)
+    got = tiles(grid.where(F.col(I).isNotNull()), reach, side=side).mapInArrow(run, schema)
     return got.select(I, *[F.col(x).cast(kind[x]).alias(x) for x in ("r", "c")], "h", "wd", *filters)
 
 

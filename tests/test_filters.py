@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import pipelines
-from lattica.operators import pixels
+from lattica.operators import diagram, pixels
 from lattica.sources import views
 
 SCHEMA = "image_id long, r int, c int, v double"
@@ -79,3 +79,16 @@ def test_grids_of_odd_arrays(spark):
     rows.write.mode("overwrite").parquet(f"{path}/embeddings.parquet")
     key = lambda df: sorted(map(str, df.select("image_id", "r", "c", F.col("v")).collect()))
     assert key(views.grids(spark, path)) == key(views.minmax_normalize(views.grid_from_array(rows, 8)))
+
+
+def test_betti_curves_shuffle_bars_by_image_only(spark):
+    bars = spark.createDataFrame([(1, 0, 0.1, 0.9), (1, 0, 0.2, 0.4), (1, 1, 0.3, 0.5), (2, 0, 0.5, 0.5)], "image_id long, hdim int, birth double, death double")
+    images = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
+    got = {(x.image_id, x.hdim, x.k): x.betti for x in diagram.betti_curves(bars, images, 9).collect()}
+    want = {}
+    for t in diagram.thresholds(bars, images, 9).collect():
+        for h in (0, 1):
+            want[t.image_id, h, t.k] = sum(x.image_id == t.image_id and x.hdim == h and x.birth <= t.t < x.death for x in bars.collect())
+    assert got == want and len(got) == 54 and any(want.values())
+    assert "hashpartitioning(image_id" in (plan := diagram.betti_curves(bars, images, 9)._jdf.queryExecution().executedPlan().toString())
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "k#" in x.split("plan_id")[0]]
