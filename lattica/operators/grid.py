@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.tables import over, small
-from lattica.operators.pixels import SOBEL_X, SOBEL_Y, convolve, quantize
+from lattica.operators.pixels import SOBEL_X, SOBEL_Y, filtered, quantize, weighted_sum
 
 I = "image_id"
 STEPS = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
@@ -145,14 +145,14 @@ def lbp_histogram(grid: DataFrame, uniform: bool = True) -> DataFrame:
 
 def edge_histogram(grid: DataFrame, bins: int = 8, cells: int = 2) -> DataFrame:
     """(image_id, cell, bin, density): orientations of edges stronger than the 70th percentile of non-zero strengths."""
-    g = convolve(grid, SOBEL_X).withColumnRenamed("v", "gx").join(convolve(grid, SOBEL_Y).withColumnRenamed("v", "gy"), [I, "r", "c"])
-    g = g.withColumn("m", F.round(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2), 9))
-    cut = g.where("m > 0").groupBy(I).agg(F.expr("percentile(m, 0.7)").alias("cut"))
+    g = filtered(grid, {"gx": (SOBEL_X, weighted_sum), "gy": (SOBEL_Y, weighted_sum)}).withColumnsRenamed({"h": "r_size", "wd": "c_size"})
+    g = g.withColumn("m", F.round(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2), 9)).where("m > 0")
+    g = g.withColumn("cut", F.expr("percentile(m, 0.7)").over(over(I))).where("m > cut")
     angle = F.pmod(F.round(F.atan2("gy", "gx"), 9), F.lit(math.pi))
-    size = grid.groupBy(I).agg(*[F.greatest(F.floor((F.max(x) + 1) / cells), F.lit(1)).alias(f"{x}_side") for x in "rc"])
-    place = lambda x: F.least(F.floor(F.col(x) / F.col(f"{x}_side")), F.lit(cells - 1))
+    side = lambda x: F.greatest(F.floor(F.col(f"{x}_size") / cells), F.lit(1))
+    place = lambda x: F.least(F.floor(F.col(x) / side(x)), F.lit(cells - 1))
     cell = place("r") * cells + place("c")
-    e = g.join(cut, I).join(size, I).where("m > cut").select(I, cell.cast("int").alias("cell"), F.least(F.floor(angle / math.pi * bins), F.lit(bins - 1)).cast("int").alias("bin"))
+    e = g.select(I, cell.cast("int").alias("cell"), F.least(F.floor(angle / math.pi * bins), F.lit(bins - 1)).cast("int").alias("bin"))
     n = e.groupBy(I, "cell", "bin").agg(F.count("*").alias("n"))
     return n.withColumn("density", F.col("n") / (F.sum("n").over(over(I, "cell")) * (math.pi / bins)))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import pipelines
-from lattica.operators import diagram, pixels
+from lattica.operators import diagram, grid, pixels
 from lattica.sources import views
 
 SCHEMA = "image_id long, r int, c int, v double"
@@ -92,3 +92,8 @@ def test_betti_curves_shuffle_bars_by_image_only(spark):
     assert got == want and len(got) == 54 and any(want.values())
     assert "hashpartitioning(image_id" in (plan := diagram.betti_curves(bars, images, 9)._jdf.queryExecution().executedPlan().toString())
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "k#" in x.split("plan_id")[0]]
+
+
+def test_edge_histogram_filters_once(spark):
+    plan = grid.edge_histogram(views.grids(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan
