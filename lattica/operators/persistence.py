@@ -195,6 +195,8 @@ def persistence(grid: DataFrame, filtration: str = "sublevel", whole: int = WHOL
         grid = grid.withColumn("v", 1 - F.col("v"))
     side = 1 << 10
     squares = save(tiles(grid, 0, side=side), "squares")
+    if squares.rdd.getNumPartitions() < (cores := squares.sparkSession.sparkContext.defaultParallelism):
+        squares = squares.repartition(4 * cores, I)  # small files would keep tasks idle
     alone = (F.col("h") <= side) & (F.col("wd") <= side) & (F.size("pixels") <= whole)
     rest = squares.where(~alone)
     if rest.isEmpty():
