@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.tables import halved_up, mean6, micro, over, r6, std6
-from lattica.operators.features import cosine_similarity
+from lattica.operators import alike
 from lattica.operators.matrix import D, X, average_rank, rank_by_type
 
 
@@ -283,9 +283,9 @@ def similar_experiences(asked: DataFrame, known: DataFrame, n: int = 5) -> DataF
     vec = F.array(F.log1p("h0"), F.log1p("h1"), 100.0 * F.col("a0"), 100.0 * F.col("a1"), F.coalesce("ratio", F.lit(1.0)))
     q, e = asked.select("query_id", F.col("object_type").alias("own"), vec.alias("x")), known.select("id", "object_type", vec.alias("y"))
     types = known.select("object_type").distinct().withColumn("found", F.lit(True))
-    q = q.join(types, q["own"] == types["object_type"], "left").select("query_id", "own", "x", F.coalesce("found", F.lit(False)).alias("found"))
-    same = q.where("found").join(e, F.col("own") == F.col("object_type"))
-    rest = q.where("not found").join(e)  # stated queries of unknown type against all
-    got = same.unionByName(rest).select("query_id", "id", F.round(cosine_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return got.withColumn("rank", rank).where(F.col("rank") <= n)
+    q = q.join(types, q["own"] == types["object_type"], "left")
+    scope = lambda c: F.concat(F.lit("="), F.col(c).cast("string"))
+    q = q.select("query_id", "x", F.when(F.col("found"), scope("own")).otherwise("all").alias("scope"))
+    # each row belongs to its type and to all rows, as far as a query asks for them
+    e = e.select("id", "y", F.explode(F.array(scope("object_type"), F.lit("all"))).alias("scope")).join(q.select("scope").distinct(), "scope", "left_semi")
+    return alike.most_alike(q, e, n, 5)

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import r6
+from lattica.functions.tables import r6, save
 from lattica.operators import diagram, matrix, persistence, selection
 from lattica.sources import views
 from lattica.sources.views import GRIDS
@@ -71,6 +71,7 @@ def _similar(s, d):
     x = diagram.ph_profile(bars(s, d), views.image_labels(s, d)).join(views.image_labels(s, d), I)
     own = F.when(F.col(I) % 100 == 0, 99).otherwise(F.col("label"))
     x = x.select(I, own.alias("asked"), F.col("label").alias("object_type"), F.col("h0_count").alias("h0"), F.col("h1_count").alias("h1"), F.col("h0_avg").alias("a0"), F.col("h1_avg").alias("a1"), F.lit(None).cast("double").alias("ratio"))
+    x = save(x, "experiences")
     asked = x.where(F.col(I) % 20 == 0).drop("object_type").withColumnsRenamed({I: "query_id", "asked": "object_type"})
     return selection.similar_experiences(asked, x.drop("asked").withColumnRenamed(I, "id"))
 
