@@ -2,16 +2,21 @@
 
 grid(image_id, r, c, v) holds values from 0 to 1; members(dataset, image_id, label) say which images a dataset has. Each image
 is worked out once (`of_images`), whatever the number of datasets and samples that it is in; datasets are then aggregates.
-Components and background parts of all images are found in one run, as pixels only meet neighbours of their own kind.
+Pixels are written once, as squares, by one shuffle by image. An image that is one whole square is worked out in a task; larger
+images and those with gaps are worked out together by joins, where pixels only meet neighbours of their own kind.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.tables import over, save
-from lattica.operators.components import connected_components
+from lattica.operators.components import connected_components, least_labels
 from lattica.operators.grid import I, glcm, grid_edges, low_frequency_ratio
 from lattica.operators.grid import pixel_id as at
 from lattica.operators.pixels import LAPLACE, binarize, convolve, gradient
@@ -23,6 +28,10 @@ NAMES = (
 ).split()
 #: Bins in which the ranks of percentiles are found.
 BINS = 4096
+#: Side of the squares: at most 2^20 pixels in a row or a task.
+SIDE = 1024
+#: What is known of an image.
+OF_IMAGE = "n_comp bigint, area bigint, squares bigint, holes bigint, fill double, largest double, contrast double, polarity double, gradient_mean double, edge_density double, glcm_contrast double, glcm_homogeneity double, ratio double, laplacian double"
 
 
 def or_zero(c: Column) -> Column:
@@ -39,8 +48,87 @@ def parts(mask: DataFrame) -> DataFrame:
     return labels.join(pixels, ["g", "id"]).groupBy(F.col("g").alias(I), "fg", "label").agg(F.count("*").alias("size"), F.max("edge").alias("edge"))
 
 
-def of_images(grid: DataFrame) -> DataFrame:
-    """One row for each image, with whole-number sums of its components so that datasets can pool them."""
+def squares(grid: DataFrame) -> DataFrame:
+    """(image_id, tr, tc, pixels array<struct<r, c, v>> in row order), written; `whole`: no pixel is missing, doubled or no number."""
+    part = lambda x: F.floor(F.col(x) / SIDE).alias(f"t{x}")
+    g = grid.select(I, part("r"), part("c"), F.struct("r", "c", F.col("v").cast("double").alias("v")).alias("p"))
+    g = g.groupBy(I, "tr", "tc").agg(F.array_sort(F.collect_list("p")).alias("pixels"))
+    wide = F.element_at("pixels", -1)["c"] + 1
+    known = lambda p, k: (p["r"] * wide + p["c"]).eqNullSafe(k.cast("bigint")) & p["v"].isNotNull() & ~F.isnan(p["v"]) & (F.abs(p["v"]) < float("inf"))
+    return save(g.withColumn("whole", (F.col("tr") == 0) & (F.col("tc") == 0) & F.forall(F.transform("pixels", known), lambda x: F.coalesce(x, F.lit(False)))), "squares")
+
+
+def _split(v: np.ndarray, bins: int = 256) -> float:
+    """The threshold of `otsu_threshold`."""
+    n = np.bincount(np.clip(np.floor(v * bins), 0, bins - 1).astype(np.int64).ravel(), minlength=bins)
+    q = np.flatnonzero(n)
+    x, n = (q + 0.5) / bins, n[q]
+    wb, sb = np.cumsum(n), np.cumsum(n * x)
+    wf = wb[-1] - wb
+    gain = wb[:-1] * wf[:-1] * (sb[:-1] / wb[:-1] - (sb[-1] - sb[:-1]) / wf[:-1]) ** 2
+    gain = np.where(gain < 1e9, np.floor(gain * 1e6 + 0.5) / 1e6, gain)
+    return float(x[gain.argmax()]) if len(gain) and gain.max() > 0 else 0.5
+
+
+def _slopes(v: np.ndarray) -> np.ndarray:
+    """Differences along the first axis, one-sided at the ends."""
+    return np.gradient(v, axis=0) if len(v) > 1 else np.zeros_like(v)
+
+
+def _of_image(v: np.ndarray) -> tuple:
+    """The values of OF_IMAGE of a whole image, as `_by_joins` has them."""
+    h, wide = v.shape
+    fg = v > _split(v)
+    ids = np.arange(v.size).reshape(v.shape)
+    right, down = fg[:, 1:] == fg[:, :-1], fg[1:] == fg[:-1]
+    label = least_labels(v.size, np.concatenate([ids[:, :-1][right], ids[:-1][down]]), np.concatenate([ids[:, 1:][right], ids[1:][down]]))
+    size = np.bincount(label, minlength=v.size)
+    edge = np.zeros(v.size, bool)
+    edge[np.concatenate([label[ids[0]], label[ids[-1]], label[ids[:, 0]], label[ids[:, -1]]])] = True
+    part, own = size > 0, fg.ravel()  # a part's label is one of its pixels
+    of, back = size[part & own], part & ~own
+    area, inside = int(of.sum()), int(size[back & ~edge].sum())
+    gap = v[fg].mean() - v[~fg].mean() if 0 < area < v.size else None
+    m = np.sqrt(_slopes(v) ** 2 + _slopes(v.T).T ** 2)
+    mean = m.mean()
+    q = np.clip(np.floor((v[::4, ::4] if h > 64 else v) * 8), 0, 7)
+    step = np.abs(np.diff(q, axis=1))
+    a = np.abs(np.fft.fft2(v))
+    far = lambda n: np.abs(np.fft.fftfreq(n, 1 / n)) ** 2
+    near = far(h)[:, None] + far(wide)[None, :] <= (min(h, wide) // 8) ** 2
+    p = np.pad(v, 1, mode="edge")
+    rough = p[2:, 1:-1] + p[:-2, 1:-1] + p[1:-1, 2:] + p[1:-1, :-2] - 4 * v
+    return (
+        len(of), area, int((of * of).sum()), max(0, int(back.sum()) - 1), (area + inside) / area if area else 0.0, int(of.max()) / area if area else 0.0,
+        0.0 if gap is None else abs(float(gap)), 0.0 if gap is None else (1.0 if gap > 0 else -1.0), float(mean), float(((m > 2 * mean) & (mean > 0)).mean()),
+        float((step * step).mean()) if step.size else None, float((1 / (1 + step)).mean()) if step.size else None, float(a[near].sum() / a.sum()) if a.sum() else None, float(rough.var()),
+    )
+
+
+def _in_tasks(whole: DataFrame) -> DataFrame:
+    kind, names = whole.schema[I].dataType.simpleString(), [x.split()[0] for x in OF_IMAGE.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, flat = batch["values"].offsets.to_numpy(), batch["values"].values.to_numpy()
+            rows = [_of_image(flat[a:b].reshape(-1, n)) for a, b, n in zip(ends[:-1], ends[1:], batch["wide"].to_pylist())]
+            types = [pa.int64() if x.endswith("bigint") else pa.float64() for x in OF_IMAGE.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch[I], *[pa.array([row[k] for row in rows], t) for k, t in enumerate(types)]], names=[I, *names])
+
+    arrays = whole.select(I, (F.element_at("pixels", -1)["c"] + 1).cast("int").alias("wide"), F.col("pixels.v").alias("values"))
+    return arrays.mapInArrow(run, f"{I} {kind}, {OF_IMAGE}")
+
+
+def of_images(cut: DataFrame) -> DataFrame:
+    """One row for each image of squares, with whole-number sums of its components so that datasets can pool them."""
+    odd = save(cut.where(~F.col("whole")).select(I).distinct(), "odd")
+    if odd.isEmpty():
+        return _in_tasks(cut)
+    pixels = cut.join(odd, I).select(I, F.explode("pixels").alias("p")).select(I, "p.r", "p.c", "p.v")
+    return _in_tasks(cut.join(odd, I, "left_anti")).unionByName(_by_joins(save(pixels, "grid")))
+
+
+def _by_joins(grid: DataFrame) -> DataFrame:
     mask = save(binarize(grid, "otsu"), "mask")
     one = lambda c: F.when(c, 1).otherwise(0)
     own = F.col("fg") == 1
@@ -79,10 +167,10 @@ def exact_percentiles(values: DataFrame, keys: list[str], shares: dict[str, floa
     return two.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, value)).alias(name) for name in shares])
 
 
-def of_samples(grid: DataFrame, images: DataFrame, members: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
+def of_samples(cut: DataFrame, images: DataFrame, members: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
     """The 25 values for each key of sample(keys, image_id), keys beginning with dataset; sizes and classes count all members."""
     n = members.groupBy("dataset", "label").agg(F.count("*").alias("n")).groupBy("dataset").agg(F.sum("n").alias("n_samples"), F.count("*").alias("n_classes"), (F.max("n") / F.min("n")).alias("class_imbalance"))
-    pixels = grid.select(I, "v").join(sample, I).select(*keys, "v")
+    pixels = save(cut.select(I, F.col("pixels.v").alias("values")).join(sample, I).select(*keys, "values"), "values").select(*keys, F.explode("values").alias("v"))
     moments = pixels.groupBy(*keys).agg(F.avg("v").alias("intensity_mean"), F.stddev_pop("v").alias("intensity_std"), F.skewness("v").alias("intensity_skewness"), F.kurtosis("v").alias("intensity_kurtosis"))
     histogram = pixels.groupBy(*keys, F.least(F.floor(F.col("v") * 256), F.lit(255)).alias("bin")).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(over(*keys)))
     entropy = histogram.groupBy(*keys).agg((-F.sum(F.col("p") * F.log2("p"))).alias("intensity_entropy"))
@@ -100,16 +188,16 @@ def of_samples(grid: DataFrame, images: DataFrame, members: DataFrame, sample: D
 
 def dataset_characteristics(grid: DataFrame, members: DataFrame) -> DataFrame:
     """(dataset, 25 values) over all images."""
-    grid = save(grid.select(I, "r", "c", "v"), "grid")
-    return of_samples(grid, save(of_images(grid), "images"), members, members.select("dataset", I), ["dataset"])
+    cut = squares(grid)
+    return of_samples(cut, save(of_images(cut), "images"), members, members.select("dataset", I), ["dataset"])
 
 
 def stable_characteristics(grid: DataFrame, members: DataFrame, repeats: int = 5, most: int = 100, seed: int = 42) -> DataFrame:
     """(dataset, 25 values): means over `repeats` samples of at most `most` images, drawn by md5 of (seed + 1000 * repeat, image)."""
-    grid = save(grid.select(I, "r", "c", "v"), "grid")
     each = members.select("dataset", I, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
     draw = F.md5(F.concat_ws(":", (F.lit(seed) + 1000 * F.col("rep")).cast("string"), F.col(I).cast("string")))
     drawn = each.withColumn("k", F.row_number().over(Window.partitionBy("dataset", "rep").orderBy(draw, I))).where(F.col("k") <= most).drop("k")
     sample = save(drawn.select("dataset", "rep", I), "sample")
-    got = of_samples(grid, save(of_images(grid.join(sample.select(I).distinct(), I)), "images"), members, sample, ["dataset", "rep"])
+    cut = squares(grid.join(sample.select(I).distinct(), I))
+    got = of_samples(cut, save(of_images(cut), "images"), members, sample, ["dataset", "rep"])
     return got.groupBy("dataset").agg(*[F.avg(c).alias(c) for c in NAMES])
