@@ -18,10 +18,11 @@ from lattica.functions.tables import save
 from lattica.operators import features, scoring
 
 
-def classifier(name: str, length: int, classes: int, seed: int = 42) -> Estimator:
+def classifier(name: str, length: int, classes: int, seed: int = 42, scaled: bool = True) -> Estimator:
     """`forest`, `logistic`, `perceptron`, or one classifier for each class against the rest: `boosted` trees or `one_vs_rest`
-    logistic ones; on scaled features. The scaler is part of what is fitted in a fold."""
-    common = {"featuresCol": "scaled", "labelCol": "label"}
+    logistic ones; on scaled features. The scaler is part of what is fitted in a fold. Not `scaled`, features stay as sparse as they
+    are, which is the same model for `logistic`, whose fit centres and scales by itself."""
+    common = {"featuresCol": "scaled" if scaled else "features", "labelCol": "label"}
     made = {
         "forest": lambda: RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **common),
         "logistic": lambda: LogisticRegression(maxIter=100, regParam=0.01, **common),
@@ -30,7 +31,7 @@ def classifier(name: str, length: int, classes: int, seed: int = 42) -> Estimato
         "one_vs_rest": lambda: OneVsRest(classifier=LogisticRegression(maxIter=50, regParam=0.01), parallelism=2, **common),
     }
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    return Pipeline(stages=[scaler, made[name]()])
+    return Pipeline(stages=[scaler, made[name]()] if scaled else [made[name]()])
 
 
 def subspaces(length: int, above: int = 2000, size: int = 500, many: int = 5, seed: int = 42) -> list[list[int]] | None:
@@ -46,7 +47,7 @@ def random_subspace(name: str, train: DataFrame, test: DataFrame, length: int, c
     for k, places in enumerate(sets):
         cut = VectorSlicer(inputCol="features", outputCol="part", indices=places)
         view = lambda df: cut.transform(df).drop("features").withColumnRenamed("part", "features")  # noqa: B023, E731
-        model = classifier(name, len(places), classes, seed + k).fit(view(train))
+        model = classifier(name, len(places), classes, seed + k, name != "logistic").fit(view(train))
         got = model.transform(cut.transform(test).withColumnRenamed("features", "all").withColumnRenamed("part", "features"))
         test = got.withColumn(f"p{k}", vector_to_array("probability")).drop("features", "scaled", "rawPrediction", "probability", "prediction").withColumnRenamed("all", "features")
     mean = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: sum((F.get(f"p{k}", c) for k in range(len(sets))), F.lit(0.0)) / len(sets))
@@ -55,11 +56,15 @@ def random_subspace(name: str, train: DataFrame, test: DataFrame, length: int, c
 
 
 def cross_validate_subspaces(rows: DataFrame, name: str, length: int, classes: int, k: int = 5, above: int = 2000, size: int = 500, many: int = 5, seed: int = 42) -> DataFrame:
-    """cross_validate of a named classifier, by random subspaces where the vectors are longer than `above`."""
+    """cross_validate of a named classifier, by random subspaces where the vectors are longer than `above`. Instead of `vec`, rows may
+    hold `features`, ML vectors that stay sparse."""
     sets = subspaces(length, above, size, many, seed)
     if sets is None:
+        rows = rows if "vec" in rows.columns else rows.withColumn("vec", vector_to_array("features")).drop("features")
         return cross_validate(rows, classifier(name, length, classes, seed), k)
-    rows = save(_dealt(rows.withColumn("features", array_to_vector(features.sanitize(F.col("vec")))).drop("vec")), "folds")
+    if "vec" in rows.columns:
+        rows = rows.withColumn("features", array_to_vector(features.sanitize(F.col("vec")))).drop("vec")
+    rows = save(_dealt(rows), "folds")
 
     def one(fold: int) -> DataFrame:
         got = random_subspace(name, rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), length, classes, sets, seed)

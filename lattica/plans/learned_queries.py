@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lattica.functions import descriptors, pipelines
@@ -199,7 +198,7 @@ def _subspaces(s, d):
     """Words hashed to 2600 places, which are too many for one model."""
     t = read(s, d, "documents").where("lang in ('de', 'en', 'es', 'fr')")
     words = t.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2).alias("fold"), (F.array_position(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("lang")) - 1).cast("int").alias("label"), F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}]+").alias("words"))
-    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=2600, binary=True).transform(words).select("id", "fold", "label", vector_to_array("tf").alias("vec"))
+    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=2600, binary=True).transform(words).select("id", "fold", "label", F.col("tf").alias("features"))
     return evaluation.fold_report(evaluation.cross_validate_subspaces(hashed, "logistic", 2600, 4, 2))
 
 

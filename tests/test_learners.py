@@ -6,6 +6,7 @@ import tempfile
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, Vectors
 from pyspark.sql import functions as F
 
 from lattica.functions import vectorizers
@@ -96,6 +97,19 @@ def test_subspaces_are_the_mean_of_models_fitted_by_hand(spark):
     assert all(got[i].pred == mean[i].argmax() and abs(got[i].confidence - mean[i].max()) < 1e-6 for i in range(60))
 
 
+def test_subspaces_of_sparse_vectors_stay_sparse(spark):
+    rng = random.Random(7)
+    words = [(i, i % 2, i % 3, sorted({rng.randrange(3000) for _ in range(20)} | {(i % 3) * 700 + j for j in range(0, 600, 9) if rng.random() < 0.5})) for i in range(60)]
+    sparse = spark.createDataFrame([(i, f, y, Vectors.sparse(3000, at, [1.0] * len(at))) for i, f, y, at in words], ["id", "fold", "label", "features"])
+    dense = sparse.withColumn("vec", vector_to_array("features")).drop("features")
+    key = lambda rows: {r.id: r for r in evaluation.cross_validate_subspaces(rows, "logistic", 3000, 3, 2, size=50, many=2).collect()}
+    a, b = key(sparse), key(dense)
+    assert a.keys() == b.keys() and all(a[i].pred == b[i].pred and abs(a[i].confidence - b[i].confidence) < 1e-6 for i in a)
+    model = evaluation.classifier("logistic", 3000, 3, scaled=False).fit(sparse)
+    kinds = {type(r.features) for r in model.transform(sparse).select("features").collect()}
+    assert kinds == {SparseVector} and "scaled" not in model.transform(sparse).columns
+
+
 def test_every_classifier_learns(spark):
     rng = np.random.default_rng(4)
     rows = [(i, i % 2, i % 3, [float(x) for x in rng.normal(size=4) + np.eye(3, 4)[i % 3] * 6]) for i in range(60)]
