@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .common import Scratch, broadcast_if_small, table
 
@@ -57,17 +58,24 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
 
 
 def candidates(docs: DataFrame, repo: str, scratch: Scratch) -> DataFrame:
-    """(doc_id, row_key, row_key2, repo, base, added) of docs(doc_id, text, repo): the spans with hashes of the values."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"), *row_keys(repo))
+    """(doc_id, row_key, row_key2, repo, base, added) of docs(doc_id, text, repo): the spans with hashes of the values. `repo` may be an
+    array of all repositories that hold a row; its text is scanned once and gives a row for each of them."""
     hashed = lambda a: F.transform(a, lambda s: F.struct(s["start"], s["kind"], s["end"], F.xxhash64(s["value"]).alias("hash")))
-    base = hashed(F.array_sort(F.concat(*[spans_of(F.col("text"), *x) for x in BASE])))
-    added = hashed(F.array_sort(F.concat(*[spans_of(F.col("text"), *x) for x in ADDED])))
-    return scratch.save(keyed.select("doc_id", "row_key", "row_key2", "repo", base.alias("base"), added.alias("added")), "candidates")
+    found = lambda kinds: hashed(F.array_sort(F.concat(*[spans_of(F.col("whole"), *x) for x in kinds])))
+    scanned = docs.withColumn("whole", F.coalesce("text", F.lit(""))).select("doc_id", F.col(repo).alias("held"), *[c.alias(f"text_key{k}") for k, c in enumerate(text_keys())], found(BASE).alias("base"), found(ADDED).alias("added"))
+    if isinstance(docs.schema[repo].dataType, ArrayType):
+        scanned = scanned.withColumn("held", F.explode("held"))
+    keys = [F.xxhash64(f"text_key{k}", "held").alias(name) for k, name in enumerate(("row_key", "row_key2"))]
+    return scratch.save(scanned.select("doc_id", *keys, F.coalesce(F.col("held").cast("string"), F.lit("")).alias("repo"), "base", "added"), "candidates")
+
+
+def text_keys() -> list[Column]:
+    return [F.xxhash64(F.lit(k), "doc_id", "text") for k in (1, 2)]
 
 
 def row_keys(repo: str) -> list[Column]:
     """128 bits of hash over what decides a row's result; equal rows share them."""
-    return [F.xxhash64(F.lit(k), "doc_id", "text", repo).alias(name) for k, name in ((1, "row_key"), (2, "row_key2"))]
+    return [F.xxhash64(key, repo).alias(name) for key, name in zip(text_keys(), ("row_key", "row_key2"))]
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -134,11 +142,11 @@ def redact(docs: DataFrame, repo: str = "source", common: int = 3, mark: str = "
 
 
 def shared(docs: DataFrame) -> DataFrame:
-    """Every document once for each of its doc_id % 6 + 1 owners, in five repositories of each owner with an even number: values
-    of one owner, of two owners in many repositories, and of many owners."""
+    """Every document with the repositories that hold it: of each of its doc_id % 6 + 1 owners, five of each owner with an even number:
+    values of one owner, of two owners in many repositories, and of many owners."""
     repos = lambda k: F.transform(F.array(*map(F.lit, "abcde")), lambda r: F.concat(F.lit("o"), k.cast("string"), F.lit("/"), r))
     held = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("doc_id") % 6), lambda k: F.when(k % 2 == 0, repos(k)).otherwise(F.slice(repos(k), 1, 1)))
-    return docs.select("doc_id", "text", F.explode(F.flatten(held)).alias("source"))
+    return docs.select("doc_id", "text", F.flatten(held).alias("source"))
 
 
 def secrets_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
