@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.tables import save
 from lattica.operators import diagram as d
 from lattica.operators import grid as g
 from lattica.operators import persistence as ph
@@ -42,7 +43,7 @@ def extract(name: str, grid: DataFrame, channel_mode: str = "gray", **params: An
         raise TypeError(f"{name} takes no {', '.join(sorted(extra))}")
     given = {**defaults, **params}
     if channel_mode == "per_channel":
-        got = by_channel(grid, lambda g: run(g, **given).select("image_id", "pos", "x"))
+        got = save(by_channel(grid, lambda g: run(g, **given).select("image_id", "pos", "x")), "channels")  # read for the span and the rows
         span = F.broadcast(got.agg((F.max("pos") + 1).alias("span")))  # one row
         place = F.array_position(F.array(*map(F.lit, "RGB")), F.col("channel")) - 1
         out = got.crossJoin(span).select("image_id", (place * F.col("span") + F.col("pos")).alias("pos"), "x")

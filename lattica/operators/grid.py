@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.tables import over, small
-from lattica.operators.pixels import SOBEL_X, SOBEL_Y, filtered, quantize, weighted_sum
+from lattica.operators.pixels import SIDE, SOBEL_X, SOBEL_Y, filtered, flat_pixels, places, quantize, slices, tiles, weighted_sum
 
 I = "image_id"
 STEPS = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
@@ -35,14 +38,31 @@ def cells_of(grid: DataFrame, value: str = "v") -> DataFrame:
 
 
 def euler_curve(grid: DataFrame, n: int = 32) -> DataFrame:
-    """(image_id, k, t, chi): Euler number of {v < t} at n even thresholds, from one pass over cells and a running sum."""
-    spark = grid.sparkSession
-    cells = cells_of(grid)
-    first = F.floor(F.col("entry") * (n - 1)).cast("int") + 1  # first threshold above the entry
-    inside = cells.groupBy(I, F.greatest(first, F.lit(0)).alias("k")).agg(F.sum("sign").alias("d"))
-    spine = grid.select(I).distinct().join(small(spark, n, "k"))
-    chi = F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy(I).orderBy("k"))
-    return spine.join(inside, [I, "k"], "left").select(I, "k", (F.col("k") / F.lit(n - 1)).alias("t"), chi.cast("long").alias("chi"))
+    """(image_id, k, t, chi): Euler number of {v < t} at n even thresholds. Tasks count the cells of `cells_of` on squares of images: a
+    pixel's own, and those above and left of it."""
+    kind = grid.schema[I].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            tile, r, c, v, known = flat_pixels(batch)
+            at, r0, c0 = places(batch, tile, r, c, 1)
+            pixel = np.pad(at, ((0, 0), (1, 1), (1, 1)), constant_values=-1)
+            there, sure = pixel >= 0, (pixel >= 0) & known[pixel]
+            value = np.where(sure, v[pixel], np.inf)
+            own = ((r0[:, None] + np.arange(at.shape[1] + 1)) // SIDE == batch["tr"].to_numpy()[:, None])[:, :, None] & ((c0[:, None] + np.arange(at.shape[2] + 1)) // SIDE == batch["tc"].to_numpy()[:, None])[:, None, :]
+            four = lambda x: (x[:, 1:, 1:], x[:, :-1, 1:], x[:, 1:, :-1], x[:, :-1, :-1])
+            chi = np.zeros((batch.num_rows, n), np.int64)
+            for sign, near in ((1, [0]), (-1, [0, 1]), (-1, [0, 2]), (1, [0, 1, 2, 3])):
+                some, any_, least = (f.reduce([four(x)[k] for k in near]) for f, x in ((np.logical_or, there), (np.logical_or, sure), (np.minimum, value)))
+                first = np.where(any_, np.maximum(np.floor(np.where(any_, least, 0.0) * (n - 1)) + 1, 0), 0)  # first threshold above the entry
+                t, y, x = np.nonzero(own & some & (first < n))
+                np.add.at(chi, (t, first[t, y, x].astype(np.int64)), sign)
+            chi = np.cumsum(chi, axis=1)
+            ids = batch[I].take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(n, dtype=np.int32), batch.num_rows)), pa.array(chi.ravel())], names=[I, "k", "chi"])
+
+    got = tiles(grid, 1, 1).mapInArrow(run, f"{I} {kind}, k int, chi bigint").groupBy(I, "k").agg(F.sum("chi").alias("chi"))
+    return got.select(I, "k", (F.col("k") / F.lit(n - 1)).alias("t"), "chi")
 
 
 def euler_number(mask: DataFrame, conn: int = 4) -> DataFrame:

@@ -92,3 +92,21 @@ def test_laplacian_profile_by_rounds_and_in_one_pass(spark):
     fresh = spatial.laplacian_profile(grid, [0.2, 0.5, 1.0])  # a plan that has not run names each shuffle once
     assert str(fresh._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning") == 1
     assert rows(spatial.laplacian_profile(grid, [0.2, 0.5, 1.0], second=False).selectExpr("*", "0.0D as second")) == [(*x[:-1], 0.0) for x in rows(whole)]
+
+
+def test_euler_curve_over_squares_is_that_of_cells(spark):
+    """Images of several squares, with gaps, missing values and ties; no pixel becomes nine cells."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lattica.operators import grid as g
+
+    rng = random.Random(3)
+    rows = [(i, r, c, rng.choice([rng.random(), round(rng.random(), 1), -0.2]) if rng.random() > 0.01 * i else None) for i, (h, w) in enumerate([(64, 64), (65, 3), (8, 130), (1, 1)]) for r in range(h) for c in range(w) if rng.random() > 0.1 * i or r + c == 0]
+    table = spark.createDataFrame(rows, "image_id long, r int, c int, v double")
+    first = F.greatest(F.floor(F.col("entry") * 8).cast("int") + 1, F.lit(0))
+    cells = g.cells_of(table).select("image_id", first.alias("k"), "sign").collect()
+    got = {(r.image_id, r.k): r.chi for r in g.euler_curve(table, 9).collect()}
+    assert got == {(i, k): sum(x.sign for x in cells if x.image_id == i and x.k <= k) for i in range(4) for k in range(9)}
+    assert "sign" not in g.euler_curve(table, 9)._jdf.queryExecution().optimizedPlan().toString()
