@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.tables import save
+from lattica.functions.tables import over, save
 from lattica.operators.features import sanitize
 
 I = "image_id"
@@ -46,10 +46,14 @@ def spread_ranks(long: DataFrame, keys: list[str], value: str, name: str) -> Dat
 
 def descriptor_correlation(parts: DataFrame) -> DataFrame:
     """(a, b, pearson, spearman, n) for each ordered pair of descriptors of parts(image_id, descriptor, k, x): means of the absolute
-    correlations of matching components; components without spread are left out, and a pair without any has 0."""
+    correlations of matching components; components without spread are left out of both, and a pair without any has 0. Without spread
+    are those whose variance is below the rounding error of their descriptor's greatest: what rounding leaves of a component grows
+    with the number of rows and changes with their order, and so would its ranks."""
     r = save(spread_ranks(parts, ["descriptor", "k"], "x", "rank"), "ranks")
     a, b = r.select(I, "k", F.col("descriptor").alias("a"), F.col("x").alias("xa"), F.col("rank").alias("ra")), r.select(I, "k", F.col("descriptor").alias("b"), F.col("x").alias("xb"), F.col("rank").alias("rb"))
-    flat = lambda x: F.stddev_pop(x) < 1e-12
-    c = a.join(b, [I, "k"]).where("a < b").groupBy("a", "b", "k").agg(*[F.when(flat(x) | flat(y), None).otherwise(F.abs(F.covar_pop(x, y)) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))).alias(n) for x, y, n in (("xa", "xb", "p"), ("ra", "rb", "s"))])
+    alike = lambda x, y: F.abs(F.covar_pop(x, y)) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    c = a.join(b, [I, "k"]).where("a < b").groupBy("a", "b", "k").agg(alike("xa", "xb").alias("p"), alike("ra", "rb").alias("s"), F.stddev_pop("xa").alias("da"), F.stddev_pop("xb").alias("db"))
+    flat = lambda d: F.col(d) < F.greatest(F.lit(1e-12), F.max(d).over(over("a", "b")) * 1e-8)
+    c = c.withColumn("flat", flat("da") | flat("db")).select("a", "b", *[F.when(~F.col("flat"), F.col(x)).alias(x) for x in "ps"])
     half = c.groupBy("a", "b").agg(F.coalesce(F.avg("p"), F.lit(0.0)).alias("pearson"), F.coalesce(F.avg("s"), F.lit(0.0)).alias("spearman"), F.count("p").alias("n"))
     return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "pearson", "spearman", "n"))

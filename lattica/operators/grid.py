@@ -79,18 +79,18 @@ def euler_number(mask: DataFrame, conn: int = 4) -> DataFrame:
 
 def minkowski(grid: DataFrame, thresholds: list[float]) -> DataFrame:
     """(image_id, t, volume, surface, chi), the first two as shares of all pixels: fg = v > t, surface = fg with a
-    4-neighbour outside fg or outside the image."""
+    4-neighbour outside fg or outside the image. Neighbours come by windows over the values, along columns and then rows, once for all
+    thresholds; only then does a pixel become a row for each of them."""
     spark = grid.sparkSession
     # a table of fixed size
     t = F.broadcast(spark.createDataFrame([(float(x),) for x in thresholds], "t double"))
-    row, col = Window.partitionBy(I, "t", "r").orderBy("c"), Window.partitionBy(I, "t", "c").orderBy("r")
-    m = grid.join(t).withColumn("fg", (F.col("v") > F.col("t")).cast("int"))
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    m = m.withColumn("right", zero(F.lead("fg").over(row))).withColumn("left", zero(F.lag("fg").over(row))).withColumn("down", zero(F.lead("fg").over(col))).withColumn("up", zero(F.lag("fg").over(col)))
-    m = m.withColumn("across", zero(F.lead("down").over(row)))
-    v, right, down = F.col("fg"), F.col("right"), F.col("down")
-    edge = v * (1 - right * F.col("left") * down * F.col("up"))
-    return m.groupBy(I, "t").agg(F.avg("fg").alias("volume"), F.avg(edge).alias("surface"), F.sum(v - v * right - v * down + v * right * down * F.col("across")).cast("long").alias("chi"))
+    row, col = Window.partitionBy(I, "r").orderBy("c"), Window.partitionBy(I, "c").orderBy("r")
+    m = grid.select(I, "r", "c", "v").withColumn("down", F.lead("v").over(col)).withColumn("up", F.lag("v").over(col))
+    m = m.withColumn("right", F.lead("v").over(row)).withColumn("left", F.lag("v").over(row)).withColumn("across", F.lead("down").over(row))
+    fg = lambda x: (F.col(x) > F.col("t")).cast("int")
+    v, (right, left, down, up, across) = fg("v"), (F.coalesce(fg(x), F.lit(0)) for x in ("right", "left", "down", "up", "across"))
+    edge = v * (1 - right * left * down * up)
+    return m.join(t).groupBy(I, "t").agg(F.avg(v).alias("volume"), F.avg(edge).alias("surface"), F.sum(v - v * right - v * down + v * right * down * across).cast("long").alias("chi"))
 
 
 def euler_transform(mask: DataFrame, directions: int = 8, heights: int = 16) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.ml.feature import HashingTF
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import descriptors, pipelines
@@ -158,11 +160,12 @@ def _predicted(f):
 
 
 def _vectors(s, d):
-    """Vectors of three descriptors of the grids."""
-    long = descriptors.extract_all(views.grids(s, d), {"euler_curve": {"n": 16}, "lbp": {}, "minkowski": {}})
-    wide = long.groupBy("image_id", "descriptor").agg(F.map_from_entries(F.collect_list(F.struct("pos", "x"))).alias("m"))
+    """Vectors of three descriptors of the grids: each is put together where its images lie, before they come below one another."""
     size = {"euler_curve": 16, "lbp": 10, "minkowski": 30}
-    return wide.select("image_id", "descriptor", F.coalesce(*[F.when(F.col("descriptor") == n, F.array(*[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0.0)) for k in range(size[n])])) for n in size]).alias("vec"))
+    g = views.grids(s, d, dealt=True)
+    long = [descriptors.extract(n, g, **given).groupBy("image_id", "descriptor") for n, given in (("euler_curve", {"n": 16}), ("lbp", {}), ("minkowski", {}))]
+    place = lambda k: F.coalesce(F.max(F.when(F.col("pos") == k, F.col("x"))), F.lit(0.0))
+    return reduce(DataFrame.unionByName, [one.agg(F.array(*map(place, range(n))).alias("vec")) for one, n in zip(long, size.values())])
 
 
 def _parts(s, d):

@@ -21,11 +21,14 @@ def minmax_normalize(grid: DataFrame, *keys: str, constant: float = 0.0) -> Data
     return grid.withColumn("v", F.when(high > low, (F.col("v") - low) / (high - low)).otherwise(constant))
 
 
-def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grids(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """minmax_normalize of the arrays as images of width 8. The extremes are taken before arrays become pixels, so one row an image is
-    shuffled, and the pixels lie by image."""
+    shuffled, and the pixels lie by image. `dealt` keeps all shuffle partitions: merged by the size of their arrays, a few tasks would
+    hold all pixels."""
     w = over("image_id")
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")
+    if dealt:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
     rows = rows.withColumn("low", F.min(F.array_min("embedding")).over(w).cast("double")).withColumn("high", F.max(F.array_max("embedding")).over(w).cast("double"))
     pos = rows.select("image_id", "low", "high", F.posexplode("embedding").alias("pos", "x"))
     v = F.when(F.col("high") > F.col("low"), (F.col("x").cast("double") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import vectorizers
 from lattica.operators import correlation, evaluation, meta
+from lattica.plans import learned_queries
 
 
 def made(spark, n=6, seed=1):
@@ -75,6 +76,27 @@ def test_components_and_correlations_equal_numpy(spark):
         assert abs(found[a, b].spearman - np.mean([abs(np.corrcoef(ranks(x[:, k]), ranks(y[:, k]))[0, 1]) for k in both])) < 1e-9
 
 
+def test_what_rounding_leaves_of_a_component_has_no_rank(spark):
+    """A descriptor whose places add up to 1 has a last component of rounding errors only, which change with the order of rows and
+    grow with their number."""
+    x = spark.range(60).select(F.col("id").alias("image_id"), (F.col("id") * 7 % 60).cast("double").alias("p"), (F.hash("id") % 1000).alias("noise"))
+    place = lambda name, k, c: x.select("image_id", F.lit(name).alias("descriptor"), F.lit(k).alias("k"), F.expr(c).alias("x"))
+    parts = place("b", 0, "p").union(place("b", 1, "p")).union(place("b", 2, "p"))
+    both = parts.union(place("a", 0, "p")).union(place("a", 1, "noise * 1e-18D")).union(place("a", 2, "noise * 1e-13D"))
+    assert {(r.a, r.b, round(r.pearson, 9), round(r.spearman, 9), r.n) for r in correlation.descriptor_correlation(both).collect()} == {("a", "b", 1.0, 1.0, 1), ("b", "a", 1.0, 1.0, 1)}
+    none = parts.union(place("a", 0, "0D"))
+    assert {(r.a, r.b, r.pearson, r.spearman, r.n) for r in correlation.descriptor_correlation(none).collect()} == {("a", "b", 0.0, 0.0, 0), ("b", "a", 0.0, 0.0, 0)}
+
+
+def test_vectors_of_images_stay_in_all_tasks(spark):
+    """Merged by the size of their arrays, all pixels would lie in one task or two."""
+    got = learned_queries._vectors(spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() >= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = {r.descriptor: (r.n, r.low, r.high) for r in got.groupBy("descriptor").agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("low"), F.max(F.size("vec")).alias("high")).collect()}
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert size == {"euler_curve": (n, 16, 16), "lbp": (n, 10, 10), "minkowski": (n, 30, 30)}
+
+
 def test_subspaces_are_the_mean_of_models_fitted_by_hand(spark):
     rng = np.random.default_rng(3)
     rows = []

@@ -110,3 +110,35 @@ def test_euler_curve_over_squares_is_that_of_cells(spark):
     got = {(r.image_id, r.k): r.chi for r in g.euler_curve(table, 9).collect()}
     assert got == {(i, k): sum(x.sign for x in cells if x.image_id == i and x.k <= k) for i in range(4) for k in range(9)}
     assert "sign" not in g.euler_curve(table, 9)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_minkowski_sorts_pixels_before_thresholds(spark):
+    """Windows over a row for each pixel and threshold would sort ten times the pixels. Neighbours are the next pixels there are."""
+    from lattica.operators import grid as g
+
+    rng = random.Random(6)
+    image = {(k, r, c): None if k == 3 and rng.random() < 0.2 else round(rng.random(), 1) for k in range(5) for r in range(3 + k) for c in range(6) if k != 4 or rng.random() < 0.7}
+    got = g.minkowski(spark.createDataFrame([(*at, v) for at, v in image.items()], "image_id long, r int, c int, v double"), [0.0, 0.25, 0.5, 1.0])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Join") < plan.index("Window")
+    found = {(x.image_id, x.t): x for x in got.collect()}
+    assert len(found) == 20
+    for (k, t), x in found.items():
+        own = {(r, c): v for (i, r, c), v in image.items() if i == k}
+        rows, columns = {r: sorted(c for y, c in own if y == r) for r, _ in own}, {c: sorted(r for r, z in own if z == c) for _, c in own}
+
+        def near(r, c, dr, dc):
+            line, at = (rows[r], rows[r].index(c) + dc) if dc else (columns[c], columns[c].index(r) + dr)
+            return ((r, line[at]) if dc else (line[at], c)) if 0 <= at < len(line) else None
+
+        fg = lambda p: int(p is not None and own[p] is not None and own[p] > t)
+        volume = surface = chi = known = 0
+        for p, v in own.items():
+            if v is None:
+                continue
+            right, left, down, up = (near(*p, *s) for s in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+            across = right and near(*right, 1, 0)
+            known, volume = known + 1, volume + fg(p)
+            surface += fg(p) * (1 - fg(right) * fg(left) * fg(down) * fg(up))
+            chi += fg(p) * (1 - fg(right) - fg(down) + fg(right) * fg(down) * fg(across))
+        assert abs(x.volume - volume / known) < 1e-12 and abs(x.surface - surface / known) < 1e-12 and x.chi == chi
